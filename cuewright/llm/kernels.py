@@ -72,40 +72,45 @@ _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _hash_words(raw: bytes) -> np.ndarray:
+#: White space and ASCII punctuation.
+NO_WORD = _ASCII_SPACE.copy()
+NO_WORD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def _hash_words(raw: bytes, between: np.ndarray = _ASCII_SPACE) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = _ASCII_SPACE[data]
+    space[1:-1] = between[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     return span_hashes(data, edge[0::2], edge[1::2])
 
 
-def word_hashes(text: str | None, most: int = 4 * SLICE) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased, in order."""
+def word_hashes(text: str | None, most: int = 4 * SLICE, between: np.ndarray = _ASCII_SPACE) -> np.ndarray:
+    """Hashes of the words of a text with A-Z lower-cased, in order: [^\\x20\\x09-\\x0D]+ or what stands ``between`` words."""
     raw = (text or "").encode().lower()
     parts, at = [], 0
     while len(raw) - at > most:
         cut = raw.find(b" ", at + most)
         if cut < 0:
             break
-        parts.append(_hash_words(raw[at:cut]))
+        parts.append(_hash_words(raw[at:cut], between))
         at = cut
-    parts.append(_hash_words(raw[at:] if at else raw))
+    parts.append(_hash_words(raw[at:] if at else raw, between))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def batch_word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batch_word_hashes(texts: pa.Array, between: np.ndarray = _ASCII_SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of a batch: (index of the first text, hashes of all its words, offsets of the texts in them)."""
     for held, first in text_slices(texts):
         if len(held) == 1:
-            h = word_hashes(held[0])
+            h = word_hashes(held[0], between=between)
             yield first, h, np.array([0, len(h)])
             continue
         raws = [t.encode().lower() for t in held]
         data = b"\n".join(raws)
         arr = np.frombuffer(data, np.uint8)
         space = np.ones(len(arr) + 2, bool)
-        space[1:-1] = _ASCII_SPACE[arr]
+        space[1:-1] = between[arr]
         edge = np.flatnonzero(space[1:] != space[:-1])
         starts = edge[0::2]
         begin = np.cumsum([0, *(len(r) + 1 for r in raws)])

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cuewright.llm.byte_bpe import op10_byte_bpe
+from cuewright.llm.multi_index import op5_multi_index
 from cuewright.llm.ngram_jaccard import op4_ngram_jaccard
 from cuewright.llm.secret_scan import op2_secret_scan
 from cuewright.llm.sharding import op6_jump_shards
 from cuewright.llm.token_files import op1_token_ids
+from cuewright.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_ids, op2_secret_scan, op4_ngram_jaccard, op6_jump_shards, op10_byte_bpe]
+    own = [op1_token_ids, op2_secret_scan, op4_ngram_jaccard, op5_multi_index, op6_jump_shards, op7_toxicity, op10_byte_bpe]
     return {f.__name__: f for f in own}
 
 
