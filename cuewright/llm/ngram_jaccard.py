@@ -8,9 +8,11 @@ only where a product can reach the bound. In order:
    two linked rows must share one. N-grams that a stated share of all documents
    has come last in that order, so passages that many documents share form no
    large columns.
-3. Rows that meet in a column are compared by size and by a parity sketch, both
-   of which bound the overlap from above; what remains is a forest of possible
-   links for each column, never all its pairs.
+3. Columns are cut by size class, as rows of very different sizes cannot be
+   linked, and of columns with the same rows one is kept. Rows that meet in a
+   column are compared by size and by a parity sketch, both of which bound the
+   overlap from above; what remains is a forest of possible links for each
+   column, never all its pairs.
 4. Components of these forests are blocks of rows. Overlap counts accumulate in
    the product of each block, pairs below the bound of their sizes are
    discarded, and the links left give the components. A block of many rows is
@@ -36,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuewright.llm.components import connected_components
 from cuewright.llm.incidence import fingerprint, linked, parity_sketch, possible_edges, prefix
-from cuewright.llm.kernels import batch_word_hashes, shingles
+from cuewright.llm.kernels import batch_word_hashes, shingles, word_hashes
 from cuewright.llm.scratch import shuffle_partitions, stored
 
 #: An n-gram that one of so many documents has is common and comes last in the order of columns.
 COMMON = 1000
+#: Size classes are as wide as so many steps of the least similarity.
+CLASSES = 3
 #: Rows of a column, and rows or elements of a block, that one task takes; more are cut in parts.
 COLUMN_ROWS, BLOCK_ROWS, BLOCK_ELEMENTS = 8192, 1024, 2_000_000
 
@@ -173,21 +177,17 @@ def _in_parts(rows: DataFrame, parts: str) -> DataFrame:
     return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", parts)
 
 
-def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        wanted = batch.column(1).to_pylist()
-        # a key that repeats with another text has another set
-        keep = [(k, s.view(np.int64)) for k, s in _rows(batch, 0, width) if len(s) and fingerprint(s) == wanted[k]]
-        at = pa.array([k for k, _ in keep], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array([s for _, s in keep], pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "grams"])
-
-
-def _block_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+def _block_links(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator[pd.DataFrame]:
     """Of each block: a star of every component to its smallest set id, and how many documents each row is linked with."""
     for g in _groups(batches, ["root", "i", "j"]):
-        g = _once(g)
         i, j = int(g["i"][0]), int(g["j"][0])
-        found = linked([np.asarray(x).view(np.uint64) for x in g["grams"]], percent)
+        sets = [shingles(word_hashes(t), width) for t in g["text"]]
+        # a key that repeats with another text has another set
+        own = np.array([len(s) > 0 and fingerprint(s) == k for s, k in zip(sets, g["sid"], strict=True)])
+        g = _once({c: x[own] for c, x in g.items() if c != "text"} | {"at": np.flatnonzero(own)})
+        if len(g["sid"]) < 2:
+            continue
+        found = linked([sets[k] for k in g["at"]], percent)
         if i != j:
             part = g["part"]
             found &= part[:, None] != part[None, :]
@@ -216,13 +216,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hot = spark.sparkContext.broadcast(common_grams(rows, "text", width))
     entered = stored(rows.mapInArrow(lambda b: _entered(b, width, percent, hot), "key long, n long, sid long, prefix array<long>, sketch binary"), "rows")
 
-    # columns that at least two rows have
-    entries = entered.where("prefix is not null").select("sid", F.explode("prefix").alias("gram"))
-    shared = entries.groupBy("gram").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("gram")
-    met = stored(entries.join(shared, "gram").distinct(), "columns")
-    parts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).select("gram", F.ceil(F.col("m") / COLUMN_ROWS).alias("parts"))
+    # columns that at least two rows have, by size class; of columns of the same rows one
+    entries = entered.where("prefix is not null").select("sid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
+    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
+    ratio = (100 / percent) ** CLASSES if percent < 100 else 2.0
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9)
+    also = F.floor(F.log(F.col("n") * 100.0 / percent) / float(np.log(ratio)) + 1e-6)
+    met = entries.join(shared, "gram").select("sid", "gram", F.explode(F.array_distinct(F.array(size_class, also))).alias("class"))
+    met = stored(met.select("sid", F.xxhash64("gram", "class").alias("gram")).distinct(), "columns")
+    rows_of = met.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 1")
+    parts = rows_of.groupBy("m", "x", "y").agg(F.min("gram").alias("gram")).select("gram", F.ceil(F.col("m") / COLUMN_ROWS).alias("parts"))
     sketches = entered.where("sketch is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    columns = _in_parts(met.join(sketches, "sid").join(parts, "gram"), "parts").repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    columns = _in_parts(met.join(parts, "gram").join(sketches, "sid"), "parts").repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     edges = columns.mapInPandas(lambda b: _column_edges(b, percent), "a long, b long")
     blocks = connected_components(edges).withColumnRenamed("node", "sid")
 
@@ -233,9 +238,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     chosen = members.join(sizes, "root").select("sid", "root", "copies", "parts", F.col("first").alias("key"))
     few = members.count() <= 1_000_000  # 40 bytes a row: the texts then need not be shuffled
     texts = rows.join(F.broadcast(chosen) if few else chosen, "key")
-    grams = texts.select("text", "sid", "root", "copies", "parts").mapInArrow(lambda b: _sets(b, width), "sid long, root long, copies long, parts long, grams array<long>")
-    grams = _in_parts(grams, "parts").repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
-    links = stored(grams.mapInPandas(lambda b: _block_links(b, percent), "sid long, least long, links long"), "links")
+    texts = _in_parts(texts.select("text", "sid", "root", "copies", "parts"), "parts").repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
+    links = stored(texts.mapInPandas(lambda b: _block_links(b, width, percent), "sid long, least long, links long"), "links")
 
     labels = connected_components(links.select("sid", "least")).withColumnRenamed("node", "sid")
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
