@@ -57,7 +57,8 @@ def text_slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[list[str],
     """Texts (null: empty) as lists of at most ``most`` characters or one text each, with the first one's index."""
     held: list[str] = []
     size = first = 0
-    for i, text in enumerate(texts.to_pylist()):
+    every = (t for k in range(0, len(texts), 256) for t in texts.slice(k, 256).to_pylist())
+    for i, text in enumerate(every):
         text = text or ""
         if held and size + len(text) > most:
             yield held, first

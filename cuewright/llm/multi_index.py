@@ -87,10 +87,10 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     need some hundredths.
     """
     rows = valid_vectors(df, key, vector)
-    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    if not len(fitted):
+    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()["vec"].to_pylist()
+    if not fitted:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    points = np.stack(fitted["vec"].to_numpy())
+    points = np.array(fitted, np.float64)
     half = (points.shape[1] + 1) // 2
     books = kmeans(points[:, :half], centroids), kmeans(points[:, half:], centroids) if points.shape[1] > half else np.zeros((1, 0))
     width = len(books[1])

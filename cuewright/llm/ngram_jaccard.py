@@ -85,30 +85,35 @@ def common_grams(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """
     found = docs.select(text).mapInArrow(lambda b: _frequent(b, width), "gram long, n long")
     least = max(8, docs.count() // COMMON)
-    grams = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").toPandas()["gram"]
-    return np.sort(grams.to_numpy(np.int64).view(np.uint64))
+    grams = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").toArrow()["gram"]
+    return np.sort(grams.to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _entered(batches: Iterable[pa.RecordBatch], width: int, percent: int, hot) -> Iterator[pa.RecordBatch]:
     """Per document: key, size, set id, prefix and sketch; the last two only where the task first meets the set."""
     seen: set[int] = set()
+    names = ["key", "n", "sid", "prefix", "sketch"]
     for batch in batches:
-        keys, sizes, sids, prefixes, sketches = [], [], [], [], []
-        own = batch.column(0).to_pylist()
+        own, held, size = batch.column(0).to_pylist(), [], 0
         for k, s in _rows(batch, 1, width):
-            keys.append(own[k])
-            sizes.append(len(s))
             sid = fingerprint(s) if len(s) else None
-            sids.append(sid)
             fresh = sid is not None and sid not in seen
             if fresh:
                 seen.add(sid)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
-            prefixes.append(prefix(s, hot.value, percent).view(np.int64) if fresh else None)
-            sketches.append(parity_sketch(s).tobytes() if fresh else None)
-        arrays = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "sid", "prefix", "sketch"])
+            held.append((own[k], len(s), sid, prefix(s, hot.value, percent).view(np.int64) if fresh else None, parity_sketch(s).tobytes() if fresh else None))
+            size += len(s)
+            if size > 1_000_000:
+                yield _batch(held, names)
+                held, size = [], 0
+        if held:
+            yield _batch(held, names)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -154,7 +159,7 @@ def _column_edges(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.
             if pair[0] == pair[1] or pair in known:
                 continue
             known.add(pair)
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
         g = _once(g)
         i, j = int(g["i"][0]), int(g["j"][0])

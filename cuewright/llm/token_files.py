@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from cuewright.llm.pieces import PieceEncoder, byte_to_char
 from cuewright.llm.scratch import fresh_path, shuffle_partitions
@@ -102,8 +102,9 @@ def read_token_ids(spark: SparkSession, path: str, columns: list[str] | None = N
     """
     files = spark.read.parquet(path)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.part") < F.col("a.part"), "left")
-    before = before.groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b._ids"), F.lit(0)).alias("_before"))
+    # one row a file, in one window
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_before"))
     rows = files.where(F.col(key).between(*keys)) if keys else files
     rows = rows.join(F.broadcast(before), "part").withColumn("start", F.col("_before") + F.col("local_start"))
     return rows.select(*(columns or [c for c in rows.columns if c not in ("part", "local_start", "_before")]))

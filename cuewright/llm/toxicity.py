@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cuewright.llm.kernels import NO_WORD, batch_word_hashes
+from cuewright.llm.kernels import NO_WORD, batch_word_hashes, mix64
 
 #: Cells of the hashed vocabulary.
 CELLS = 1 << 18
@@ -138,6 +138,10 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(cells))], names=["positive", "cells"])
 
 
+def hash_of(cells: np.ndarray) -> int:
+    return int(np.sum(mix64(cells)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Linear:
     """Fit on the labelled rows outside the held-out quarter; the prior counts all of those.
 
@@ -150,12 +154,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     chosen = known.where("positive").orderBy(order).limit(most_positive)
     mixed = known.orderBy(F.xxhash64("key", F.lit("u"))).limit(most_unlabelled).select("key", F.lit(False).alias("positive"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen.unionByName(mixed)), "key").select("positive", "text")
-    got = rows.mapInArrow(_featured, "positive boolean, cells array<int>").toPandas()
+    got = rows.mapInArrow(_featured, "positive boolean, cells array<int>").toArrow()
+    flags, lists = got["positive"].to_numpy(), got["cells"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False) if len(lists) else np.empty(0, np.int64)
+    flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    # the same fit however the rows arrive
+    digest = np.array([hash_of(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64)
     both = []
     for flag in (True, False):
-        own = [np.asarray(x) for x in got[got["positive"] == flag]["cells"]]
-        own.sort(key=lambda x: (len(x), x.tobytes()))  # the same fit however the rows arrive
-        both.append((np.concatenate([np.empty(0, np.int64), *own]).astype(np.int64), np.cumsum([0, *map(len, own)])))
+        chosen_rows = np.flatnonzero(flags == flag)
+        both.append(_pick(flat, off, chosen_rows[np.argsort(digest[chosen_rows], kind="stable")]))
     return fit_nnpu(*both, prior=float(share))
 
 
