@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cuewright.llm.scratch import stored
+
 #: Words of a window; fewest words of an item.
 WIDTH, LEAST = 8, 5
 #: An item is found with this share of its windows, or this number.
@@ -40,8 +42,7 @@ def template_of(words: Column) -> Column:
     """A template word for each word: <num>, <unit> or <name> for what may vary, others in lower case."""
     digit = lambda x: x.between("0", "9")
 
-    def word(w: Column, i: Column) -> Column:
-        bare = F.btrim(w, F.lit(MARKS))
+    def word(bare: Column, i: Column) -> Column:
         first, low, before = F.substr(bare, F.lit(1), F.lit(1)), F.lower(bare), F.get(words, i - 1)
         rest = F.regexp_replace(low, r"[0-9][0-9.,:/]*", "")
         number = F.when(rest == "", "<num>").when(rest.isin(UNITS), "<num><unit>").otherwise(F.concat(F.lit("<num>"), rest))
@@ -52,13 +53,18 @@ def template_of(words: Column) -> Column:
             .otherwise(low)
         )
 
-    return F.transform(words, word)
+    # trimmed once a word, as a lambda evaluates each mention anew
+    return F.transform(F.transform(words, lambda w: F.btrim(w, F.lit(MARKS))), word)
+
+
+def _hashed(template: Column) -> Column:
+    return F.transform(template, lambda w: F.xxhash64(w))
 
 
-def _windows(words: Column, width: Column) -> Column:
-    """Hash of each window of ``width`` words."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
+def _windows(hashes: Column, width: Column) -> Column:
+    """Hash of each window of ``width`` words, given by their hashes."""
+    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(1), F.size(hashes) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -75,13 +81,13 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     items = items.select(F.col(item_key).alias("item"), words_of(F.col(text)).alias("words")).where("item is not null")
     items = items.withColumn("template", template_of(F.col("words"))).where(F.size("template") >= LEAST)
     items = items.withColumn("width", F.least(F.size("template"), F.lit(WIDTH)))
-    asked = items.select("item", "width", (F.size("template") - F.col("width") + 1).alias("n_windows"), F.posexplode(_windows(F.col("template"), F.col("width"))).alias("at", "window"))
+    asked = items.withColumn("hashes", _hashed(F.col("template"))).select("item", "width", (F.size("template") - F.col("width") + 1).alias("n_windows"), F.posexplode(_windows(F.col("hashes"), F.col("width"))).alias("at", "window"))
     n_asked = asked.count()
     widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # LEAST to WIDTH at most
 
     docs = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).where("key is not null")
-    templates = docs.select("key", template_of(F.col("words")).alias("template"))
-    each = [F.transform(_windows(F.col("template"), F.lit(w)), lambda h, i: F.struct(i.alias("pos"), h.alias("window"))) for w in widths or [WIDTH]]
+    templates = docs.select("key", _hashed(template_of(F.col("words"))).alias("hashes"))
+    each = [F.transform(_windows(F.col("hashes"), F.lit(w)), lambda h, i: F.struct(i.alias("pos"), h.alias("window"))) for w in widths or [WIDTH]]
     held = templates.select("key", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("w")).select("key", "w.pos", "w.window")
     held = held.join(_sized(asked.select("window").distinct(), n_asked), "window").join(_sized(asked, n_asked), "window")
     hits = held.select("key", "item", "width", "n_windows", "pos", "at", (F.col("pos") - F.col("at")).alias("shift"))
@@ -90,6 +96,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     slots = slots.select("item", "place", F.col("w.template").alias("kind"), F.lower(F.btrim("w.words", F.lit(MARKS))).alias("value"))
     changed = None
     if not slots.isEmpty():
+        hits = stored(hits, "hits")  # read three times below; the texts are cut into windows once
         seen = hits.join(_sized(slots, n_asked), "item").where("place >= at and place < at + width")
         seen = seen.select("key", "item", "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
         wanted = docs.join(seen.select("key").distinct(), "key").select("key", F.posexplode("words").alias("pos", "word"))
