@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from cuewright.functions.language import normalized
+from cuewright.functions.language import language_name, normalized
 
 # fixed values: extensions of sidecar files
 EXTENSIONS = [".srt", ".ass", ".ssa", ".vtt", ".sub", ".sup", ".idx", ".smi"]
@@ -55,3 +55,25 @@ def file_token(path: Column) -> Column:
 def sidecar_name(media: Column, language: Column, impaired: Column, marker: str) -> Column:
     """stem[.language][.sdh].marker.srt"""
     return F.concat_ws(".", stem(media), F.when(language != "", language), F.when(impaired, "sdh"), F.lit(marker.strip().strip(".")), F.lit("srt"))
+
+
+# fixed values: extensions of files that hold text
+EDITABLE = [".srt", ".ass", ".ssa", ".vtt"]
+
+
+def source_label(language: Column, forced: Column, impaired: Column, is_text: Column, default: Column) -> Column:
+    """``English (forced, SDH)``."""
+    flags = F.concat_ws(", ", F.when(forced, "forced"), F.when(impaired, "SDH"), F.when(~is_text, "image"), F.when(default, "default"))
+    return F.concat(language_name(language), F.when(flags == "", "").otherwise(F.concat(F.lit(" ("), flags, F.lit(")"))))
+
+
+def track_label(index: Column, language: Column, external: Column, forced: Column, impaired: Column, is_text: Column) -> Column:
+    """``#2 English (embedded, SDH)``."""
+    inner = F.concat_ws(", ", F.when(external, "external").otherwise("embedded"), F.when(forced, "forced"), F.when(impaired, "SDH"), F.when(~is_text, "image"))
+    return F.concat(F.lit("#"), index.cast("string"), F.lit(" "), language_name(language), F.lit(" ("), inner, F.lit(")"))
+
+
+def file_size(size: Column) -> Column:
+    """Bytes, or KB or MB with at most one decimal."""
+    short = lambda x: F.regexp_replace(F.format_string("%.1f", F.round(x, 1)), r"\.0$", "")
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(short(size / 1024.0), F.lit(" KB"))).otherwise(F.concat(short(size / 1048576.0), F.lit(" MB")))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuewright.functions import commands, language, naming, text
-from cuewright.operators import cues as cue_ops, reports, signals, sync
+from cuewright.operators import cues as cue_ops, library, reports, signals, sync
 from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
+from cuewright.settings import Settings
 from cuewright.sources import silences, srt, transcripts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -531,3 +532,92 @@ def clip_command(spark, d):
 def audio_cost(spark, d):
     docs = table(spark, d, "documents")
     return docs.groupBy("source").agg(commands.audio_minutes(F.col("n_chars")).alias("minutes"), F.sum(commands.price(F.lit("0.006").cast("decimal(18,6)"), F.col("n_chars") * 60)).cast("double").alias("cost"))
+
+
+# the library
+
+
+_ITEM_SQL = "SELECT doc_id AS item_id, ['Movie', 'Episode', 'Series'][doc_id % 3 + 1] AS kind, doc_id % 11 = 0 AS virtual, n_chars > 500 AS has_subtitles, CASE WHEN doc_id % 13 = 0 THEN '' ELSE source || '/' || doc_id END AS path FROM documents"
+
+
+@query(f"SELECT item_id, kind, path FROM ({_ITEM_SQL}) WHERE kind IN ('Movie', 'Episode') AND NOT virtual AND has_subtitles AND path <> ''")
+def eligible_items(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("Movie", "Episode", "Series")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), kind.alias("kind"), (F.col("doc_id") % 11 == 0).alias("virtual"), (F.col("n_chars") > 500).alias("has_subtitles"), path.alias("path"))
+    return library.eligible(items, ["Movie", "Episode"]).select("item_id", "kind", "path")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget') ORDER BY p_name, p_partkey LIMIT 30")
+def item_search(spark, d):
+    return library.searched(table(spark, d, "part"), " Widget ", 30, "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+_SOURCES_SQL = f"""t AS (SELECT item_id, track_idx, language, CASE WHEN track_idx = 3 THEN '/m/FILM' || item_id || '.EN.SRT' WHEN track_idx = 2 THEN '/m/Film' || item_id || '.cicada.srt' END AS path, cue_count % 5 > 0 AS is_text, cue_count % 4 = 0 AS is_forced FROM tracks),
+  f AS (SELECT doc_id // 4 AS item_id, '/m/Film' || (doc_id // 4) || ['.en.srt', '.fr.forced.vtt', '.txt', '.it.heard.cicada-heard.sup'][doc_id % 4 + 1] AS path, doc_id % 4 AS k FROM documents),
+  s AS (SELECT item_id, 'stream_' || track_idx AS source_id, CASE WHEN path IS NULL THEN 'Embedded' WHEN track_idx = 2 THEN 'Repaired' ELSE 'External' END AS kind, track_idx AS stream_idx, {sql.normalized('language')} AS lang, is_text, is_forced, path FROM t
+    UNION ALL SELECT item_id, 'file_' || substr(sha256(path), 1, 16), CASE WHEN k = 3 THEN 'Heard' ELSE 'External' END, NULL, ['en', 'fr', '', 'it'][k + 1], k < 3, k = 1, path FROM f WHERE k <> 2 AND NOT EXISTS (SELECT 1 FROM t WHERE t.item_id = f.item_id AND lower(t.path) = lower(f.path)))"""
+
+
+def _sources(spark, d):
+    rows = derived.tracks(spark, d)
+    film = F.col("item_id").cast("string")
+    path = F.when(F.col("track_idx") == 3, F.concat(F.lit("/m/FILM"), film, F.lit(".EN.SRT"))).when(F.col("track_idx") == 2, F.concat(F.lit("/m/Film"), film, F.lit(".cicada.srt")))
+    tracks = rows.select("item_id", "track_idx", "language", path.alias("path"), (F.col("cue_count") % 5 > 0).alias("is_text"), (F.col("cue_count") % 4 == 0).alias("is_forced"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in (".en.srt", ".fr.forced.vtt", ".txt", ".it.heard.cicada-heard.sup")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    film = F.concat(F.lit("/m/Film"), F.floor(F.col("doc_id") / 4).cast("string"))
+    files = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("item_id"), F.concat(film, tail).alias("path"), F.concat(film, F.lit(".mkv")).alias("media"))
+    return library.inventory(tracks, files, "cicada", "cicada-heard"), rows
+
+
+@query(f"WITH {sql.TRACKS}, {_SOURCES_SQL} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY list_position(['Embedded', 'External', 'Repaired', 'Heard'], kind), lang, coalesce(stream_idx, 1000), source_id) AS INTEGER) AS place, source_id, kind, lang, is_text, is_forced FROM s")
+def inventory_sources(spark, d):
+    return _sources(spark, d)[0].select("item_id", "place", "source_id", "kind", "lang", "is_text", "is_forced")
+
+
+@query(f"WITH {sql.TRACKS}, {_SOURCES_SQL}, w AS (SELECT item_id, lang FROM (SELECT DISTINCT item_id FROM tracks), (VALUES {sql.WANTED}) w(lang)) SELECT item_id, lang FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.item_id = w.item_id AND s.lang = w.lang AND is_text AND NOT is_forced)")
+def inventory_missing(spark, d):
+    sources, items = _sources(spark, d)
+    return library.without_language(sources, items, LANGUAGES)
+
+
+@query(f"WITH {sql.TRACKS}, {sql.COVER} SELECT DISTINCT item_id FROM covered WHERE verdict = 'Drifting'")
+def reports_with_verdict(spark, d):
+    return library.with_verdict(_covered(spark, d), "drifting")
+
+
+@query("SELECT event_id AS run_id, CASE WHEN event_id % 2 = 0 AND event_id % 7 <> 0 THEN 'Abandoned' WHEN event_id % 2 = 0 THEN 'Running' ELSE 'Completed' END AS status FROM events WHERE ts IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 20")
+def recent_runs(spark, d):
+    runs = table(spark, d, "events").where("ts is not null").select(F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.when(F.col("event_id") % 2 == 0, "Running").otherwise("Completed").alias("status"))
+    return library.recent_runs(runs, runs.where("run_id % 7 = 0")).select("run_id", "status")
+
+
+@query(f"WITH {sql.D1}, c AS (SELECT track_id, cue_idx, {sql.clean('text')} AS clean FROM d1), k AS (SELECT *, lag(lower(clean)) OVER (PARTITION BY track_id ORDER BY cue_idx) AS b FROM c WHERE clean <> ''), n AS (SELECT track_id, cue_idx, clean, row_number() OVER (PARTITION BY track_id ORDER BY cue_idx) - 1 AS k, count(*) OVER (PARTITION BY track_id) // 4 AS f FROM k WHERE b IS NULL OR b <> lower(clean)) SELECT track_id, string_agg(clean, ' ' ORDER BY cue_idx) AS sample FROM n WHERE k >= f AND k < f + 400 GROUP BY track_id")
+def dialogue_sample(spark, d):
+    return library.dialogue_sample(derived.cues(spark, d))
+
+
+@query()
+def transcript_verdict(spark, d):
+    """Each track heard 2.5 seconds early in the windows planned for it; every other window without times."""
+    cues = derived.cues(spark, d).withColumns({"start_s": F.col("start_s") - 600, "end_s": F.col("end_s") - 600})
+    anchors = cue_ops.anchor_windows(cues, F.lit(0.0)).withColumn("timed", F.col("anchor_idx") % 2 == 0)
+    near = cues.join(anchors.select("track_id", "anchor_idx", F.col("start_s").alias("a"), "duration_s"), "track_id").where("start_s - 2.5 >= a and start_s - 2.5 <= a + duration_s")
+    heard = near.select("track_id", "anchor_idx", (F.col("start_s") - 2.5).alias("start_s"), (F.col("end_s") - 2.5).alias("end_s"), "text")
+    points = library.heard_points(cues, anchors, heard, 30.0)
+    done = sync.assessed(points, sync.drift_fit(points, "track_id"), "track_id", RUNTIME)
+    return done.select("track_id", "anchors", "confident", "verdict", r6("offset_s", 3), r6("worst_s", 3))
+
+
+@query("SELECT count(*) AS items, count(*) * 2.5e0 AS minutes, count(*) * 2.5e0 > 240 AS over_budget FROM documents")
+def run_quote(spark, d):
+    return table(spark, d, "documents").agg(*Settings(by_transcript=True).quote(F.count(F.lit(1))))
+
+
+@query(f"""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE regexp_replace(printf('%.1f', round(n_chars / 1024e0, 1)), '\\.0$', '') || ' KB' END AS size,
+  '#' || doc_id % 4 || ' ' || name || ' (' || CASE WHEN doc_id % 3 = 1 THEN 'external' ELSE 'embedded' END || CASE WHEN doc_id % 5 = 0 THEN ', forced' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ', SDH' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ', image' ELSE '' END || ')' AS track
+  FROM (SELECT *, MAP {{{', '.join(f'{sql.q(a)}: {sql.q(b)}' for a, b in language.NAMES.items())}}}[lang] AS name FROM documents)""")
+def source_labels(spark, d):
+    on = lambda k, r=0: F.col("doc_id") % k == r
+    track = naming.track_label(F.col("doc_id") % 4, F.col("lang"), on(3, 1), on(5), on(7), ~on(2))
+    return table(spark, d, "documents").select("doc_id", naming.file_size(F.col("n_chars")).alias("size"), track.alias("track"))
