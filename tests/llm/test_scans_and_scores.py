@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+from cuewright.llm import lm_score
 from cuewright.llm.decontaminate import find_items, op3_decontaminate
 from cuewright.llm.lm_score import fit_models, op9_lm_score, score_documents
 from cuewright.llm.multi_index import nearest, op5_multi_index, visited
@@ -132,6 +133,15 @@ def test_losses_are_those_of_the_counts(spark):
     assert got[1]["score"] < got[2]["score"]
 
 
+def test_marks_are_the_same_by_broadcast_and_shuffle(spark, odd, monkeypatch):
+    ids = spark.createDataFrame([(4,), (4,), (7,), (None,), (99,)], "doc_id long")
+    rows = lambda: sorted((r["doc_id"] or 0, r["good"] or False) for r in lm_score.marked(odd, ids, "good").collect())
+    small = rows()
+    assert [k for k, good in small if good] == [4, 4, 7] and len(small) == 10
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", 0)
+    assert rows() == small
+
+
 def test_op9_and_odd_rows(spark, odd, empty):
     assert op9_lm_score(spark, DATA).where("score is not null").count() == 200
     models = fit_models(odd, F.lit(None).cast("boolean"))
