@@ -5,13 +5,16 @@ one on the background of all documents. The difference of their losses on a
 token says how much more it looks like the target; the mean over its tokens
 scores a document (lower: more like the target).
 
-Counts are made over all documents: unigrams of every word, then bigrams of the
-words in the vocabulary, combined within tasks before they are shuffled. What a
-task needs to score is bounded by the sizes of the vocabulary, not the corpus.
+Every word and every bigram of the documents is counted, combined within tasks
+before the counts are shuffled; the counts stay tables that grow with the
+corpus. To score, a document's bigrams are counted within it and joined with
+those tables. The most frequent bigrams are looked up in a broadcast copy of
+their losses instead of being shuffled, which gives the same losses and leaves
+no bigram frequent enough to fill a partition.
 
 Defined cases: a null or empty text has no tokens, null losses and a null
 score; without any target document, the target model is uniform; repeated rows
-count as often as they occur; words out of the vocabulary are one word.
+count as often as they occur; words that were not counted are one word.
 """
 
 from __future__ import annotations
@@ -21,159 +24,223 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuewright.llm.kernels import NO_WORD, batch_word_hashes
 from cuewright.llm.scratch import stored
 
-#: Words of the vocabulary, by count; the first ones of them that bigrams are made of.
-WORDS, PAIR_WORDS = 65_536, 2_048
 #: Ids of target documents that are broadcast; with more, the texts are joined by one shuffle and stored.
 BROADCAST_IDS = 2_000_000
-#: Weight of the bigram where both its words are among those, and of additive smoothing.
+#: Bigrams, the most frequent, whose losses are broadcast; words whose counts are. The others are joined by shuffles.
+BROADCAST_PAIRS, BROADCAST_WORDS = 1_000_000, 1_000_000
+#: Rows that a task combines at once.
+COMBINED = 2_000_000
+#: Weight of the bigram where it can be told, and of additive smoothing.
 MIX, ADD = 0.6, 0.1
+#: Stand for no word before, and for all words out of a given vocabulary.
+START, OTHER = np.uint64(0), np.uint64(1)
+#: What is counted: in the target, in the background.
+SIDES = ("target", "background")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words that are told apart, and those of them that bigrams are made of; None for all."""
+
+    words: np.ndarray | None = None  # sorted
+    pair_words: np.ndarray | None = None  # sorted
+
+    def told(self, h: np.ndarray) -> np.ndarray:
+        return h if self.words is None else np.where(_is_in(h, self.words), h, OTHER)
+
+    def before(self, w: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The word before each one that makes a bigram with it, or START."""
+        out = np.full(len(w), START)
+        out[1:] = w[:-1]
+        out[off[:-1][off[:-1] < len(w)]] = START
+        if self.pair_words is None:
+            return out
+        return np.where(_is_in(out, self.pair_words) & _is_in(w, self.pair_words), out, START)
 
 
 @dataclass(frozen=True)
 class Models:
-    """Log-probabilities of both models over one vocabulary; the last word stands for all others."""
-
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray  # by rank of count
-    one: np.ndarray  # (2, words + 1)
-    two: np.ndarray  # (2, pair_words, pair_words)
-
-    def words(self, h: np.ndarray) -> np.ndarray:
-        return look_up(h, self.hashes, self.ids)
-
-    def losses(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Summed losses of each text: target, background."""
-        w = self.words(h)
-        pair = np.zeros(len(w), bool)
-        k = self.two.shape[1]
-        pair[1:] = (w[1:] < k) & (w[:-1] < k)
-        pair[off[:-1][off[:-1] < len(w)]] = False
-        at = np.flatnonzero(pair)
-        out = []
-        for m in range(2):
-            log_p = self.one[m][w].astype(np.float64)
-            log_p[at] = self.two[m][w[at - 1], w[at]]
-            total = np.concatenate([[0.0], np.cumsum(-log_p)])
-            out.append(total[off[1:]] - total[off[:-1]])
-        return out[0], out[1]
-
-
-def look_up(h: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    if not len(hashes):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    return np.where(hashes[at] == h, ids[at], len(hashes))
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word hashes, offsets, whether each word is of the target) of slices of a batch (text, target)."""
-    target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-    for first, h, off in batch_word_hashes(batch.column(0), NO_WORD):
-        yield h, off, np.repeat(target[first : first + len(off) - 1], np.diff(off))
-
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]], name: str) -> pa.RecordBatch:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    of = np.concatenate([t for _, t in held])
-    counts = [np.bincount(inverse[of], minlength=len(keys)), np.bincount(inverse, minlength=len(keys))]
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names=[name, "target", "background"])
-
-
-def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], name: str) -> Iterator[pa.RecordBatch]:
-    """Counts by key, combined over some millions of words."""
+    """Counts of both models, as tables, and the losses of the most frequent bigrams."""
+
+    vocabulary: Vocabulary
+    pairs: DataFrame  # (first, word, target, background); first is START where the word alone is counted
+    words: DataFrame  # (word, target, background, target_after, background_after): counts of the word and of bigrams that it starts
+    n_words: int
+    sums: dict[str, float]  # of all words
+    mass: dict[str, float]  # share of the words that bigrams are made of
+    keys: np.ndarray  # sorted, of the most frequent bigrams
+    losses: np.ndarray  # (2, keys)
+
+
+def _is_in(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(h), bool)
+    return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
+
+
+def pair_keys(first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for a bigram."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def _combined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    first, word, of = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, at, inverse = np.unique(pair_keys(first, word), return_index=True, return_inverse=True)
+    counts = [np.bincount(inverse[of], minlength=len(at)), np.bincount(inverse, minlength=len(at))]
+    return pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (first, word)] + [pa.array(c.astype(np.int64)) for c in counts], names=["first", "word", *SIDES])
+
+
+def _counted(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, pairs: bool = True) -> Iterator[pa.RecordBatch]:
+    """Counts of the words and bigrams of batches (text, target)."""
     held, size = [], 0
-    for keys, of in parts:
-        held.append((keys, of))
-        size += len(keys)
-        if size > 3_000_000:
-            yield _summed(held, name)
-            held, size = [], 0
+    for batch in batches:
+        target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+        for at, h, off in batch_word_hashes(batch.column(0), NO_WORD):
+            of = np.repeat(target[at : at + len(off) - 1], np.diff(off))
+            w = vocabulary.told(h)
+            held.append((np.full(len(w), START), w, of))
+            if pairs:
+                first = vocabulary.before(w, off)
+                own = np.flatnonzero(first != START)
+                held.append((first[own], w[own], of[own]))
+            size += 2 * len(w)
+            if size > COMBINED:
+                yield _combined(held)
+                held, size = [], 0
     if size:
-        yield _summed(held, name)
+        yield _combined(held)
+
+
+def _totals(df: DataFrame) -> dict[str, float]:
+    found = df.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SIDES]).first()
+    return {s: float(found[s]) for s in SIDES}
 
 
-def _unigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted(((h, of) for batch in batches for h, _, of in _texts(batch)), "word")
+def _alone(count: Column, models: Models, side: str) -> Column:
+    """Probability of a word by itself."""
+    return (F.coalesce(count, F.lit(0)) + ADD) / (models.sums[side] + ADD * (models.n_words + 1))
 
 
-def _bigrams(batches: Iterable[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    hashes, ids, k = vocabulary.value
+def _losses(rows: DataFrame, models: Models) -> DataFrame:
+    """``rows`` (first, word, target, background: counts of the bigram or null) with ``target_loss`` and ``background_loss``."""
+    words = F.broadcast(models.words) if models.n_words <= BROADCAST_WORDS else models.words
+    after = words.where(F.col("background_after") > 0).select(F.col("word").alias("first"), *[f"{s}_after" for s in SIDES])
+    alone = words.select("word", *[F.col(s).alias(f"{s}_alone") for s in SIDES])
+    rows = rows.join(alone, "word", "left").join(after, "first", "left")
+    for s in SIDES:
+        p, n = _alone(F.col(f"{s}_alone"), models, s), F.col(f"{s}_after")
+        # a bigram's share among the followers of its first word, scaled to their share of all words
+        mixed = F.lit(MIX * models.mass[s]) * F.coalesce(F.col(s), F.lit(0)) / n + (1 - MIX) * p
+        rows = rows.withColumn(f"{s}_loss", -F.log(F.when((n > 0) & F.col("background_alone").isNotNull(), mixed).otherwise(p)))
+    return rows
 
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for h, off, of in _texts(batch):
-                w = look_up(h, hashes, ids)
-                pair = np.zeros(len(w), bool)
-                pair[1:] = (w[1:] < k) & (w[:-1] < k)
-                pair[off[:-1][off[:-1] < len(w)]] = False
-                at = np.flatnonzero(pair)
-                yield w[at - 1] * k + w[at], of[at]
 
-    yield from _counted(parts(), "pair")
+def _frequent(pairs: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the bigrams: all those of at least some count."""
+    least, total = None, 0
+    sizes = pairs.groupBy("background").count()
+    # a row for each count that occurs: about the square root of the words at most
+    for r in sorted(sizes.collect(), key=lambda r: -r["background"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["background"]
+    return pairs.where("false" if least is None else F.col("background") >= least)
 
 
-def fit_models(docs: DataFrame, target: Column, text: str = "text", words: int = WORDS, pair_words: int = PAIR_WORDS) -> Models:
-    """Count both models over all of ``docs``; ``target`` is the condition of the target documents."""
-    spark = docs.sparkSession
+def fit_models(docs: DataFrame, target: Column, text: str = "text", words: int | None = None, pair_words: int | None = None) -> Models:
+    """Count both models over all of ``docs``; ``target`` is the condition of the target documents.
+
+    ``words`` and ``pair_words`` keep only the most frequent words apart and
+    pair only the most frequent of those; without them all words are.
+    """
     rows = docs.select(F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    counts = rows.mapInArrow(_unigrams, "word long, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    counts = counts.persist()
-    totals = counts.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("background"), "word").limit(words).toArrow().to_pandas()
-    counts.unpersist()
-    h = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    hashes, ids = h[order], order.astype(np.int64)
-    own = top[["target", "background"]].to_numpy(np.float64).T.reshape(2, -1)
-    rest = np.array(totals, np.float64) - own.sum(1)
-    one = np.concatenate([own, rest[:, None]], 1) + ADD
-    one /= one.sum(1, keepdims=True)
-    k = min(pair_words, len(h))
-    if not k:
-        return Models(hashes, ids, np.log(one).astype(np.float32), np.zeros((2, 0, 0), np.float32))
-    shared = spark.sparkContext.broadcast((hashes, ids, k))
-    # at most pair_words squared rows
-    pairs = rows.mapInArrow(lambda b: _bigrams(b, shared), "pair long, target long, background long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow().to_pandas()
-    two = np.zeros((2, k * k), np.float32)
-    for m, name in enumerate(("target", "background")):
-        two[m, pairs["pair"].to_numpy(np.int64)] = pairs[name].to_numpy(np.float32)
-    two = two.reshape(2, k, k)
-    within = two.sum(2, keepdims=True, dtype=np.float64)
-    # a bigram's share among the followers in its set of words, scaled to their share of all words
-    mass = one[:, :k].sum(1)[:, None, None]
-    mixed = MIX * mass * two / np.maximum(within, 1) + np.where(within > 0, 1 - MIX, 1.0) * one[:, None, :k]
-    return Models(hashes, ids, np.log(one).astype(np.float32), np.log(mixed).astype(np.float32))
-
-
-def _scored(batches: Iterable[pa.RecordBatch], at: int, models) -> Iterator[pa.RecordBatch]:
+    schema = "first long, word long, target long, background long"
+    sums_of = [F.sum(s).alias(s) for s in SIDES]
+    vocabulary = Vocabulary()
+    if words is not None or pair_words is not None:
+        counts = rows.mapInArrow(lambda b: _counted(b, Vocabulary(), pairs=False), schema).groupBy("word").agg(*sums_of)
+        most = max(x for x in (words, pair_words) if x is not None)
+        h = counts.orderBy(F.desc("background"), "word").limit(most).select("word").toArrow().column(0).to_numpy().view(np.uint64)
+        vocabulary = Vocabulary(*[None if n is None else np.sort(h[:n]) for n in (words, pair_words if words is None or pair_words is not None else words)])
+    pairs = stored(rows.mapInArrow(lambda b: _counted(b, vocabulary), schema).groupBy("first", "word").agg(*sums_of), "pairs")
+    single, double = pairs.where(F.col("first") == int(START)), pairs.where(F.col("first") != int(START))
+    after = double.groupBy(F.col("first").alias("word")).agg(*[F.sum(s).alias(f"{s}_after") for s in SIDES])
+    table = stored(single.drop("first").join(after, "word", "left"), "words")
+    told = table.where(F.col("word") != int(OTHER))
+    n_words, sums = told.count(), _totals(table)
+    paired = told if vocabulary.pair_words is None else told.where(F.col("word").isin(vocabulary.pair_words.view(np.int64).tolist()))
+    n_paired, own = paired.count(), _totals(paired)
+    mass = {s: (own[s] + ADD * n_paired) / (sums[s] + ADD * (n_words + 1)) for s in SIDES}
+    models = Models(vocabulary, pairs, table, n_words, sums, mass, np.empty(0, np.uint64), np.empty((2, 0), np.float32))
+    found = _losses(_frequent(pairs, BROADCAST_PAIRS), models).select("first", "word", *[F.col(f"{s}_loss").cast("float") for s in SIDES]).toArrow()
+    first, word = (found.column(i).to_numpy().view(np.uint64) for i in range(2))
+    keys = pair_keys(first, word)
+    order = np.argsort(keys)
+    losses = np.stack([found.column(2 + m).to_numpy()[order] for m in range(2)])
+    return Models(vocabulary, pairs, table, n_words, sums, mass, keys[order], losses)
+
+
+def _looked_up(batches: Iterable[pa.RecordBatch], at: int, kept: list[int], shared) -> Iterator[pa.RecordBatch]:
+    """Rows with the sums of the losses that are at hand, and the bigrams of the others with their counts."""
+    vocabulary, keys, losses = shared.value
+    n_row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        n, t, b = [], [], []
-        for _, h, off in batch_word_hashes(batch.column(at), NO_WORD):
-            target, background = models.value.losses(h, off)
-            n.append(np.diff(off))
-            t.append(target)
-            b.append(background)
-        n, t, b = (np.concatenate([np.empty(0), *x]) for x in (n, t, b))
-        empty = n == 0
-        mean = [pa.array(x / np.maximum(n, 1), pa.float64(), mask=empty) for x in (t, b, t - b)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), *mean], names=[*batch.schema.names, *ADDED])
+        for begin, h, off in batch_word_hashes(batch.column(at), NO_WORD):
+            n = len(off) - 1
+            w = vocabulary.told(h)
+            first = vocabulary.before(w, off)
+            key = pair_keys(first, w)
+            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1) if len(keys) else None
+            hit = keys[near] == key if near is not None else np.zeros(len(key), bool)
+            doc = np.repeat(np.arange(n), np.diff(off))
+            sums = [np.bincount(doc[hit], weights=losses[m][near[hit]] if near is not None else None, minlength=n).astype(np.float64) for m in range(2)]
+            rest = np.flatnonzero(~hit)
+            order = rest[np.lexsort((key[rest], doc[rest]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            lead = np.flatnonzero(new)
+            times = np.diff([*lead, len(order)]) if len(order) else np.empty(0)
+            lead = order[lead]
+            offsets = pa.array(np.searchsorted(doc[lead], np.arange(n + 1)).astype(np.int32))
+            each = pa.StructArray.from_arrays([pa.array(first[lead].view(np.int64)), pa.array(w[lead].view(np.int64)), pa.array(times.astype(np.int32))], ["first", "word", "times"])
+            arrays = [batch.column(i).slice(begin, n) for i in kept]
+            arrays += [pa.array(np.arange(n_row, n_row + n)), pa.array(np.diff(off).astype(np.int64)), *(pa.array(x) for x in sums), pa.ListArray.from_arrays(offsets, each)]
+            n_row += n
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(batch.schema.names[i] for i in kept), "_row", "_n", "_target", "_background", "_rest"])
 
 
 ADDED = ["n_words", "target_loss", "background_loss", "score"]
 
 
-def score_documents(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """``docs`` with the mean losses of both models and their difference; columns of those names are replaced. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def score_documents(docs: DataFrame, models: Models, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the mean losses of both models and their difference; columns of those names are replaced.
+
+    The rows are stored once with the bigrams whose losses are not broadcast;
+    those are joined with the models' tables and summed by row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((models.vocabulary, models.keys, models.losses))
     rows = docs.drop(*ADDED)
     at = rows.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(lambda b: _scored(b, at, shared), f"{schema}, n_words long, target_loss double, background_loss double, score double")
+    kept = [i for i in range(len(rows.columns)) if keep_text or i != at]
+    fields = [rows.schema.fields[i] for i in kept]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    schema += "_row long, _n long, _target double, _background double, _rest array<struct<first: long, word: long, times: int>>"
+    own = stored(rows.mapInArrow(lambda b: _looked_up(b, at, kept, shared), schema), "looked-up")
+    asked = own.select("_row", F.inline("_rest"))
+    found = _losses(asked.join(models.pairs, ["first", "word"], "left"), models)
+    found = found.groupBy("_row").agg(*[F.sum(F.col("times") * F.col(f"{s}_loss")).alias(f"_{s}_rest") for s in SIDES])
+    done = own.drop("_rest").join(found, "_row", "left")
+    means = [(F.col(f"_{s}") + F.coalesce(f"_{s}_rest", F.lit(0.0))) / F.when(F.col("_n") > 0, F.col("_n")) for s in SIDES]
+    done = done.withColumns({"n_words": F.col("_n"), "target_loss": means[0], "background_loss": means[1]})
+    return done.withColumn("score", F.col("target_loss") - F.col("background_loss")).select(*[f"`{f.name}`" for f in fields], *ADDED)
 
 
 def marked(docs: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
@@ -189,4 +256,4 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     models = fit_models(marked(docs, good, "good"), F.col("good"))
-    return score_documents(docs, models).drop("text")
+    return score_documents(docs, models, keep_text=False)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -148,6 +149,31 @@ def test_op9_and_odd_rows(spark, odd, empty):
     assert score_documents(odd, models).count() == 10 and score_documents(empty, fit_models(empty, F.lit(True))).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 3, 10**6])
+def test_every_word_and_bigram_is_counted(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lm_score, "BROADCAST_PAIRS", broadcast)
+    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast)
+    many = [" ".join(f"w{k}x" for k in range(j, j + 3000)) for j in range(0, 72000, 3000)]
+    rows = [(i, t, i % 5 == 0) for i, t in enumerate(["a b a b c", "b a", "", *many, *many[:3], "a b a b c"])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, good boolean")
+    models = fit_models(docs, F.col("good"))
+    asked = docs.unionByName(spark.createDataFrame([(-1, "a c new b a", None)], docs.schema))
+    got = {r["doc_id"]: r for r in score_documents(asked, models).collect()}
+    assert len(got) == len(rows) + 1
+    for name, wanted in (("target_loss", [t for _, t, g in rows if g]), ("background_loss", [t for _, t, _ in rows])):
+        one, two, after = Counter(), Counter(), Counter()
+        for w in map(str.split, wanted):
+            one.update(w), two.update(zip(w, w[1:])), after.update(w[:-1])
+        known = {w for _, t, _ in rows for w in t.split()}
+        total = sum(one.values()) + 0.1 * (len(known) + 1)
+        p = lambda w: (one[w] + 0.1) / total
+        mass = 1 - 0.1 / total
+        for i, text in [(i, t) for i, t, _ in rows] + [(-1, "a c new b a")]:
+            w = text.split()
+            losses = [-math.log(0.6 * mass * two[a, b] / after[a] + 0.4 * p(b) if after.get(a) and b in known else p(b)) for a, b in zip([None, *w], w)]
+            assert got[i][name] == (pytest.approx(sum(losses) / len(w), rel=1e-6) if w else None)
+
+
 # lists
 
 
