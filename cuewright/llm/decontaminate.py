@@ -1,15 +1,20 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
 A text becomes a template: numbers, units after numbers, and names (capitalised
-words within a sentence) are replaced by typed placeholders, so that a question
-with other parameters has the same template. Windows of template words are
-hashed and joined. On each alignment of a document with an item, the values
-behind the placeholders must map consistently: one value of the item to one
-value of the document. An item counts as found if enough of its windows are.
+words) are replaced by typed placeholders, so that a question with other
+parameters has the same template. Whether a capital makes a name is not certain,
+so texts and items alike are read in three ways: without names, in lower case
+(which finds text in capitals); with every capitalised word as a name; and with
+those that start a sentence left as words. Adjacent words of a name are one
+placeholder. Windows of template words are hashed and joined within a reading.
+On each alignment of a document with an item, the values behind the
+placeholders must map consistently: one value of the item to one value of the
+document. An item counts as found if enough of its windows are in one reading,
+and is reported by the reading that has the largest share of them.
 
 Defined cases: null or empty texts have no windows; an item of fewer words than
 a window is one window of its own width, and one of fewer than ``LEAST`` words
-is never found; repeated rows of either side are reported once; rows without a
+(in a reading, of its template) is never found; repeated rows of either side are reported once; rows without a
 key are left out; an empty table on either side gives an empty result; other
 columns are not looked at.
 """
@@ -39,26 +44,50 @@ def words_of(text: Column) -> Column:
 
 
 def template_of(words: Column) -> Column:
-    """A template word for each word: <num>, <unit> or <name> for what may vary, others in lower case."""
+    """For each word: itself in lower case or <num>, <unit>; whether it is capitalised; whether it starts a sentence; its bare form."""
     digit = lambda x: x.between("0", "9")
 
     def word(bare: Column, i: Column) -> Column:
         first, low, before = F.substr(bare, F.lit(1), F.lit(1)), F.lower(bare), F.get(words, i - 1)
         rest = F.regexp_replace(low, r"[0-9][0-9.,:/]*", "")
         number = F.when(rest == "", "<num>").when(rest.isin(UNITS), "<num><unit>").otherwise(F.concat(F.lit("<num>"), rest))
-        return (
-            F.when(digit(first), number)
-            .when(low.isin(UNITS) & digit(F.substr(F.btrim(before, F.lit(MARKS)), F.lit(1), F.lit(1))), "<unit>")
-            .when((F.lower(first) != first) & (i > 0) & ~F.right(before, F.lit(1)).isin(".", "!", "?"), "<name>")
-            .otherwise(low)
-        )
+        unit = low.isin(UNITS) & F.coalesce(digit(F.substr(F.btrim(before, F.lit(MARKS)), F.lit(1), F.lit(1))), F.lit(False))
+        kind = F.when(digit(first), number).when(unit, "<unit>").otherwise(low)
+        starts = (i == 0) | F.right(before, F.lit(1)).isin(".", "!", "?")
+        return F.struct(kind.alias("kind"), ((F.lower(first) != first) & ~unit).alias("capital"), starts.alias("starts"), low.alias("low"))
 
     # trimmed once a word, as a lambda evaluates each mention anew
     return F.transform(F.transform(words, lambda w: F.btrim(w, F.lit(MARKS))), word)
 
 
-def _hashed(template: Column) -> Column:
-    return F.transform(template, lambda w: F.xxhash64(w))
+NAME = "<name>"
+#: Whether a template's word is a name, by reading.
+READINGS = (lambda t: F.lit(False), lambda t: t["capital"], lambda t: t["capital"] & ~t["starts"])
+
+
+def _hashed(template: Column) -> list[Column]:
+    """Hashes of the template's words by reading; those of adjacent names not yet merged."""
+    return [F.transform(template, lambda t: F.when(named(t), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(t["kind"]))) for named in READINGS]
+
+
+def _merged(hashes: Column) -> Column:
+    name = F.xxhash64(F.lit(NAME))
+    return F.filter(hashes, lambda h, i: (h != name) | ~F.get(hashes, i - 1).eqNullSafe(name))
+
+
+def _read(df: DataFrame, template: str = "template") -> DataFrame:
+    """``df`` with a row for each ``reading``: ``slots``, the (kind, value) of the words with adjacent names merged."""
+    names = F.array(*[F.transform(template, named) for named in READINGS])
+    rows = df.select("*", F.posexplode(names).alias("reading", "_names"))
+    at = F.filter(F.transform("_names", lambda n, i: F.when(~(n & F.coalesce(F.get("_names", i - 1), F.lit(False))), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_at", at)
+
+    def slot(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_at", k + 1), F.size(template))
+        value = F.array_join(F.transform(F.slice(template, i + 1, end - i), lambda t: t["low"]), " ")
+        return F.struct(F.when(F.get("_names", i), NAME).otherwise(F.get(template, i)["kind"]).alias("kind"), value.alias("value"))
+
+    return rows.withColumn("slots", F.transform("_at", slot)).drop("_names", "_at")
 
 
 def _windows(hashes: Column, width: Column) -> Column:
@@ -79,36 +108,43 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     shuffled unless the benchmark has more than ``BROADCAST_ROWS`` windows.
     """
     items = items.select(F.col(item_key).alias("item"), words_of(F.col(text)).alias("words")).where("item is not null")
-    items = items.withColumn("template", template_of(F.col("words"))).where(F.size("template") >= LEAST)
-    items = items.withColumn("width", F.least(F.size("template"), F.lit(WIDTH)))
-    asked = items.withColumn("hashes", _hashed(F.col("template"))).select("item", "width", (F.size("template") - F.col("width") + 1).alias("n_windows"), F.posexplode(_windows(F.col("hashes"), F.col("width"))).alias("at", "window"))
+    items = _read(items.withColumn("template", template_of(F.col("words")))).where(F.size("slots") >= LEAST)
+    items = items.withColumn("width", F.least(F.size("slots"), F.lit(WIDTH)))
+    items = items.withColumn("hashes", F.transform("slots", lambda x: F.xxhash64(x["kind"])))
+    asked = items.select("item", "reading", "width", (F.size("slots") - F.col("width") + 1).alias("n_windows"), F.posexplode(_windows(F.col("hashes"), F.col("width"))).alias("at", "window"))
     n_asked = asked.count()
     widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # LEAST to WIDTH at most
 
     docs = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).where("key is not null")
-    templates = docs.select("key", _hashed(template_of(F.col("words"))).alias("hashes"))
-    each = [F.transform(_windows(F.col("hashes"), F.lit(w)), lambda h, i: F.struct(i.alias("pos"), h.alias("window"))) for w in widths or [WIDTH]]
-    held = templates.select("key", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("w")).select("key", "w.pos", "w.window")
-    held = held.join(_sized(asked.select("window").distinct(), n_asked), "window").join(_sized(asked, n_asked), "window")
-    hits = held.select("key", "item", "width", "n_windows", "pos", "at", (F.col("pos") - F.col("at")).alias("shift"))
-
-    slots = items.select("item", F.posexplode(F.arrays_zip("template", "words")).alias("place", "w")).where(F.col("w.template").startswith("<"))
-    slots = slots.select("item", "place", F.col("w.template").alias("kind"), F.lower(F.btrim("w.words", F.lit(MARKS))).alias("value"))
-    changed = None
+    templates = docs.select("key", template_of(F.col("words")).alias("template"))
+    readings = range(len(READINGS))
+    hashes = templates.select("key", *[h.alias(f"h{r}") for r, h in enumerate(_hashed(F.col("template")))])
+    hashes = hashes.select("key", *[(_merged(F.col(f"h{r}")) if r else F.col("h0")).alias(f"m{r}") for r in readings])
+    each = [F.transform(_windows(F.col(f"m{r}"), F.lit(w)), lambda h, i: F.struct(F.lit(r).alias("reading"), i.alias("pos"), h.alias("window"))) for w in widths or [WIDTH] for r in readings]
+    held = hashes.select("key", F.explode(F.concat(*each)).alias("w")).select("key", "w.reading", "w.pos", "w.window")
+    held = held.join(_sized(asked.select("window", "reading").distinct(), n_asked), ["window", "reading"]).join(_sized(asked, n_asked), ["window", "reading"])
+    hits = held.select("key", "item", "reading", "width", "n_windows", "pos", "at", (F.col("pos") - F.col("at")).alias("shift"))
+
+    slots = items.select("item", "reading", F.posexplode("slots").alias("place", "w")).where(F.col("w.kind").startswith("<")).select("item", "reading", "place", "w.kind", "w.value")
+    changed, one = None, ["key", "item", "reading"]
     if not slots.isEmpty():
         hits = stored(hits, "hits")  # read three times below; the texts are cut into windows once
-        seen = hits.join(_sized(slots, n_asked), "item").where("place >= at and place < at + width")
-        seen = seen.select("key", "item", "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
-        wanted = docs.join(seen.select("key").distinct(), "key").select("key", F.posexplode("words").alias("pos", "word"))
-        pairs = seen.join(wanted, ["key", "pos"]).withColumn("other", F.lower(F.btrim("word", F.lit(MARKS))))
-        maps = pairs.groupBy("key", "item", "shift", "kind", "value").agg(F.count_distinct("other").alias("n"), F.max((F.col("other") != F.col("value")).cast("int")).alias("changed"))
-        odd = maps.where("n > 1").select("key", "item", "shift").distinct()
-        hits = hits.join(odd, ["key", "item", "shift"], "left_anti")
-        changed = maps.where("n = 1").groupBy("key", "item").agg(F.sum("changed").alias("n_changed"))
-    found = hits.groupBy("key", "item").agg(F.count_distinct("at").alias("n_found"), F.first("n_windows").alias("n_windows"))
+        seen = hits.join(_sized(slots, n_asked), ["item", "reading"]).where("place >= at and place < at + width")
+        seen = seen.select(*one, "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
+        wanted = docs.join(seen.select("key").distinct(), "key").select("key", template_of(F.col("words")).alias("template"))
+        wanted = _read(wanted).select("key", "reading", F.posexplode("slots").alias("pos", "w")).select("key", "reading", "pos", F.col("w.value").alias("other"))
+        pairs = seen.join(wanted, ["key", "reading", "pos"])
+        maps = pairs.groupBy(*one, "shift", "kind", "value").agg(F.count_distinct("other").alias("n"), F.max((F.col("other") != F.col("value")).cast("int")).alias("changed"))
+        odd = maps.where("n > 1").select(*one, "shift").distinct()
+        hits = hits.join(odd, [*one, "shift"], "left_anti")
+        changed = maps.where("n = 1").groupBy(*one).agg(F.sum("changed").alias("n_changed"))
+    found = hits.groupBy(*one).agg(F.count_distinct("at").alias("n_found"), F.first("n_windows").alias("n_windows"))
     found = found.where((F.col("n_found") >= SHARE * F.col("n_windows")) | (F.col("n_found") >= ENOUGH))
-    found = found.join(changed, ["key", "item"], "left") if changed is not None else found.withColumn("n_changed", F.lit(0))
-    return found.select(F.col("key").alias(key), F.col("item").alias(item_key), "n_found", F.col("n_windows").cast("long"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
+    found = found.join(changed, one, "left") if changed is not None else found.withColumn("n_changed", F.lit(0))
+    # the reading of the largest share, of the most windows, the first
+    best = F.max_by(F.struct("n_found", "n_windows", "n_changed"), F.struct(F.col("n_found") / F.col("n_windows"), "n_found", -F.col("reading")))
+    found = found.groupBy("key", "item").agg(best.alias("b"))
+    return found.select(F.col("key").alias(key), F.col("item").alias(item_key), "b.n_found", F.col("b.n_windows").cast("long").alias("n_windows"), F.coalesce("b.n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,30 @@ def test_op3_finds_the_passages(spark):
     assert all(eight(next(d["text"] for d in docs if d["doc_id"] == a)) & eight(next(i["text"] for i in items if i["item_id"] == b)) for a, b in got)
 
 
+def test_op3_finds_copies_in_capitals(spark):
+    data, want = "/root/testdata/sf0.1", {(1699, 130), (6420, 37), (8376, 101)}
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id in (1699, 6420, 8376)")
+    got = {(r["doc_id"], r["item_id"]) for r in find_items(docs, spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
+    assert want <= got
+
+
+def test_names_at_sentence_starts_of_more_words_and_after_headings(spark):
+    first = "Natalia sold 48 clips to her friends in April. Natalia then sold half as many clips in May. Natalia wants to know how many were sold."
+    items = [(1, first), (2, "What is the capital of the country?"), (3, "the shop of Marta opens at 9 and then closes")]
+    docs = [
+        (1, first.replace("Natalia", "Marco").replace("48", "52")),
+        (2, first.replace("Natalia", "Anna Maria Lopez")),
+        (3, "Question: What is the capital of the country?"),
+        (4, "a line\nWhat is the capital of the country?"),
+        (5, "they say what is the capital of the country"),
+        (6, "Here the shop of Jean Paul opens at 10 and then closes"),
+        (7, "Marco sold 48 clips to her friends in April. Anna then sold half as many clips in May. Peter wants to know how many were sold."),
+        (8, first.upper()),
+    ]
+    got = find_items(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got if r["doc_id"] != 7) == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3), (8, 1)]
+
+
 # toxicity
 
 
