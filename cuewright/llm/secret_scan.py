@@ -1,9 +1,11 @@
 """Secret scan: known forms by pattern, random strings by token efficiency.
 
 A vocabulary learned from text covers words with few tokens and random strings
-with many, so a low count of characters per token exposes a random string.
-Digests of known sizes, UUIDs, numbers, addresses and paths are identifiers and
-are left out of that test. Spans are in code points, end exclusive.
+with many, so a low count of characters per token exposes a random string. The
+parts between dots are tested one by one; digests of known sizes, UUIDs, numbers
+and mail addresses are identifiers and are left out of that test. A word in
+capitals, or with one at its start, is measured in lower case. Spans are in code
+points, end exclusive.
 
 Defined cases: a null or empty text has no spans; whole texts are scanned;
 repeated rows and null keys stay; a candidate that overlaps a span of a known
@@ -25,14 +27,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=@.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=@.-])", re.ASCII)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=@.-])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=@.-])", re.ASCII)
+PART = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}"  # digests
     r"|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUIDs
-    r"|[0-9_=+/-]+|[A-Za-z_-]+"  # numbers and rules; words, with hyphens or underscores
+    r"|[0-9_=+/-]+"  # numbers and rules
 )
+WORD = re.compile(r"[A-Z]*[^A-Z]*")
 #: Characters per token below which a string counts as random. English prose has about 4, camel-case names about 3.
 LEAST_RATIO = 2.2
+#: Fewest characters of a string that is tested.
+LEAST_LENGTH = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,14 +55,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def random_spans(text: str, base: list[tuple[int, int, int]], count_tokens, least_ratio: float = LEAST_RATIO) -> list[tuple[int, int, int]]:
     """Candidates of a low count of characters per token that no known form overlaps."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        own = m[0]
-        if KNOWN.fullmatch(own) or not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if len(own) / count_tokens(own) < least_ratio:
-            found.append((m.start(), 3, m.end()))
+    for run in RUN.finditer(text):
+        for m in PART.finditer(text, run.start(), run.end()):
+            own = m[0].strip("-")
+            start = m.start() + m[0].index(own)
+            end = start + len(own)
+            if len(own) < LEAST_LENGTH or KNOWN.fullmatch(own) or any(a < end and start < b for a, _, b in base):
+                continue
+            # capitals at the start or throughout tell nothing
+            if len(own) / count_tokens(own.lower() if WORD.fullmatch(own) else own) < least_ratio:
+                found.append((start, 3, end))
     return found
 
 

@@ -48,6 +48,15 @@ def test_secret_forms(spark, odd, empty):
     assert scan_secrets(odd, RANKS).count() == 10 and scan_secrets(empty, RANKS).count() == 0
 
 
+def test_random_strings_at_sentence_ends_between_dots_and_of_letters(spark):
+    key, letters, short = "x9Kq2LmZ7vTb4WnR8sYc1DfG", "xKqLmZvTbWnRsYcDfGhJkPqB", "q7Zx2Lw9Kf4Vt8Rb"
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVPmB92K27uhbUJU1p1rwW1gFWFOEjXk"
+    texts = [f"The key is {key}.", f"see {token}", f"so {letters}, he said", f"and {short}!", "INTERNATIONALIZATION of Internationalization in state-of-the-art-methods.", "a@" + key + ".com 123e4567-e89b-12d3-a456-426614174000. www.wonderful-company.com/products/overview"]
+    rows = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), RANKS).orderBy("doc_id").collect()
+    spans = [[tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in rows]
+    assert [[t[a:b] for a, b in s] for t, s in zip(texts, spans)] == [[key], token.split("."), [letters], [short], [], []]
+
+
 # templates
 
 
