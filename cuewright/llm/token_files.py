@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -28,11 +29,35 @@ from cuewright.llm.scratch import fresh_path, shuffle_partitions
 LAYOUT = ("part", "local_start", "n_tokens", "token_ids")
 
 
-def library_encoder(tokenizer_file: str) -> PieceEncoder:
-    """Encodes pieces by the merges of a byte-level BPE file of the tokenizers library."""
-    from tokenizers import Tokenizer
+class LibraryEncoder:
+    """Encodes texts as the tokenizers library does: by pieces, but for texts that hold an added token, which it gets whole."""
 
-    model, table = Tokenizer.from_file(tokenizer_file).model, byte_to_char()
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.pieces = library_encoder(self.whole)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of a batch: (index of the first text, ids, offsets of the texts in them)."""
+        held = np.zeros(len(texts), bool)
+        for token in self.added:
+            held |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(held), "", texts) if held.any() else texts
+        for first, ids, off in self.pieces.encode(plain):
+            own = np.flatnonzero(held[first : first + len(off) - 1])
+            if len(own):
+                lists = np.split(np.asarray(ids), off[1:-1])
+                for i in own.tolist():
+                    lists[i] = np.array(self.whole.encode(texts[first + i].as_py(), add_special_tokens=False).ids, ids.dtype)
+                ids, off = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            yield first, ids, off
+
+
+def library_encoder(tokenizer) -> PieceEncoder:
+    """Encodes pieces by the merges of a byte-level BPE tokenizer of the tokenizers library."""
+    model, table = tokenizer.model, byte_to_char()
 
     def encode(pieces: list[str]) -> list[list[int]]:
         return [[t.id for t in model.tokenize("".join([table[b] for b in p.encode()]))] for p in pieces]
@@ -41,7 +66,7 @@ def library_encoder(tokenizer_file: str) -> PieceEncoder:
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], names: list[str], text: str, tokenizer_file: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, at = library_encoder(tokenizer_file), TaskContext.get().partitionId(), 0
+    encoder, part, at = LibraryEncoder(tokenizer_file), TaskContext.get().partitionId(), 0
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text))
         for first, ids, off in encoder.encode(texts):

@@ -109,3 +109,15 @@ def test_token_files_of_odd_rows(spark, odd, empty, tmp_path):
 def test_gaps_in_ranks_are_refused(bad):
     with pytest.raises(ValueError):
         ByteBPE(bad)
+
+
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    from cuewright.llm.token_files import LibraryEncoder
+
+    path = P.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    texts = ["plain text", "a<|endoftext|>b", None, "", "<|endoftext|><|endoftext|> the end", "<|endof text|>", "x" * 50]
+    got = [ids[a:b].tolist() for _, ids, off in LibraryEncoder(path).encode(pa.array(texts)) for a, b in zip(off[:-1], off[1:])]
+    assert got == [theirs.encode(t or "", add_special_tokens=False).ids for t in texts] and got[1] == [64, 50256, 65]
