@@ -37,6 +37,8 @@ KNOWN = re.compile(
 WORD = re.compile(r"[A-Z]*[^A-Z]*")
 #: Characters per token below which a string counts as random. English prose has about 4, camel-case names about 3.
 LEAST_RATIO = 2.2
+#: The same for letters of one case, as long words of other languages come near the bound above.
+LEAST_WORD_RATIO = 2.0
 #: Fewest characters of a string that is tested.
 LEAST_LENGTH = 16
 
@@ -63,7 +65,8 @@ def random_spans(text: str, base: list[tuple[int, int, int]], count_tokens, leas
             if len(own) < LEAST_LENGTH or KNOWN.fullmatch(own) or any(a < end and start < b for a, _, b in base):
                 continue
             # capitals at the start or throughout tell nothing
-            if len(own) / count_tokens(own.lower() if WORD.fullmatch(own) else own) < least_ratio:
+            word = own.isalpha() and WORD.fullmatch(own)
+            if len(own) / count_tokens(own.lower() if word else own) < (min(least_ratio, LEAST_WORD_RATIO) if word else least_ratio):
                 found.append((start, 3, end))
     return found
 
