@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters or bytes handled at once; one longer document is cut at white space.
-SLICE = 2_000_000
+SLICE = 400_000
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -33,11 +33,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, SLICE + 1)
+        size = max(n, 2 * SLICE + 1)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE:
+        if size <= 4 * SLICE:  # longer ones are not kept
             _powers[name] = have
     return have[:n]
 
@@ -57,7 +57,7 @@ def text_slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[list[str],
     """Texts (null: empty) as lists of at most ``most`` characters or one text each, with the first one's index."""
     held: list[str] = []
     size = first = 0
-    every = (t for k in range(0, len(texts), 256) for t in texts.slice(k, 256).to_pylist())
+    every = (t for k in range(0, len(texts), 16) for t in texts.slice(k, 16).to_pylist())
     for i, text in enumerate(every):
         text = text or ""
         if held and size + len(text) > most:

@@ -93,8 +93,8 @@ def _safe_cuts(text: str, most: int) -> list[str]:
 class PieceEncoder:
     """Encodes texts to ids; ``encode_pieces`` gives the ids of each of a list of pieces."""
 
-    #: Ids kept; with more, the kept pieces are forgotten.
-    MOST = 6_000_000
+    #: Ids and pieces kept (about 40 MB); with more, the kept pieces are forgotten.
+    MOST = 2_000_000
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]]):
         self._encode = encode_pieces

@@ -7,10 +7,12 @@ encoding; row groups and pages of a stated size; column and offset indexes, so
 that a reader who wants some documents, or only the sizes, fetches those pages.
 
 Defined cases: a null or empty text has the end id only; a null key comes
-first; repeated rows stay, each with its own place, ordered by text; an empty
-table gives an empty result; other columns go along as metadata unless they
-clash with the layout's own names (``part``, ``local_start``, ``n_tokens``,
-``token_ids``), then they are left out.
+first; repeated rows stay, each with its own place; rows of one key are ordered
+by hashes of their texts and other columns; a text that holds an added token of
+the tokenizer gets the library's own ids; an empty table gives an empty result;
+other columns go along as metadata unless they clash with the layout's own
+names (``part``, ``local_start``, ``n_tokens``, ``token_ids``) or the reader's
+(``start``, ``_before``), then they are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from cuewright.llm.pieces import PieceEncoder, byte_to_char
 from cuewright.llm.scratch import fresh_path, shuffle_partitions
 
 LAYOUT = ("part", "local_start", "n_tokens", "token_ids")
+#: Files whose counts are broadcast to a reader; those of more are joined by a shuffle.
+BROADCAST_FILES = 1_000_000
 
 
 class LibraryEncoder:
@@ -98,10 +102,12 @@ def write_token_ids(
     One shuffle, of the texts by ranges of the key; encoding, the end ids and
     the running starts of a part follow in the same stage as the write.
     """
-    names = [c for c in docs.columns if c != text and c not in LAYOUT]
+    names = [c for c in docs.columns if c != text and c not in (*LAYOUT, "start", "_before")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text), F.lit("")).alias(text))
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = rows.repartitionByRange(n, F.col(key)).sortWithinPartitions(F.col(key), F.xxhash64(text))
+    # rows of one key are told apart by their contents, so that many of them don't fall in one range
+    order = [F.col(key), F.xxhash64(text), F.xxhash64(*[F.col(f"`{c}`") for c in names])]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     layout = [T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))]
     schema = T.StructType([f for f in rows.schema.fields if f.name != text] + layout)
     encoded = rows.mapInArrow(lambda batches: _encoded(batches, names, text, tokenizer_file, end_id), schema)
@@ -131,7 +137,8 @@ def read_token_ids(spark: SparkSession, path: str, columns: list[str] | None = N
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_before"))
     rows = files.where(F.col(key).between(*keys)) if keys else files
-    rows = rows.join(F.broadcast(before), "part").withColumn("start", F.col("_before") + F.col("local_start"))
+    few = sizes.count() <= BROADCAST_FILES
+    rows = rows.join(F.broadcast(before) if few else before, "part").withColumn("start", F.col("_before") + F.col("local_start"))
     return rows.select(*(columns or [c for c in rows.columns if c not in ("part", "local_start", "_before")]))
 
 
