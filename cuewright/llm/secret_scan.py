@@ -7,20 +7,24 @@ and mail addresses are identifiers and are left out of that test. A word in
 capitals, or with one at its start, is measured in lower case. Spans are in code
 points, end exclusive.
 
-Defined cases: a null or empty text has no spans; whole texts are scanned;
-repeated rows and null keys stay; a candidate that overlaps a span of a known
-form is not reported again.
+Defined cases: a null or empty text has no spans (redacted, null stays null);
+whole texts are scanned, in time that grows with their length; repeated rows
+and null keys stay; a candidate that overlaps a span of a known form is not
+reported again; columns of the names of ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cuewright.llm.kernels import text_slices
+
 # fixed values: the known forms
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -54,15 +58,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted spans, those that overlap as one of the first one's kind."""
+    out: list[tuple[int, int, int]] = []
+    for a, kind, b in spans:
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((a, kind, b))
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], count_tokens, least_ratio: float = LEAST_RATIO) -> list[tuple[int, int, int]]:
-    """Candidates of a low count of characters per token that no known form overlaps."""
-    found = []
+    """Candidates of a low count of characters per token that no known form overlaps; ``base`` is sorted."""
+    found, taken = [], _united(base)
+    begins = [a for a, _, _ in taken]
     for run in RUN.finditer(text):
         for m in PART.finditer(text, run.start(), run.end()):
             own = m[0].strip("-")
             start = m.start() + m[0].index(own)
             end = start + len(own)
-            if len(own) < LEAST_LENGTH or KNOWN.fullmatch(own) or any(a < end and start < b for a, _, b in base):
+            near = bisect_right(begins, end - 1)  # the last known span that starts before the end
+            if len(own) < LEAST_LENGTH or KNOWN.fullmatch(own) or (near and taken[near - 1][2] > start):
                 continue
             # capitals at the start or throughout tell nothing
             word = own.isalpha() and WORD.fullmatch(own)
@@ -86,42 +103,36 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scanned(batches: Iterable[pa.RecordBatch], at: int, ranks_file: str, redact: bool) -> Iterator[pa.RecordBatch]:
-    count = token_counter(ranks_file)
-    for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
-        texts = []
-        for text in batch.column(at).to_pylist():
-            base = base_spans(text or "")
-            every = sorted(base + random_spans(text or "", base, count))
-            for k in range(4):
-                columns[k].append(sum(x[1] == k for x in every))
-            columns[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-            columns[5].append(_joined(every))
-            if redact:
-                texts.append(_redacted(text, every))
-        own = list(batch.columns)
-        if redact:
-            own[at] = pa.array(texts, pa.string())
-        arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:6]]
-        yield pa.RecordBatch.from_arrays(own + arrays, names=[*batch.schema.names, *ADDED])
-
-
 ADDED = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
 
 
-def _redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+def _scanned(batches: Iterable[pa.RecordBatch], at: int, ranks_file: str, redact: bool) -> Iterator[pa.RecordBatch]:
+    count = token_counter(ranks_file)
+    for batch in batches:
+        for held, first in text_slices(batch.column(at)):
+            found, texts = [], []
+            for text in held:
+                base = base_spans(text)
+                every = sorted(base + random_spans(text, base, count))
+                found.append((*(sum(x[1] == k for x in every) for k in range(4)), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
+                if redact:
+                    texts.append(_redacted(text, every))
+            own = [c.slice(first, len(held)) for c in batch.columns]
+            if redact:  # a null text stays null
+                own[at] = pa.array(texts, pa.string(), mask=own[at].is_null().to_numpy(zero_copy_only=False))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(own + arrays, names=[*batch.schema.names, *ADDED])
+
+
+def _redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     """Spans, those that overlap as one, replaced by a mark of the first one's kind."""
     if not spans:
         return text
-    out, at, k = [], 0, 0
-    while k < len(spans):
-        a, kind, b = spans[k]
-        while k + 1 < len(spans) and spans[k + 1][0] < b:
-            k += 1
-            b = max(b, spans[k][2])
+    out, at = [], 0
+    for a, kind, b in _united(spans):
         out += [text[at:a], f"[{KINDS[kind]} removed]"]
-        at, k = b, k + 1
+        at = b
     return "".join([*out, text[at:]])
 
 
