@@ -5,16 +5,26 @@ one on the background of all documents. The difference of their losses on a
 token says how much more it looks like the target; the mean over its tokens
 scores a document (lower: more like the target).
 
-Every word and every bigram of the documents is counted, combined within tasks
-before the counts are shuffled; the counts stay tables that grow with the
-corpus. To score, a document's bigrams are counted within it and joined with
-those tables. The most frequent bigrams are looked up in a broadcast copy of
-their losses instead of being shuffled, which gives the same losses and leaves
-no bigram frequent enough to fill a partition.
+The shared vocabulary is every word that occurs at least ``LEAST`` times; all
+others are the unknown word. Words of at least a stated rate (at most 1/``RATE``
+of them, whatever the corpus) form bigrams; a bigram of at least ``LEAST``
+occurrences has a probability of its own, mixed with that of its second word.
+What a document alone has says nothing of the corpus it is in, hence that bound.
+
+1. One pass counts the words of all documents, and finds bigrams that are
+   frequent within a block of texts.
+2. One pass posts the documents' bigrams and rarer words, packed by buckets of
+   their keys, so that all of a key meet in one task; of frequent bigrams only
+   counts are posted. Each bucket counts its keys and answers each document with
+   the change of its losses. Buckets grow in number with the corpus.
+3. One pass adds up what words and frequent bigrams give, and joins the answers.
+
+No table of bigrams is kept: they are counted and used where they meet.
 
 Defined cases: a null or empty text has no tokens, null losses and a null
 score; without any target document, the target model is uniform; repeated rows
-count as often as they occur; words that were not counted are one word.
+count as often as they occur; a null target or background is none; columns of
+the names of ``ADDED``, and those that start with ``_lm_``, are replaced.
 """
 
 from __future__ import annotations
@@ -24,236 +34,331 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cuewright.llm.kernels import NO_WORD, batch_word_hashes
-from cuewright.llm.scratch import stored
+from cuewright.llm.kernels import NO_WORD, batch_word_hashes, mix64
+from cuewright.llm.scratch import discard, shuffle_partitions, stored
 
 #: Ids of target documents that are broadcast; with more, the texts are joined by one shuffle and stored.
 BROADCAST_IDS = 2_000_000
-#: Bigrams, the most frequent, whose losses are broadcast; words whose counts are. The others are joined by shuffles.
-BROADCAST_PAIRS, BROADCAST_WORDS = 1_000_000, 1_000_000
-#: Rows that a task combines at once.
-COMBINED = 2_000_000
+#: Least share of all words of a word that forms bigrams, and of a bigram whose loss is broadcast: 1/rate of them at most.
+RATE, HOT = 2e-7, 1e-5
+#: Fewest occurrences of a word or bigram that the models tell apart.
+LEAST = 2
+#: Words that a task works on at once, and words of the corpus for one bucket.
+BLOCK, PART = 1_000_000, 3_000_000
 #: Weight of the bigram where it can be told, and of additive smoothing.
 MIX, ADD = 0.6, 0.1
-#: Stand for no word before, and for all words out of a given vocabulary.
-START, OTHER = np.uint64(0), np.uint64(1)
 #: What is counted: in the target, in the background.
 SIDES = ("target", "background")
+_RARE = np.uint64(1 << 63)
+ADDED = ["n_words", "target_loss", "background_loss", "score"]
 
 
 @dataclass(frozen=True)
-class Vocabulary:
-    """The words that are told apart, and those of them that bigrams are made of; None for all."""
+class Models:
+    """Counts of the words that form bigrams, what the others have in common, and the frequent bigrams."""
 
-    words: np.ndarray | None = None  # sorted
-    pair_words: np.ndarray | None = None  # sorted
+    words: np.ndarray  # sorted hashes
+    counts: np.ndarray  # (2, words)
+    n_words: int  # in the vocabulary
+    sums: np.ndarray  # of all words, by model
+    unknown: np.ndarray  # occurrences of the unknown word, by model
+    hot: np.ndarray  # sorted hashes of the frequent bigrams
+    hot_words: np.ndarray  # (2, hot): numbers of their words
 
-    def told(self, h: np.ndarray) -> np.ndarray:
-        return h if self.words is None else np.where(_is_in(h, self.words), h, OTHER)
+    def alone(self, side: int, count: np.ndarray) -> np.ndarray:
+        """Probability of words of these counts by themselves."""
+        return (count + ADD) / (self.sums[side] + ADD * (self.n_words + 1))
 
-    def before(self, w: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The word before each one that makes a bigram with it, or START."""
-        out = np.full(len(w), START)
-        out[1:] = w[:-1]
-        out[off[:-1][off[:-1] < len(w)]] = START
-        if self.pair_words is None:
-            return out
-        return np.where(_is_in(out, self.pair_words) & _is_in(w, self.pair_words), out, START)
+    def told(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of words that form bigrams; -1 for the others."""
+        return _place(self.words, h)
 
+    def bigram_change(self, side: int, first: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """By how much the loss of a word changes where its bigram has this count instead of none."""
+        before, p = self.counts[side][first], self.alone(side, self.counts[side][word])
+        return np.where(before > 0, -np.log1p(MIX * count / (np.maximum(before, 1) * (1 - MIX) * p)), 0.0)
 
-@dataclass(frozen=True)
-class Models:
-    """Counts of both models, as tables, and the losses of the most frequent bigrams."""
+    def rare_change(self, side: int, count: np.ndarray) -> np.ndarray:
+        return np.log(self.alone(side, self.unknown[side])) - np.log(self.alone(side, count))
 
-    vocabulary: Vocabulary
-    pairs: DataFrame  # (first, word, target, background); first is START where the word alone is counted
-    words: DataFrame  # (word, target, background, target_after, background_after): counts of the word and of bigrams that it starts
-    n_words: int
-    sums: dict[str, float]  # of all words
-    mass: dict[str, float]  # share of the words that bigrams are made of
-    keys: np.ndarray  # sorted, of the most frequent bigrams
-    losses: np.ndarray  # (2, keys)
 
-
-def _is_in(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
+def _place(listed: np.ndarray, h: np.ndarray) -> np.ndarray:
     if not len(listed):
-        return np.zeros(len(h), bool)
-    return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+    return np.where(listed[at] == h, at, -1)
 
 
 def pair_keys(first: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One number for a bigram."""
+    """One hash for a bigram of hashed words."""
     x = first * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     return x ^ (x >> np.uint64(29))
 
 
-def _combined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    first, word, of = (np.concatenate(x) for x in zip(*held, strict=True))
-    _, at, inverse = np.unique(pair_keys(first, word), return_index=True, return_inverse=True)
-    counts = [np.bincount(inverse[of], minlength=len(at)), np.bincount(inverse, minlength=len(at))]
-    return pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (first, word)] + [pa.array(c.astype(np.int64)) for c in counts], names=["first", "word", *SIDES])
+@dataclass(frozen=True)
+class Block:
+    """Texts of a batch from ``begin`` on: the hashes of their words, and which text each is of."""
+
+    begin: int
+    size: int
+    h: np.ndarray
+    doc: np.ndarray
 
+    def pairs(self) -> np.ndarray:
+        """Where a word follows another one of its text."""
+        return np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
 
-def _counted(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, pairs: bool = True) -> Iterator[pa.RecordBatch]:
-    """Counts of the words and bigrams of batches (text, target)."""
+
+def _blocks(texts: pa.Array, block: int) -> Iterator[Block]:
     held, size = [], 0
-    for batch in batches:
-        target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-        for at, h, off in batch_word_hashes(batch.column(0), NO_WORD):
-            of = np.repeat(target[at : at + len(off) - 1], np.diff(off))
-            w = vocabulary.told(h)
-            held.append((np.full(len(w), START), w, of))
-            if pairs:
-                first = vocabulary.before(w, off)
-                own = np.flatnonzero(first != START)
-                held.append((first[own], w[own], of[own]))
-            size += 2 * len(w)
-            if size > COMBINED:
-                yield _combined(held)
-                held, size = [], 0
-    if size:
-        yield _combined(held)
-
-
-def _totals(df: DataFrame) -> dict[str, float]:
-    found = df.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SIDES]).first()
-    return {s: float(found[s]) for s in SIDES}
-
-
-def _alone(count: Column, models: Models, side: str) -> Column:
-    """Probability of a word by itself."""
-    return (F.coalesce(count, F.lit(0)) + ADD) / (models.sums[side] + ADD * (models.n_words + 1))
-
-
-def _losses(rows: DataFrame, models: Models) -> DataFrame:
-    """``rows`` (first, word, target, background: counts of the bigram or null) with ``target_loss`` and ``background_loss``."""
-    words = F.broadcast(models.words) if models.n_words <= BROADCAST_WORDS else models.words
-    after = words.where(F.col("background_after") > 0).select(F.col("word").alias("first"), *[f"{s}_after" for s in SIDES])
-    alone = words.select("word", *[F.col(s).alias(f"{s}_alone") for s in SIDES])
-    rows = rows.join(alone, "word", "left").join(after, "first", "left")
-    for s in SIDES:
-        p, n = _alone(F.col(f"{s}_alone"), models, s), F.col(f"{s}_after")
-        # a bigram's share among the followers of its first word, scaled to their share of all words
-        mixed = F.lit(MIX * models.mass[s]) * F.coalesce(F.col(s), F.lit(0)) / n + (1 - MIX) * p
-        rows = rows.withColumn(f"{s}_loss", -F.log(F.when((n > 0) & F.col("background_alone").isNotNull(), mixed).otherwise(p)))
-    return rows
-
-
-def _frequent(pairs: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` of the bigrams: all those of at least some count."""
-    least, total = None, 0
-    sizes = pairs.groupBy("background").count()
-    # a row for each count that occurs: about the square root of the words at most
-    for r in sorted(sizes.collect(), key=lambda r: -r["background"]):
-        total += r["count"]
-        if total > most:
-            break
-        least = r["background"]
-    return pairs.where("false" if least is None else F.col("background") >= least)
-
-
-def fit_models(docs: DataFrame, target: Column, text: str = "text", words: int | None = None, pair_words: int | None = None) -> Models:
-    """Count both models over all of ``docs``; ``target`` is the condition of the target documents.
-
-    ``words`` and ``pair_words`` keep only the most frequent words apart and
-    pair only the most frequent of those; without them all words are.
-    """
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    schema = "first long, word long, target long, background long"
-    sums_of = [F.sum(s).alias(s) for s in SIDES]
-    vocabulary = Vocabulary()
-    if words is not None or pair_words is not None:
-        counts = rows.mapInArrow(lambda b: _counted(b, Vocabulary(), pairs=False), schema).groupBy("word").agg(*sums_of)
-        most = max(x for x in (words, pair_words) if x is not None)
-        h = counts.orderBy(F.desc("background"), "word").limit(most).select("word").toArrow().column(0).to_numpy().view(np.uint64)
-        vocabulary = Vocabulary(*[None if n is None else np.sort(h[:n]) for n in (words, pair_words if words is None or pair_words is not None else words)])
-    pairs = stored(rows.mapInArrow(lambda b: _counted(b, vocabulary), schema).groupBy("first", "word").agg(*sums_of), "pairs")
-    single, double = pairs.where(F.col("first") == int(START)), pairs.where(F.col("first") != int(START))
-    after = double.groupBy(F.col("first").alias("word")).agg(*[F.sum(s).alias(f"{s}_after") for s in SIDES])
-    table = stored(single.drop("first").join(after, "word", "left"), "words")
-    told = table.where(F.col("word") != int(OTHER))
-    n_words, sums = told.count(), _totals(table)
-    paired = told if vocabulary.pair_words is None else told.where(F.col("word").isin(vocabulary.pair_words.view(np.int64).tolist()))
-    n_paired, own = paired.count(), _totals(paired)
-    mass = {s: (own[s] + ADD * n_paired) / (sums[s] + ADD * (n_words + 1)) for s in SIDES}
-    models = Models(vocabulary, pairs, table, n_words, sums, mass, np.empty(0, np.uint64), np.empty((2, 0), np.float32))
-    found = _losses(_frequent(pairs, BROADCAST_PAIRS), models).select("first", "word", *[F.col(f"{s}_loss").cast("float") for s in SIDES]).toArrow()
-    first, word = (found.column(i).to_numpy().view(np.uint64) for i in range(2))
-    keys = pair_keys(first, word)
-    order = np.argsort(keys)
-    losses = np.stack([found.column(2 + m).to_numpy()[order] for m in range(2)])
-    return Models(vocabulary, pairs, table, n_words, sums, mass, keys[order], losses)
-
-
-def _looked_up(batches: Iterable[pa.RecordBatch], at: int, kept: list[int], shared) -> Iterator[pa.RecordBatch]:
-    """Rows with the sums of the losses that are at hand, and the bigrams of the others with their counts."""
-    vocabulary, keys, losses = shared.value
-    n_row = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        for begin, h, off in batch_word_hashes(batch.column(at), NO_WORD):
-            n = len(off) - 1
-            w = vocabulary.told(h)
-            first = vocabulary.before(w, off)
-            key = pair_keys(first, w)
-            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1) if len(keys) else None
-            hit = keys[near] == key if near is not None else np.zeros(len(key), bool)
-            doc = np.repeat(np.arange(n), np.diff(off))
-            sums = [np.bincount(doc[hit], weights=losses[m][near[hit]] if near is not None else None, minlength=n).astype(np.float64) for m in range(2)]
-            rest = np.flatnonzero(~hit)
-            order = rest[np.lexsort((key[rest], doc[rest]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-            lead = np.flatnonzero(new)
-            times = np.diff([*lead, len(order)]) if len(order) else np.empty(0)
-            lead = order[lead]
-            offsets = pa.array(np.searchsorted(doc[lead], np.arange(n + 1)).astype(np.int32))
-            each = pa.StructArray.from_arrays([pa.array(first[lead].view(np.int64)), pa.array(w[lead].view(np.int64)), pa.array(times.astype(np.int32))], ["first", "word", "times"])
-            arrays = [batch.column(i).slice(begin, n) for i in kept]
-            arrays += [pa.array(np.arange(n_row, n_row + n)), pa.array(np.diff(off).astype(np.int64)), *(pa.array(x) for x in sums), pa.ListArray.from_arrays(offsets, each)]
-            n_row += n
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(batch.schema.names[i] for i in kept), "_row", "_n", "_target", "_background", "_rest"])
 
+    def joined() -> Block:
+        counts = np.concatenate([np.diff(off) for _, _, off in held])
+        return Block(held[0][0], len(counts), np.concatenate([h for _, h, _ in held]), np.repeat(np.arange(len(counts)), counts))
 
-ADDED = ["n_words", "target_loss", "background_loss", "score"]
+    for part in batch_word_hashes(texts, NO_WORD):
+        held.append(part)
+        size += len(part[1])
+        if size > block:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def score_documents(docs: DataFrame, models: Models, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with the mean losses of both models and their difference; columns of those names are replaced.
+def _both(inverse: np.ndarray, target: np.ndarray, background: np.ndarray, n: int) -> list[np.ndarray]:
+    return [np.bincount(inverse, x, n).astype(np.int64) for x in (target, background)]
 
-    The rows are stored once with the bigrams whose losses are not broadcast;
-    those are joined with the models' tables and summed by row.
+
+def _counted(batches: Iterable[pa.RecordBatch], hot: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Of batches (text, target, background): counts of all words (``first`` is null), and of the bigrams that are frequent in a block."""
+    for batch in batches:
+        flags = [_flags(batch.column(i)) for i in (1, 2)]
+        for b in _blocks(batch.column(0), block):
+            of = [x[b.begin : b.begin + b.size][b.doc] for x in flags]
+            keys, inverse = np.unique(b.h, return_inverse=True)
+            counts = _both(inverse, *of, len(keys))
+            at = b.pairs()
+            _, place, inverse = np.unique(pair_keys(b.h[at - 1], b.h[at]), return_index=True, return_inverse=True)
+            both = _both(inverse, *[x[at] for x in of], len(place))
+            often = np.flatnonzero(both[1] >= max(4, hot * len(b.h)))
+            at = at[place[often]]
+            first = pa.array(np.concatenate([keys, b.h[at - 1]]).view(np.int64), mask=np.arange(len(keys) + len(at)) < len(keys))
+            arrays = [np.concatenate([keys, b.h[at]]).view(np.int64), *[np.concatenate([x, y[often]]) for x, y in zip(counts, both, strict=True)]]
+            yield pa.RecordBatch.from_arrays([first, *(pa.array(x) for x in arrays)], names=["first", "word", *SIDES])
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers in one compressed string: byte by byte of their places, as the high ones are mostly alike."""
+    parts = []
+    for x in arrays:
+        parts += [np.array([len(x), x.dtype.itemsize], "<u4").tobytes(), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpacked(data: bytes, *dtypes: type) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for dtype in dtypes:
+        n, width = np.frombuffer(raw, "<u4", 2, at).tolist()
+        out.append(np.frombuffer(raw, np.uint8, n * width, at + 8).reshape(width, n).T.copy().view(dtype).reshape(n))
+        at += 8 + n * width
+    return out
+
+
+_POSTED = (np.int64, np.uint8, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
+
+
+def _posted(batches: Iterable[pa.RecordBatch], shared, buckets: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Of batches (id, text, target, background): what each bucket gets of a block, packed."""
+    models: Models = shared.value
+    for batch in batches:
+        every = batch.column(0).to_numpy()
+        flags = [_flags(batch.column(i)) for i in (2, 3)]
+        for b in _blocks(batch.column(1), block):
+            ids, marks = every[b.begin : b.begin + b.size], [x[b.begin : b.begin + b.size] for x in flags]
+            w, at = models.told(b.h), b.pairs()
+            at = at[(w[at] >= 0) & (w[at - 1] >= 0)]
+            hot = _place(models.hot, pair_keys(b.h[at - 1], b.h[at])) if len(models.hot) else np.full(len(at), -1)
+            often, inverse = np.unique(hot[hot >= 0], return_inverse=True)
+            counts = _both(inverse, *[x[b.doc[at[hot >= 0]]] for x in marks], len(often))
+            at, rare = at[hot < 0], np.flatnonzero(w < 0)
+            keys = np.concatenate([(w[at - 1].astype(np.uint64) << np.uint64(32)) | w[at].astype(np.uint64), b.h[rare] | _RARE])
+            doc = b.doc[np.concatenate([at, rare])]
+            order = np.argsort(keys, kind="stable")  # texts stay in order within a key
+            keys, doc = keys[order], doc[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+            lead = np.flatnonzero(new)
+            times = np.diff([*lead, len(keys)]) if len(lead) else lead
+            keys, doc = keys[lead], doc[lead]
+            own = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            keys, doc, times, own = keys[order], doc[order], times[order], own[order]
+            hot_own = (mix64(often.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            numbers, data = np.union1d(own, hot_own), []
+            cuts, ends = np.searchsorted(own, numbers), np.searchsorted(own, numbers, side="right")
+            by_bucket = np.argsort(hot_own, kind="stable")
+            hot_cuts, hot_ends = np.searchsorted(hot_own[by_bucket], numbers), np.searchsorted(hot_own[by_bucket], numbers, side="right")
+            for s, e, hs, he in zip(cuts.tolist(), ends.tolist(), hot_cuts.tolist(), hot_ends.tolist(), strict=True):
+                docs, place = np.unique(doc[s:e], return_inverse=True)
+                k, h = keys[s:e], by_bucket[hs:he]
+                data.append(_packed(
+                    ids[docs], (marks[0][docs] + 2 * marks[1][docs]).astype(np.uint8),
+                    np.diff(k, prepend=np.uint64(0)), place.astype(np.uint32), times[s:e].astype(np.uint32),
+                    often[h].astype(np.uint32), counts[0][h].astype(np.uint32), counts[1][h].astype(np.uint32),
+                ))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
+ANSWER = "id long, target double, background double, hot int"
+
+
+def _answers(ids=(), target=(), background=(), hot=None) -> pa.Table:
+    n = len(ids)
+    arrays = [pa.array(ids, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())]
+    return pa.table([*arrays, pa.nulls(n, pa.int32()) if hot is None else pa.array(hot, pa.int32())], names=["id", *SIDES, "hot"])
+
+
+def _answered(table: pa.Table, shared) -> pa.Table:
+    """Of one bucket: the change of the losses of each text, by its id, and the counts of frequent bigrams."""
+    models: Models = shared.value
+    posted = [_unpacked(x.as_py(), *_POSTED) for x in table.column("data")]
+    hot, inverse = np.unique(np.concatenate([p[5] for p in posted]), return_inverse=True)
+    totals = [np.bincount(inverse, np.concatenate([p[i] for p in posted]), len(hot)) for i in (6, 7)]
+    out = [_answers(np.zeros(len(hot)), *totals, hot=hot.astype(np.int32))]
+    keys = np.concatenate([np.cumsum(p[2]) for p in posted])
+    if len(keys):
+        ids = np.concatenate([p[0][p[3]] for p in posted])
+        marks = np.concatenate([p[1][p[3]] for p in posted])
+        times = np.concatenate([p[4] for p in posted]).astype(np.float64)
+        del posted
+        order = np.argsort(keys, kind="stable")
+        keys, ids, marks, times = keys[order], ids[order], marks[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        seen = [np.add.reduceat(times * (marks & bit > 0), first) for bit in (1, 2)]
+        size = np.diff([*first, len(keys)])
+        told = np.repeat(seen[1] >= LEAST, size)
+        number = np.repeat(np.arange(len(first)), size)[told]
+        ids, times = ids[told], times[told]
+        # equal texts have one id and one answer
+        order = np.lexsort((ids, number))
+        ids, times, number = ids[order], times[order], number[order]
+        once = np.ones(len(ids), bool)
+        once[1:] = (ids[1:] != ids[:-1]) | (number[1:] != number[:-1])
+        ids, times, number = ids[once], times[once], number[once]
+        lead = keys[first]
+        rare = lead >= _RARE
+        a, b = (np.where(rare, 0, x).astype(np.int64) for x in (lead >> np.uint64(32), lead & np.uint64(0xFFFFFFFF)))
+        each, inverse = np.unique(ids, return_inverse=True)
+        sums = []
+        for side in range(2):
+            change = models.rare_change(side, seen[side])
+            if len(models.words):
+                change = np.where(rare, change, models.bigram_change(side, a, b, seen[side]))
+            sums.append(np.bincount(inverse, times * change[number], len(each)))
+        out.append(_answers(each, *sums))
+    return pa.concat_tables(out)
+
+
+def _based(batches: Iterable[pa.RecordBatch], at: int, kept: list[int], shared, hot_changes, block: int) -> Iterator[pa.RecordBatch]:
+    """The kept columns, the number of words and the sums of the losses that words and frequent bigrams give."""
+    models, changes = shared.value, hot_changes.value
+    alone = [-np.log(np.append(models.alone(s, models.counts[s]), models.alone(s, models.unknown[s]))) for s in range(2)]
+    for batch in batches:
+        for b in _blocks(batch.column(at), block):
+            w, pairs = models.told(b.h), b.pairs()
+            pairs = pairs[(w[pairs] >= 0) & (w[pairs - 1] >= 0)]
+            hot = _place(models.hot, pair_keys(b.h[pairs - 1], b.h[pairs]))
+            sums = []
+            for s in range(2):
+                loss = alone[s][w]
+                if len(pairs):
+                    loss[pairs] -= np.where(models.counts[s][w[pairs - 1]] > 0, np.log(1 - MIX), 0.0)
+                    loss[pairs] += np.where(hot >= 0, np.append(changes[s], 0.0)[hot], 0.0)
+                sums.append(np.bincount(b.doc, loss, b.size).astype(np.float64))
+            arrays = [batch.column(i).slice(b.begin, b.size) for i in kept]
+            arrays += [pa.array(np.bincount(b.doc, minlength=b.size).astype(np.int64)), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(batch.schema.names[i] for i in kept), "_lm_n", "_lm_target", "_lm_background"])
+
+
+def count_words(rows: DataFrame, rate: float = RATE, hot: float = HOT, block: int = BLOCK) -> Models:
+    """The models' words over all of ``rows`` (text, target, background), and which bigrams are frequent."""
+    counted = rows.mapInArrow(lambda b: _counted(b, hot, block), "first long, word long, target long, background long")
+    table = stored(counted.groupBy("first", "word").agg(*[F.sum(s).alias(s) for s in SIDES]), "words")
+    told, alone = F.col("background") >= LEAST, F.col("first").isNull()
+    of = [F.coalesce(F.sum(F.when(told, 0).otherwise(F.col(s)) if rest else F.col(s)), F.lit(0)).alias(f"{s}_{rest}") for rest in (False, True) for s in SIDES]
+    sums = table.where(alone).agg(F.count_if(told).alias("n"), *of).first()
+    total = sums["background_False"]
+    # at most 1/rate words and 2/hot bigrams; a bigram that is frequent in the corpus is so in most blocks
+    listed = table.where(F.when(alone, F.col("background") >= max(LEAST, rate * total)).otherwise(F.col("background") >= hot * total / 2)).toArrow()
+    pair, keys = ~listed["first"].is_null().to_numpy(), listed["word"].to_numpy().view(np.uint64)
+    counts = np.stack([listed[s].to_numpy().astype(np.float64) for s in SIDES])[:, ~pair]
+    order = np.argsort(keys[~pair])
+    words = keys[~pair][order]
+    first, word = listed["first"].filter(pa.array(pair)).to_numpy().view(np.uint64), keys[pair]
+    a, b = _place(words, first), _place(words, word)
+    both = (a >= 0) & (b >= 0)
+    hashes = pair_keys(first[both], word[both])
+    by_hash = np.argsort(hashes)
+    discard(table)
+    of = lambda rest: np.array([float(sums[f"{s}_{rest}"]) for s in SIDES])
+    return Models(words, counts[:, order], sums["n"], of(False), of(True), hashes[by_hash], np.stack([a[both], b[both]])[:, by_hash])
+
+
+def score_documents(docs: DataFrame, target: Column, background: Column | None = None, text: str = "text", keep_text: bool = True, rate: float = RATE, hot: float = HOT, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """``docs`` with the mean losses of both models and their difference.
+
+    ``target`` is the condition of the target documents, ``background`` that of
+    those that are counted at all (None: every one); others are scored only.
+    Texts are known by a hash of 64 bits.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((models.vocabulary, models.keys, models.losses))
-    rows = docs.drop(*ADDED)
+    spark = docs.sparkSession
+    rows = docs.drop(*ADDED, *[c for c in docs.columns if c.startswith("_lm_")])
+    counts = F.coalesce(F.lit(True) if background is None else background, F.lit(False))
+    asked = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("id"), F.col(text).alias("text"), (target & counts).alias("target"), counts.alias("background"))
+    models = count_words(asked.select("text", *SIDES), rate, hot, block)
+    shared = spark.sparkContext.broadcast(models)
+    buckets = max(shuffle_partitions(spark), int(models.sums[1] // part) + 1)
+    posted = asked.mapInArrow(lambda b: _posted(b, shared, buckets, block), "bucket long, data binary")
+    answers = stored(posted.groupBy("bucket").applyInArrow(lambda t: _answered(t, shared), ANSWER), "answers")
+
+    # the frequent bigrams, by their numbers: as many as the list that is broadcast
+    found = answers.where("hot is not null").toArrow()
+    hot_counts = np.zeros((2, len(models.hot)))
+    hot_counts[:, found["hot"].to_numpy()] = [found[s].to_numpy() for s in SIDES]
+    changes = np.stack([np.where(hot_counts[1] >= LEAST, models.bigram_change(s, *models.hot_words, hot_counts[s]), 0.0) for s in range(2)]) if len(models.words) else hot_counts
+    hot_changes = spark.sparkContext.broadcast(changes)
+
+    rows = rows.withColumn("_lm_id", F.xxhash64(F.coalesce(text, F.lit(""))))
     at = rows.columns.index(text)
     kept = [i for i in range(len(rows.columns)) if keep_text or i != at]
     fields = [rows.schema.fields[i] for i in kept]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    schema += "_row long, _n long, _target double, _background double, _rest array<struct<first: long, word: long, times: int>>"
-    own = stored(rows.mapInArrow(lambda b: _looked_up(b, at, kept, shared), schema), "looked-up")
-    asked = own.select("_row", F.inline("_rest"))
-    found = _losses(asked.join(models.pairs, ["first", "word"], "left"), models)
-    found = found.groupBy("_row").agg(*[F.sum(F.col("times") * F.col(f"{s}_loss")).alias(f"_{s}_rest") for s in SIDES])
-    done = own.drop("_rest").join(found, "_row", "left")
-    means = [(F.col(f"_{s}") + F.coalesce(f"_{s}_rest", F.lit(0.0))) / F.when(F.col("_n") > 0, F.col("_n")) for s in SIDES]
-    done = done.withColumns({"n_words": F.col("_n"), "target_loss": means[0], "background_loss": means[1]})
-    return done.withColumn("score", F.col("target_loss") - F.col("background_loss")).select(*[f"`{f.name}`" for f in fields], *ADDED)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "_lm_n long, _lm_target double, _lm_background double"
+    based = rows.mapInArrow(lambda b: _based(b, at, kept, shared, hot_changes, block), schema)
+    changed = answers.where("hot is null").groupBy(F.col("id").alias("_lm_id")).agg(*[F.sum(s).alias(f"_lm_{s}_change") for s in SIDES])
+    done = based.join(changed, "_lm_id", "left")
+    means = [(F.col(f"_lm_{s}") + F.coalesce(f"_lm_{s}_change", F.lit(0.0))) / F.when(F.col("_lm_n") > 0, F.col("_lm_n")) for s in SIDES]
+    done = done.withColumns({"n_words": F.col("_lm_n"), "target_loss": means[0], "background_loss": means[1]})
+    return done.withColumn("score", F.col("target_loss") - F.col("background_loss")).select(*[f"`{f.name}`" for f in fields if f.name != "_lm_id"], *ADDED)
 
 
 def marked(docs: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``name``: true for the keys in ``ids``, null for others. The texts stay where they are unless the ids are many."""
+    """``docs`` with a column ``name`` (one of that name is replaced): true for the keys in ``ids``, null for others. The texts stay where they are unless the ids are many."""
     ids = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
     if ids.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), key, "left")
-    return stored(docs.join(ids, key, "left"), "marked")
+        return docs.drop(name).join(F.broadcast(ids), key, "left")
+    return stored(docs.drop(name).join(ids, key, "left"), "marked")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by its difference from the documents labelled as good."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    models = fit_models(marked(docs, good, "good"), F.col("good"))
-    return score_documents(docs, models, keep_text=False)
+    return score_documents(marked(docs, good, "good"), F.col("good"), keep_text=False).drop("good")

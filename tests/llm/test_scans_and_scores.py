@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm import lm_score
 from cuewright.llm.decontaminate import find_items, op3_decontaminate
-from cuewright.llm.lm_score import fit_models, op9_lm_score, score_documents
+from cuewright.llm.lm_score import op9_lm_score, score_documents
 from cuewright.llm.multi_index import nearest, op5_multi_index, visited
 from cuewright.llm.secret_scan import scan_secrets
 from cuewright.llm.sharding import assign_shards, jump_hash, op6_jump_shards, write_shards
@@ -141,30 +141,48 @@ def test_op7_shape(spark):
 # language models
 
 
-def test_losses_are_those_of_the_counts(spark):
-    rows = [(1, "a b a b", True), (2, "a c, A!", False), (3, "", False), (4, None, True), (5, "zz", False)]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, good boolean")
-    got = {r["doc_id"]: r for r in score_documents(docs, fit_models(docs, F.col("good"), words=2, pair_words=2)).collect()}
-    # words a, b are known; the rest is one word
-    tokens = {i: re.findall("[a-z]+", (t or "").lower()) for i, t, _ in rows}
-    def losses(i, which):
-        seen = [w if w in "ab" else "?" for k, _, g in rows if which == "b" or g for w in tokens[k]]
-        pairs = [(x, y) for k, _, g in rows if which == "b" or g for x, y in zip(tokens[k], tokens[k][1:]) if x in "ab" and y in "ab"]
-        p = {w: (seen.count(w) + 0.1) / (len(seen) + 0.3) for w in "ab?"}
-        total, last = 0.0, "?"
-        for w in (w if w in "ab" else "?" for w in tokens[i]):
-            if w != "?" and last != "?":
-                n = sum(x == last for x, _ in pairs)
-                total -= math.log((0.6 * (p["a"] + p["b"]) * pairs.count((last, w)) / n + 0.4 * p[w]) if n else p[w])
-            else:
-                total -= math.log(p[w])
-            last = w
-        return total / len(tokens[i])
-    for i in (1, 2, 5):
-        assert got[i]["target_loss"] == pytest.approx(losses(i, "t"), rel=1e-5) and got[i]["background_loss"] == pytest.approx(losses(i, "b"), rel=1e-5)
-        assert got[i]["score"] == pytest.approx(got[i]["target_loss"] - got[i]["background_loss"])
-    assert got[3]["n_words"] == 0 and got[3]["score"] is None and got[4]["score"] is None
-    assert got[1]["score"] < got[2]["score"]
+def plain_losses(rows, asked, rate):
+    """Losses by both models of (id, text, target) rows, counted word by word."""
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
+    counted = [(split(t), g) for _, t, g in rows]
+    both = {w for w, n in Counter(w for t, _ in counted for w in t).items() if n >= 2}
+    total = sum(len(t) for t, _ in counted)
+    often = {w for w, n in Counter(w for t, _ in counted for w in t).items() if n >= max(2, rate * total)}
+    pairs = Counter(p for t, _ in counted for p in zip(t, t[1:]) if {*p} <= often)
+    out = {}
+    for side in (True, False):
+        texts = [t for t, g in counted if g or not side]
+        one = Counter(w if w in both else None for t in texts for w in t)
+        two = Counter(p for t in texts for p in zip(t, t[1:]))
+        n = sum(one.values())
+        p = lambda w: (one[w if w in both else None] + 0.1) / (n + 0.1 * (len(both) + 1))
+        for k, text in asked:
+            t, losses = split(text), []
+            for a, b in zip([None, *t], t):
+                mixed = a in often and b in often and one[a] > 0
+                seen = two[a, b] / one[a] if mixed and pairs[a, b] >= 2 else 0
+                losses.append(-math.log(0.6 * seen + 0.4 * p(b) if mixed else p(b)))
+            out[k, side] = sum(losses) / len(losses) if losses else None
+    return out
+
+
+@pytest.mark.parametrize("rate,hot,block,part", [(2e-7, 1e-5, 10**6, 10**7), (0.004, 1.0, 200, 500), (2e-7, 0.01, 300, 400), (0.004, 0.01, 50, 300)])
+def test_losses_are_those_of_the_counts(spark, rate, hot, block, part):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)] + ["The,", "of", "é."] * 6
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 60))), bool(i % 4 == 0)) for i in range(60)]
+    rows += [(100 + i, rows[3][1], False) for i in range(30)]  # copies
+    rows += [(200, None, True), (201, "", False), (202, " ., ", None), (203, "only here", None), (204, " ".join(f"q{i}" for i in range(300)), True)]
+    asked = [(k, t) for k, t, _ in rows] + [(300, "the of never seen w1 w2 only")]
+    docs = spark.createDataFrame([(*r, True) for r in rows] + [(300, asked[-1][1], True, None)], "doc_id int, text string, good boolean, counted boolean")
+    got = {r["doc_id"]: r for r in score_documents(docs.repartition(3), F.col("good"), F.col("counted"), rate=rate, hot=hot, block=block, part=part).collect()}
+    want = plain_losses(rows, asked, rate)
+    assert len(got) == len(asked)
+    for k, _ in asked:
+        r = got[k]
+        for name, side in (("target_loss", True), ("background_loss", False)):
+            assert r[name] == (None if want[k, side] is None else pytest.approx(want[k, side], rel=1e-9))
+        assert r["score"] == (None if want[k, True] is None else pytest.approx(want[k, True] - want[k, False], abs=1e-9))
 
 
 def test_marks_are_the_same_by_broadcast_and_shuffle(spark, odd, monkeypatch):
@@ -178,33 +196,21 @@ def test_marks_are_the_same_by_broadcast_and_shuffle(spark, odd, monkeypatch):
 
 def test_op9_and_odd_rows(spark, odd, empty):
     assert op9_lm_score(spark, DATA).where("score is not null").count() == 200
-    models = fit_models(odd, F.lit(None).cast("boolean"))
-    assert score_documents(odd, models).count() == 10 and score_documents(empty, fit_models(empty, F.lit(True))).count() == 0
-
-
-@pytest.mark.parametrize("broadcast", [0, 3, 10**6])
-def test_every_word_and_bigram_is_counted(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(lm_score, "BROADCAST_PAIRS", broadcast)
-    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast)
-    many = [" ".join(f"w{k}x" for k in range(j, j + 3000)) for j in range(0, 72000, 3000)]
-    rows = [(i, t, i % 5 == 0) for i, t in enumerate(["a b a b c", "b a", "", *many, *many[:3], "a b a b c"])]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, good boolean")
-    models = fit_models(docs, F.col("good"))
-    asked = docs.unionByName(spark.createDataFrame([(-1, "a c new b a", None)], docs.schema))
-    got = {r["doc_id"]: r for r in score_documents(asked, models).collect()}
-    assert len(got) == len(rows) + 1
-    for name, wanted in (("target_loss", [t for _, t, g in rows if g]), ("background_loss", [t for _, t, _ in rows])):
-        one, two, after = Counter(), Counter(), Counter()
-        for w in map(str.split, wanted):
-            one.update(w), two.update(zip(w, w[1:])), after.update(w[:-1])
-        known = {w for _, t, _ in rows for w in t.split()}
-        total = sum(one.values()) + 0.1 * (len(known) + 1)
-        p = lambda w: (one[w] + 0.1) / total
-        mass = 1 - 0.1 / total
-        for i, text in [(i, t) for i, t, _ in rows] + [(-1, "a c new b a")]:
-            w = text.split()
-            losses = [-math.log(0.6 * mass * two[a, b] / after[a] + 0.4 * p(b) if after.get(a) and b in known else p(b)) for a, b in zip([None, *w], w)]
-            assert got[i][name] == (pytest.approx(sum(losses) / len(w), rel=1e-6) if w else None)
+    clash = odd.withColumn("good", F.lit(5)).withColumn("_lm_n", F.lit(1))
+    found = score_documents(lm_score.marked(clash, odd.where("false"), "good"), F.col("good"))
+    assert found.count() == 10 and found.columns == ["doc_id", "text", "score", "good", *lm_score.ADDED][:2] + ["good", *lm_score.ADDED]
+    assert sorted(r["n_words"] for r in found.collect())[:3] == [0, 0, 0]
+    assert score_documents(empty, F.lit(True)).count() == 0
+
+
+def test_a_text_that_occurs_twice_is_told_from_one_that_does_not(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 400, 80))
+    rows = [(i, text()) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    got = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(rows, "doc_id int, text string"), F.col("doc_id") % 3 == 1).collect()}
+    once = [got[i] for i in range(40, 400) if i % 3 != 1]
+    assert sum(got[i] > np.quantile(once, 0.9) for i in range(40) if i % 3 != 1 and (1000 + i) % 3 != 1) >= 12
 
 
 # lists
