@@ -6,6 +6,8 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
+from cuewright.functions.text import SPACE, once
+
 # fixed values: three-letter codes
 THREE_TO_TWO = {
     "eng": "en", "spa": "es", "fre": "fr", "fra": "fr", "ger": "de",
@@ -32,30 +34,52 @@ NAMES = {
     "sr": "Serbian", "sl": "Slovenian", "et": "Estonian", "lv": "Latvian",
     "lt": "Lithuanian", "ca": "Catalan", "fa": "Persian",
 }
-# fixed values: function words of the default languages; others are given as a parameter
+# fixed values: function words by language; ``profiles`` of the operators replaces them
 PROFILES = {
-    "en": "the and you that was with this have not for but what",
-    "es": "que de no la el en es por una con para está",
-    "pt": "que não de uma com por para você está isso mas ele",
-    "fr": "que les des est pas vous pour dans une qui avec elle",
-    "it": "che non per una con sono come questo della anche più cosa",
-    "de": "und der die das ist nicht sie mit ich auf ein wir",
-    "nl": "het een van dat niet voor met maar zijn heb wat naar",
-    "sv": "och att det som inte för med har jag vi men här",
-    "da": "og det ikke til med har jeg var hun men hvad kan",
-    "no": "og det ikke til med har jeg var hun men hva kan",
-    "fi": "että ei on ja se mutta niin hän kun olen sinä tämä",
-    "pl": "nie się jest tak ale jak tego przez czy tylko wszystko bardzo",
-    "ro": "este care pentru din sunt dar cu nu așa acum ceva bine",
-    "tr": "bir bu için ama değil çok ne gibi daha olarak var şey",
-    "id": "yang tidak dan ini untuk dengan itu kamu saya kita sudah bisa",
-    "ca": "que amb això però una els per és molt aquest aquí res",
+    "en": ["the", "and", "you", "that", "was", "with", "this", "have", "not", "for", "but", "what"],
+    "es": ["que", "de", "no", "la", "el", "en", "es", "por", "una", "con", "para", "está"],
+    "pt": ["que", "não", "de", "uma", "com", "por", "para", "você", "está", "isso", "mas", "ele"],
+    "fr": ["que", "les", "des", "est", "pas", "vous", "pour", "dans", "une", "qui", "avec", "elle"],
+    "it": ["che", "non", "per", "una", "con", "sono", "come", "questo", "della", "anche", "più", "cosa"],
+    "de": ["und", "der", "die", "das", "ist", "nicht", "sie", "mit", "ich", "auf", "ein", "wir"],
+    "nl": ["het", "een", "van", "dat", "niet", "voor", "met", "maar", "zijn", "heb", "wat", "naar"],
+    "sv": ["och", "att", "det", "som", "inte", "för", "med", "har", "jag", "vi", "men", "här"],
+    "da": ["og", "det", "ikke", "til", "med", "har", "jeg", "var", "hun", "men", "hvad", "kan"],
+    "no": ["og", "det", "ikke", "til", "med", "har", "jeg", "var", "hun", "men", "hva", "kan"],
+    "fi": ["että", "ei", "on", "ja", "se", "mutta", "niin", "hän", "kun", "olen", "sinä", "tämä"],
+    "pl": ["nie", "się", "jest", "tak", "ale", "jak", "tego", "przez", "czy", "tylko", "wszystko", "bardzo"],
+    "cs": ["ale", "jsem", "jak", "tak", "co", "když", "jsi", "byl", "všechno", "protože", "jenom", "tady"],
+    "sk": ["som", "ale", "ako", "keď", "všetko", "prečo", "tam", "bol", "iba", "veľmi", "musíme", "tu"],
+    "ro": ["este", "care", "pentru", "din", "sunt", "dar", "cu", "nu", "așa", "acum", "ceva", "bine"],
+    "hu": ["hogy", "nem", "egy", "van", "meg", "csak", "már", "még", "ez", "mit", "kell", "volt"],
+    "tr": ["bir", "bu", "için", "ama", "değil", "çok", "ne", "gibi", "daha", "olarak", "var", "şey"],
+    "el": ["και", "να", "που", "δεν", "για", "με", "θα", "είναι", "στο", "από", "αλλά", "μου"],
+    "ru": ["не", "что", "это", "как", "но", "тебя", "меня", "мы", "они", "так", "все", "если"],
+    "uk": ["не", "що", "це", "як", "але", "тебе", "мене", "ми", "вони", "так", "все", "якщо"],
+    "bg": ["не", "да", "се", "на", "ще", "аз", "той", "но", "как", "това", "тук", "защо"],
+    "id": ["yang", "tidak", "dan", "ini", "untuk", "dengan", "itu", "kamu", "saya", "kita", "sudah", "bisa"],
+    "vi": ["không", "của", "một", "những", "được", "người", "này", "tôi", "chúng", "anh", "cho", "đã"],
+    "ca": ["que", "amb", "això", "però", "una", "els", "per", "és", "molt", "aquest", "aquí", "res"],
 }
 # fixed values: letters that set a language apart
 SIGNATURES = {
-    "uk": "іїєґ", "ru": "ыэъ", "pl": "łżęąśń", "cs": "řůě", "sk": "ľĺŕ", "hu": "őű", "ro": "șță", "tr": "ğış",
-    "es": "ñ¿¡", "pt": "ãõç", "de": "ß", "da": "æø", "no": "æø", "sv": "åäö", "fi": "äö", "vi": "ơưđ",
-}
+    "uk": ["і", "ї", "є", "ґ"],
+    "ru": ["ы", "э", "ъ"],
+    "pl": ["ł", "ż", "ę", "ą", "ś", "ń"],
+    "cs": ["ř", "ů", "ě"],
+    "sk": ["ľ", "ĺ", "ŕ"],
+    "hu": ["ő", "ű"],
+    "ro": ["ș", "ț", "ă"],
+    "tr": ["ğ", "ı", "ş"],
+    "es": ["ñ", "¿", "¡"],
+    "pt": ["ã", "õ", "ç"],
+    "de": ["ß"],
+    "da": ["æ", "ø"],
+    "no": ["æ", "ø"],
+    "sv": ["å", "ä", "ö"],
+    "fi": ["ä", "ö"],
+    "vi": ["ơ", "ư", "đ"],
+}
 # fixed values: scripts in the order of the test, with their ranges
 SCRIPTS = [
     ("ko", r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"),
@@ -76,7 +100,7 @@ def _map(table: dict[str, str]) -> Column:
 
 def normalized(tag: Column) -> Column:
     """A two-letter code of a tag: region cut off, three letters and English names translated; '' without a tag."""
-    bare = F.regexp_replace(F.coalesce(tag, F.lit("")), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.coalesce(tag, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
     low = F.lower(F.regexp_replace(bare, "^([^-_]+)[-_].*$", "$1"))
     by_name = {name.lower(): code for code, name in NAMES.items()}
     known = F.try_element_at(_map(THREE_TO_TWO | by_name), low)
@@ -101,9 +125,13 @@ def described(code: Column, score: Column) -> Column:
 def script(text: Column) -> Column:
     """The language of a text by its script, or null: letters of one script beyond a tenth of at least 20."""
     # letters of the block alone count; signs and digits of it do not
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    floor = F.floor(letters / 10)
-    found = F.lit(None).cast("string")
-    for code, block in reversed(SCRIPTS):
-        found = F.when(F.regexp_count(text, F.lit(f"(?=\\p{{L}}){block}")) > floor, code).otherwise(found)
-    return F.when(letters >= LEAST_LETTERS, found)
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+    def chosen(letters: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for code, block in reversed(SCRIPTS):
+            found = F.when(count(f"(?=\\p{{L}}){block}") > F.floor(letters / 10), code).otherwise(found)
+        return F.when(letters >= LEAST_LETTERS, found)
+
+    # nothing is counted in a text without a character of these blocks
+    return F.when(text.rlike("[" + "".join(block[1:-1] for _, block in SCRIPTS) + "]"), once(count(r"\p{L}"), chosen))

@@ -16,6 +16,11 @@ CREDITS = [
 ]
 MUSIC = ["music", "theme", "song plays", "instrumental", "singing", "humming"]
 SENTENCE_END = "[.!?。！？]$"
+# fixed values: white space, and what is cut from a line: markup, annotations in brackets, the speaker, leading dashes
+SPACE = r"[\t-\r\x{85}\p{Z}]"
+MARKUP = ["<[^>]*>", r"\{[^}]*\}", r"[\[(][^\])]*[\])]"]
+SPEAKER = r"^" + SPACE + r"*[-–—]?" + SPACE + r"*[\p{Lu}][\p{Lu}\p{Nd} .'#\-]{1,24}:" + SPACE + "*"
+DASHES = "^[-–— ]+"
 #: Longest music description; longest cue text.
 MUSIC_CHARS, CUE_CHARS = 40, 84
 
@@ -23,7 +28,7 @@ MUSIC_CHARS, CUE_CHARS = 40, 84
 def _fold_table() -> tuple[str, str]:
     """Characters whose canonical decomposition is one base character and marks, with their bases."""
     source, target = [], []
-    for point in range(0xC0, 0x2000):
+    for point in [*range(0xC0, 0xAC00), *range(0xF900, 0x30000)]:  # Hangul syllables have more than one base
         parts = [c for c in unicodedata.normalize("NFD", chr(point)) if unicodedata.category(c) != "Mn"]
         if len(parts) == 1 and parts[0] != chr(point):
             source.append(chr(point))
@@ -36,7 +41,8 @@ _FOLD = _fold_table()
 
 def folded(text: Column) -> Column:
     """Lower case without accents; loose marks are dropped."""
-    return F.regexp_replace(F.translate(F.lower(text), *_FOLD), r"\p{Mn}+", "")
+    # text of ASCII alone, as much is, has nothing to fold
+    return once(F.lower(text), lambda low: F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, *_FOLD), r"\p{Mn}+", "")).otherwise(low))
 
 
 def words(text: Column) -> Column:
@@ -50,32 +56,41 @@ def collapsed(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\r\\n]+", " "), F.lit(" "))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def is_credits(text: Column) -> Column:
     return F.lower(text).rlike("|".join(m.replace(".", "\\.") for m in CREDITS))
 
 
 def is_music(text: Column) -> Column:
     """Whether a short line names music; a note sign is not asked for, so "Turn the music off." counts."""
-    inner = F.regexp_replace(F.translate(text, "♪♫", "  "), r"^\s+|\s+$", "")
+    inner = trimmed(F.translate(text, "♪♫", "  "))
     return F.length(inner).between(1, MUSIC_CHARS) & F.lower(inner).rlike("|".join(MUSIC))
 
 
 def clean_line(text: Column) -> Column:
     """What is spoken in a line: without markup, annotations, notes and speaker; '' for credits, music and lines without a letter."""
     raw = F.coalesce(text, F.lit(""))
-    t = raw
-    for pattern in ("<[^>]*>", r"\{[^}]*\}", r"[\[(][^\])]*[\])]"):
-        t = F.regexp_replace(t, pattern, " ")
-    spoken = F.translate(t, "♪♫", "  ")
-    spoken = F.regexp_replace(spoken, r"^\s*[-–—]?\s*[\p{Lu}][\p{Lu}\p{Nd} .'#\-]{1,24}:\s*", "")
-    spoken = F.regexp_replace(spoken, "^[-–— ]+", "")
-    spoken = F.regexp_replace(F.regexp_replace(spoken, r"\s{2,}", " "), r"^\s+|\s+$", "")
-    return F.when(is_credits(raw) | is_music(t) | ~spoken.rlike(r"\p{L}"), "").otherwise(spoken)
+    bare = raw
+    for pattern in MARKUP:
+        bare = F.regexp_replace(bare, pattern, " ")
 
+    def spoken(t: Column) -> Column:
+        said = F.regexp_replace(F.regexp_replace(F.translate(t, "♪♫", "  "), SPEAKER, ""), DASHES, "")
+        return trimmed(F.regexp_replace(said, SPACE + "{2,}", " "))
 
-def _once(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def kept(t: Column, said: Column) -> Column:
+        return F.when(~said.rlike(r"\p{L}") | is_music(t) | is_credits(raw), "").otherwise(said)
+
+    return once(F.when(raw.rlike(r"[<{\[(]"), bare).otherwise(raw), lambda t: once(spoken(t), lambda said: kept(t, said)))
 
 
 def wrapped(text: Column) -> Column:
@@ -85,9 +100,9 @@ def wrapped(text: Column) -> Column:
         middle = F.floor(F.length(line) / 2).cast("int")
         far = F.transform(chars, lambda c, i: F.when(c == " ", F.struct(F.abs(i - middle).alias("far"), i.alias("at"))))
         cut = lambda best: F.when(best.isNotNull(), F.concat(F.substr(line, F.lit(1), best["at"]), F.lit("\n"), F.substr(line, best["at"] + 2, F.length(line)))).otherwise(line)
-        return _once(F.array_min(far), cut)
+        return once(F.array_min(far), cut)
 
-    return _once(collapsed(text), lambda line: F.when(F.length(line) > CUE_CHARS // 2, _once(F.split(line, ""), lambda chars: broken(line, chars))).otherwise(line))
+    return once(collapsed(text), lambda line: F.when(F.length(line) > CUE_CHARS // 2, once(F.split(line, ""), lambda chars: broken(line, chars))).otherwise(line))
 
 
 def ends_sentence(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.functions.language import BOOST, CONTRADICTION, LEAST_WORDS, PROFILES, SIGNATURES, normalized, script
-from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, stamp, words, wrapped
+from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, once, stamp, words, wrapped
 
 #: Seconds: longest and shortest cue, and the gap over which segments are joined.
 LONGEST, SHORTEST, JOIN_GAP = 7.0, 1.0, 0.35
@@ -26,25 +26,34 @@ def timed_tokens(cues: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("at_s", F.col("start_s") + length * ((F.col("i") + 0.5) / F.size("_words"))).drop("_words")
 
 
-def language_scores(docs: DataFrame, key: str, text: str = "text", profiles: dict[str, str] | None = None, signatures: dict[str, str] | None = None) -> DataFrame:
+def language_scores(docs: DataFrame, key: str, text: str = "text", profiles: dict[str, list[str]] | None = None, signatures: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, code, score) of every guess above zero: hits of a language's function words over all words, boosted by its letters.
 
     Texts of a script of its own have one guess; of the others, those of fewer
-    than 40 words have none. Only words that are in a profile go on to the count,
-    which is combined before it is shuffled.
+    than 40 words have none. A text is read once; only words that are in a
+    profile go on to the count, which is combined before it is shuffled.
     """
     profiles, signatures = profiles or PROFILES, signatures or SIGNATURES
-    low = F.lower(F.col(text))
-    boosted = F.array_compact(F.array(*[F.when(low.rlike("[" + letters + "]"), code) for code, letters in signatures.items() if code in profiles]))
-    base = docs.select(F.col(key).alias(key), script(F.col(text)).alias("_script"), words(F.col(text)).alias("_words"), boosted.alias("_boosted"))
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(c, w) for c, listed in profiles.items() for w in listed.split()], "code string, marker string")
+    spark, low = docs.sparkSession, F.lower(F.col(text))
+    table = spark.createDataFrame([(c, w) for c, listed in profiles.items() for w in listed], "code string, marker string")
     table = table.withColumn("marker", words(F.col("marker"))).where("size(marker) = 1").select("code", F.col("marker")[0].alias("word"))
-    spoken = base.where(F.col("_script").isNull() & (F.size("_words") >= LEAST_WORDS))
-    spoken = spoken.select(key, F.size("_words").alias("_n"), "_boosted", F.explode("_words").alias("word"))
-    hits = spoken.join(F.broadcast(table), "word").groupBy(key, "code").agg(F.count(F.lit(1)).alias("hits"), F.first("_n").alias("_n"), F.first("_boosted").alias("_boosted"))
-    score = F.col("hits") / F.col("_n") * F.when(F.array_contains("_boosted", F.col("code")), BOOST).otherwise(1.0)
-    return base.where(F.col("_script").isNotNull()).select(key, F.col("_script").alias("code"), F.lit(1.0).alias("score")).unionByName(hits.select(key, "code", score.alias("score")))
+    markers = [r["word"] for r in table.select("word").distinct().collect()]  # the profiles' words
+    every = "".join(sorted({x for letters in signatures.values() for x in letters}))
+    # the few letters that count, then the languages that have one of them
+    boosted = once(F.regexp_replace(low, f"[^{every}]", ""), lambda seen: F.array_compact(F.array(*[F.when(seen.rlike("[" + "".join(letters) + "]"), code) for code, letters in signatures.items() if code in profiles])))
+
+    def told(listed: Column) -> Column:
+        return F.struct(F.size(listed).alias("n"), F.filter(listed, lambda w: w.isin(markers)).alias("words"))
+
+    one = F.struct(script(F.col(text)).alias("script"), once(words(F.col(text)), told).alias("told"), boosted.alias("boosted"))
+    # generated, so that what follows mentions columns and not the expressions again
+    base = docs.select(key, F.explode(F.array(one)).alias("t")).select(key, "t.script", "t.told", "t.boosted")
+    spoken = F.col("script").isNull() & (F.col("told.n") >= LEAST_WORDS)
+    rows = base.where(spoken | F.col("script").isNotNull()).select(key, "script", "boosted", F.col("told.n").alias("n"), F.explode_outer(F.when(spoken, F.col("told.words"))).alias("word"))
+    hits = rows.join(F.broadcast(table), "word", "left").select(key, "script", "boosted", "n", F.coalesce("script", "code").alias("code")).where("code is not null")
+    counted = hits.groupBy(key, "code").agg(F.count(F.lit(1)).alias("hits"), F.max("script").alias("script"), F.max("n").alias("n"), F.max("boosted").alias("boosted"))
+    score = F.col("hits") / F.col("n") * F.when(F.array_contains("boosted", F.col("code")), BOOST).otherwise(1.0)
+    return counted.select(key, "code", F.when(F.col("script").isNotNull(), 1.0).otherwise(score).alias("score"))
 
 
 def top_guesses(scores: DataFrame, key: str, k: int = 3) -> DataFrame:
@@ -53,7 +62,7 @@ def top_guesses(scores: DataFrame, key: str, k: int = 3) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 1))
 
 
-def contradictions(docs: DataFrame, scores: DataFrame, key: str, tag: str, profiles: dict[str, str] | None = None) -> DataFrame:
+def contradictions(docs: DataFrame, scores: DataFrame, key: str, tag: str, profiles: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, tag, top_code, top_score, contradicted): whether the best guess leads the tagged language by 2.5 times."""
     best = top_guesses(scores, key, 5)
     tagged = docs.select(key, F.col(tag).alias("tag"), normalized(F.col(tag)).alias("_code"))

@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuewright.functions import naming
 from cuewright.functions.language import normalized
 from cuewright.operators.cues import cleaned, timed_tokens
-from cuewright.operators.reports import wanted
+from cuewright.operators.reports import best_tracks, wanted
 from cuewright.operators.sync import measured_offset, offset_histogram
 
+#: Runs that are kept.
+KEPT_RUNS = 20
 # fixed values: kinds of sources in the order they are listed
 KINDS = ("Embedded", "External", "Repaired", "Heard")
 #: Cues of a sample; fewest characters of a search; weight of a point from words without times of their own.
@@ -60,14 +62,25 @@ def without_language(sources: DataFrame, items: DataFrame, languages: list[str])
     return wanted(items, languages).join(present, ["item_id", "lang"], "left_anti")
 
 
-def with_verdict(covered: DataFrame, verdict: str) -> DataFrame:
-    """Items whose best track of any wanted language has the verdict."""
-    return covered.where(F.lower("verdict") == verdict.lower()).select("item_id").distinct()
+def with_reports(sources: DataFrame, reports: DataFrame) -> DataFrame:
+    """Sources with the verdict of the stored report of their stream (item_id, stream_idx, verdict), null without one."""
+    return sources.join(reports.select("item_id", "stream_idx", "verdict"), ["item_id", "stream_idx"], "left")
+
+
+def with_verdict(tracks: DataFrame, verdict: str, languages: list[str]) -> DataFrame:
+    """Items whose best track of any wanted language has the verdict; without wanted languages, those of which any track has it."""
+    rows = best_tracks(tracks).where(F.col("lang").isin(languages)) if languages else tracks
+    return rows.where(F.lower("verdict") == verdict.lower()).select("item_id").distinct()
+
+
+def listed(reports: DataFrame, limit: int = 200, checked: str = "checked_at", key: str = "item_id") -> DataFrame:
+    """The newest reports, 1 to 2000 of them."""
+    return reports.orderBy(F.desc(checked), F.desc(key)).limit(min(max(limit, 1), 2000))
 
 
 def recent_runs(runs: DataFrame, live: DataFrame, limit: int = 20, key: str = "run_id", started: str = "started_at") -> DataFrame:
     """The last runs, newest first; one that says it is running but isn't among the live ones was abandoned."""
-    last = runs.orderBy(F.desc(started), F.desc(key)).limit(max(limit, 1))
+    last = runs.orderBy(F.desc(started), F.desc(key)).limit(min(max(limit, 1), KEPT_RUNS))
     joined = last.join(live.select(key).distinct().withColumn("_live", F.lit(True)), key, "left")
     status = F.when((F.col("status") == "Running") & F.col("_live").isNull(), "Abandoned").otherwise(F.col("status"))
     return joined.withColumn("status", status).drop("_live")

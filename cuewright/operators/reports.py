@@ -31,6 +31,19 @@ def skip_reason(is_text: Column, forced: Column) -> Column:
     return F.when(~is_text, "pictures, not text").when(forced, "forced lines only")
 
 
+def tracks_in(tracks: DataFrame, languages: list[str], language: str = "language") -> DataFrame:
+    """Tracks in one of the wanted languages; all of them if none is wanted."""
+    codes = tracks.sparkSession.createDataFrame([(x,) for x in languages], "want string").select(normalized(F.col("want")).alias("_want")).where("_want <> ''").distinct()
+    rows = tracks.withColumn("_want", normalized(F.col(language)))
+    return rows.join(F.broadcast(codes), "_want", "left_semi").drop("_want") if languages else tracks
+
+
+def by_audio(subtitles: DataFrame, audio: DataFrame) -> DataFrame:
+    """(item_id, audio_idx, tracks, n): the subtitle tracks that are measured against one audio stream, so that it is heard once."""
+    chosen = chosen_audio(subtitles, audio)
+    return chosen.groupBy("item_id", "audio_idx").agg(F.array_sort(F.collect_list("track_idx")).alias("tracks"), F.count(F.lit(1)).alias("n"))
+
+
 def best_tracks(tracks: DataFrame) -> DataFrame:
     """The best track of each item and language: by verdict, cues, not for the hearing-impaired, embedded, index."""
     rows = tracks.where("skipped is null").withColumn("lang", normalized(F.col("language"))).where("lang <> ''")
@@ -53,6 +66,12 @@ def by_verdict(covered: DataFrame) -> DataFrame:
     return covered.where("verdict is not null").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def audio_minutes(reports: DataFrame, seconds: str = "audio_s", cost: str | None = None) -> DataFrame:
+    """(items, minutes[, cost]) of all reports; minutes are 0 without any, the cost is null if no report has one."""
+    sums = [F.sum(F.col(cost)).alias("cost")] if cost else []
+    return reports.agg(F.count(F.lit(1)).alias("items"), (F.coalesce(F.sum(seconds), F.lit(0.0)) / 60.0).alias("minutes"), *sums)
+
+
 def missing(covered: DataFrame) -> DataFrame:
     return covered.where("verdict is null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -107,6 +126,25 @@ def admitted(costs: DataFrame, ceiling: float, key: str, order: list[str], cost:
     return costs.withColumns({"spent_before": spent, "admitted": (spent < ceiling) if ceiling > 0 else F.lit(True)})
 
 
+def reserved(events: DataFrame, ceiling: float, key: str, order: list[str]) -> DataFrame:
+    """Reservations with ``held_before``, ``spent_before`` and ``admitted``, of a log of several lanes.
+
+    Events: (key, order, estimate_s, actual_s); a reservation has no actual, a
+    settlement gives the estimate back and spends the actual. One is admitted
+    while what is spent and held stays below the ceiling (none or a negative
+    one: always); the first refusal ends a run.
+    """
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    settles = F.col("actual_s").isNotNull()
+    estimate = F.greatest(F.coalesce("estimate_s", F.lit(0.0)), F.lit(0.0))
+    held = F.greatest(F.coalesce(F.sum(F.when(settles, -estimate).otherwise(estimate)).over(before), F.lit(0.0)), F.lit(0.0))
+    spent = F.coalesce(F.sum(F.greatest(F.coalesce("actual_s", F.lit(0.0)), F.lit(0.0))).over(before), F.lit(0.0))
+    rows = events.withColumns({"held_before": held, "spent_before": spent})
+    full = ~settles & (F.col("held_before") + F.col("spent_before") >= ceiling) if ceiling > 0 else F.lit(False)
+    over = F.max(full.cast("int")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("admitted", over == 0).where(~settles)
+
+
 def retained(logs: DataFrame, name: str, keep: int = 20) -> DataFrame:
     """The newest logs by name; the rest may go."""
     return logs.orderBy(F.desc(name)).limit(max(keep, 1))

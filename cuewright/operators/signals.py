@@ -48,8 +48,8 @@ def correlation_curve(audio: DataFrame, cues: DataFrame, keys: list[str], span:
     """(keys, lag, score) for every lag from -span to span, in DataFrame operations.
 
     Bins within the span of each other meet by buckets of the span's length.
-    Each pair of bins is a row, so this form is for short spans; ``best_lags``
-    does the same by transforms.
+    Each pair of bins is a row, so this form is for short spans;
+    ``transformed_curve`` does the same by transforms.
     """
     a, c = coverage(audio, keys), coverage(cues, keys)
     ends = a.select(*keys, F.col("first_active").alias("fa"), F.col("last_active").alias("la")).join(c.select(*keys, F.col("first_active").alias("fc"), F.col("last_active").alias("lc")), keys)
@@ -110,10 +110,18 @@ def _bins(start: np.ndarray, end: np.ndarray, count: int, width: float) -> np.nd
     return (np.cumsum(edge[:-1]) > 0).astype(np.float64)
 
 
-def lag_scores(audio: np.ndarray, cues: np.ndarray, span: int) -> np.ndarray:
-    """Pearson's r at each lag from -span to span; the overlap counts of all lags by one transform."""
-    size = 1 << int(len(audio) + len(cues) - 1).bit_length()
-    product = np.fft.irfft(np.fft.rfft(cues, size) * np.conj(np.fft.rfft(audio, size)), size)
+def _size(audio: np.ndarray, cues: np.ndarray) -> int:
+    return 1 << int(len(audio) + len(cues) - 1).bit_length()
+
+
+def lag_scores(audio: np.ndarray, cues: np.ndarray, span: int, heard: np.ndarray | None = None) -> np.ndarray:
+    """Pearson's r at each lag from -span to span; the overlap counts of all lags by one transform.
+
+    ``heard``: the conjugate transform of ``audio``, where it is at hand.
+    """
+    size = _size(audio, cues)
+    heard = np.conj(np.fft.rfft(audio, size)) if heard is None else heard
+    product = np.fft.irfft(np.fft.rfft(cues, size) * heard, size)
     lags = np.arange(-span, span + 1)
     both = np.where(np.abs(lags) < max(len(audio), len(cues)), np.rint(product[lags % size]), 0.0)
     fa, la = np.flatnonzero(audio)[[0, -1]]
@@ -135,14 +143,14 @@ def _content(x: np.ndarray) -> float:
     return len(on) / (on[-1] - on[0] + 1) if len(on) else 0.0
 
 
-def best_lag(audio: np.ndarray, cues: np.ndarray, width: float, most: float) -> tuple[float, float] | None:
+def best_lag(audio: np.ndarray, cues: np.ndarray, width: float, most: float, heard: np.ndarray | None = None) -> tuple[float, float] | None:
     """(lag in seconds, score) of the best lag, or nothing if a signal has no shape or no score is positive."""
     if not audio.any() or not cues.any() or _content(audio) > LOUD or _content(cues) > LOUD:
         return None
     span = round(max(most, 0) / width)
     if span < 1:
         return None
-    scores = lag_scores(audio, cues, span)
+    scores = lag_scores(audio, cues, span, heard)
     k = int(np.argmax(scores))
     return ((k - span) * width, float(scores[k])) if scores[k] > 0 else None
 
@@ -161,9 +169,9 @@ def measure(speech: np.ndarray, cues: np.ndarray, runtime: float, windows: int =
         return nothing | {"failure": "the audio is almost all speech or almost all silence"}
     if _content(_bins(cues[:, 0], cues[:, 1], count, COARSE)) < LEAST_DENSITY:
         return nothing | {"failure": "the track is too sparse to align"}
-    best = (0.0, 0.0, 1.0)
+    best, heard = (0.0, 0.0, 1.0), np.conj(np.fft.rfft(audio, _size(audio, audio)))  # once for all scales
     for scale in [1.0, *(p[3] for p in frame_rates())] if rates else [1.0]:
-        found = best_lag(audio, _bins(cues[:, 0] / scale, cues[:, 1] / scale, count, COARSE), COARSE, most)
+        found = best_lag(audio, _bins(cues[:, 0] / scale, cues[:, 1] / scale, count, COARSE), COARSE, most, heard)
         if found and found[1] > best[0]:
             best = (found[1], found[0] * scale, scale)
     score, offset, scale = best
@@ -207,3 +215,21 @@ def aligned(speech: DataFrame, cues: DataFrame, item: str, track: str, runtime:
 
     kinds = dict(cues.dtypes)
     return rows.groupBy(item, track).applyInPandas(one, f"`{item}` {kinds[item]}, `{track}` {kinds[track]}, {ALIGNED}")
+
+
+def transformed_curve(audio: DataFrame, cues: DataFrame, key: str, span: int) -> DataFrame:
+    """(key, lag, score) for every lag from -span to span of each key's two signals (key, bin), by one transform a key."""
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({key: [], "lag": [], "score": []})
+        a, c = left["bin"].to_numpy(), right["bin"].to_numpy()
+        low = min(a.min(), c.min())
+        signals = []
+        for x in (a, c):
+            on = np.zeros(x.max() - low + 1)
+            on[x - low] = 1
+            signals.append(on)
+        return pd.DataFrame({key: left[key].iloc[0], "lag": np.arange(-span, span + 1), "score": lag_scores(*signals, span)})
+
+    return audio.groupBy(key).cogroup(cues.groupBy(key)).applyInPandas(one, f"`{key}` {dict(audio.dtypes)[key]}, lag long, score double")

@@ -117,3 +117,14 @@ def should_repair(enabled: bool = True, least_error: float = REPAIR_ERROR, least
 def lateness(seconds: Column) -> Column:
     """``1.4s late`` or ``1.4s early``."""
     return F.concat(F.format_string("%.1f", F.abs(seconds)), F.when(seconds >= 0, "s late").otherwise("s early"))
+
+
+def verdict_text(verdict: Column, offset: Column) -> Column:
+    """What is said of a track: in time, by how much it is off, or why nothing is known."""
+    return (
+        F.when(verdict == "InSync", "in sync")
+        .when(verdict.isin("Offset", "Drifting"), F.concat(lateness(offset), F.when(verdict == "Drifting", ", drifting").otherwise("")))
+        .when(verdict == "WrongLanguage", "the text is not the language the track claims")
+        .when(verdict == "NoDialogue", "no dialogue to check")
+        .otherwise("no conclusion")
+    )

@@ -59,3 +59,46 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") % 900).cast("int").alias("cue_count"), (F.col("doc_id") % 7 == 0).alias("hearing_impaired"), (F.col("doc_id") % 3 == 1).alias("external"),
         F.when(F.coalesce("quality", F.lit(1)) == 0, "not read").alias("skipped"), F.col("source"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
     )
+
+
+# paragraphs in the languages that are told apart: (number, what they are tagged as, text); every seventh has another tag
+_SAID = [
+    ("en", "The man that you saw was not here for long, but what have you done with this box and the key?"),
+    ("es", "No es la casa de la señora, está en el pueblo por una razón que no conoce para ir con ella."),
+    ("pt", "Você não está com uma ideia de tudo isso, mas ele vai por aqui para ver a canção que é dela."),
+    ("fr", "Vous pour les gens qui est dans une ville avec elle, des jours que je ne vois pas."),
+    ("it", "Questo non è come una cosa della quale sono sicuro, anche per te che vieni con più amici."),
+    ("de", "Ich und der Mann mit dem Hut, wir sind nicht auf der Straße, sie ist ein Teil und die das weiß."),
+    ("nl", "Het is niet wat een van ons voor ogen had, maar dat heb ik met hem naar huis gebracht, zijn ze."),
+    ("sv", "Jag har det inte här, men vi som bor för långt bort och vet att han kom med tåget."),
+    ("da", "Jeg har ikke været til det, men hvad kan hun og han gøre med båden, den var væk fra øen."),
+    ("no", "Jeg har ikke vært til det, men hva kan hun og han gjøre med hytta, den var borte og øde."),
+    ("fi", "Hän ei ole täällä kun olen kotona, mutta se on niin että sinä ja minä tiedämme tämä on totta."),
+    ("pl", "Nie wiem czy tak jest, ale bardzo się cieszę jak tylko przez to wszystko i tego chciałem, łąka."),
+    ("cs", "Ale jsem tady, protože když jsi byl doma, tak co bylo všechno jenom sen, jak řekl můj přítel."),
+    ("sk", "Ale ja som tam bol, keď ako vždy prečo nie, všetko je iba sen a tu musíme byť veľmi ticho."),
+    ("ro", "Este ceva bine pentru care nu sunt acum din oraș, dar cu mama așa mergem în țară."),
+    ("hu", "Nem kell még egy, csak ez volt már meg, hogy van idő, mit mondott az őr a tűzről."),
+    ("tr", "Bu çok iyi bir şey değil ama için için ne var gibi daha güzel olarak ağaç büyük."),
+    ("el", "Δεν είναι για να που θα και με από στο αλλά μου είπε κάτι ωραίο το πρωί."),
+    ("ru", "Мы не знаем что это, но они так хотят как все, если меня и тебя объявить, ты это видишь."),
+    ("uk", "Ми не знаємо що це, але вони так хочуть як все, якщо мене і тебе їхній друг бачить."),
+    ("bg", "Той не знае защо да се върне, но аз ще бъда тук като това на масата, както и как е."),
+    ("id", "Saya tidak tahu yang ini untuk kamu, dan kita sudah bisa pergi dengan itu ke pasar."),
+    ("vi", "Tôi không biết một người của chúng ta, những điều này được anh cho đã lâu rồi ở nơi đó."),
+    ("ca", "Això que els amics fan amb una casa és molt aquest any, però aquí no hi ha res per a tots."),
+    ("ko", "우리는 오늘 아침에 시장에 가서 사과와 빵을 사고 집으로 돌아왔습니다"),
+    ("ja", "私たちは今朝市場へ行ってりんごとパンを買い家に帰りました"),
+    ("zh", "我们今天早上去市场买了苹果和面包然后就回家了大家都很高兴"),
+    ("th", "เช้านี้เราไปตลาดเพื่อซื้อแอปเปิ้ลและขนมปังแล้วกลับบ้าน"),
+    ("ar", "ذهبنا هذا الصباح إلى السوق لشراء التفاح والخبز ثم عدنا إلى البيت"),
+    ("he", "הבוקר הלכנו לשוק לקנות תפוחים ולחם ואז חזרנו הביתה"),
+    ("hi", "आज सुबह हम सेब और रोटी खरीदने बाज़ार गए और फिर घर लौट आए"),
+]
+PARAGRAPHS = [(k, "en" if k % 7 == 0 else lang, " ".join([said] * 4)) for k, (lang, said) in enumerate(_SAID, 1)]
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents (doc_id, text, lang), and the paragraphs under negative numbers."""
+    own = spark.createDataFrame([(-k, t, lang) for k, lang, t in PARAGRAPHS], "doc_id long, text string, lang string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").unionByName(own)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuewright.functions import commands, language, naming, text
-from cuewright.operators import cues as cue_ops, library, reports, signals, sync
+from cuewright.operators import cues as cue_ops, library, repairs, reports, signals, sync
 from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
-from cuewright.settings import Settings
-from cuewright.sources import silences, srt, transcripts
+from cuewright.settings import Settings, language_list
+from cuewright.sources import silences, srt, store, transcripts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RUNTIME = 5400.0
@@ -62,10 +62,16 @@ def clean_dedupe(spark, d):
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
 
 
-@query(f"SELECT doc_id, count(*) AS n FROM ({_LINES}) WHERE {sql.credits('line')} GROUP BY doc_id")
+_CREDIT = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 AND n % 3 = 0 THEN 'Subtitles by ' || source WHEN doc_id % 9 = 1 THEN 'see WWW.' || lang || '.example' WHEN doc_id % 9 = 2 THEN 'www without a point, corrected  by' ELSE line END AS line FROM (SELECT doc_id, source, lang, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({_CREDIT}) WHERE {sql.credits('line')} GROUP BY doc_id")
 def credits_filter(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(text.is_credits(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Lines of the documents, some of them replaced by credits."""
+    lines = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    on = lambda r: F.col("doc_id") % 9 == r
+    line = F.when(on(0) & (F.col("n") % 3 == 2), F.concat(F.lit("Subtitles by "), "source")).when(on(1), F.concat(F.lit("see WWW."), "lang", F.lit(".example"))).when(on(2), "www without a point, corrected  by").otherwise(F.col("line"))
+    return lines.where(text.is_credits(line)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT doc_id, count(*) AS short_lines, count(*) FILTER ({sql.music('line')}) AS n FROM ({_LINES}) WHERE length(line) <= 40 GROUP BY doc_id")
@@ -77,13 +83,13 @@ def music_filter(spark, d):
 # language
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS code FROM documents WHERE FALSE UNION ALL " + f"SELECT doc_id, CASE WHEN n < 20 THEN NULL {' '.join('WHEN k' + str(i) + ' > n // 10 THEN ' + sql.q(c) for i, (c, _) in enumerate(sql.SCRIPTS))} END AS code FROM (SELECT doc_id, len(regexp_extract_all(text, '\\p{{L}}')) AS n, {', '.join(f'''len(regexp_extract_all(text, {sql.q(b)})) AS k{i}''' for i, (_, b) in enumerate(sql.SCRIPTS))} FROM documents)")
+@query(f"SELECT doc_id, {sql.script('text')} AS code FROM {sql.TEXTS}")
 def lang_script(spark, d):
-    return table(spark, d, "documents").select("doc_id", language.script(F.col("text")).alias("code"))
+    return derived.texts(spark, d).select("doc_id", language.script(F.col("text")).alias("code"))
 
 
 def _scores(spark, d):
-    return cue_ops.language_scores(table(spark, d, "documents"), "doc_id")
+    return cue_ops.language_scores(derived.texts(spark, d), "doc_id")
 
 
 @query(f"WITH {sql.IDENT} SELECT doc_id, code, round(score, 6) AS score FROM ranked WHERE rank = 1")
@@ -97,7 +103,7 @@ def lang_top3(spark, d):
 
 
 def _contradicted(spark, d):
-    docs = table(spark, d, "documents")
+    docs = derived.texts(spark, d)
     return cue_ops.contradictions(docs, cue_ops.language_scores(docs, "doc_id"), "doc_id", "lang")
 
 
@@ -209,7 +215,7 @@ def content_coverage(spark, d):
 def _curve(spark, d):
     spans = derived.speech(spark, d)
     audio, film = signals.marked(spans, ["item_id"], signals.COARSE), signals.marked(derived.film_cues(spans, 9.0, 1.0), ["item_id"], signals.COARSE)
-    return signals.correlation_curve(audio, film, ["item_id"], 75)
+    return signals.transformed_curve(audio, film, "item_id", 75)
 
 
 @query(f"WITH {sql.D2}, {sql.d3(9.0, 1.0)}, {sql.CURVE} SELECT item_id, lag, round(score, 6) AS score FROM curve")
@@ -252,10 +258,23 @@ def vad_windows(spark, d):
 
 @query()
 def vad_verdict(spark, d):
+    """Verdicts of all tracks; one whose measurement failed or matched nowhere has no fit."""
     key = F.concat_ws("/", F.col("item_id").cast("string"), "track").alias("case_key")
-    points = _aligned(spark, d).select(key, F.explode("anchors").alias("a")).select("case_key", "a.at_s", "a.offset_s", "a.confidence")
-    done = sync.assessed(points, sync.drift_fit(points, "case_key"), "case_key", RUNTIME)
-    return done.select("case_key", "verdict", "confident", r6("offset_s", 3), r6("scale", 6), "frame_rate", r6("worst_s", 3), sync.should_repair().alias("repair"))
+    measured = _aligned(spark, d).withColumn("case_key", key)
+    points = measured.select("case_key", F.explode("anchors").alias("a")).select("case_key", "a.at_s", "a.offset_s", "a.confidence")
+    fits = sync.assessed(points, sync.drift_fit(points, "case_key"), "case_key", RUNTIME)
+    said = library.judged_signal(measured, fits, "case_key")
+    done = fits.withColumn("repair", sync.should_repair()).select("case_key", "confident", "offset_s", "scale", "frame_rate", "worst_s", "repair")
+    return said.join(done, "case_key", "left").select("case_key", "verdict", "confident", r6("offset_s", 3), r6("scale", 6), "frame_rate", r6("worst_s", 3), F.coalesce("repair", F.lit(False)).alias("repair"))
+
+
+@query("SELECT doc_id AS case_key, CASE WHEN doc_id % 5 = 0 THEN 'Unknown' WHEN doc_id % 100 < 25 THEN 'Mismatched' WHEN doc_id % 3 = 0 THEN 'Unknown' WHEN doc_id % 7 = 0 THEN 'Unknown' ELSE ['InSync', 'Offset', 'Drifting', 'Mismatched'][doc_id % 4 + 1] END AS verdict FROM documents")
+def judged_signal(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("case_key"))
+    none = F.array().cast("array<int>")
+    measured = docs.select("case_key", F.when(F.col("case_key") % 5 == 0, "failed").alias("failure"), (F.col("case_key") % 100 / 100.0).alias("score"), F.when(F.col("case_key") % 3 == 0, none).otherwise(F.array(F.lit(1))).alias("anchors"))
+    fits = docs.where("case_key % 7 <> 0").select("case_key", F.element_at(F.array(*[F.lit(v) for v in ("InSync", "Offset", "Drifting", "Mismatched")]), (F.col("case_key") % 4 + 1).cast("int")).alias("verdict"))
+    return library.judged_signal(measured, fits, "case_key")
 
 
 # offset votes
@@ -583,7 +602,12 @@ def inventory_missing(spark, d):
 
 @query(f"WITH {sql.TRACKS}, {sql.COVER} SELECT DISTINCT item_id FROM covered WHERE verdict = 'Drifting'")
 def reports_with_verdict(spark, d):
-    return library.with_verdict(_covered(spark, d), "drifting")
+    return library.with_verdict(derived.tracks(spark, d), "drifting", LANGUAGES)
+
+
+@query(f"WITH {sql.TRACKS} SELECT DISTINCT item_id FROM tracks WHERE verdict = 'Mismatched'")
+def reports_with_any_track(spark, d):
+    return library.with_verdict(derived.tracks(spark, d), "mismatched", [])
 
 
 @query("SELECT event_id AS run_id, CASE WHEN event_id % 2 = 0 AND event_id % 7 <> 0 THEN 'Abandoned' WHEN event_id % 2 = 0 THEN 'Running' ELSE 'Completed' END AS status FROM events WHERE ts IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -621,3 +645,185 @@ def source_labels(spark, d):
     on = lambda k, r=0: F.col("doc_id") % k == r
     track = naming.track_label(F.col("doc_id") % 4, F.col("lang"), on(3, 1), on(5), on(7), ~on(2))
     return table(spark, d, "documents").select("doc_id", naming.file_size(F.col("n_chars")).alias("size"), track.alias("track"))
+
+
+# what remains of reports, files and stores
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pictures, not text' WHEN doc_id % 3 = 0 THEN 'forced lines only' END AS skipped FROM documents")
+def skip_reasons(spark, d):
+    return table(spark, d, "documents").select("doc_id", reports.skip_reason(F.col("doc_id") % 4 != 0, F.col("doc_id") % 3 == 0).alias("skipped"))
+
+
+@query(f"WITH {sql.TRACKS} SELECT 'some' AS asked, item_id, track_idx FROM tracks WHERE {sql.normalized('language')} IN ('fr', 'it') UNION ALL SELECT 'none', item_id, track_idx FROM tracks")
+def wanted_tracks(spark, d):
+    rows = derived.tracks(spark, d)
+    asked = [("some", ["French", "ita", ""]), ("none", [])]
+    found = [reports.tracks_in(rows, languages).select(F.lit(name).alias("asked"), "item_id", "track_idx") for name, languages in asked]
+    return found[0].unionByName(found[1])
+
+
+@query(f"""WITH {sql.TRACKS}, a AS (SELECT item_id, track_idx AS audio_idx, language AS l, track_idx = 2 AS def, CASE WHEN track_idx % 2 = 0 THEN 6 ELSE 2 END AS ch FROM tracks),
+  c AS (SELECT item_id, track_idx, audio_idx FROM (SELECT t.item_id, t.track_idx, audio_idx, row_number() OVER (PARTITION BY t.item_id, t.track_idx ORDER BY l = t.language DESC, def DESC, ch DESC, audio_idx) AS r FROM tracks t JOIN a ON a.item_id = t.item_id) WHERE r = 1)
+  SELECT item_id, audio_idx, string_agg(CAST(track_idx AS VARCHAR), ',' ORDER BY track_idx) AS tracks, count(*) AS n FROM c GROUP BY item_id, audio_idx""")
+def audio_groups(spark, d):
+    rows = derived.tracks(spark, d)
+    audio = rows.select("item_id", F.col("track_idx").alias("audio_idx"), F.col("language").alias("audio_language"), (F.col("track_idx") == 2).alias("is_default"), F.when(F.col("track_idx") % 2 == 0, 6).otherwise(2).alias("channels"))
+    return reports.by_audio(rows, audio).withColumn("tracks", F.array_join(F.col("tracks").cast("array<string>"), ","))
+
+
+@query("SELECT 'some' AS part, count(*) AS items, round(sum(n_chars * 1e0) / 60, 6) AS minutes, sum(CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS DOUBLE) END) AS cost FROM documents UNION ALL SELECT 'none', count(*), 0, NULL FROM documents WHERE doc_id < 0")
+def coverage_minutes(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("audio_s"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars").cast("double")).alias("cost"))
+    parts = [reports.audio_minutes(x, cost="cost").select(F.lit(name).alias("part"), "items", r6("minutes"), "cost") for name, x in (("some", rows), ("none", rows.where("doc_id < 0")))]
+    return parts[0].unionByName(parts[1])
+
+
+_REPAIR_SQL = f"""{sql.D1}, k AS (SELECT track_id, CASE track_id % 5 WHEN 0 THEN 0e0 WHEN 1 THEN 2.5e0 WHEN 2 THEN -1e0 ELSE 0e0 END AS o, CASE track_id % 5 WHEN 3 THEN 1.25e0 WHEN 4 THEN -1e0 ELSE 1e0 END AS s,
+    CASE WHEN track_id % 11 <> 0 THEN CASE WHEN track_id % 2 = 0 THEN '/films/' || track_id ELSE '/store' END || '/Film ' || track_id || CASE WHEN track_id % 3 = 0 THEN '' ELSE '.en' END || CASE WHEN track_id % 4 = 0 THEN '.sdh' ELSE '' END || '.repaired.srt' END AS path FROM (SELECT DISTINCT track_id FROM d1)),
+  m AS (SELECT d.track_id, path, cue_idx, greatest((start_s - o) / s, 0) AS a, greatest((end_s - o) / s, (start_s - o) / s, 0) AS b, text FROM d1 d JOIN k ON k.track_id = d.track_id WHERE path IS NOT NULL AND s > 0 AND NOT (abs(o) < 1e-6 AND abs(s - 1) < 1e-9)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a, cue_idx) AS k FROM m)"""
+
+
+@query(f"WITH {_REPAIR_SQL} SELECT track_id, path, sha256(string_agg(k || chr(13) || chr(10) || {sql.stamp('a')} || ' --> ' || {sql.stamp('b')} || chr(13) || chr(10) || regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') || chr(13) || chr(10), chr(13) || chr(10) ORDER BY k)) AS srt_sha256 FROM n GROUP BY track_id, path")
+def repair_sidecars(spark, d):
+    """Repaired copies beside their films or in a folder of the store; tracks that nothing changes have none."""
+    cues = derived.cues(spark, d)
+    t = F.col("track_id")
+    of = lambda *cases: F.element_at(F.array(*[F.lit(c) for c in cases]), (t % 5 + 1).cast("int"))
+    media = F.when(t % 11 != 0, F.concat(F.lit("/films/"), t.cast("string"), F.lit("/Film "), t.cast("string"), F.lit(".mkv"))).otherwise(" ")
+    path = repairs.repair_path(media, F.when(t % 3 != 0, "en").otherwise(""), t % 4 == 0, "repaired", t % 2 == 0, F.lit("/store"))
+    corrections = cues.select("track_id").distinct().select("track_id", of(0.0, 2.5, -1.0, 0.0, 0.0).alias("offset_s"), of(1.0, 1.0, 1.0, 1.25, -1.0).alias("scale"), path.alias("path"))
+    return repairs.repaired(cues, corrections).select("track_id", "path", F.sha2(F.encode("srt", "UTF-8"), 256).alias("srt_sha256"))
+
+
+@query("SELECT l_orderkey, l_linenumber, abs(o) < 1e-6 AND abs(s - 1) < 1e-9 AS same FROM (SELECT l_orderkey, l_linenumber, (l_orderkey % 3) * 5e-7 AS o, 1 + (l_linenumber % 3) * 6e-10 AS s FROM lineitem)")
+def identity_corrections(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", repairs.is_identity(F.col("l_orderkey") % 3 * 5e-7, 1 + F.col("l_linenumber") % 3 * 6e-10).alias("same"))
+
+
+_EDIT_SQL = f"""e AS (SELECT item_id, source_id, a.action, CASE WHEN item_id % 5 = 0 THEN 0 ELSE 7 END AS cues, CASE WHEN item_id % 3 = 0 THEN 0e0 ELSE 1.1e0 END AS scale FROM (SELECT item_id, source_id FROM s UNION ALL SELECT DISTINCT item_id, 'gone' FROM s) x, (VALUES ('Save'), ('Retime'), ('Extract'), ('Delete')) a(action)),
+  j AS (SELECT e.*, s.kind, s.path, s.source_id IS NOT NULL AS known, '/m/copy' || e.item_id || '.srt' AS copy FROM e LEFT JOIN s ON s.item_id = e.item_id AND s.source_id = e.source_id),
+  r AS (SELECT *, CASE WHEN NOT known THEN 'that subtitle is no longer there' WHEN action = 'Retime' AND scale <= 0 THEN 'that is not a timing change that can be applied' WHEN action <> 'Delete' AND cues = 0 THEN 'that is not a subtitle file that can be read: nothing was saved' WHEN action = 'Delete' AND path IS NULL THEN 'this track lives inside the media file: extract it first' END AS why,
+    action = 'Delete' OR (action IN ('Save', 'Retime') AND kind IN ('Heard', 'Repaired') AND path IS NOT NULL) AS own FROM j)"""
+
+
+@query(f"""WITH {sql.TRACKS}, {_SOURCES_SQL}, {_EDIT_SQL} SELECT item_id, source_id, action, why IS NULL AS done, CASE WHEN why IS NULL THEN CASE WHEN own THEN path ELSE copy END END AS target,
+  coalesce(why, CASE WHEN action = 'Delete' THEN 'deleted ' || regexp_replace(path, '^.*/', '') WHEN own THEN 'saved ' || cues || ' cues to ' || regexp_replace(path, '^.*/', '') WHEN action = 'Extract' THEN 'saved as copy' || item_id || '.srt' ELSE 'the original was left alone and a copy was saved as copy' || item_id || '.srt' END) AS message FROM r""")
+def subtitle_edits(spark, d):
+    sources, _ = _sources(spark, d)
+    asked = sources.select("item_id", "source_id").unionByName(sources.select("item_id").distinct().withColumn("source_id", F.lit("gone")))
+    edits = asked.select("item_id", "source_id", F.explode(F.array(*[F.lit(a) for a in ("Save", "Retime", "Extract", "Delete")])).alias("action"), F.when(F.col("item_id") % 5 == 0, 0).otherwise(7).alias("cues"), F.lit(1.0).alias("offset_s"), F.when(F.col("item_id") % 3 == 0, 0.0).otherwise(1.1).alias("scale"), F.concat(F.lit("/m/copy"), F.col("item_id").cast("string"), F.lit(".srt")).alias("copy_path"))
+    return repairs.edited(sources, edits)
+
+
+@query(f"WITH {sql.TRACKS}, {_SOURCES_SQL} SELECT s.item_id, s.source_id, t.verdict FROM s LEFT JOIN tracks t ON t.item_id = s.item_id AND t.track_idx = s.stream_idx AND t.cue_count % 3 > 0")
+def inventory_reports(spark, d):
+    sources, tracks = _sources(spark, d)
+    stored = tracks.where("cue_count % 3 > 0").select("item_id", F.col("track_idx").alias("stream_idx"), "verdict")
+    return library.with_reports(sources, stored).select("item_id", "source_id", "verdict")
+
+
+_STORE = "item_id long, checked_at long, event_id long, version string"
+
+
+@query("WITH s AS (SELECT user_id AS item_id, epoch_us(ts) AS checked_at, event_id, event_type AS version FROM events WHERE ts IS NOT NULL) SELECT item_id, checked_at, version FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY checked_at DESC, event_id DESC) AS r FROM s) WHERE r = 1 UNION ALL SELECT -1, count(DISTINCT item_id), 'cleared' FROM s")
+def report_store(spark, d):
+    """Reports appended in two parts to a store, its newest ones; and how many a store had that was cleared, under item -1."""
+    rows = table(spark, d, "events").where("ts is not null").select(F.col("user_id").cast("long").alias("item_id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("checked_at"), F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("version"))
+    kept, gone = store.work_dir(spark, "reports"), store.work_dir(spark, "cleared")
+    store.save_reports(rows.where("event_id % 2 = 0"), kept)
+    store.save_reports(rows.where("event_id % 2 = 1"), kept)
+    store.save_reports(rows, gone)
+    n = store.clear_reports(spark, gone, _STORE)
+    left = store.stored_reports(spark, gone, _STORE).count()
+    found = store.stored_reports(spark, kept, _STORE, tie="event_id").select("item_id", "checked_at", "version")
+    return found.unionByName(spark.createDataFrame([(-1, n - left, "cleared")], "item_id long, checked_at long, version string"))
+
+
+@query("WITH s AS (SELECT event_id AS item_id, epoch_us(ts) AS checked_at FROM events WHERE ts IS NOT NULL) SELECT * FROM (SELECT 'all' AS asked, item_id FROM s ORDER BY checked_at DESC, item_id DESC LIMIT 2000) UNION ALL SELECT * FROM (SELECT 'one', item_id FROM s ORDER BY checked_at DESC, item_id DESC LIMIT 1)")
+def report_listing(spark, d):
+    """The newest reports; a limit is kept between 1 and 2000."""
+    rows = table(spark, d, "events").where("ts is not null").select(F.col("event_id").alias("item_id"), F.col("ts").alias("checked_at"))
+    return library.listed(rows, 9_000_000).select(F.lit("all").alias("asked"), "item_id").unionByName(library.listed(rows, -3).select(F.lit("one").alias("asked"), "item_id"))
+
+
+@query("SELECT 'run_' || event_id || '.json' AS name FROM events ORDER BY name DESC LIMIT 20")
+def log_retention(spark, d):
+    return reports.retained(table(spark, d, "events").select(F.concat(F.lit("run_"), F.col("event_id").cast("string"), F.lit(".json")).alias("name")), "name")
+
+
+_HELD_SQL = """e AS (SELECT user_id % 20 AS run_id, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS at_s, greatest(value, 0) AS v, event_id % 3 = 0 AS settles FROM events WHERE ts IS NOT NULL),
+  h AS (SELECT *, greatest(coalesce(sum(CASE WHEN settles THEN -20e0 ELSE 20e0 END) OVER w, 0), 0) AS held, coalesce(sum(CASE WHEN settles THEN v ELSE 0 END) OVER w, 0) AS spent FROM e WINDOW w AS (PARTITION BY run_id ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"WITH {_HELD_SQL} SELECT run_id, event_id, round(held, 3) AS held_before, round(spent, 3) AS spent_before, admitted FROM (SELECT *, max(CASE WHEN NOT settles AND held + spent >= 900 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0 AS admitted FROM h) WHERE NOT settles")
+def run_reserved(spark, d):
+    events = _runs(spark, d).withColumns({"estimate_s": F.lit(20.0), "actual_s": F.when(F.col("event_id") % 3 == 0, F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)))})
+    done = reports.reserved(events, 900.0, "run_id", ["at_s", "event_id"])
+    return done.select("run_id", "event_id", r6("held_before", 3), r6("spent_before", 3), "admitted")
+
+
+@query(f"WITH {sql.TRACKS} SELECT item_id, track_idx, CASE verdict WHEN 'InSync' THEN 'in sync' WHEN 'Offset' THEN printf('%.1f', o) || 's late' WHEN 'Drifting' THEN printf('%.1f', o) || 's late, drifting' WHEN 'WrongLanguage' THEN 'the text is not the language the track claims' WHEN 'NoDialogue' THEN 'no dialogue to check' ELSE 'no conclusion' END AS said FROM (SELECT item_id, track_idx, CASE WHEN skipped IS NOT NULL THEN 'NoDialogue' WHEN toxic = 1 THEN 'WrongLanguage' ELSE verdict END AS verdict, (cue_count % 40) / 4e0 + 0.03e0 AS o FROM tracks)")
+def verdict_texts(spark, d):
+    verdict = reports.track_verdict(F.col("skipped"), F.col("toxic") == 1, F.lit(1), F.col("verdict"))
+    return derived.tracks(spark, d).select("item_id", "track_idx", sync.verdict_text(verdict, F.col("cue_count") % 40 / 4.0 + 0.03).alias("said"))
+
+
+@query(f"SELECT a.tag AS one, b.tag AS other, {sql.normalized('a.tag')} <> '' AND {sql.normalized('a.tag')} = {sql.normalized('b.tag')} AS same FROM (SELECT unnest([{', '.join(map(sql.q, _TAGS))}]) AS tag) a, (SELECT unnest([{', '.join(map(sql.q, _TAGS))}]) AS tag) b")
+def same_languages(spark, d):
+    pairs = spark.createDataFrame([(a, b) for a in _TAGS for b in _TAGS], "one string, other string")
+    return pairs.select("one", "other", language.same_language(F.col("one"), F.col("other")).alias("same"))
+
+
+@query(f"SELECT doc_id, name || ' (' || CAST(round_even(n_chars % 1000 / 1000e0 * 100, 0) AS INTEGER) || '%)' AS said FROM (SELECT *, MAP {{{', '.join(f'{sql.q(a)}: {sql.q(b)}' for a, b in language.NAMES.items())}}}[lang] AS name FROM documents)")
+def guess_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", language.described(F.col("lang"), F.col("n_chars") % 1000 / 1000.0).alias("said"))
+
+
+@query(f"WITH f AS ({_FILE_SQL}), p AS (SELECT doc_id, name, string_split(lower(regexp_replace(name, '\\.[^.]*$', '')), '.') AS parts FROM f) SELECT doc_id, name, list_contains(parts, 'cicada') OR list_contains(parts, 'cicada-heard') AS ours FROM p")
+def our_files(spark, d):
+    return _files(spark, d).select("doc_id", "name", naming.is_ours(F.col("name"), "cicada", "cicada-heard").alias("ours"))
+
+
+@query("SELECT url, '-nostdin -hide_banner -nostats -loglevel info -i \"' || url || '\" -map 0:' || page_id % 3 || ' -vn -sn -dn -ac 1 -ar 16000 -af \"highpass=f=200,lowpass=f=3000,silencedetect=noise=-30dB:d=0.3\" -f null -' AS command FROM pages")
+def detect_command(spark, d):
+    return table(spark, d, "pages").select("url", commands.detect_arguments(F.col("url"), F.col("page_id") % 3).alias("command"))
+
+
+@query("SELECT setting, array_to_string(list_distinct_in_order, ';') AS codes FROM (SELECT setting, CASE k WHEN 0 THEN ['en', 'fr'] WHEN 1 THEN ['de'] WHEN 2 THEN [] ELSE ['pt', 'xx'] END AS list_distinct_in_order FROM (VALUES (0, 'English, fre;en'), (1, ' ger ,, de-AT'), (2, ''), (3, 'pt-BR;xx')) v(k, setting))")
+def wanted_setting(spark, d):
+    rows = spark.createDataFrame([("English, fre;en",), (" ger ,, de-AT",), ("",), ("pt-BR;xx",)], "setting string")
+    return rows.select("setting", F.array_join(language_list(F.col("setting")), ";").alias("codes"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 > 0 THEN CAST(length(url) AS VARCHAR) END AS body, CASE WHEN page_id % 4 = 0 THEN 'ValueError: no answer' END AS error FROM pages")
+def transcriber_calls(spark, d):
+    """A service that fails for every fourth clip."""
+
+    def call(data: bytes) -> str:
+        number, url = bytes(data).decode().split(" ", 1)
+        if int(number) % 4 == 0:
+            raise ValueError("no answer")
+        return str(len(url))
+
+    clips = table(spark, d, "pages").select("page_id", F.encode(F.concat_ws(" ", F.col("page_id").cast("string"), "url"), "UTF-8").alias("audio"))
+    return transcripts.transcribed(clips, "page_id", call)
+
+
+@query(f"WITH {sql.D1}, t AS (SELECT track_id, track_id % 7 * 10e0 AS moved FROM (SELECT DISTINCT track_id FROM d1)) SELECT d1.track_id, CAST(row_number() OVER (PARTITION BY d1.track_id ORDER BY cue_idx) - 1 AS INTEGER) AS seg_idx, cue_idx + moved AS start_s, cue_idx + 0.9e0 + moved AS end_s FROM d1 JOIN t USING (track_id) WHERE regexp_matches(text, '\\S')")
+def segments_rebased(spark, d):
+    segment = F.struct(F.col("cue_idx").alias("start"), (F.col("cue_idx") + 0.9).alias("end"), "text")
+    bodies = derived.cues(spark, d).groupBy("track_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    bodies = bodies.select("track_id", F.to_json(F.struct(F.lit("x").alias("text"), "segments")).alias("body"), F.lit(600.0).alias("duration_s"))
+    results = transcripts.verbose_json(bodies, "track_id").withColumn("from_s", F.col("track_id") % 7 * 10.0)
+    return transcripts.segment_rows(results, "track_id", "from_s").select("track_id", "seg_idx", r6("start_s"), r6("end_s"))
+
+
+@query(f"""WITH {sql.D2}, l AS (SELECT item_id, max(end_s) AS last FROM d2 GROUP BY item_id) SELECT item_id, CAST(0 AS INTEGER) AS span_idx, 0e0 AS start_s, 1.5e0 AS end_s FROM l UNION ALL SELECT item_id, 1, 4e0, round(10 + last, 3) FROM l""")
+def silence_unknown_duration(spark, d):
+    """Logs of films whose duration is not known: that of the log stands for it."""
+    ends = derived.speech(spark, d).groupBy("item_id").agg(F.max("end_s").alias("last"))
+    log = F.concat(F.lit("silence_start: 1.5\nsilence_end: 4 | x\nsilence_start: "), F.format_string("%.3f", F.round(F.col("last") + 10, 3)))
+    return silences.speech(ends.select("item_id", log.alias("log"), F.lit(None).cast("double").alias("duration_s")))

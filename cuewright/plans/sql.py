@@ -5,7 +5,7 @@ from __future__ import annotations
 from cuewright.functions.language import BOOST, CONTRADICTION, NAMES, PROFILES, SCRIPTS, SIGNATURES, THREE_TO_TWO
 from cuewright.functions.text import CREDITS, MUSIC
 from cuewright.operators.signals import frame_rates
-from cuewright.plans.derived import CASES
+from cuewright.plans.derived import CASES, PARAGRAPHS
 
 
 def q(text: str) -> str:
@@ -23,14 +23,18 @@ def normalized(x: str) -> str:
     return f"(CASE WHEN length({low}) = 2 THEN {low} ELSE coalesce({table}[{low}], {low}) END)"
 
 
+# any white space, as RE2 writes it
+BLANK = r"[\t-\r\x{85}\p{Z}]"
+
+
 def clean(x: str) -> str:
     t = f"coalesce({x}, '')"
     for p in ("<[^>]*>", r"\{[^}]*\}", r"[\[(][^\])]*[\])]"):
         t = f"regexp_replace({t}, {q(p)}, ' ', 'g')"
     spoken = f"replace(replace({t}, '♪', ' '), '♫', ' ')"
-    spoken = f"regexp_replace({spoken}, {q(r'^\s*[-–—]?\s*[\p{Lu}][\p{Lu}\p{Nd} .' + chr(39) + r'#\-]{1,24}:\s*')}, '')"
+    spoken = f"regexp_replace({spoken}, {q('^' + BLANK + '*[-–—]?' + BLANK + r'*[\p{Lu}][\p{Lu}\p{Nd} .' + chr(39) + r'#\-]{1,24}:' + BLANK + '*')}, '')"
     spoken = f"regexp_replace({spoken}, '^[-–— ]+', '')"
-    spoken = f"regexp_replace(regexp_replace({spoken}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+    spoken = f"regexp_replace(regexp_replace({spoken}, '{BLANK}{{2,}}', ' ', 'g'), '^{BLANK}+|{BLANK}+$', '', 'g')"
     return f"(CASE WHEN {credits(x)} OR {music(t)} OR NOT regexp_matches({spoken}, '\\p{{L}}') THEN '' ELSE {spoken} END)"
 
 
@@ -39,7 +43,7 @@ def credits(x: str) -> str:
 
 
 def music(x: str) -> str:
-    inner = f"regexp_replace(replace(replace(coalesce({x}, ''), '♪', ' '), '♫', ' '), '^\\s+|\\s+$', '', 'g')"
+    inner = f"regexp_replace(replace(replace(coalesce({x}, ''), '♪', ' '), '♫', ' '), '^{BLANK}+|{BLANK}+$', '', 'g')"
     return f"(length({inner}) BETWEEN 1 AND 40 AND regexp_matches(lower({inner}), {q('|'.join(MUSIC))}))"
 
 
@@ -73,11 +77,19 @@ def bins(source: str, width: str, start: str = "start_s", end: str = "end_s") ->
     return f"(SELECT DISTINCT item_id, unnest(range({first}, greatest(CAST(ceil(greatest({end}, 0) / {width}) AS BIGINT), {first} + 1))) AS bin FROM {source})"
 
 
-IDENT = f"""profile AS (SELECT code, ({words('marker')})[1] AS word FROM (VALUES {', '.join(f'({q(c)}, {q(w)})' for c, l in PROFILES.items() for w in l.split())}) p(code, marker)),
-  letters AS (SELECT * FROM (VALUES {', '.join(f'({q(c)}, {q("[" + s + "]")})' for c, s in SIGNATURES.items())}) s(code, pattern)),
-  base AS (SELECT doc_id, lang, lower(text) AS low, {words('text')} AS w FROM documents),
-  hits AS (SELECT doc_id, code, n, count(*) AS h, any_value(low) AS low FROM (SELECT doc_id, len(w) AS n, low, unnest(w) AS word FROM base WHERE len(w) >= 40) JOIN profile USING (word) GROUP BY doc_id, code, n),
-  scores AS (SELECT doc_id, hits.code, h / n * CASE WHEN regexp_matches(low, pattern) THEN {BOOST}e0 ELSE 1e0 END AS score FROM hits LEFT JOIN letters USING (code)),
+TEXTS = f"(SELECT doc_id, text, lang FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({-k}, {q(t)}, {q(lang)})' for k, lang, t in PARAGRAPHS)}) p(doc_id, text, lang))"
+
+
+def script(x: str) -> str:
+    blocks = " ".join(f"WHEN len(list_filter(regexp_extract_all({x}, {q(b)}), lambda c: regexp_matches(c, '\\p{{L}}'))) > len(regexp_extract_all({x}, '\\p{{L}}')) // 10 THEN {q(c)}" for c, b in SCRIPTS)
+    return f"(CASE WHEN len(regexp_extract_all({x}, '\\p{{L}}')) < 20 THEN NULL {blocks} END)"
+
+
+IDENT = f"""profile AS (SELECT code, ({words('marker')})[1] AS word FROM (VALUES {', '.join(f'({q(c)}, {q(w)})' for c, l in PROFILES.items() for w in l)}) p(code, marker)),
+  letters AS (SELECT * FROM (VALUES {', '.join(f'({q(c)}, {q("[" + "".join(s) + "]")})' for c, s in SIGNATURES.items())}) s(code, pattern)),
+  base AS (SELECT doc_id, lang, lower(text) AS low, {words('text')} AS w, {script('text')} AS script FROM {TEXTS}),
+  hits AS (SELECT doc_id, code, n, count(*) AS h, any_value(low) AS low FROM (SELECT doc_id, len(w) AS n, low, unnest(w) AS word FROM base WHERE len(w) >= 40 AND script IS NULL) JOIN profile USING (word) GROUP BY doc_id, code, n),
+  scores AS (SELECT doc_id, hits.code, h / n * CASE WHEN regexp_matches(low, pattern) THEN {BOOST}e0 ELSE 1e0 END AS score FROM hits LEFT JOIN letters USING (code) UNION ALL SELECT doc_id, script, 1 FROM base WHERE script IS NOT NULL),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS rank FROM scores)"""
 
 CONTRA = f"""contra AS (SELECT b.doc_id, b.lang, max(CASE WHEN rank = 1 THEN r.code END) AS top_code, max(CASE WHEN rank = 1 THEN score END) AS top_score,

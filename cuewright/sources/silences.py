@@ -10,10 +10,15 @@ def _value(line: Column, name: str) -> Column:
 
 
 def silences(logs: DataFrame, key: str = "item_id", content: str = "log", duration: str = "duration_s") -> DataFrame:
-    """(key, duration, start_s, end_s) of each silence: from the first start after the last end, to the next end or the total."""
-    lines = logs.where(F.col(duration) > 0).select(key, duration, F.posexplode(F.split(F.coalesce(F.col(content), F.lit("")), "\n")).alias("pos", "line"))
+    """(key, duration, start_s, end_s) of each silence: from the first start after the last end, to the next end or the total.
+
+    Where the duration is not known, the last time of the log stands for it.
+    """
+    lines = logs.select(key, duration, F.posexplode(F.split(F.coalesce(F.col(content), F.lit("")), "\n")).alias("pos", "line"))
     start, end = _value(F.col("line"), "silence_start:"), _value(F.col("line"), "silence_end:")
     marks = lines.select(key, duration, "pos", start.alias("s"), F.when(start.isNull(), end).alias("e")).where("s is not null or e is not null")
+    last = F.max(F.greatest("s", "e")).over(Window.partitionBy(key))
+    marks = marks.withColumn(duration, F.when(F.col(duration) > 0, F.col(duration)).otherwise(last)).where(F.col(duration) > 0)
     # an episode ends with each end
     order = Window.partitionBy(key).orderBy("pos")
     episode = F.coalesce(F.sum(F.col("e").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -24,9 +29,12 @@ def silences(logs: DataFrame, key: str = "item_id", content: str = "log", durati
 
 
 def speech(logs: DataFrame, key: str = "item_id", content: str = "log", duration: str = "duration_s") -> DataFrame:
-    """(key, span_idx, start_s, end_s): what the silences leave of the duration; all of it without any; nothing of an unknown duration."""
+    """(key, span_idx, start_s, end_s): what the silences leave of the duration; all of it without any.
+
+    Where the duration is not known, that of the log stands for it; with neither there is no span.
+    """
     quiet = silences(logs, key, content, duration)
-    known = logs.where(F.col(duration) > 0).select(key, duration)
+    known = logs.where(F.col(duration) > 0).select(key, duration).unionByName(quiet.select(key, duration)).distinct()
     walls = quiet.unionByName(known.select(key, duration, F.col(duration).alias("start_s"), F.col(duration).alias("end_s")))
     before = Window.partitionBy(key).orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, -1)
     gaps = walls.withColumn("from_s", F.coalesce(F.max("end_s").over(before), F.lit(0.0))).where("start_s > from_s")

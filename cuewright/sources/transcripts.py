@@ -63,19 +63,21 @@ def candidate_json(rows: DataFrame, key: str, body: str = "body", duration: str
 
 
 def transcribed(clips: DataFrame, key: str, call: Callable[[bytes], str], audio: str = "audio") -> DataFrame:
-    """(key, body): the response of ``call`` to each clip; a clip whose call fails has none."""
+    """(key, body, error): the response of ``call`` to each clip, or why it failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bodies = []
+            bodies, errors = [], []
             for data in pdf[audio]:
                 try:
-                    bodies.append(call(data))
-                except Exception:
-                    bodies.append(None)
-            yield pd.DataFrame({key: pdf[key], "body": bodies})
-
-    return clips.select(key, audio).mapInPandas(run, f"`{key}` {dict(clips.dtypes)[key]}, body string")
+                    body, error = call(data), None
+                except Exception as e:  # whatever a service raises is the clip's error, not the job's
+                    body, error = None, f"{type(e).__name__}: {e}"
+                bodies.append(body)
+                errors.append(error)
+            yield pd.DataFrame({key: pdf[key], "body": bodies, "error": errors})
+
+    return clips.select(key, audio).mapInPandas(run, f"`{key}` {dict(clips.dtypes)[key]}, body string, error string")
 
 
 def segment_rows(results: DataFrame, key: str, start: str | None = None) -> DataFrame:
