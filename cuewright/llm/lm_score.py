@@ -183,6 +183,7 @@ def _posted(batches: Iterable[pa.RecordBatch], shared, buckets: int, block: int)
         flags = [_flags(batch.column(i)) for i in (2, 3)]
         for b in _blocks(batch.column(1), block):
             ids, marks = every[b.begin : b.begin + b.size], [x[b.begin : b.begin + b.size] for x in flags]
+            name = np.bitwise_xor.reduce(ids)  # any will do, as long as a block has few others beside it
             w, at = models.told(b.h), b.pairs()
             at = at[(w[at] >= 0) & (w[at - 1] >= 0)]
             hot = _place(models.hot, pair_keys(b.h[at - 1], b.h[at])) if len(models.hot) else np.full(len(at), -1)
@@ -214,57 +215,73 @@ def _posted(batches: Iterable[pa.RecordBatch], shared, buckets: int, block: int)
                     np.diff(k, prepend=np.uint64(0)), place.astype(np.uint32), times[s:e].astype(np.uint32),
                     often[h].astype(np.uint32), counts[0][h].astype(np.uint32), counts[1][h].astype(np.uint32),
                 ))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(data, pa.binary())], names=["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.full(len(numbers), name)), pa.array(data, pa.binary())], names=["bucket", "block", "data"])
 
 
-ANSWER = "id long, target double, background double, hot int"
+#: Of a block: its texts' ids and the changes of their losses, packed; or the counts of a frequent bigram.
+ANSWER = "block long, data binary, hot int, target double, background double"
 
 
-def _answers(ids=(), target=(), background=(), hot=None) -> pa.Table:
-    n = len(ids)
-    arrays = [pa.array(ids, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())]
-    return pa.table([*arrays, pa.nulls(n, pa.int32()) if hot is None else pa.array(hot, pa.int32())], names=["id", *SIDES, "hot"])
+def _answers(blocks=(), data=(), hot=(), target=(), background=()) -> pa.Table:
+    n, k = len(data), len(hot)
+    fill = lambda x, kind, before, after: pa.concat_arrays([pa.nulls(before, kind), pa.array(x, kind), pa.nulls(after, kind)])
+    arrays = [fill(blocks, pa.int64(), 0, k), fill(data, pa.binary(), 0, k), fill(hot, pa.int32(), n, 0), fill(target, pa.float64(), n, 0), fill(background, pa.float64(), n, 0)]
+    return pa.table(arrays, names=["block", "data", "hot", *SIDES])
 
 
 def _answered(table: pa.Table, shared) -> pa.Table:
-    """Of one bucket: the change of the losses of each text, by its id, and the counts of frequent bigrams."""
+    """Of one bucket: the changes of the losses of each block's texts, and the counts of frequent bigrams."""
     models: Models = shared.value
-    posted = [_unpacked(x.as_py(), *_POSTED) for x in table.column("data")]
+    posted, blocks = [_unpacked(x.as_py(), *_POSTED) for x in table.column("data")], table.column("block").to_numpy()
     hot, inverse = np.unique(np.concatenate([p[5] for p in posted]), return_inverse=True)
     totals = [np.bincount(inverse, np.concatenate([p[i] for p in posted]), len(hot)) for i in (6, 7)]
-    out = [_answers(np.zeros(len(hot)), *totals, hot=hot.astype(np.int32))]
     keys = np.concatenate([np.cumsum(p[2]) for p in posted])
-    if len(keys):
-        ids = np.concatenate([p[0][p[3]] for p in posted])
-        marks = np.concatenate([p[1][p[3]] for p in posted])
-        times = np.concatenate([p[4] for p in posted]).astype(np.float64)
-        del posted
-        order = np.argsort(keys, kind="stable")
-        keys, ids, marks, times = keys[order], ids[order], marks[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        seen = [np.add.reduceat(times * (marks & bit > 0), first) for bit in (1, 2)]
-        size = np.diff([*first, len(keys)])
-        told = np.repeat(seen[1] >= LEAST, size)
-        number = np.repeat(np.arange(len(first)), size)[told]
-        ids, times = ids[told], times[told]
-        # equal texts have one id and one answer
-        order = np.lexsort((ids, number))
-        ids, times, number = ids[order], times[order], number[order]
-        once = np.ones(len(ids), bool)
-        once[1:] = (ids[1:] != ids[:-1]) | (number[1:] != number[:-1])
-        ids, times, number = ids[once], times[once], number[once]
-        lead = keys[first]
-        rare = lead >= _RARE
-        a, b = (np.where(rare, 0, x).astype(np.int64) for x in (lead >> np.uint64(32), lead & np.uint64(0xFFFFFFFF)))
-        each, inverse = np.unique(ids, return_inverse=True)
-        sums = []
-        for side in range(2):
-            change = models.rare_change(side, seen[side])
-            if len(models.words):
-                change = np.where(rare, change, models.bigram_change(side, a, b, seen[side]))
-            sums.append(np.bincount(inverse, times * change[number], len(each)))
-        out.append(_answers(each, *sums))
-    return pa.concat_tables(out)
+    if not len(keys):
+        return _answers(hot=hot.astype(np.int32), target=totals[0], background=totals[1])
+    # each text of each block has a place of its own here
+    base = np.cumsum([0, *(len(p[0]) for p in posted)])
+    every, flags = np.concatenate([p[0] for p in posted]), np.concatenate([p[1] for p in posted])
+    place = np.concatenate([p[3].astype(np.int64) + at for p, at in zip(posted, base[:-1], strict=True)])
+    times = np.concatenate([p[4] for p in posted]).astype(np.float64)
+    del posted
+    order = np.argsort(keys, kind="stable")
+    keys, place, times = keys[order], place[order], times[order]
+    marks = flags[place]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    seen = [np.add.reduceat(times * (marks & bit > 0), first) for bit in (1, 2)]
+    told = np.repeat(seen[1] >= LEAST, np.diff([*first, len(keys)]))
+    number = np.repeat(np.arange(len(first)), np.diff([*first, len(keys)]))[told]
+    place, times = place[told], times[told]
+    # equal texts have one id and one answer
+    order = np.lexsort((every[place], number))
+    place, times, number = place[order], times[order], number[order]
+    once = np.ones(len(place), bool)
+    once[1:] = (every[place[1:]] != every[place[:-1]]) | (number[1:] != number[:-1])
+    place, times, number = place[once], times[once], number[once]
+    lead = keys[first]
+    rare = lead >= _RARE
+    a, b = (np.where(rare, 0, x).astype(np.int64) for x in (lead >> np.uint64(32), lead & np.uint64(0xFFFFFFFF)))
+    sums = []
+    for side in range(2):
+        change = models.rare_change(side, seen[side])
+        if len(models.words):
+            change = np.where(rare, change, models.bigram_change(side, a, b, seen[side]))
+        sums.append(np.bincount(place, times * change[number], len(every)))
+    own = np.unique(place)
+    cuts = np.searchsorted(own, base)
+    data, of = [], []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        at = own[cuts[k] : cuts[k + 1]]
+        data.append(_packed(every[at], *(x[at].astype(np.float32) for x in sums)))
+        of.append(blocks[k])
+    return _answers(of, data, hot.astype(np.int32), *totals)
+
+
+def _changed(table: pa.Table) -> pa.Table:
+    """Of the answers to one block: the changes of each text."""
+    ids, *sums = (np.concatenate(x) for x in zip(*(_unpacked(x.as_py(), np.int64, np.float32, np.float32) for x in table.column("data")), strict=True))
+    each, inverse = np.unique(ids, return_inverse=True)
+    return pa.table([pa.array(each), *(pa.array(np.bincount(inverse, x, len(each))) for x in sums)], names=["id", *SIDES])
 
 
 def _based(batches: Iterable[pa.RecordBatch], at: int, kept: list[int], shared, hot_changes, block: int) -> Iterator[pa.RecordBatch]:
@@ -326,7 +343,7 @@ def score_documents(docs: DataFrame, target: Column, background: Column | None =
     models = count_words(asked.select("text", *SIDES), rate, hot, block)
     shared = spark.sparkContext.broadcast(models)
     buckets = max(shuffle_partitions(spark), int(models.sums[1] // part) + 1)
-    posted = asked.mapInArrow(lambda b: _posted(b, shared, buckets, block), "bucket long, data binary")
+    posted = asked.mapInArrow(lambda b: _posted(b, shared, buckets, block), "bucket long, block long, data binary")
     answers = stored(posted.groupBy("bucket").applyInArrow(lambda t: _answered(t, shared), ANSWER), "answers")
 
     # the frequent bigrams, by their numbers: as many as the list that is broadcast
@@ -342,7 +359,8 @@ def score_documents(docs: DataFrame, target: Column, background: Column | None =
     fields = [rows.schema.fields[i] for i in kept]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "_lm_n long, _lm_target double, _lm_background double"
     based = rows.mapInArrow(lambda b: _based(b, at, kept, shared, hot_changes, block), schema)
-    changed = answers.where("hot is null").groupBy(F.col("id").alias("_lm_id")).agg(*[F.sum(s).alias(f"_lm_{s}_change") for s in SIDES])
+    changed = answers.where("hot is null").select("block", "data").groupBy("block").applyInArrow(_changed, "id long, target double, background double")
+    changed = changed.groupBy(F.col("id").alias("_lm_id")).agg(*[F.sum(s).alias(f"_lm_{s}_change") for s in SIDES])
     done = based.join(changed, "_lm_id", "left")
     means = [(F.col(f"_lm_{s}") + F.coalesce(f"_lm_{s}_change", F.lit(0.0))) / F.when(F.col("_lm_n") > 0, F.col("_lm_n")) for s in SIDES]
     done = done.withColumns({"n_words": F.col("_lm_n"), "target_loss": means[0], "background_loss": means[1]})
