@@ -4,14 +4,14 @@ Each round joins every node with the smallest of its neighbours; the number of
 rounds grows with the logarithm of the longest path. Minima are combined before
 each shuffle, joins on a hot node are split by adaptive execution, and each
 round's edges are a table in the shared folder, so a lost executor costs one
-round at most. No edge and no label goes to the driver.
+round at most; a round's table goes when the next one stands. No edge and no label goes to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cuewright.llm.scratch import stored
+from cuewright.llm.scratch import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int | None]:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

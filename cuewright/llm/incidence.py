@@ -63,34 +63,29 @@ def possible_edges(ids: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray
     side = np.zeros(m, bool) if left is None else np.arange(m) >= left
     ids, sizes, side = ids[order], sizes[order], side[order]
     words = np.array([len(sketches[k]) for k in order])
-    parent = np.arange(m)
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = int(parent[a])
-        return a
-
+    tree = np.arange(m)  # which tree of the forest a row is in
     edges, tables = [], {}
     far = np.searchsorted(sizes * percent, sizes * 100, side="right")  # sizes[j] * percent <= sizes[i] * 100
     for i in range(m):
         lo, hi = i + 1, int(far[i])
-        if lo >= hi:
+        other = tree[lo:hi] != tree[i]
+        if left is not None:
+            other &= side[lo:hi] != side[i]
+        # rows that are in one tree already need no comparison
+        at = np.flatnonzero(other)
+        if not len(at):
             continue
         w = int(words[i])
         if w not in tables:
             first, last = int(np.searchsorted(words, w)), int(np.searchsorted(sizes * percent, sizes[words == w].max() * 100, side="right"))
             tables[w] = first, np.stack([folded(sketches[k], w) for k in order[first:last]])
         first, table = tables[w]
-        differ = np.bitwise_count(table[lo - first : hi - first] ^ table[i - first]).sum(1, dtype=np.int64)
-        ok = differ * (100 + percent) <= (100 - percent) * (sizes[lo:hi] + sizes[i])
-        if left is not None:
-            ok &= side[lo:hi] != side[i]
-        for j in (np.flatnonzero(ok) + lo).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((int(ids[i]), int(ids[j])))
+        differ = np.bitwise_count(table[at + lo - first] ^ table[i - first]).sum(1, dtype=np.int64)
+        near = at[differ * (100 + percent) <= (100 - percent) * (sizes[at + lo] + sizes[i])] + lo
+        found, which = np.unique(tree[near], return_index=True)
+        edges += [(int(ids[i]), int(ids[j])) for j in near[which].tolist()]
+        if len(found):
+            tree[np.isin(tree, found)] = tree[i]
     return edges
 
 
@@ -101,7 +96,7 @@ def row_product(rows: list[np.ndarray], columns_at_once: int = 2048) -> np.ndarr
     others add one for each two of their rows.
     """
     m = len(rows)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, m), np.int64)
     if m == 2:
         out[:] = len(np.intersect1d(rows[0], rows[1], assume_unique=True))
         np.fill_diagonal(out, [len(s) for s in rows])
@@ -118,7 +113,7 @@ def row_product(rows: list[np.ndarray], columns_at_once: int = 2048) -> np.ndarr
         a, b = np.searchsorted(c, [lo, lo + columns_at_once])
         block = np.zeros((m, columns_at_once), np.float32)
         block[r[a:b], c[a:b] - lo] = 1
-        out += block @ block.T
+        out += (block @ block.T).astype(np.int64)  # at most columns_at_once each: exact
     r, c = row[~dense], column[~dense]
     first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(c)))

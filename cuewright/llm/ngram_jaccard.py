@@ -39,10 +39,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cuewright.llm.components import connected_components
 from cuewright.llm.incidence import fingerprint, linked, parity_sketch, possible_edges, prefix
 from cuewright.llm.kernels import batch_word_hashes, shingles, word_hashes
-from cuewright.llm.scratch import shuffle_partitions, stored
+from cuewright.llm.scratch import discard, shuffle_partitions, stored
 
 #: An n-gram that one of so many documents has is common and comes last in the order of columns.
 COMMON = 1000
+#: Most of them that are broadcast, at 8 bytes each.
+MOST_COMMON = 2_000_000
 #: Size classes are as wide as so many steps of the least similarity.
 CLASSES = 3
 #: Rows of a column, and rows or elements of a block, that one task takes; more are cut in parts.
@@ -78,14 +80,18 @@ def _frequent(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def common_grams(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """The n-grams of at least one in ``COMMON`` documents, sorted; at most ``COMMON`` times the mean size of a set.
+    """The n-grams of at least one in ``COMMON`` documents, sorted; of more than ``MOST_COMMON`` the more frequent ones.
 
     They decide the order of columns alone, so that a count that misses rare
-    occurrences changes the speed and never a result.
+    occurrences, or a shorter list, changes the speed and never a result.
     """
     found = docs.select(text).mapInArrow(lambda b: _frequent(b, width), "gram long, n long")
-    least = max(8, docs.count() // COMMON)
-    grams = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram").toArrow()["gram"]
+    table = stored(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    bounds = [max(8, docs.count() // COMMON) << k for k in range(24)]
+    sizes = table.agg(*[F.count_if(F.col("n") >= x) for x in bounds]).first()
+    least = next((x for x, size in zip(bounds, sizes, strict=True) if size <= MOST_COMMON), None)
+    grams = table.where(F.lit(False) if least is None else F.col("n") >= least).select("gram").toArrow()["gram"]
+    discard(table)
     return np.sort(grams.to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -246,6 +252,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = _in_parts(texts.select("text", "sid", "root", "copies", "parts"), "parts").repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
     links = stored(texts.mapInPandas(lambda b: _block_links(b, width, percent), "sid long, least long, links long"), "links")
 
+    discard(met, members)
     labels = connected_components(links.select("sid", "least")).withColumnRenamed("node", "sid")
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
     known = firsts.join(labels, "sid", "left").join(counts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
