@@ -8,13 +8,16 @@ are reranked by the exact distance on the original vectors.
 
 Every row is indexed; the codebooks are fitted on a bounded sample. Cells are
 packed into blocks of a stated number of entries, and a cell of more entries is
-cut, so no task holds a hot cell whole. Queries go to the blocks they visit.
+cut by a hash, so no task holds a hot cell whole. An entry is shuffled once, to
+its block; a query goes to the blocks it visits, with the sum up to which it
+visits cells, and a block's queries stream past its entries.
 
 Defined cases: vectors that are null, zero or hold a null or non-finite
 component take no part, nor do those of another length than the most frequent
 one (ties: the longer); a query's own id is no candidate; equal distances go to
 the smaller id; with fewer candidates all are returned; an empty table gives an
-empty result; repeated ids are candidates like others.
+empty result; repeated ids are candidates like others, and as queries one, of
+the least of their vectors; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cuewright.llm.scratch import shuffle_partitions
+
 #: Rows that the codebooks are fitted on, centroids of a half, and entries of a block.
-SAMPLE, CENTROIDS, BLOCK = 8192, 64, 16384
-#: Queries that one task takes with a block.
-QUERIES = 4096
+SAMPLE, CENTROIDS, BLOCK = 8192, 64, 32768
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
@@ -49,14 +52,14 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
 
 
-def visited(near: np.ndarray, far: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
-    """Cells in the order of their summed distances, by a heap, until they hold ``wanted`` entries."""
+def visited(near: np.ndarray, far: np.ndarray, counts: np.ndarray, wanted: int) -> tuple[list[int], float]:
+    """Cells that hold entries, in the order of their summed distances, by a heap, until they hold ``wanted`` entries; and the last sum."""
     first, second = np.argsort(near, kind="stable"), np.argsort(far, kind="stable")
     a, b = near[first].tolist(), far[second].tolist()
-    heap, cells, have, width = [(a[0] + b[0], 0, 0)], [], 0, len(b)
+    heap, cells, have, width, total = [(a[0] + b[0], 0, 0)], [], 0, len(b), 0.0
     reached = [0] * len(a)  # of each row of the grid, how far it has been taken
     while heap and have < wanted:
-        _, i, j = heapq.heappop(heap)
+        total, i, j = heapq.heappop(heap)
         cell = int(first[i]) * width + int(second[j])
         reached[i] = j + 1
         if counts[cell]:
@@ -67,7 +70,7 @@ def visited(near: np.ndarray, far: np.ndarray, counts: np.ndarray, wanted: int)
             heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
         if i + 1 < len(a) and reached[i + 1] == j:
             heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
-    return cells
+    return cells, total
 
 
 def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -95,8 +98,12 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     books = kmeans(points[:, :half], centroids), kmeans(points[:, half:], centroids) if points.shape[1] > half else np.zeros((1, 0))
     width = len(books[1])
 
+    def halves(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return squared(vectors[:, :half], books[0]), squared(vectors[:, half:], books[1])
+
     def cells_of(vectors: np.ndarray) -> np.ndarray:
-        return squared(vectors[:, :half], books[0]).argmin(1) * width + squared(vectors[:, half:], books[1]).argmin(1)
+        near, far = halves(vectors)
+        return near.argmin(1) * width + far.argmin(1)
 
     @F.pandas_udf("int")
     def cell(vec: pd.Series) -> pd.Series:
@@ -119,49 +126,59 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         else:
             filled += n
 
+    spread, cuts = [df.sparkSession.sparkContext.broadcast(x) for x in (first, parts)]
+
     @F.pandas_udf("int")
-    def block_of(cells: pd.Series, ids: pd.Series) -> pd.Series:
+    def block_of(cells: pd.Series, hashes: pd.Series) -> pd.Series:
         c = cells.to_numpy()
-        return pd.Series(first[c] + ids.to_numpy() % parts[c], dtype="int32")
+        return pd.Series(spread.value[c] + hashes.to_numpy() % cuts.value[c], dtype="int32")
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin, width_of = spread.value, cuts.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            vecs = np.stack(pdf["vec"].to_numpy())
-            near, far = squared(vecs[:, :half], books[0]), squared(vecs[:, half:], books[1])
+            near, far = halves(np.stack(pdf["vec"].to_numpy()))
             for q, vec, a, b in zip(pdf["id"], pdf["vec"], near, far, strict=True):
-                cells = np.array(visited(a, b, counts, wanted))
-                blocks = np.repeat(first[cells], parts[cells]) + np.concatenate([np.arange(p) for p in parts[cells]])
-                each = np.repeat(cells, parts[cells])
-                order = np.argsort(blocks, kind="stable")
-                own, begin = np.unique(blocks[order], return_index=True)
-                yield pd.DataFrame({"block": own, "query_id": q, "qvec": [vec] * len(own), "cells": np.split(each[order], begin[1:])})
-
-    n_queries = rows.where(is_query).count()
-    query_parts = max(1, -(-n_queries // QUERIES))
-    queries = rows.where(is_query).mapInPandas(traverse, "block int, query_id long, qvec array<double>, cells array<int>").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
-    entries = index.select(block_of("cell", "id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("part"), "id", "vec", "cell")
-
-    def rerank(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(asked):
-            ids, vecs, cells = own["id"].to_numpy(), np.stack(own["vec"].to_numpy()), own["cell"].to_numpy()
-            for q, vec, wanted_cells in zip(asked["query_id"], asked["qvec"], asked["cells"], strict=True):
-                see = np.zeros(len(counts), bool)
-                see[wanted_cells] = True
-                at = np.flatnonzero(see[cells] & (ids != q))
-                if len(at):
-                    d = vecs[at] - vec
+                cells, reach = visited(a, b, counts, wanted)
+                blocks = np.unique(np.concatenate([begin[c] + np.arange(width_of[c]) for c in cells]))
+                yield pd.DataFrame({"block": blocks.astype(np.int32), "asks": True, "id": q, "vec": [vec] * len(blocks), "cell": -1, "reach": reach})
+
+    schema = "block int, asks boolean, id long, vec array<double>, cell int, reach double"
+    queries = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).mapInPandas(traverse, schema)
+    entries = index.select(block_of("cell", F.xxhash64("id")).alias("block"), F.lit(False).alias("asks"), "id", "vec", "cell", F.lit(0.0).alias("reach"))
+    both = entries.unionByName(queries).repartition(shuffle_partitions(df.sparkSession), "block").sortWithinPartitions("block", "asks")
+
+    def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, own = None, [], None
+        for pdf in batches:
+            for (block, asks), g in pdf.groupby(["block", "asks"]):
+                vecs, ids = np.stack(g["vec"].to_numpy()), g["id"].to_numpy()
+                if not asks:
+                    held, here, own = [*(held if here == block else []), (ids, vecs, g["cell"].to_numpy())], block, None
+                    continue
+                if here != block:
+                    continue
+                own = own or tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                cells, at = np.unique(own[2], return_inverse=True)
+                near, far = halves(vecs)
+                found = []
+                for q, vec, sums, reach in zip(ids, vecs, near[:, cells // width] + far[:, cells % width], g["reach"], strict=True):
+                    # the sums are taken again here: their last digits may differ
+                    k_at = np.flatnonzero((sums <= reach + 1e-9 * (1 + abs(reach)))[at] & (own[0] != q))
+                    if not len(k_at):
+                        continue
+                    d = own[1][k_at] - vec
                     score = np.sqrt(np.einsum("ij,ij->i", d, d))
-                    if len(at) > 4 * k:  # ties of the k-th stay
+                    if len(k_at) > 4 * k:  # ties of the k-th stay
                         keep = score <= np.partition(score, k - 1)[k - 1]
-                        at, score = at[keep], score[keep]
-                    best = np.lexsort((ids[at], score))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                        k_at, score = k_at[keep], score[keep]
+                    best = np.lexsort((own[0][k_at], score))[:k]
+                    found.append((np.full(len(best), q), own[0][k_at[best]], score[best]))
+                if found:
+                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    found = entries.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = both.mapInPandas(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
