@@ -35,7 +35,7 @@ from cuewright.llm.scratch import discard, stored
 #: Cells of the hashed vocabulary.
 CELLS = 1 << 18
 #: Most confirmed toxic rows, and most unlabelled rows, that a classifier is fitted on, taken in the order of a hash.
-MOST_POSITIVE, MOST_UNLABELLED = 4000, 12000
+MOST_POSITIVE, MOST_UNLABELLED = 4000, 24000
 
 
 @dataclass(frozen=True)
@@ -77,13 +77,14 @@ def _pick(cells: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 Rows = tuple[np.ndarray, np.ndarray]
 
 
-def telling_cells(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least_z: float = 3.0) -> np.ndarray:
+def telling_cells(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least_z: float = 3.0, least: int = 4) -> np.ndarray:
     """Cells whose share of the positives differs from their share of the unlabelled by ``least_z`` standard errors.
 
-    The many others would carry noise into long texts.
+    The many others would carry noise into long texts; one of fewer than
+    ``least`` occurrences on either side (for the other side's number of rows) says nothing.
     """
     share = (in_p + in_u + 1) / (n_p + n_u + 2)
-    return (in_p + in_u >= 5) & (np.abs(in_p / n_p - in_u / n_u) >= least_z * np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u)))
+    return (np.maximum(in_p, in_u * (n_p / n_u)) >= least) & (np.abs(in_p / n_p - in_u / n_u) >= least_z * np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
     return float(prior * _soft(-gp).mean() + max(0.0, _soft(gu).mean() - prior * _soft(gp).mean()))
 
 
-def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, count: int, steps: int = 1500, rate: float = 0.03, decay: float = 1e-3, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, count: int, steps: int = 1500, rate: float = 0.03, decay: float = 2e-3, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of ``count`` features and the bias of least non-negative risk, by Adam on mini-batches."""
     n_p, n_u = len(positive[1]) - 1, len(unlabelled[1]) - 1
     rng = np.random.default_rng(seed)
