@@ -6,17 +6,23 @@ parameters has the same template. Whether a capital makes a name is not certain,
 so texts and items alike are read in three ways: without names, in lower case
 (which finds text in capitals); with every capitalised word as a name; and with
 those that start a sentence left as words. Adjacent words of a name are one
-placeholder. Windows of template words are hashed and joined within a reading.
+placeholder. Windows of template words are hashed and joined within a reading;
+a window of placeholders alone, as tables are full of, is told by its values.
+
 On each alignment of a document with an item, the values behind the
-placeholders must map consistently: one value of the item to one value of the
-document. An item counts as found if enough of its windows are in one reading,
-and is reported by the reading that has the largest share of them.
-
-Defined cases: null or empty texts have no windows; an item of fewer words than
-a window is one window of its own width, and one of fewer than ``LEAST`` words
-(in a reading, of its template) is never found; repeated rows of either side are reported once; rows without a
-key are left out; an empty table on either side gives an empty result; other
-columns are not looked at.
+placeholders must map consistently, both ways: one value of the item to one of
+the document, and no other to that. Alignments that agree with the item's best
+one in their values count together. An item counts as found if enough of its
+windows are in one reading, and is reported by the reading that has the largest
+share of them.
+
+Defined cases: null or empty texts have no windows and items without words are
+never found; an item of fewer words than a window (in a reading, of its
+template) is one window of its own width, and one of fewer than ``LEAST`` is
+found where it is a document's whole text; repeated rows of either side are
+reported once; rows without a key are left out; an empty table on either side
+gives an empty result; very long texts are read whole; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuewright.llm.scratch import stored
 
-#: Words of a window; fewest words of an item.
+#: Words of a window; fewest words of an item that is looked for inside texts.
 WIDTH, LEAST = 8, 5
 #: An item is found with this share of its windows, or this number.
 SHARE, ENOUGH = 0.5, 20
@@ -37,114 +43,192 @@ UNITS = "% ° km cm mm m kg g mg lb lbs oz l ml h hr hrs hour hours min minute m
 MARKS = ".,;:!?\"'()[]{}$€£*#"
 
 
-def words_of(text: Column) -> Column:
-    """Words between ASCII white space, as they stand."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+_M, _BLANK = "[" + "".join("\\" + m for m in MARKS) + "]", "[\\x20\\x09-\\x0D]+"
+# a value stands between the first two behind its placeholder, where it is kept; the third is before a word that starts a sentence
+_FROM, _TO, _START = "\x01", "\x02", "\x03"
+_UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
+_CAPITAL = "[\\p{Lu}\\p{Lt}][^ ]*"
+NAME = "<name>"
+#: What makes a name, by reading: nothing, any capital, one that starts no sentence.
+READINGS = (None, _START + "?", "")
 
 
-def template_of(words: Column) -> Column:
-    """For each word: itself in lower case or <num>, <unit>; whether it is capitalised; whether it starts a sentence; its bare form."""
-    digit = lambda x: x.between("0", "9")
+def _marked(text: Column, values: bool) -> Column:
+    """A text in words between single blanks, after a blank, without marks at their ends; numbers and units replaced, sentence starts marked."""
+    kept = lambda k: _FROM + f"${k}" + _TO if values else ""
+    flat = F.translate(F.coalesce(text, F.lit("")), _FROM + _TO + _START, "   ")
+    flat = F.concat(F.lit(" "), F.regexp_replace(flat, _BLANK, " "), F.lit(" "))
+    flat = F.regexp_replace(flat, f" {_M}*([0-9](?:[.,:/]*[0-9])*)", " <num>" + kept(1))
+    unit = lambda t: F.regexp_replace(t, f"(<num>(?:{_FROM}[^ ]*{_TO})?)((?: {_M}*)?)((?i:{_UNIT}))(?={_M}* )", "$1$2<unit>" + kept(3))
+    flat = once(flat, lambda t: F.when(F.contains(t, F.lit("<num>")), unit(t)).otherwise(t))
+    flat = F.regexp_replace(flat, f"((?:^|[.!?]) +{_M}*)(?=[\\p{{Lu}}\\p{{Lt}}])", "$1" + _START)
+    return F.regexp_replace(F.regexp_replace(flat, f"{_M}+ ", " "), f" +{_M}*", " ")
 
-    def word(bare: Column, i: Column) -> Column:
-        first, low, before = F.substr(bare, F.lit(1), F.lit(1)), F.lower(bare), F.get(words, i - 1)
-        rest = F.regexp_replace(low, r"[0-9][0-9.,:/]*", "")
-        number = F.when(rest == "", "<num>").when(rest.isin(UNITS), "<num><unit>").otherwise(F.concat(F.lit("<num>"), rest))
-        unit = low.isin(UNITS) & F.coalesce(digit(F.substr(F.btrim(before, F.lit(MARKS)), F.lit(1), F.lit(1))), F.lit(False))
-        kind = F.when(digit(first), number).when(unit, "<unit>").otherwise(low)
-        starts = (i == 0) | F.right(before, F.lit(1)).isin(".", "!", "?")
-        return F.struct(kind.alias("kind"), ((F.lower(first) != first) & ~unit).alias("capital"), starts.alias("starts"), low.alias("low"))
 
-    # trimmed once a word, as a lambda evaluates each mention anew
-    return F.transform(F.transform(words, lambda w: F.btrim(w, F.lit(MARKS))), word)
+def _reading(marked: Column, reading: int, values: bool) -> Column:
+    """The template's words of a marked text in a reading; adjacent names are one, but where values are kept."""
+    before = READINGS[reading]
+    if before is not None:
+        name = " " + before + "(" + _CAPITAL + ")"
+        marked = F.regexp_replace(marked, name if values else f"(?:{name})+", f" {NAME}" + (_FROM + "$1" + _TO if values else ""))
+    words = F.lower(F.replace(marked, F.lit(_START), F.lit("")))
+    return F.filter(F.split(words, " "), lambda w: w != "")
 
 
-NAME = "<name>"
-#: Whether a template's word is a name, by reading.
-READINGS = (lambda t: F.lit(False), lambda t: t["capital"], lambda t: t["capital"] & ~t["starts"])
+def templates(text: Column) -> Column:
+    """An array of the hashes of the template's words, for each reading."""
+    return once(_marked(text, False), lambda m: F.array(*[F.transform(_reading(m, r, False), lambda w: F.xxhash64(w)) for r in range(len(READINGS))]))
+
+
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _hashed(template: Column) -> list[Column]:
-    """Hashes of the template's words by reading; those of adjacent names not yet merged."""
-    return [F.transform(template, lambda t: F.when(named(t), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(t["kind"]))) for named in READINGS]
+def _slots(text: Column, reading: int) -> Column:
+    """The (kind, value) of the template's words in a reading, with adjacent names merged."""
+    kind = lambda w: F.regexp_replace(w, f"{_FROM}[^{_TO}]*{_TO}", "")
+    inner = lambda w: F.when(F.contains(w, F.lit(_FROM)), F.array_join(F.regexp_extract_all(w, F.lit(f"{_FROM}([^{_TO}]*){_TO}"), 1), " ")).otherwise(w)
+    each = F.transform(_reading(_marked(text, True), reading, True), lambda w: F.struct(kind(w).alias("kind"), F.btrim(inner(w), F.lit(MARKS)).alias("value")))
 
+    def merged(x: Column) -> Column:
+        leads = F.filter(F.transform(x, lambda s, i: F.when((s["kind"] != NAME) | ~F.coalesce(F.get(x, i - 1)["kind"] == NAME, F.lit(False)), i)), lambda i: i.isNotNull())
 
-def _merged(hashes: Column) -> Column:
-    name = F.xxhash64(F.lit(NAME))
-    return F.filter(hashes, lambda h, i: (h != name) | ~F.get(hashes, i - 1).eqNullSafe(name))
+        def slot(at: Column) -> Column:
+            ends = lambda k: F.coalesce(F.get(at, k + 1), F.size(x))
+            value = lambda i, k: F.array_join(F.transform(F.slice(x, i + 1, ends(k) - i), lambda s: s["value"]), " ")
+            return F.transform(at, lambda i, k: F.struct(F.get(x, i)["kind"].alias("kind"), value(i, k).alias("value")))
 
+        return once(leads, slot)
 
-def _read(df: DataFrame, template: str = "template") -> DataFrame:
-    """``df`` with a row for each ``reading``: ``slots``, the (kind, value) of the words with adjacent names merged."""
-    names = F.array(*[F.transform(template, named) for named in READINGS])
-    rows = df.select("*", F.posexplode(names).alias("reading", "_names"))
-    at = F.filter(F.transform("_names", lambda n, i: F.when(~(n & F.coalesce(F.get("_names", i - 1), F.lit(False))), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_at", at)
+    return once(each, merged)
 
-    def slot(i: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("_at", k + 1), F.size(template))
-        value = F.array_join(F.transform(F.slice(template, i + 1, end - i), lambda t: t["low"]), " ")
-        return F.struct(F.when(F.get("_names", i), NAME).otherwise(F.get(template, i)["kind"]).alias("kind"), value.alias("value"))
 
-    return rows.withColumn("slots", F.transform("_at", slot)).drop("_names", "_at")
+def _paired(left: Column, right: Column, by: int) -> Column:
+    """Hash of each element of ``left`` with that of ``right`` which is ``by`` places on; none beyond the end."""
+    later = F.slice(right, by + 1, F.greatest(F.size(right) - by, F.lit(0)))
+    return F.filter(F.zip_with(left, later, lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y))), lambda h: h.isNotNull())
 
 
-def _windows(hashes: Column, width: Column) -> Column:
-    """Hash of each window of ``width`` words, given by their hashes."""
-    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(1), F.size(hashes) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+def _windows(hashes: Column, widths: list[int], body) -> Column:
+    """``body`` of the arrays of the hashes of all windows of each width (1 to 15), given by the hashes of their words.
+
+    A window is put together of windows of 1, 2, 4 and 8 words, so that each word is looked at a few times only.
+    """
+
+    def rest(power: list[Column]) -> Column:
+        size = 1 << len(power)
+        if size <= max(widths):
+            return once(_paired(power[-1], power[-1], size // 2), lambda p: rest([*power, p]))
+        found = []
+        for width in widths:
+            have, done = None, 0
+            for k in reversed(range(len(power))):
+                if width >> k & 1:
+                    have, done = (power[k] if have is None else _paired(have, power[k], done)), done + (1 << k)
+            found.append(have)
+        return body(found)
+
+    return rest([hashes])
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _bare(text: Column) -> Column:
+    """A whole text in lower case, with one blank for any blanks and marks between words."""
+    return F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{_BLANK}|{_M})+", " ")))
+
+
+def _short_items(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Items that are too short for windows, where they are a document's whole text."""
+    n = short.count()
+    if not n:
+        return short.select(F.lit(None).cast(docs.schema["key"].dataType).alias("key"), "item", *[F.lit(0).cast("long").alias(c) for c in FOUND]).where("false")
+    asked = short.select("item", _bare(F.col("text")).alias("bare")).where("bare <> ''")
+    found = docs.select("key", _bare(F.col("text")).alias("bare")).join(_sized(asked, n), "bare").select("key", "item").distinct()
+    return found.select("key", "item", *[F.lit(k).cast("long").alias(c) for c, k in zip(FOUND, (1, 1, 0), strict=True)])
+
+
+FOUND = ("n_found", "n_windows", "n_changed")
+
+
+def _consistent(hits: DataFrame, items: DataFrame, docs: DataFrame, n_slots: int) -> tuple[DataFrame, DataFrame]:
+    """Hits of the alignments whose placeholders map consistently, and how many of them changed, by (key, item, reading)."""
+    one = ["key", "item", "reading"]
+    slots = items.select("item", "reading", F.posexplode("slots").alias("place", "w")).where(F.col("w.kind").startswith("<")).select("item", "reading", "place", "w.kind", "w.value")
+    seen = hits.join(_sized(slots, n_slots), ["item", "reading"]).where("place >= at and place < at + width")
+    seen = seen.select(*one, "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
+    wanted = docs.join(seen.select("key").distinct(), "key").select("key", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in range(len(READINGS))])).alias("reading", "w"))
+    wanted = wanted.select("key", "reading", F.posexplode("w").alias("pos", "w")).select("key", "reading", "pos", F.col("w.value").alias("other"))
+    pairs = stored(seen.join(wanted, ["key", "reading", "pos"]).select(*one, "shift", "kind", "value", "other").distinct(), "pairs")
+    # one value of the item to one of the document, and the other way round
+    odd = [pairs.groupBy(*one, "shift", "kind", a).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*one, "shift") for a in ("value", "other")]
+    odd = odd[0].unionByName(odd[1]).distinct()
+    kept = hits.join(odd, [*one, "shift"], "left_anti")
+    sizes = kept.groupBy(*one, "shift").agg(F.count_distinct("at").alias("n"))
+    best = sizes.groupBy(*one).agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("best"))
+    # alignments that contradict the best one don't count with it
+    of = pairs.join(best, one)
+    chosen = of.where(F.col("shift") == F.col("best")).select(*one, "kind", "value", "other")
+    against = of.join(chosen.withColumnRenamed("other", "_other"), [*one, "kind", "value"]).where(F.col("other") != F.col("_other"))
+    kept = kept.join(against.select(*one, "shift").distinct(), [*one, "shift"], "left_anti")
+    changed = chosen.groupBy(*one).agg(F.count_if(F.col("value") != F.col("other")).alias("n_changed"))
+    return kept, changed
+
+
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(key, item_key, n_found, n_windows, n_changed): the items that documents hold.
 
-    ``n_found`` of the item's ``n_windows`` occur; ``n_changed`` placeholders
-    have other values than in the item. The windows of the documents are never
+    ``n_found`` of the item's ``n_windows`` occur; ``n_changed`` values behind
+    placeholders differ from the item's. The windows of the documents are never
     shuffled unless the benchmark has more than ``BROADCAST_ROWS`` windows.
     """
-    items = items.select(F.col(item_key).alias("item"), words_of(F.col(text)).alias("words")).where("item is not null")
-    items = _read(items.withColumn("template", template_of(F.col("words")))).where(F.size("slots") >= LEAST)
-    items = items.withColumn("width", F.least(F.size("slots"), F.lit(WIDTH)))
-    items = items.withColumn("hashes", F.transform("slots", lambda x: F.xxhash64(x["kind"])))
-    asked = items.select("item", "reading", "width", (F.size("slots") - F.col("width") + 1).alias("n_windows"), F.posexplode(_windows(F.col("hashes"), F.col("width"))).alias("at", "window"))
-    n_asked = asked.count()
-    widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # LEAST to WIDTH at most
-
-    docs = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).where("key is not null")
-    templates = docs.select("key", template_of(F.col("words")).alias("template"))
-    readings = range(len(READINGS))
-    hashes = templates.select("key", *[h.alias(f"h{r}") for r, h in enumerate(_hashed(F.col("template")))])
-    hashes = hashes.select("key", *[(_merged(F.col(f"h{r}")) if r else F.col("h0")).alias(f"m{r}") for r in readings])
-    each = [F.transform(_windows(F.col(f"m{r}"), F.lit(w)), lambda h, i: F.struct(F.lit(r).alias("reading"), i.alias("pos"), h.alias("window"))) for w in widths or [WIDTH] for r in readings]
-    held = hashes.select("key", F.explode(F.concat(*each)).alias("w")).select("key", "w.reading", "w.pos", "w.window")
-    held = held.join(_sized(asked.select("window", "reading").distinct(), n_asked), ["window", "reading"]).join(_sized(asked, n_asked), ["window", "reading"])
-    hits = held.select("key", "item", "reading", "width", "n_windows", "pos", "at", (F.col("pos") - F.col("at")).alias("shift"))
-
-    slots = items.select("item", "reading", F.posexplode("slots").alias("place", "w")).where(F.col("w.kind").startswith("<")).select("item", "reading", "place", "w.kind", "w.value")
-    changed, one = None, ["key", "item", "reading"]
-    if not slots.isEmpty():
-        hits = stored(hits, "hits")  # read three times below; the texts are cut into windows once
-        seen = hits.join(_sized(slots, n_asked), ["item", "reading"]).where("place >= at and place < at + width")
-        seen = seen.select(*one, "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
-        wanted = docs.join(seen.select("key").distinct(), "key").select("key", template_of(F.col("words")).alias("template"))
-        wanted = _read(wanted).select("key", "reading", F.posexplode("slots").alias("pos", "w")).select("key", "reading", "pos", F.col("w.value").alias("other"))
-        pairs = seen.join(wanted, ["key", "reading", "pos"])
-        maps = pairs.groupBy(*one, "shift", "kind", "value").agg(F.count_distinct("other").alias("n"), F.max((F.col("other") != F.col("value")).cast("int")).alias("changed"))
-        odd = maps.where("n > 1").select(*one, "shift").distinct()
-        hits = hits.join(odd, [*one, "shift"], "left_anti")
-        changed = maps.where("n = 1").groupBy(*one).agg(F.sum("changed").alias("n_changed"))
-    found = hits.groupBy(*one).agg(F.count_distinct("at").alias("n_found"), F.first("n_windows").alias("n_windows"))
-    found = found.where((F.col("n_found") >= SHARE * F.col("n_windows")) | (F.col("n_found") >= ENOUGH))
-    found = found.join(changed, one, "left") if changed is not None else found.withColumn("n_changed", F.lit(0))
+    readings, one = range(len(READINGS)), ["key", "item", "reading"]
+    texts = items.select(F.col(item_key).alias("item"), F.col(text).alias("text")).where("item is not null")
+    items = texts.select("item", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in readings])).alias("reading", "slots"))
+    items = items.withColumn("width", F.least(F.size("slots"), F.lit(WIDTH))).withColumn("hashes", F.transform("slots", lambda x: F.xxhash64(x["kind"])))
+    plain = F.transform(F.sequence(F.lit(0), F.size("slots") - F.col("width")), lambda i: F.exists(F.slice("slots", i + 1, F.col("width")), lambda x: ~x["kind"].startswith("<")))
+    own = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for w in range(LEAST, WIDTH + 1):
+        own = own.when(F.col("width") == w, _windows(F.col("hashes"), [w], lambda found: found[0]))
+    asked = items.where(F.size("slots") >= LEAST).select("item", "reading", "width", plain.alias("plain"), F.posexplode(own).alias("at", "window"))
+    asked = stored(asked.where(F.get("plain", F.col("at"))).drop("plain").distinct(), "asked")
+    asked = asked.join(asked.groupBy("item", "reading").agg(F.count_distinct("at").alias("n_windows")), ["item", "reading"])
+    n_asked, widths = asked.count(), sorted(r[0] for r in asked.select("width").distinct().collect())  # LEAST to WIDTH at most
+    n_slots = items.agg(F.sum(F.size("slots"))).first()[0] or 0
+
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
+    short = _short_items(docs, texts.join(asked.select("item").distinct(), "item", "left_anti"))
+    widths = widths or [WIDTH]
+
+    def every(h: Column, done: tuple[list[Column], ...] = ()) -> Column:
+        if len(done) == len(readings):
+            arrays = [x for found in done for x in found]
+            ends, n = [], F.lit(0)
+            for x in arrays:
+                n = n + F.size(x)
+                ends.append(n)
+            return F.struct(F.array(*ends).alias("ends"), F.concat(*arrays).alias("windows"))
+        return _windows(F.get(h, len(done)), widths, lambda found: once(F.array(*found), lambda a: every(h, (*done, [F.get(a, k) for k in range(len(found))]))))
+
+    # generated, so that the texts are cut once, whatever is asked of the windows
+    held = docs.select("key", F.explode(F.array(once(templates(F.col("text")), lambda h: every(h)))).alias("t")).select("key", "t.ends", F.posexplode("t.windows").alias("place", "window"))
+    held = held.join(_sized(asked.select("window").distinct(), n_asked), "window").join(_sized(asked, n_asked), "window")
+    # which reading's windows, and of what width, a place is in
+    held = held.withColumn("which", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
+    held = held.where(F.col("which") == F.col("reading") * len(widths) + F.array_position(F.array(*map(F.lit, widths)), F.col("width")) - 1)
+    held = held.withColumn("pos", F.col("place") - F.coalesce(F.get("ends", F.col("which") - 1), F.lit(0)))
+    # read several times below; the texts are cut into windows once
+    hits = stored(held.select(*one, "width", "n_windows", "pos", "at", (F.col("pos") - F.col("at")).alias("shift")), "hits")
+    kept, changed = _consistent(hits, items, docs, n_slots)
+    found = kept.groupBy(*one).agg(F.count_distinct("at").alias("n_found"), F.first("n_windows").alias("n_windows"))
+    found = found.where((F.col("n_found") >= SHARE * F.col("n_windows")) | (F.col("n_found") >= ENOUGH)).join(changed, one, "left")
     # the reading of the largest share, of the most windows, the first
-    best = F.max_by(F.struct("n_found", "n_windows", "n_changed"), F.struct(F.col("n_found") / F.col("n_windows"), "n_found", -F.col("reading")))
-    found = found.groupBy("key", "item").agg(best.alias("b"))
-    return found.select(F.col("key").alias(key), F.col("item").alias(item_key), "b.n_found", F.col("b.n_windows").cast("long").alias("n_windows"), F.coalesce("b.n_changed", F.lit(0)).cast("long").alias("n_changed"))
+    best = F.max_by(F.struct(*FOUND), F.struct(F.col("n_found") / F.col("n_windows"), "n_found", -F.col("reading")))
+    found = found.groupBy("key", "item").agg(best.alias("b")).select("key", "item", *[F.coalesce(f"b.{c}", F.lit(0)).cast("long").alias(c) for c in FOUND])
+    return found.unionByName(short).select(F.col("key").alias(key), F.col("item").alias(item_key), *FOUND)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
