@@ -3,10 +3,9 @@
 A text becomes a template: numbers, units after numbers, and names (capitalised
 words) are replaced by typed placeholders, so that a question with other
 parameters has the same template. Whether a capital makes a name is not certain,
-so texts and items alike are read in three ways: without names, in lower case
-(which finds text in capitals); with every capitalised word as a name; and with
-those that start a sentence left as words. Adjacent words of a name are one
-placeholder. Windows of template words are hashed and joined within a reading;
+so texts and items alike are read in two ways: without names, in lower case
+(which finds text in capitals), and with every capitalised word as a name.
+Adjacent words of a name are one placeholder. Windows of template words are hashed and joined within a reading;
 a window of placeholders alone, as tables are full of, is told by its values.
 
 On each alignment of a document with an item, the values behind the
@@ -43,41 +42,37 @@ UNITS = "% ° km cm mm m kg g mg lb lbs oz l ml h hr hrs hour hours min minute m
 MARKS = ".,;:!?\"'()[]{}$€£*#"
 
 
-_M, _BLANK = "[" + "".join("\\" + m for m in MARKS) + "]", "[\\x20\\x09-\\x0D]+"
-# a value stands between the first two behind its placeholder, where it is kept; the third is before a word that starts a sentence
-_FROM, _TO, _START = "\x01", "\x02", "\x03"
+_M, _BLANK = "[" + "".join("\\" + m for m in MARKS) + "]", "[\\x20\\x09-\\x0D]"
+# a value stands between these behind its placeholder, where it is kept
+_FROM, _TO = "\x01", "\x02"
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
-_CAPITAL = "[\\p{Lu}\\p{Lt}][^ ]*"
 NAME = "<name>"
-#: What makes a name, by reading: nothing, any capital, one that starts no sentence.
-READINGS = (None, _START + "?", "")
+#: Ways to read a text: capitals are words, capitals are names.
+READINGS = (0, 1)
 
 
 def _marked(text: Column, values: bool) -> Column:
-    """A text in words between single blanks, after a blank, without marks at their ends; numbers and units replaced, sentence starts marked."""
+    """A text in words between single blanks, after and before a blank, without marks at their ends; numbers and units replaced."""
     kept = lambda k: _FROM + f"${k}" + _TO if values else ""
-    flat = F.translate(F.coalesce(text, F.lit("")), _FROM + _TO + _START, "   ")
-    flat = F.concat(F.lit(" "), F.regexp_replace(flat, _BLANK, " "), F.lit(" "))
-    flat = F.regexp_replace(flat, f" {_M}*([0-9](?:[.,:/]*[0-9])*)", " <num>" + kept(1))
-    unit = lambda t: F.regexp_replace(t, f"(<num>(?:{_FROM}[^ ]*{_TO})?)((?: {_M}*)?)((?i:{_UNIT}))(?={_M}* )", "$1$2<unit>" + kept(3))
-    flat = once(flat, lambda t: F.when(F.contains(t, F.lit("<num>")), unit(t)).otherwise(t))
-    flat = F.regexp_replace(flat, f"((?:^|[.!?]) +{_M}*)(?=[\\p{{Lu}}\\p{{Lt}}])", "$1" + _START)
-    return F.regexp_replace(F.regexp_replace(flat, f"{_M}+ ", " "), f" +{_M}*", " ")
+    flat = F.coalesce(text, F.lit(""))
+    flat = F.translate(flat, _FROM + _TO, "\x7f\x7f") if values else flat
+    flat = F.regexp_replace(F.concat(F.lit(" "), flat, F.lit(" ")), f"{_M}*(?:{_BLANK}+{_M}*)+", " ")
+    flat = F.regexp_replace(flat, " ([0-9](?:[.,:/]*[0-9])*)", " <num>" + kept(1))
+    unit = lambda t: F.regexp_replace(t, f"(<num>(?:{_FROM}[^ ]*{_TO})?)( ?)((?i:{_UNIT}))(?= )", "$1$2<unit>" + kept(3))
+    return once(flat, lambda t: F.when(F.contains(t, F.lit("<num>")), unit(t)).otherwise(t))
 
 
 def _reading(marked: Column, reading: int, values: bool) -> Column:
     """The template's words of a marked text in a reading; adjacent names are one, but where values are kept."""
-    before = READINGS[reading]
-    if before is not None:
-        name = " " + before + "(" + _CAPITAL + ")"
+    if reading:
+        name = " ([\\p{Lu}\\p{Lt}][^ ]*)"
         marked = F.regexp_replace(marked, name if values else f"(?:{name})+", f" {NAME}" + (_FROM + "$1" + _TO if values else ""))
-    words = F.lower(F.replace(marked, F.lit(_START), F.lit("")))
-    return F.filter(F.split(words, " "), lambda w: w != "")
+    return once(F.lower(F.btrim(marked, F.lit(" "))), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def templates(text: Column) -> Column:
     """An array of the hashes of the template's words, for each reading."""
-    return once(_marked(text, False), lambda m: F.array(*[F.transform(_reading(m, r, False), lambda w: F.xxhash64(w)) for r in range(len(READINGS))]))
+    return once(_marked(text, False), lambda m: F.array(*[F.transform(_reading(m, r, False), lambda w: F.xxhash64(w)) for r in READINGS]))
 
 
 def once(value: Column, body) -> Column:
@@ -106,8 +101,8 @@ def _slots(text: Column, reading: int) -> Column:
 
 def _paired(left: Column, right: Column, by: int) -> Column:
     """Hash of each element of ``left`` with that of ``right`` which is ``by`` places on; none beyond the end."""
-    later = F.slice(right, by + 1, F.greatest(F.size(right) - by, F.lit(0)))
-    return F.filter(F.zip_with(left, later, lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y))), lambda h: h.isNotNull())
+    n = F.greatest(F.size(right) - by, F.lit(0))
+    return F.slice(F.zip_with(left, F.slice(right, by + 1, n), lambda x, y: F.xxhash64(x, y)), 1, n)
 
 
 def _windows(hashes: Column, widths: list[int], body) -> Column:
@@ -160,7 +155,7 @@ def _consistent(hits: DataFrame, items: DataFrame, docs: DataFrame, n_slots: int
     slots = items.select("item", "reading", F.posexplode("slots").alias("place", "w")).where(F.col("w.kind").startswith("<")).select("item", "reading", "place", "w.kind", "w.value")
     seen = hits.join(_sized(slots, n_slots), ["item", "reading"]).where("place >= at and place < at + width")
     seen = seen.select(*one, "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
-    wanted = docs.join(seen.select("key").distinct(), "key").select("key", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in range(len(READINGS))])).alias("reading", "w"))
+    wanted = docs.join(seen.select("key").distinct(), "key").select("key", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in READINGS])).alias("reading", "w"))
     wanted = wanted.select("key", "reading", F.posexplode("w").alias("pos", "w")).select("key", "reading", "pos", F.col("w.value").alias("other"))
     pairs = stored(seen.join(wanted, ["key", "reading", "pos"]).select(*one, "shift", "kind", "value", "other").distinct(), "pairs")
     # one value of the item to one of the document, and the other way round
@@ -185,7 +180,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     placeholders differ from the item's. The windows of the documents are never
     shuffled unless the benchmark has more than ``BROADCAST_ROWS`` windows.
     """
-    readings, one = range(len(READINGS)), ["key", "item", "reading"]
+    readings, one = READINGS, ["key", "item", "reading"]
     texts = items.select(F.col(item_key).alias("item"), F.col(text).alias("text")).where("item is not null")
     items = texts.select("item", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in readings])).alias("reading", "slots"))
     items = items.withColumn("width", F.least(F.size("slots"), F.lit(WIDTH))).withColumn("hashes", F.transform("slots", lambda x: F.xxhash64(x["kind"])))
