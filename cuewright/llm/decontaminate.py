@@ -42,6 +42,7 @@ UNITS = "% ° km cm mm m kg g mg lb lbs oz l ml h hr hrs hour hours min minute m
 MARKS = ".,;:!?\"'()[]{}$€£*#"
 
 
+# groups repeat possessively: a long run of them takes no stack
 _M, _BLANK = "[" + "".join("\\" + m for m in MARKS) + "]", "[\\x20\\x09-\\x0D]"
 # a value stands between these behind its placeholder, where it is kept
 _FROM, _TO = "\x01", "\x02"
@@ -56,8 +57,8 @@ def _marked(text: Column, values: bool) -> Column:
     kept = lambda k: _FROM + f"${k}" + _TO if values else ""
     flat = F.coalesce(text, F.lit(""))
     flat = F.translate(flat, _FROM + _TO, "\x7f\x7f") if values else flat
-    flat = F.regexp_replace(F.concat(F.lit(" "), flat, F.lit(" ")), f"{_M}*(?:{_BLANK}+{_M}*)+", " ")
-    flat = F.regexp_replace(flat, " ([0-9](?:[.,:/]*[0-9])*)", " <num>" + kept(1))
+    flat = F.regexp_replace(F.concat(F.lit(" "), flat, F.lit(" ")), f"{_M}*+(?:{_BLANK}+{_M}*+)++", " ")
+    flat = F.regexp_replace(flat, " ([0-9](?:[.,:/]*[0-9])*+)", " <num>" + kept(1))
     unit = lambda t: F.regexp_replace(t, f"(<num>(?:{_FROM}[^ ]*{_TO})?)( ?)((?i:{_UNIT}))(?= )", "$1$2<unit>" + kept(3))
     return once(flat, lambda t: F.when(F.contains(t, F.lit("<num>")), unit(t)).otherwise(t))
 
@@ -66,7 +67,7 @@ def _reading(marked: Column, reading: int, values: bool) -> Column:
     """The template's words of a marked text in a reading; adjacent names are one, but where values are kept."""
     if reading:
         name = " ([\\p{Lu}\\p{Lt}][^ ]*)"
-        marked = F.regexp_replace(marked, name if values else f"(?:{name})+", f" {NAME}" + (_FROM + "$1" + _TO if values else ""))
+        marked = F.regexp_replace(marked, name if values else f"(?:{name})++", f" {NAME}" + (_FROM + "$1" + _TO if values else ""))
     return once(F.lower(F.btrim(marked, F.lit(" "))), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
@@ -133,7 +134,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def _bare(text: Column) -> Column:
     """A whole text in lower case, with one blank for any blanks and marks between words."""
-    return F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{_BLANK}|{_M})+", " ")))
+    return F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{_BLANK}|{_M})++", " ")))
 
 
 def _short_items(docs: DataFrame, short: DataFrame) -> DataFrame:
