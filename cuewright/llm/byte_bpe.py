@@ -93,7 +93,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], key: list[str], ranks_file: str)
 
 
 def encode_texts(docs: DataFrame, ranks_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and ``token_ids``, the ids of each whole text. No shuffle."""
+    """The kept columns and ``token_ids`` (one of that name is replaced), the ids of each whole text. No shuffle."""
     keep = [c for c in (keep or docs.columns) if c not in (text, "token_ids")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -111,7 +111,8 @@ def _decoded(batches: Iterable[pa.RecordBatch], at: int, ranks_file: str) -> Ite
 
 
 def decode_ids(rows: DataFrame, ranks_file: str, ids: str = "token_ids") -> DataFrame:
-    """``ids`` replaced by ``text``, decoded by the inverse byte mapping."""
+    """``ids`` replaced by ``text``, decoded by the inverse byte mapping; a column ``text`` of the rows goes."""
+    rows = rows.drop("text") if ids != "text" else rows
     at = rows.columns.index(ids)
     schema = ", ".join("text string" if f.name == ids else f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(lambda b: _decoded(b, at, ranks_file), schema)

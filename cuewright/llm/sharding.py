@@ -5,7 +5,9 @@ ring and no table. With one shard more, the expected 1/(n+1) of the rows move,
 all of them into the new shard.
 
 Defined cases: a null key is a key like another; repeated rows and ties of the
-key go to one shard, each with a slot of its own; a null text has no bytes.
+key go to one shard, each with a slot of its own; a null text has no bytes;
+columns ``shard``, ``grown_shard``, ``slot`` and those that start with
+``_shard_`` are replaced.
 """
 
 from __future__ import annotations
@@ -52,17 +54,18 @@ def assign_shards(df: DataFrame, key: str, shards: int, rows_a_block: int = ROWS
     of the key and of ``spread``, so that no task numbers a whole shard; blocks
     are offset by the counts of those before them.
     """
+    df = df.drop("shard", "grown_shard", "slot", *[c for c in df.columns if c.startswith("_shard_")])
     df = df.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1)})
     blocks = -(-df.count() // (shards * rows_a_block)) or 1
     cut = F.pmod(F.xxhash64(F.col(key), *(spread or []), F.lit("slot")), F.lit(blocks)).cast("int")
-    rows = df.withColumn("_block", cut)
-    sizes = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("shard", "_block").orderBy(F.col(key), *(spread or [])))
+    rows = df.withColumn("_shard_block", cut)
+    sizes = rows.groupBy("shard", "_shard_block").agg(F.count(F.lit(1)).alias("_shard_rows"))
+    before = Window.partitionBy("shard").orderBy("_shard_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("shard", "_shard_block", F.coalesce(F.sum("_shard_rows").over(before), F.lit(0)).alias("_shard_before"))
+    place = F.row_number().over(Window.partitionBy("shard", "_shard_block").orderBy(F.col(key), *(spread or [])))
     # one row for each block of a shard: rows / rows_a_block of them, or one a shard
-    rows = rows.withColumn("_place", place).join(F.broadcast(sizes) if blocks * shards <= 1_000_000 else sizes, ["shard", "_block"])
-    return rows.withColumn("slot", F.col("_before") + F.col("_place") - 1).drop("_block", "_before", "_place")
+    rows = rows.withColumn("_shard_place", place).join(F.broadcast(sizes) if blocks * shards <= 1_000_000 else sizes, ["shard", "_shard_block"])
+    return rows.withColumn("slot", F.col("_shard_before") + F.col("_shard_place") - 1).drop("_shard_block", "_shard_before", "_shard_place")
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:

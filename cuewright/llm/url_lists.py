@@ -9,7 +9,8 @@ Defined cases: of entries of one domain and date the one with the larger id
 counts; a domain listed twice in a row keeps the date of each entry; entries
 without a domain, date or id are left out; a URL without a host, a null URL and
 a null fetch time match nothing and stay in the result; repeated captures stay;
-an empty list blocks nothing; case does not matter.
+an empty list blocks nothing; case does not matter; an address has no domain
+above it; other columns of the captures are not returned.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Intervals that are broadcast; a longer list is joined by shuffles on the domain.
 BROADCAST_ROWS = 1_000_000
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#\[]+)"
+#: Hosts that are addresses: no domain is above them.
+ADDRESS = r"^(\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
 
 def host_of(url: Column) -> Column:
@@ -30,7 +33,7 @@ def domains_of(host: Column) -> Column:
     """The host and the domains above it, down to two labels; a host of one label alone."""
     labels = F.split(host, r"\.")
     more = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(more)
+    return F.when(host == "", F.array().cast("array<string>")).when(host.rlike(ADDRESS), F.array(host)).otherwise(more)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -45,7 +48,6 @@ def match_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id"
     """(key, host, fetched, blocked, domain, listed_at): each capture with the longest domain listed when it was fetched."""
     spans = intervals(entries)
     rows = captures.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), F.col(fetched).alias(fetched))
-    # a row's own number, as keys may repeat; both uses read the same rows in the same order
     asked = rows.withColumn("domain", F.explode_outer(domains_of(F.col("host"))))
     small = spans.count() <= BROADCAST_ROWS
     spans = F.broadcast(spans) if small else spans
@@ -85,7 +87,7 @@ def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH caps AS (
-  SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
+  SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#\[]+)', 1), '') AS host,
          1704067200 + (page_id * 7919) % 525600 * 60 AS fetched_at
   FROM pages),
 hosts AS (
@@ -104,7 +106,7 @@ spans AS (
 asked AS (
   SELECT page_id, fetched_at, array_to_string(labels[i:], '.') AS domain
   FROM (SELECT page_id, fetched_at, labels, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i
-        FROM (SELECT page_id, fetched_at, string_split(host, '.') AS labels FROM caps WHERE host <> ''))),
+        FROM (SELECT page_id, fetched_at, CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$') THEN [host] ELSE string_split(host, '.') END AS labels FROM caps WHERE host <> ''))),
 best AS (
   SELECT page_id, s.domain, listed_at, row_number() OVER (PARTITION BY page_id ORDER BY length(s.domain) DESC) AS k
   FROM asked a JOIN spans s ON a.domain = s.domain AND fetched_at >= listed_at AND (until IS NULL OR fetched_at < until))
