@@ -31,13 +31,17 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the positive-unlabelled classifier, fitted on the labelled ones, takes for toxic."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    kept = scored.where(F.col("score") < TOXIC).drop("score")
-    return kept.withColumnRenamed("_score", "score").select(docs.columns) if "score" in docs.columns else kept.select(docs.columns)
+    # a column of the documents that is called like the score stands aside meanwhile
+    spare = next(name for k in range(1, 99) if (name := "_" * k + "score") not in docs.columns)
+    kept = score_toxicity(docs.withColumnRenamed("score", spare), model).where(F.col("score") < TOXIC).drop("score")
+    return kept.withColumnRenamed(spare, "score").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component under five-word shingles and a similarity of 0.8; a repeated row once."""
+    """Keeps the document of the smallest id of each component under five-word shingles and a similarity of 0.8; a repeated row once.
+
+    Rows without an id have no component and stay; rows of one id and other texts stay or go together.
+    """
     found = jaccard_components(docs, width=5, percent=80)
     found = stored(found.select("doc_id", "component_id"), "components")
     kept = _without(docs, found.where("doc_id <> component_id"))

@@ -86,22 +86,29 @@ def retimed(cues: DataFrame, offset: Column, scale: Column) -> DataFrame:
 def joined_segments(segments: DataFrame) -> DataFrame:
     """Segments that were cut within an utterance joined again, as (track_id, seg_idx, start_s, end_s, text).
 
-    Whether one joins depends on what was joined before it, so each track is
-    folded in order; a track is one film's segments.
+    Whether one joins depends on what was joined before it, but after a pause
+    or the end of a sentence none does: each stretch between those is folded
+    in order by itself.
     """
     rows = segments.withColumn("text", collapsed(F.col("text"))).where("text <> ''")
-    listed = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "cue_idx", "end_s", "text"))).alias("s"))
+    order = Window.partitionBy("track_id").orderBy("start_s", "cue_idx", "end_s", "text")
+    before = F.lag(F.struct("end_s", "text")).over(order)
+    rows = rows.withColumn("_before", before)
+    apart = F.col("_before").isNull() | (F.col("start_s") - F.col("_before.end_s") > JOIN_GAP) | ends_sentence(F.col("_before.text"))
+    rows = rows.withColumn("_run", F.sum(apart.cast("int")).over(order))
+    listed = rows.groupBy("track_id", "_run").agg(F.array_sort(F.collect_list(F.struct("start_s", "cue_idx", "end_s", "text"))).alias("s"))
     empty = F.lit(None).cast("array<struct<start_s:double,end_s:double,text:string>>")
 
     def add(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
-        joins = (x["start_s"] - last["end_s"] <= JOIN_GAP) & (F.length(last["text"]) + 1 + F.length(x["text"]) <= CUE_CHARS) & (x["end_s"] - last["start_s"] <= LONGEST) & ~ends_sentence(last["text"])
+        joins = (F.length(last["text"]) + 1 + F.length(x["text"]) <= CUE_CHARS) & (x["end_s"] - last["start_s"] <= LONGEST)
         one = F.struct(x["start_s"], x["end_s"], x["text"])
         longer = F.struct(last["start_s"].alias("start_s"), x["end_s"].alias("end_s"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"))
         return F.when(done.isNull(), F.array(one)).when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(one)))
 
-    folded_rows = listed.select("track_id", F.aggregate("s", empty, add).alias("s"))
-    return folded_rows.select("track_id", F.posexplode("s").alias("seg_idx", "c")).select("track_id", "seg_idx", "c.start_s", "c.end_s", "c.text")
+    joined = listed.select("track_id", "_run", F.aggregate("s", empty, add).alias("s")).select("track_id", "_run", F.posexplode("s").alias("_pos", "c"))
+    number = F.row_number().over(Window.partitionBy("track_id").orderBy("_run", "_pos")) - 1
+    return joined.select("track_id", number.alias("seg_idx"), "c.start_s", "c.end_s", "c.text")
 
 
 def text_pieces(text: Column) -> Column:
