@@ -82,7 +82,7 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("vec") == (size["d"] if size else 0))
 
 
-def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = 0.6, sample: int = SAMPLE, centroids: int = CENTROIDS, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = 0.5, sample: int = SAMPLE, centroids: int = CENTROIDS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest entries found for every row that ``is_query`` (a condition on ``id``) holds for.
 
     ``share`` is the part of the index that a query visits. Vectors without
