@@ -71,7 +71,6 @@ def test_op1_and_the_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows, start = docs.orderBy("doc_id").collect(), 0
     got = {r["doc_id"]: r for r in op1_token_ids(spark, DATA).collect()}

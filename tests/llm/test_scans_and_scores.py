@@ -57,6 +57,38 @@ def test_random_strings_at_sentence_ends_between_dots_and_of_letters(spark):
     assert [[t[a:b] for a, b in s] for t, s in zip(texts, spans)] == [[key], token.split("."), [letters], [short], [], []]
 
 
+def test_base_spans_of_all_documents_and_planted_random_strings(spark):
+    kinds = [
+        r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        "(AKIA[A-Z0-9]+)",
+        "([0-9a-f]+)",
+    ]
+    least, names = (6, 20, 24), ("assign", "access", "hex")
+
+    def plain(text):
+        found = [(m.start(), k, m.end()) for k, p in enumerate(kinds) for m in re.finditer(p, text, re.ASCII) if len(m[1]) >= least[k]]
+        return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+    rng, alphabet = np.random.default_rng(9), np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    planted = {-k: "we keep " + "".join(rng.choice(alphabet, 24)) + " for later." for k in range(1, 201)}
+    rows = scan_secrets(docs.unionByName(spark.createDataFrame(list(planted.items()), docs.schema)), RANKS).collect()
+    assert len(rows) == len(texts) + 200
+    for r in rows:
+        want = plain(texts.get(r["doc_id"]) or planted.get(r["doc_id"]) or "")
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("random")) == want
+    assert sum(r["spans"] == "random:8:32" for r in rows if r["doc_id"] < 0) >= 190
+    assert sum(r["n_random"] for r in rows if r["doc_id"] >= 0) <= 5
+
+
+def test_thousands_of_secrets_in_one_text(spark):
+    text = " ".join(f"password=x{i}abcdef q7Zx2Lw9Kf4Vt8R{i}" for i in range(5000))
+    r = scan_secrets(spark.createDataFrame([(1, text, 7)], "doc_id int, text string, spans int"), RANKS).first()
+    assert (r["n_assign"], r["n_random"]) == (5000, 5000)
+
+
 # templates
 
 
@@ -83,6 +115,87 @@ def test_op3_finds_the_passages(spark):
     assert all(eight(next(d["text"] for d in docs if d["doc_id"] == a)) & eight(next(i["text"] for i in items if i["item_id"] == b)) for a, b in got)
 
 
+def plain_items(docs, items):
+    """Items in documents, word by word."""
+    from cuewright.llm.decontaminate import ENOUGH, LEAST, MARKS, SHARE, UNITS, WIDTH
+
+    def read(text, names):
+        out = []
+        for w in re.split(r"[\x20\x09-\x0d]+", text or ""):
+            w = w.strip(MARKS)
+            number = re.match(r"[0-9](?:[.,:/]*[0-9])*", w)
+            if not w:
+                continue
+            if number:
+                rest = w[number.end():].lower()
+                out.append(("<num><unit>", f"{number[0]} {rest}") if rest in UNITS else (f"<num>{rest}", number[0]))
+            elif out and out[-1][0] == "<num>" and w.lower() in UNITS:
+                out.append(("<unit>", w.lower()))
+            elif names and (w[0].isupper() or w[0].istitle()):
+                if out and out[-1][0] == "<name>":
+                    out[-1] = ("<name>", out[-1][1] + " " + w.lower())
+                else:
+                    out.append(("<name>", w.lower()))
+            else:
+                out.append((w.lower(), w.lower()))
+        return out
+
+    bare = lambda t: " ".join(re.split(r"(?:[\x20\x09-\x0d]|[" + re.escape(MARKS) + "])+", t or "")).strip().lower()
+    found, texts = {}, [[(key, read(text, reading)) for key, text in docs] for reading in (0, 1)]
+    for item, asked in items:
+        any_windows = False
+        for reading in (0, 1):
+            slots = read(asked, reading)
+            width = min(len(slots), WIDTH)
+            if len(slots) < LEAST:
+                continue
+            windows = {k: tuple(x for x, _ in slots[k : k + width]) for k in range(len(slots) - width + 1)}
+            windows = {k: w for k, w in windows.items() if any(not x.startswith("<") for x in w)}
+            any_windows |= bool(windows)
+            places = {}
+            for k, w in windows.items():
+                places.setdefault(w, []).append(k)
+            for key, own in texts[reading]:
+                shifts, kinds = {}, [x for x, _ in own]
+                for pos in range(len(own) - width + 1):
+                    for k in places.get(tuple(kinds[pos : pos + width]), ()):
+                        shifts.setdefault(pos - k, set()).add(k)
+                maps = {s: {(slots[p][0], slots[p][1], own[s + p][1]) for k in at for p in range(k, k + width) if slots[p][0].startswith("<")} for s, at in shifts.items()}
+                good = {s for s, m in maps.items() if len({x[:2] for x in m}) == len(m) == len({(x[0], x[2]) for x in m})}
+                if not good:
+                    continue
+                best = max(good, key=lambda s: (len(shifts[s]), -s))
+                to = {x[:2]: x[2] for x in maps[best]}
+                good = {s for s in good if all(to.get(x[:2], x[2]) == x[2] for x in maps[s])}
+                n = len(set().union(*(shifts[s] for s in good)))
+                if n >= SHARE * len(windows) or n >= ENOUGH:
+                    rank = (n / len(windows), n, -reading)
+                    changed = sum(x[1] != x[2] for x in maps[best])
+                    if rank > found.get((key, item), ((0,),))[0]:
+                        found[key, item] = (rank, (n, len(windows), changed))
+        if not any_windows and bare(asked):
+            found |= {(key, item): ((1,), (1, 1, 0)) for key, text in docs if bare(text) == bare(asked)}
+    return {k: v for k, (_, v) in found.items()}
+
+
+def test_op3_is_the_plain_matcher(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    first = "Mr. Jones buys 12 pens at 3 dollars, Ann buys 7 pens at 5 dollars; how many pens do Jones and Ann buy in 2 days?"
+    table = " ".join(str(n) for n in range(40))
+    items += [(900, first), (901, "Too Short"), (902, table), (903, table + " is the row of Peter and Paul that ends here"), (904, None), (905, " . ")]
+    docs += [
+        (9001, first.replace("12", "30").replace("Ann", "Eve")), (9002, first.replace("7 pens", "12 pens")), (9003, "too  short!"), (9004, "Too Short indeed"),
+        (9005, table), (9006, "9 " + table), (9007, " ".join(str(n) for n in range(500))), (9008, first[:60] + " indeed " + first[60:]), (9009, first.upper() + " " + first.lower()),
+        (9010, table + " is the row of Mary and Paul that ends here"), (9011, "\x01 12 km <num> \x02"), (9012, None), (9013, ""), (9014, "Word " * 30000 + first),
+    ]
+    rows = spark.createDataFrame([(*d, 1) for d in docs + docs[-3:]], "doc_id long, text string, window int")
+    got = {(r["doc_id"], r["item_id"]): (r["n_found"], r["n_windows"], r["n_changed"]) for r in find_items(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_items([d for d in docs if d[0] != 9014], items)
+    assert {k: v for k, v in got.items() if k[0] != 9014} == want
+    assert (9014, 900) in got and {(9001, 900), (9003, 901), (9005, 902)} <= set(want) and (9002, 900) not in want and (9007, 902) not in want
+
+
 def test_op3_finds_copies_in_capitals(spark):
     data, want = "/root/testdata/sf0.1", {(1699, 130), (6420, 37), (8376, 101)}
     docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id in (1699, 6420, 8376)")
@@ -232,6 +345,15 @@ def test_entries_hold_from_their_date_to_the_next(spark):
     assert sorted((r["page_id"], r["domain"] or "") for r in got) == [(1, ""), (2, "bad.com"), (2, "bad.com"), (3, "bad.com"), (4, ""), (5, "x.bad.com"), (6, ""), (7, ""), (8, ""), (8, ""), (9, "")]
 
 
+def test_addresses_long_urls_and_empty_lists(spark):
+    log = spark.createDataFrame([(1, "3.4", 0, True), (2, "1.2.3.4", 0, True), (3, "[::1]", 0, True), (4, "b.c", 0, True)], "entry_id long, domain string, at long, listed boolean")
+    long = "http://" + "a." * 3000 + "b.c/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, "http://1.2.3.4/x", 5, "z"), (2, "http://9.2.3.4/x", 5, "z"), (3, "https://u@[::1]:80/", 5, "z"), (4, long, 5, "z")], "page_id long, url string, fetched_at long, domain string")
+    assert {r["page_id"]: r["domain"] for r in match_captures(pages, log).collect()} == {1: "1.2.3.4", 2: None, 3: "[::1]", 4: "b.c"}
+    assert match_captures(pages, log.where("false")).where("blocked").count() == 0 and match_captures(pages, log.where("false")).count() == 4
+    assert match_captures(pages.where("false"), log).count() == 0
+
+
 # shards
 
 
@@ -259,7 +381,16 @@ def test_shards(spark, odd, empty, tmp_path):
     assert len(rows) == 200 and all(r["size"] == len(texts[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
     for shard in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
-    small = assign_shards(odd, "doc_id", 3, rows_a_block=1).collect()
+    small = assign_shards(odd.withColumn("slot", F.lit(9)).withColumn("_shard_block", F.lit(9)), "doc_id", 3, rows_a_block=1).collect()
+    # the published form of the recurrence, for 40 and 41 shards
+    def plain(key, n):
+        key, b, j = key % 2**64, -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+        return b
+    hashes = {r[0]: r[1] for r in spark.range(200).select("id", F.xxhash64("id")).collect()}
+    assert all((r["shard"], r["grown_shard"]) == (plain(hashes[r["doc_id"]], 40), plain(hashes[r["doc_id"]], 41)) for r in rows)
     for shard in {r["shard"] for r in small}:
         assert sorted(r["slot"] for r in small if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in small)))
     assert len({r["shard"] for r in small if r["doc_id"] == 4}) == 1 and len(small) == 10
