@@ -49,3 +49,14 @@ def test_settings_and_labels(spark):
     assert [Settings(max_concurrency=n).lanes(c) for n, c in ((0, 1), (0, 32), (40, 1))] == [1, 4, 16]
     row = spark.range(1).select(language_list(F.lit("eng, fr;French;;x-y")).alias("l"), naming.file_size(F.lit(86016)).alias("k"), naming.file_size(F.lit(1023)).alias("b"), naming.file_size(F.lit(1310720)).alias("m"), naming.source_label(F.lit("en"), F.lit(True), F.lit(True), F.lit(True), F.lit(False)).alias("s")).first()
     assert (row["l"], row["k"], row["b"], row["m"], row["s"]) == (["en", "fr", "x"], "84 KB", "1023 B", "1.3 MB", "English (forced, SDH)")
+
+
+def test_every_language_is_told(spark):
+    from cuewright.functions.language import PROFILES, SCRIPTS
+    from cuewright.operators.cues import language_scores, top_guesses
+    from cuewright.plans.derived import _SAID
+
+    rows = spark.createDataFrame([(lang, " ".join([said] * 4)) for lang, said in _SAID], "lang string, text string")
+    got = {r["lang"]: r["code"] for r in top_guesses(language_scores(rows, "lang"), "lang", 1).collect()}
+    assert len(PROFILES) == 24 and set(got) == set(PROFILES) | {c for c, _ in SCRIPTS}
+    assert {lang: code for lang, code in got.items() if lang != code} == {}
