@@ -156,7 +156,9 @@ def _consistent(hits: DataFrame, items: DataFrame, docs: DataFrame, n_slots: int
     slots = items.select("item", "reading", F.posexplode("slots").alias("place", "w")).where(F.col("w.kind").startswith("<")).select("item", "reading", "place", "w.kind", "w.value")
     seen = hits.join(_sized(slots, n_slots), ["item", "reading"]).where("place >= at and place < at + width")
     seen = seen.select(*one, "shift", "kind", "value", (F.col("shift") + F.col("place")).alias("pos")).distinct()
-    wanted = docs.join(seen.select("key").distinct(), "key").select("key", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in READINGS])).alias("reading", "w"))
+    # documents with hits alone are read again; their keys are broadcast, so that no text is shuffled
+    keys = hits.select("key").distinct()
+    wanted = docs.join(_sized(keys, keys.count()), "key").select("key", F.posexplode(F.array(*[_slots(F.col("text"), r) for r in READINGS])).alias("reading", "w"))
     wanted = wanted.select("key", "reading", F.posexplode("w").alias("pos", "w")).select("key", "reading", "pos", F.col("w.value").alias("other"))
     pairs = stored(seen.join(wanted, ["key", "reading", "pos"]).select(*one, "shift", "kind", "value", "other").distinct(), "pairs")
     # one value of the item to one of the document, and the other way round
