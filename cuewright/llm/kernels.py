@@ -42,8 +42,56 @@ def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: The field of the word hashes, two bases of it, and their powers and inverse powers.
+_FIELD, _BASES = np.uint64((1 << 31) - 1), (1_398_022_307, 876_543_211)
+_fields: list[np.ndarray] = []
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2^62 as an equal number of the field below 2^32."""
+    return (x & _FIELD) + (x >> np.uint64(31))
+
+
+def _field_powers(n: int) -> list[np.ndarray]:
+    """Powers of the two bases and of their inverses, each from 0 up to ``n`` at least."""
+    if _fields and len(_fields[0]) > n:
+        return _fields
+    size, p, tables = max(n, 2 * SLICE) + 1, int(_FIELD), []
+    for base in (x for b in _BASES for x in (b, pow(b, -1, p))):
+        table, k = np.ones(size, np.uint64), 1
+        while k < size:
+            more = min(k, size - k)
+            table[k : k + more] = table[:more] * np.uint64(pow(base, k, p)) % _FIELD
+            k += more
+        tables.append(table)
+    if size <= 4 * SLICE:  # longer ones are not kept
+        _fields[:] = tables
+    return tables
+
+
+def field_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[start:end] for each span, from two polynomials over the field of 2^31 - 1.
+
+    Two given spans of L values meet in a share (L / 2^31)^2 of all pairs of
+    bases; no regular pattern of values meets under each, as patterns do that
+    are hashed modulo a power of two.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    tables, shifted, parts = _field_powers(len(values)), values.astype(np.uint64) + np.uint64(1), []
+    total = np.zeros(len(values) + 1, np.uint64)
+    for up, down in (tables[:2], tables[2:]):
+        np.cumsum(_folded(shifted * up[: len(values)]), out=total[1:])
+        parts.append((total[ends] - total[starts]) % _FIELD * down[starts] % _FIELD)
+    return mix64((parts[0] | parts[1] << np.uint64(31)) ^ mix64((ends - starts).astype(np.uint64)))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for each span; equal contents hash alike wherever they stand."""
+    """64-bit hash of values[start:end] for each span; equal contents hash alike wherever they stand.
+
+    Cheap, but regular patterns of two values (as of Thue and Morse) share a
+    hash: whoever uses it compares the contents.
+    """
     n = len(values)
     if not len(starts):
         return np.empty(0, np.uint64)
@@ -83,7 +131,7 @@ def _hash_words(raw: bytes, between: np.ndarray = _ASCII_SPACE) -> np.ndarray:
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = between[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
-    return span_hashes(data, edge[0::2], edge[1::2])
+    return field_hashes(data, edge[0::2], edge[1::2])
 
 
 def word_hashes(text: str | None, most: int = 4 * SLICE, between: np.ndarray = _ASCII_SPACE) -> np.ndarray:
@@ -115,7 +163,7 @@ def batch_word_hashes(texts: pa.Array, between: np.ndarray = _ASCII_SPACE) -> It
         edge = np.flatnonzero(space[1:] != space[:-1])
         starts = edge[0::2]
         begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
-        yield first, span_hashes(arr, starts, edge[1::2]), np.searchsorted(starts, begin)
+        yield first, field_hashes(arr, starts, edge[1::2]), np.searchsorted(starts, begin)
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:

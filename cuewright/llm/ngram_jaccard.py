@@ -18,7 +18,10 @@ only where a product can reach the bound. In order:
    discarded, and the links left give the components. A block of many rows is
    cut, and each two of its parts are multiplied in a task of their own.
 
-All steps are exact: no link is lost, and none is assumed.
+No step samples or caps: no link is lost, and none is assumed. Words, n-grams
+and whole sets are known by hashes of 64 bits, without a second look: among n
+of them some two share one with odds of about n^2 / 2^65, which is 1 in 40 for
+10^9 and near certain beyond 10^10, and such a pair then counts as equal.
 
 Defined cases: a null or empty text, or one of white space, has an empty set
 and is linked with nothing, not even with another such text; texts of fewer

@@ -4,7 +4,8 @@ A text is cut by the public byte-level pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
 The cut is computed for many texts at once from the classes of their
 characters; a piece is then encoded once by a tokenizer library and its ids are
-kept while the task runs, as the pieces of a corpus repeat.
+kept while the task runs, as the pieces of a corpus repeat. Kept pieces are
+found by a hash and compared by their characters.
 """
 
 from __future__ import annotations
@@ -93,8 +94,8 @@ def _safe_cuts(text: str, most: int) -> list[str]:
 class PieceEncoder:
     """Encodes texts to ids; ``encode_pieces`` gives the ids of each of a list of pieces."""
 
-    #: Ids and pieces kept (about 40 MB); with more, the kept pieces are forgotten.
-    MOST = 2_000_000
+    #: Ids, and characters of pieces, that are kept (about 50 MB together); with more, the kept pieces are forgotten.
+    MOST, MOST_CHARS = 1_500_000, 4_000_000
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]]):
         self._encode = encode_pieces
@@ -103,29 +104,46 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.slots = np.empty(0, np.int64)
-        self.off = np.zeros(1, np.int64)
-        self.flat = np.empty(0, np.uint32)
-
-    def _slots(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
-        if len(self.flat) > self.MOST:
+        self.off, self.char_off = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.chars = np.empty(0, np.uint32), np.empty(0, np.uint32)
+
+    def _add(self, pieces: list[str]) -> np.ndarray:
+        """The slots of newly encoded pieces."""
+        ids, first = self._encode(pieces), len(self.off) - 1
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat])
+        self.char_off = np.concatenate([self.char_off, self.char_off[-1] + np.cumsum([len(p) for p in pieces])])
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)])
+        return np.arange(first, first + len(pieces))
+
+    def _slots(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+        if len(self.flat) > self.MOST or len(self.chars) > self.MOST_CHARS:
             self._forget()
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        distinct, first, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == distinct[inside]
         missing = np.flatnonzero(~known)
         if len(missing):
-            ids = self._encode([text[s:e] for s, e in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))
-            slots = np.arange(len(self.off) - 1, len(self.off) - 1 + len(ids))
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, flat])
+            slots = self._add([text[s:e] for s, e in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
             self.keys = np.insert(self.keys, at[missing], distinct[missing])
             self.slots = np.insert(self.slots, at[missing], slots)
             at = np.searchsorted(self.keys, distinct)
-        return self.slots[at][inverse]
+        slot = self.slots[at][inverse]
+        # the kept pieces laid end to end are the text, but where a hash stands for another piece
+        size = ends - starts
+        other = self.char_off[slot + 1] - self.char_off[slot] != size
+        place = np.arange(starts[0], ends[-1]) + np.repeat(np.where(other, 0, self.char_off[slot]) - starts, size)
+        unlike = self.chars.take(place, mode="clip") != points[starts[0] : ends[-1]]
+        if unlike.any() or other.any():
+            other |= np.logical_or.reduceat(unlike, starts - starts[0])
+            wrong = np.flatnonzero(other)
+            pieces, back = np.unique([text[s:e] for s, e in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)], return_inverse=True)
+            slot[wrong] = self._add(pieces.tolist())[back]
+        return slot
 
     def _encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = "".join(texts)
@@ -135,7 +153,7 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        slot = self._slots(span_hashes(points, starts, ends), starts, ends, whole)
+        slot = self._slots(points, starts, ends, whole)
         size = self.off[slot + 1] - self.off[slot]
         cum = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.off[slot] - cum[:-1], size) + np.arange(cum[-1])]
