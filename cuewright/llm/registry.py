@@ -15,12 +15,13 @@ from cuewright.llm.ngram_jaccard import op4_ngram_jaccard
 from cuewright.llm.secret_scan import op2_secret_scan
 from cuewright.llm.sharding import op6_jump_shards
 from cuewright.llm.token_files import op1_token_ids
+from cuewright.llm.token_alignment import op12_token_alignment
 from cuewright.llm.toxicity import op7_toxicity
 from cuewright.llm.url_lists import OP8_SQL, op8_url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_ids, op2_secret_scan, op3_decontaminate, op4_ngram_jaccard, op5_multi_index, op6_jump_shards, op7_toxicity, op8_url_lists, op9_lm_score, op10_byte_bpe, op11_conversation_repair]
+    own = [op1_token_ids, op2_secret_scan, op3_decontaminate, op4_ngram_jaccard, op5_multi_index, op6_jump_shards, op7_toxicity, op8_url_lists, op9_lm_score, op10_byte_bpe, op11_conversation_repair, op12_token_alignment]
     return {f.__name__: f for f in own}
 
 
