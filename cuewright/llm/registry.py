@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cuewright.llm.byte_bpe import op10_byte_bpe
 from cuewright.llm.conversation_repair import op11_conversation_repair
 from cuewright.llm.decontaminate import op3_decontaminate
+from cuewright.llm.license_scan import op13_license_scan
 from cuewright.llm.lm_score import op9_lm_score
 from cuewright.llm.multi_index import op5_multi_index
 from cuewright.llm.ngram_jaccard import op4_ngram_jaccard
@@ -21,7 +22,7 @@ from cuewright.llm.url_lists import OP8_SQL, op8_url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_ids, op2_secret_scan, op3_decontaminate, op4_ngram_jaccard, op5_multi_index, op6_jump_shards, op7_toxicity, op8_url_lists, op9_lm_score, op10_byte_bpe, op11_conversation_repair, op12_token_alignment]
+    own = [op1_token_ids, op2_secret_scan, op3_decontaminate, op4_ngram_jaccard, op5_multi_index, op6_jump_shards, op7_toxicity, op8_url_lists, op9_lm_score, op10_byte_bpe, op11_conversation_repair, op12_token_alignment, op13_license_scan]
     return {f.__name__: f for f in own}
 
 
