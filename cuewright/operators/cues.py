@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.functions.language import BOOST, CONTRADICTION, LEAST_WORDS, PROFILES, SIGNATURES, normalized, script
 from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, once, stamp, words, wrapped
+from cuewright.operators import sequences
+from cuewright.scratch import kept
 
 #: Seconds: longest and shortest cue, and the gap over which segments are joined.
 LONGEST, SHORTEST, JOIN_GAP = 7.0, 1.0, 0.35
@@ -83,32 +85,34 @@ def retimed(cues: DataFrame, offset: Column, scale: Column) -> DataFrame:
     return cues.withColumns({"start_s": (F.col("start_s") - offset) / by, "end_s": (F.col("end_s") - offset) / by})
 
 
-def joined_segments(segments: DataFrame) -> DataFrame:
+def joined_segments(segments: DataFrame, chunk: int = sequences.CHUNK) -> DataFrame:
     """Segments that were cut within an utterance joined again, as (track_id, seg_idx, start_s, end_s, text).
 
-    Whether one joins depends on what was joined before it, but after a pause
-    or the end of a sentence none does: each stretch between those is folded
-    in order by itself.
+    A segment joins those before it unless a pause or the end of a sentence lies
+    between, or they would be too long together, in characters or seconds. So
+    where a joined segment stops is told by where it began: each row points to
+    the one that would begin the next, at most half a cue's characters away, and
+    the beginnings are the rows that pointers lead to from the first ones.
     """
-    rows = segments.withColumn("text", collapsed(F.col("text"))).where("text <> ''")
-    order = Window.partitionBy("track_id").orderBy("start_s", "cue_idx", "end_s", "text")
-    before = F.lag(F.struct("end_s", "text")).over(order)
-    rows = rows.withColumn("_before", before)
-    apart = F.col("_before").isNull() | (F.col("start_s") - F.col("_before.end_s") > JOIN_GAP) | ends_sentence(F.col("_before.text"))
-    rows = rows.withColumn("_run", F.sum(apart.cast("int")).over(order))
-    listed = rows.groupBy("track_id", "_run").agg(F.array_sort(F.collect_list(F.struct("start_s", "cue_idx", "end_s", "text"))).alias("s"))
-    empty = F.lit(None).cast("array<struct<start_s:double,end_s:double,text:string>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.length(last["text"]) + 1 + F.length(x["text"]) <= CUE_CHARS) & (x["end_s"] - last["start_s"] <= LONGEST)
-        one = F.struct(x["start_s"], x["end_s"], x["text"])
-        longer = F.struct(last["start_s"].alias("start_s"), x["end_s"].alias("end_s"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"))
-        return F.when(done.isNull(), F.array(one)).when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(one)))
-
-    joined = listed.select("track_id", "_run", F.aggregate("s", empty, add).alias("s")).select("track_id", "_run", F.posexplode("s").alias("_pos", "c"))
-    number = F.row_number().over(Window.partitionBy("track_id").orderBy("_run", "_pos")) - 1
-    return joined.select("track_id", number.alias("seg_idx"), "c.start_s", "c.end_s", "c.text")
+    rows = segments.select("track_id", "start_s", "cue_idx", "end_s", collapsed(F.col("text")).alias("text")).where("text <> ''")
+    listed = kept(sequences.numbered(rows, "track_id", ["start_s", "cue_idx", "end_s", "text"]), "segments")
+    most = CUE_CHARS // 2  # each has a character, and a blank before it
+    steps = listed.select("track_id", "idx", "start_s", "end_s", F.length("text").alias("chars"), ends_sentence(F.col("text")).alias("closed"))
+    part = Window.partitionBy("track_id", "chunk").orderBy("idx")
+    steps = sequences.dealt(steps, 1, most, chunk=chunk)
+    last = F.lag(F.struct("end_s", "closed")).over(part)
+    steps = steps.withColumns({"_last": last, "upto": F.sum(F.col("chars") + 1).over(part)})
+    steps = steps.withColumn("apart", F.col("_last").isNull() | (F.col("start_s") - F.col("_last.end_s") > JOIN_GAP) | F.col("_last.closed"))
+    following = F.collect_list(F.struct("idx", "apart", "end_s", "upto")).over(part.rowsBetween(1, most))
+    stops = lambda x: x["apart"] | (x["end_s"] - F.col("start_s") > LONGEST) | (x["upto"] - F.col("upto") + F.col("chars") > CUE_CHARS)
+    told = steps.withColumn("stop", F.get(F.filter(following, stops), F.lit(0))).where("own")
+    told = kept(told.select("track_id", "idx", "apart", F.when(~F.col("stop.apart"), F.col("stop.idx")).alias("to")), "stops")
+    heads = sequences.orbits(told.where("apart"), told.where("to is not null"), "track_id")
+    marks = heads.select("track_id", "idx", F.lit(True).alias("begins"))
+    joined = sequences.nearest(sequences.followed(listed, "idx", marks, "track_id", how="left"), "track_id", F.col("begins"), most, chunk=chunk)
+    parts = F.array_sort(F.collect_list(F.struct("idx", "text")))["text"]
+    done = joined.groupBy("track_id", "head").agg(F.min_by("start_s", "idx").alias("start_s"), F.max_by("end_s", "idx").alias("end_s"), F.array_join(parts, " ").alias("text"))
+    return sequences.counted(done, "track_id", "head", "seg_idx", chunk).select("track_id", "seg_idx", "start_s", "end_s", "text")
 
 
 def text_pieces(text: Column) -> Column:

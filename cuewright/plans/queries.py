@@ -10,6 +10,7 @@ from cuewright.functions import commands, language, naming, text
 from cuewright.operators import cues as cue_ops, library, repairs, reports, signals, sync
 from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
+from cuewright.scratch import work_dir
 from cuewright.settings import Settings, language_list
 from cuewright.sources import silences, srt, store, transcripts
 
@@ -509,12 +510,12 @@ def _said(spark, d):
     return said.select("track_id", (F.col("cue_idx") * 10000 + F.col("g")).cast("int").alias("cue_idx"), "start_s", "end_s", F.when(F.col("g") % 3 == 2, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.D1}, {sql.SAID}, {sql.JOINED} SELECT track_id, CAST(seg_idx AS INTEGER) AS seg_idx, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, text FROM joined")
 def cue_join(spark, d):
     return cue_ops.joined_segments(_said(spark, d)).select("track_id", "seg_idx", r6("start_s"), r6("end_s"), "text")
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.D1}, {sql.SAID}, {sql.JOINED}, {sql.SPLIT} SELECT track_id, CAST(cue_idx AS INTEGER) AS cue_idx, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, {sql.wrap('piece')} AS text FROM tidy WHERE end_s > start_s")
 def cue_split(spark, d):
     return cue_ops.transcript_cues(_said(spark, d)).select("track_id", "cue_idx", r6("start_s"), r6("end_s"), "text")
 
@@ -732,7 +733,7 @@ _STORE = "item_id long, checked_at long, event_id long, version string"
 def report_store(spark, d):
     """Reports appended in two parts to a store, its newest ones; and how many a store had that was cleared, under item -1."""
     rows = table(spark, d, "events").where("ts is not null").select(F.col("user_id").cast("long").alias("item_id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("checked_at"), F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("version"))
-    kept, gone = store.work_dir(spark, "reports"), store.work_dir(spark, "cleared")
+    kept, gone = work_dir(spark, "reports"), work_dir(spark, "cleared")
     store.save_reports(rows.where("event_id % 2 = 0"), kept)
     store.save_reports(rows.where("event_id % 2 = 1"), kept)
     store.save_reports(rows, gone)

@@ -137,3 +137,27 @@ CURVE = f"""a AS {bins('d2', '0.2e0')}, c AS {bins('d3', '0.2e0')},
 COVER = f"""best AS (SELECT * FROM (SELECT *, {normalized('language')} AS lang2, row_number() OVER (PARTITION BY item_id, {normalized('language')} ORDER BY CASE verdict WHEN 'InSync' THEN 4 WHEN 'Offset' THEN 3 WHEN 'Drifting' THEN 2 WHEN 'Unknown' THEN 1 ELSE 0 END DESC, cue_count DESC, hearing_impaired, external, track_idx) AS r FROM tracks WHERE skipped IS NULL AND {normalized('language')} <> '') WHERE r = 1),
   wanted AS (SELECT item_id, lang FROM (SELECT DISTINCT item_id FROM tracks), (VALUES {WANTED}) w(lang)),
   covered AS (SELECT w.item_id, w.lang, verdict FROM wanted w LEFT JOIN best b ON b.item_id = w.item_id AND b.lang2 = w.lang)"""
+
+SAID = f"""said AS (SELECT track_id, CAST(cue_idx * 10000 + g AS INTEGER) AS cue_idx, min(said_at) AS start_s, max(said_at) AS end_s, string_agg(word, ' ' ORDER BY i) || CASE WHEN g % 3 = 2 THEN '.' ELSE '' END AS text
+    FROM (SELECT track_id, cue_idx, i, i // 6 AS g, w[i + 1] AS word, start_s + 1.5 * ((i + 0.5) / len(w)) AS said_at FROM (SELECT *, unnest(range(len(w))) AS i FROM (SELECT *, {words('text')} AS w FROM d1))) GROUP BY track_id, cue_idx, g)"""
+# segments joined one after the other
+JOINED = """seg AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_s, cue_idx, end_s, text) AS k FROM said),
+  walk(track_id, k, g, a, b, t) AS (SELECT track_id, k, 0, start_s, end_s, text FROM seg WHERE k = 1 UNION ALL
+    SELECT track_id, k, g + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN a ELSE start_s END, end_s, CASE WHEN joins THEN t || ' ' || text ELSE text END
+    FROM (SELECT s.*, w.g, w.a, w.t, s.start_s - w.b <= 0.35 AND NOT regexp_matches(w.t, '[.!?。！？]$') AND length(w.t) + 1 + length(s.text) <= 84 AND s.end_s - w.a <= 7 AS joins FROM walk w JOIN seg s ON s.track_id = w.track_id AND s.k = w.k + 1)),
+  joined AS (SELECT track_id, g AS seg_idx, max_by(a, k) AS start_s, max_by(b, k) AS end_s, max_by(t, k) AS text FROM walk GROUP BY track_id, g)"""
+# lines cut word by word, then timed by their characters
+SPLIT = """long AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM joined WHERE length(text) > 84 OR end_s - start_s > 7),
+  cut(track_id, seg_idx, i, p, line, done) AS (SELECT track_id, seg_idx, 0, 0, '', FALSE FROM long UNION ALL
+    SELECT track_id, seg_idx, i + 1, CASE WHEN done THEN p + 1 ELSE p END, line2, length(line2) >= 84 OR regexp_matches(word, '[.!?。！？]$') OR (ends_with(word, ',') AND length(line2) > 42)
+    FROM (SELECT c.*, l.w[c.i + 1] AS word, CASE WHEN c.done OR c.line = '' THEN l.w[c.i + 1] ELSE c.line || ' ' || l.w[c.i + 1] END AS line2 FROM cut c JOIN long l USING (track_id, seg_idx) WHERE c.i < len(l.w))),
+  pieces AS (SELECT track_id, seg_idx, CAST(p AS INTEGER) AS piece_idx, max_by(line, i) AS piece FROM cut WHERE i > 0 GROUP BY ALL UNION ALL SELECT track_id, seg_idx, 0, text FROM joined WHERE length(text) <= 84 AND end_s - start_s <= 7),
+  timed AS (SELECT p.*, j.start_s AS a, j.end_s - j.start_s AS long_s, sum(length(piece)) OVER (PARTITION BY track_id, seg_idx) AS total, coalesce(sum(length(piece)) OVER (PARTITION BY track_id, seg_idx ORDER BY piece_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM pieces p JOIN joined j USING (track_id, seg_idx)),
+  parts AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seg_idx, piece_idx) - 1 AS cue_idx, greatest(a + long_s * upto / total, 0) AS start_s, a + long_s * (upto + length(piece)) / total AS e, piece FROM timed),
+  tidy AS (SELECT *, least(start_s + least(greatest(e - start_s, 1), 7), coalesce(lead(start_s) OVER (PARTITION BY track_id ORDER BY start_s, cue_idx), 1e300)) AS end_s FROM parts)"""
+
+
+def wrap(x: str) -> str:
+    blanks = f"list_filter(range(1, length({x}) + 1), lambda i: substr({x}, i, 1) = ' ')"
+    cut = f"(list_min(list_transform({blanks}, lambda i: abs(i - 1 - length({x}) // 2) * 1000000 + i)) % 1000000)"
+    return f"CASE WHEN length({x}) > 42 AND len({blanks}) > 0 THEN substr({x}, 1, {cut} - 1) || chr(10) || substr({x}, {cut} + 1) ELSE {x} END"

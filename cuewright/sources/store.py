@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuewright.operators.reports import latest
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "/tmp/checkpoints/cuewright-store"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def save_reports(reports: DataFrame, path: str) -> None:
     """Append reports (item_id, checked_at, ...). Nothing that is stored is read or written again."""
     reports.write.mode("append").parquet(path)
