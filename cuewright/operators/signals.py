@@ -49,7 +49,7 @@ def correlation_curve(audio: DataFrame, cues: DataFrame, keys: list[str], span:
 
     Bins within the span of each other meet by buckets of the span's length.
     Each pair of bins is a row, so this form is for short spans;
-    ``transformed_curve`` does the same by transforms.
+    ``summed_curve`` does the same by transforms of blocks.
     """
     a, c = coverage(audio, keys), coverage(cues, keys)
     ends = a.select(*keys, F.col("first_active").alias("fa"), F.col("last_active").alias("la")).join(c.select(*keys, F.col("first_active").alias("fc"), F.col("last_active").alias("lc")), keys)
@@ -73,10 +73,14 @@ def correlation_curve(audio: DataFrame, cues: DataFrame, keys: list[str], span:
 
     lags = lags.join(ranges(cues, F.col("lo"), F.col("hi"), "sc"), [*keys, "lag"]).join(ranges(audio, F.col("lo") - F.col("lag"), F.col("hi") - F.col("lag"), "sa"), [*keys, "lag"])
     lags = lags.join(both, [*keys, "lag"], "left").withColumns({"both": F.coalesce("both", F.lit(0)), "n": F.col("hi") - F.col("lo") + 1})
+    return lags.select(*keys, "lag", _pearson().alias("score"))
+
+
+def _pearson() -> Column:
+    """r of 0/1 vectors of ``n`` bins, by the bins active in either (``sa``, ``sc``) and in ``both``."""
     n, sa, sc, b = (F.col(x).cast("double") for x in ("n", "sa", "sc", "both"))
     flat = (n < LEAST_OVERLAP) | (sa <= 0) | (sc <= 0) | (sa >= n) | (sc >= n)
-    score = F.when(flat, 0.0).otherwise((n * b - sa * sc) / (F.sqrt(n * sa - sa * sa) * F.sqrt(n * sc - sc * sc)))
-    return lags.select(*keys, "lag", score.alias("score"))
+    return F.when(flat, 0.0).otherwise((n * b - sa * sc) / (F.sqrt(n * sa - sa * sa) * F.sqrt(n * sc - sc * sc)))
 
 
 def peaks(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,140 +100,98 @@ def match_strength(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - 0.15) / 0.40))
 
 
-# the kernel: one film's signals, inside a task
+# the kernels: a block of a signal, inside a task
 
 
-def _bins(start: np.ndarray, end: np.ndarray, count: int, width: float) -> np.ndarray:
-    """0/1 vector of intervals, by adding up where they begin and end."""
+def vector(start: np.ndarray, end: np.ndarray, width: float, low: int, high: int) -> np.ndarray:
+    """0/1 vector of the bins from ``low`` to below ``high`` that intervals mark, by adding up where they begin and end."""
     first = np.floor(np.maximum(start, 0) / width).astype(np.int64)
     last = np.maximum(np.ceil(np.maximum(end, 0) / width).astype(np.int64), first + 1)
-    keep = first < count
-    edge = np.zeros(count + 1, np.int64)
-    np.add.at(edge, first[keep], 1)
-    np.add.at(edge, np.minimum(last[keep], count), -1)
+    keep = (first < high) & (last > low)
+    edge = np.zeros(high - low + 1, np.int64)
+    np.add.at(edge, np.maximum(first[keep], low) - low, 1)
+    np.add.at(edge, np.minimum(last[keep], high) - low, -1)
     return (np.cumsum(edge[:-1]) > 0).astype(np.float64)
 
 
-def _size(audio: np.ndarray, cues: np.ndarray) -> int:
-    return 1 << int(len(audio) + len(cues) - 1).bit_length()
+def transformed(audio: np.ndarray, size: int) -> np.ndarray:
+    return np.conj(np.fft.rfft(audio, size))
+
+
+def transform_size(block: int, span: int) -> int:
+    """A power of two in which a block meets its cues without wrapping around."""
+    return 1 << int(block + 2 * span - 1).bit_length()
 
 
-def lag_scores(audio: np.ndarray, cues: np.ndarray, span: int, heard: np.ndarray | None = None) -> np.ndarray:
-    """Pearson's r at each lag from -span to span; the overlap counts of all lags by one transform.
+def met_counts(cues: np.ndarray, heard: np.ndarray, size: int, span: int) -> np.ndarray:
+    """Bins active in both at each lag from -span to span, by one transform.
 
-    ``heard``: the conjugate transform of ``audio``, where it is at hand.
+    ``heard`` is of a block's audio; the cues begin ``span`` bins before the
+    block and end as many after it, so that the first lags are whole (overlap-save).
     """
-    size = _size(audio, cues)
-    heard = np.conj(np.fft.rfft(audio, size)) if heard is None else heard
-    product = np.fft.irfft(np.fft.rfft(cues, size) * heard, size)
+    return np.rint(np.fft.irfft(np.fft.rfft(cues, size) * heard, size)[: 2 * span + 1])
+
+
+def overlaps(span: int, audio_ends: tuple[int, int], cue_ends: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lag, first, last): the cue's bins at each lag where both signals have content."""
     lags = np.arange(-span, span + 1)
-    both = np.where(np.abs(lags) < max(len(audio), len(cues)), np.rint(product[lags % size]), 0.0)
-    fa, la = np.flatnonzero(audio)[[0, -1]]
-    fc, lc = np.flatnonzero(cues)[[0, -1]]
-    lo, hi = np.maximum(fc, fa + lags), np.minimum(lc, la + lags) + 1
-    n = np.maximum(hi - lo, 0).astype(np.float64)
-    ok = n >= LEAST_OVERLAP
-    ca, cc = np.concatenate([[0], np.cumsum(audio)]), np.concatenate([[0], np.cumsum(cues)])
-    lo, hi, shift = np.where(ok, lo, fc), np.where(ok, hi, fc), np.where(ok, lags, 0)
-    sc = cc[hi] - cc[lo]
-    sa = ca[np.clip(hi - shift, 0, len(audio))] - ca[np.clip(lo - shift, 0, len(audio))]
-    ok &= (sa > 0) & (sc > 0) & (sa < n) & (sc < n)
+    return lags, np.maximum(cue_ends[0], audio_ends[0] + lags), np.minimum(cue_ends[1], audio_ends[1] + lags)
+
+
+def active_within(on: np.ndarray, low: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of a vector that begins at bin ``low``, the active bins from ``first`` to ``last``."""
+    upto = np.concatenate([[0], np.cumsum(on)])
+    at = lambda x: upto[np.clip(x - low, 0, len(on))]
+    return np.maximum(at(last + 1) - at(first), 0)
+
+
+def pearson(n: np.ndarray, both: np.ndarray, sa: np.ndarray, sc: np.ndarray) -> np.ndarray:
+    """r at each lag, 0 for short overlaps and flat sides."""
+    n = n.astype(np.float64)
+    ok = (n >= LEAST_OVERLAP) & (sa > 0) & (sc > 0) & (sa < n) & (sc < n)
     below = np.sqrt(np.where(ok, n * sa - sa * sa, 1)) * np.sqrt(np.where(ok, n * sc - sc * sc, 1))
     return np.where(ok, (n * both - sa * sc) / below, 0.0)
 
 
-def _content(x: np.ndarray) -> float:
-    on = np.flatnonzero(x)
-    return len(on) / (on[-1] - on[0] + 1) if len(on) else 0.0
-
-
-def best_lag(audio: np.ndarray, cues: np.ndarray, width: float, most: float, heard: np.ndarray | None = None) -> tuple[float, float] | None:
-    """(lag in seconds, score) of the best lag, or nothing if a signal has no shape or no score is positive."""
-    if not audio.any() or not cues.any() or _content(audio) > LOUD or _content(cues) > LOUD:
-        return None
-    span = round(max(most, 0) / width)
-    if span < 1:
-        return None
-    scores = lag_scores(audio, cues, span, heard)
-    k = int(np.argmax(scores))
-    return ((k - span) * width, float(scores[k])) if scores[k] > 0 else None
-
-
-def measure(speech: np.ndarray, cues: np.ndarray, runtime: float, windows: int = 12, most: float = 120.0, rates: bool = True) -> dict:
-    """Alignment of one track's cues with the speech of its film: rows (start, end) in seconds, in order."""
-    nothing = {"score": 0.0, "offset_s": 0.0, "scale": 1.0, "anchors": []}
-    if not len(speech):
-        return nothing | {"failure": "no speech was found in the audio track"}
-    if not len(cues):
-        return nothing | {"failure": "the track holds no dialogue to align"}
-    duration = max(runtime or 0.0, speech[-1, 1], cues[-1, 1] + most)
-    count = int(np.ceil(duration / COARSE))
-    audio = _bins(speech[:, 0], speech[:, 1], count, COARSE)
-    if not QUIET < _content(audio) < LOUD:
-        return nothing | {"failure": "the audio is almost all speech or almost all silence"}
-    if _content(_bins(cues[:, 0], cues[:, 1], count, COARSE)) < LEAST_DENSITY:
-        return nothing | {"failure": "the track is too sparse to align"}
-    best, heard = (0.0, 0.0, 1.0), np.conj(np.fft.rfft(audio, _size(audio, audio)))  # once for all scales
-    for scale in [1.0, *(p[3] for p in frame_rates())] if rates else [1.0]:
-        found = best_lag(audio, _bins(cues[:, 0] / scale, cues[:, 1] / scale, count, COARSE), COARSE, most, heard)
-        if found and found[1] > best[0]:
-            best = (found[1], found[0] * scale, scale)
-    score, offset, scale = best
-    out = {"score": score, "offset_s": offset, "scale": scale, "anchors": [], "failure": None}
-    if score < LEAST_SCORE:
-        return out
-    fine = int(np.ceil(duration / FINE))
-    audio = _bins(speech[:, 0], speech[:, 1], fine, FINE)
-    moved = _bins((cues[:, 0] - offset) / scale, (cues[:, 1] - offset) / scale, fine, FINE)
-    n = min(max(windows, 2), 64)
-    length = duration / n
-    for i in range(n):
-        a, b = int(np.floor(i * length / FINE)), min(int(np.ceil((i * length + length) / FINE)), fine)
-        found = best_lag(audio[a:b], moved[a:b], FINE, WINDOW_SEARCH)
-        strength = min(max((found[1] - 0.15) / 0.40, 0.0), 1.0) if found else 0.0
-        if strength > 0:
-            centre = i * length + length / 2
-            out["anchors"].append((centre, offset + (scale - 1.0) * centre + scale * found[0], strength))
-    return out
-
-
-ALIGNED = "score double, offset_s double, scale double, failure string, anchors array<struct<at_s:double,offset_s:double,confidence:double>>"
-
-
-def aligned(speech: DataFrame, cues: DataFrame, item: str, track: str, runtime: str | None = None, windows: int = 12, most: float = 120.0) -> DataFrame:
-    """Each track against the speech of its item: one row a track, its measurement.
-
-    A task's group is one track and one film's speech; the speech spans reach
-    each of the film's tracks once.
+def block_size(span: int) -> int:
+    """Bins of a block: most of a transform is then no overlap."""
+    return max(1 << 16, 1 << int(8 * span - 1).bit_length())
+
+
+def summed_curve(audio: DataFrame, cues: DataFrame, keys: list[str], span: int, block: int | None = None) -> DataFrame:
+    """(keys, lag, score) for every lag from -span to span, by transforms of blocks of a signal.
+
+    Every block of the audio meets the cues that are within the span of it. What
+    a block counts at a lag adds up over blocks, so a long recording is many
+    tasks' work, and none holds a key's bins.
     """
-    tracks = cues.select(item, track).distinct()
-    heard = speech.select(item, F.lit("speech").alias("kind"), "start_s", "end_s", (F.col(runtime) if runtime else F.lit(0.0)).cast("double").alias("runtime_s")).join(tracks, item)
-    rows = heard.unionByName(cues.select(item, F.lit("cue").alias("kind"), "start_s", "end_s", F.lit(0.0).alias("runtime_s"), track))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = {k: g.sort_values(["start_s", "end_s"])[["start_s", "end_s"]].to_numpy() for k, g in pdf.groupby("kind")}
-        empty = np.zeros((0, 2))
-        found = measure(sides.get("speech", empty), sides.get("cue", empty), float(pdf["runtime_s"].max()), windows, most)
-        found["anchors"] = [{"at_s": a, "offset_s": o, "confidence": c} for a, o, c in found["anchors"]]
-        return pd.DataFrame({item: [pdf[item].iloc[0]], track: [pdf[track].iloc[0]], **{k: [v] for k, v in found.items()}})[[item, track, "score", "offset_s", "scale", "failure", "anchors"]]
-
-    kinds = dict(cues.dtypes)
-    return rows.groupBy(item, track).applyInPandas(one, f"`{item}` {kinds[item]}, `{track}` {kinds[track]}, {ALIGNED}")
-
-
-def transformed_curve(audio: DataFrame, cues: DataFrame, key: str, span: int) -> DataFrame:
-    """(key, lag, score) for every lag from -span to span of each key's two signals (key, bin), by one transform a key."""
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({key: [], "lag": [], "score": []})
-        a, c = left["bin"].to_numpy(), right["bin"].to_numpy()
-        low = min(a.min(), c.min())
-        signals = []
-        for x in (a, c):
-            on = np.zeros(x.max() - low + 1)
-            on[x - low] = 1
-            signals.append(on)
-        return pd.DataFrame({key: left[key].iloc[0], "lag": np.arange(-span, span + 1), "score": lag_scores(*signals, span)})
-
-    return audio.groupBy(key).cogroup(cues.groupBy(key)).applyInPandas(one, f"`{key}` {dict(audio.dtypes)[key]}, lag long, score double")
+    size = block or block_size(span)
+    a, c = coverage(audio, keys), coverage(cues, keys)
+    ends = a.select(*keys, F.col("first_active").alias("fa"), F.col("last_active").alias("la")).join(c.select(*keys, F.col("first_active").alias("fc"), F.col("last_active").alias("lc")), keys)
+    at = lambda x: F.floor(x / size)
+    none = [F.lit(None).cast("bigint").alias(x) for x in ("fa", "la", "fc", "lc")]
+    left = audio.select(*keys, at(F.col("bin")).alias("block"), F.lit(0).alias("side"), "bin", *none)
+    right = cues.select(*keys, F.explode(F.sequence(at(F.col("bin") - span), at(F.col("bin") + span))).alias("block"), F.lit(1).alias("side"), "bin", *none)
+    spread = F.explode(F.sequence(at(F.least("fa", "fc")), at(F.greatest("la", "lc")))).alias("block")
+    told = ends.select(*keys, spread, F.lit(2).alias("side"), F.lit(None).cast("bigint").alias("bin"), "fa", "la", "fc", "lc")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        facts, low = g[g["side"] == 2], int(g["block"].iloc[0]) * size
+        if not len(facts):
+            return pd.DataFrame({k: [] for k in [*keys, "lag", "both", "sa", "sc"]}, dtype=object)
+        fa, la, fc, lc = (int(facts[x].iloc[0]) for x in ("fa", "la", "fc", "lc"))
+        heard, said = np.zeros(size), np.zeros(size + 2 * span)
+        on = lambda side: g.loc[g["side"] == side, "bin"].to_numpy().astype(np.int64) - low
+        heard[on(0)] = said[on(1) + span] = 1
+        n = transform_size(size, span)
+        lags, first, last = overlaps(span, (fa, la), (fc, lc))
+        both = met_counts(said, transformed(heard, n), n, span) if heard.any() and said.any() else np.zeros(len(lags))
+        out = {"lag": lags, "both": both, "sa": active_within(heard, low, first - lags, last - lags), "sc": active_within(said[span : span + size], low, first, last)}
+        return pd.DataFrame({k: [g[k].iloc[0]] * len(lags) for k in keys} | out)
+
+    kinds = dict(audio.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", lag long, both double, sa double, sc double"
+    counts = left.unionByName(right).unionByName(told).groupBy(*keys, "block").applyInPandas(one, schema)
+    sums = counts.groupBy(*keys, "lag").agg(*[F.sum(x).alias(x) for x in ("both", "sa", "sc")]).join(ends, keys)
+    first, last = F.greatest("fc", F.col("fa") + F.col("lag")), F.least("lc", F.col("la") + F.col("lag"))
+    return sums.withColumn("n", last - first + 1).select(*keys, "lag", _pearson().alias("score"))

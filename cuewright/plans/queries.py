@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuewright.functions import commands, language, naming, text
-from cuewright.operators import cues as cue_ops, library, repairs, reports, signals, sync
+from cuewright.operators import alignment, cues as cue_ops, library, repairs, reports, signals, sync
 from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
 from cuewright.scratch import work_dir
@@ -213,10 +213,20 @@ def content_coverage(spark, d):
     return signals.coverage(bins_speech(spark, d), ["item_id"]).withColumn("content_coverage", F.round("content_coverage", 6))
 
 
-def _curve(spark, d):
+def _signals(spark, d):
     spans = derived.speech(spark, d)
     audio, film = signals.marked(spans, ["item_id"], signals.COARSE), signals.marked(derived.film_cues(spans, 9.0, 1.0), ["item_id"], signals.COARSE)
-    return signals.transformed_curve(audio, film, "item_id", 75)
+    return audio, film
+
+
+def _curve(spark, d):
+    return signals.summed_curve(*_signals(spark, d), ["item_id"], 75)
+
+
+@query(f"WITH {sql.D2}, {sql.d3(9.0, 1.0)}, {sql.CURVE.replace('75', '50').replace('76', '51')} SELECT item_id, lag, round(score, 6) AS score FROM curve")
+def xcorr_pairs(spark, d):
+    """The same curve over a shorter span, by pairs of bins instead of transforms."""
+    return signals.correlation_curve(*_signals(spark, d), ["item_id"], 50).select("item_id", "lag", r6("score"))
 
 
 @query(f"WITH {sql.D2}, {sql.d3(9.0, 1.0)}, {sql.CURVE} SELECT item_id, lag, round(score, 6) AS score FROM curve")
@@ -243,7 +253,7 @@ def _aligned(spark, d):
     for name, offset, scale in FILMS:
         one = derived.film_cues(spans, offset, scale).withColumn("track", F.lit(name))
         film = one if film is None else film.unionByName(one)
-    return signals.aligned(spans, film, "item_id", "track")
+    return alignment.aligned(spans, film, "item_id", "track")
 
 
 @query()

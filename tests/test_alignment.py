@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.operators import cues as cue_ops, reports, signals, sync
+from cuewright.operators import alignment, cues as cue_ops, reports, signals, sync
+
+from tests import plain_alignment as plain
 
 
 def film(seed=7, minutes=45):
@@ -36,8 +38,8 @@ def direct(audio, cues, lag):
 
 def test_transform_equals_direct_sum():
     speech = film(minutes=8)
-    a, c = signals._bins(speech[:, 0], speech[:, 1], 2500, 0.2), signals._bins(*subtitles(speech, 3.0).T, 2500, 0.2)
-    scores = signals.lag_scores(a, c, 100)
+    a, c = plain._bins(speech[:, 0], speech[:, 1], 2500, 0.2), plain._bins(*subtitles(speech, 3.0).T, 2500, 0.2)
+    scores = plain.lag_scores(a, c, 100)
     assert np.allclose(scores, [direct(a, c, k) for k in range(-100, 101)], atol=1e-9)
     assert abs((int(np.argmax(scores)) - 100) * 0.2 - 3.0) < 0.41
 
@@ -45,13 +47,13 @@ def test_transform_equals_direct_sum():
 @pytest.mark.parametrize("offset", [2.5, -4.0, 31.0, -75.0])
 def test_offset_is_found(offset):
     speech = film()
-    found = signals.measure(speech, subtitles(speech, offset), speech[-1, 1] + 30)
+    found = plain.measure(speech, subtitles(speech, offset), speech[-1, 1] + 30)
     assert found["score"] > 0.5 and abs(found["offset_s"] - offset) < 0.3 and found["scale"] == 1.0 and len(found["anchors"]) >= 8
 
 
 def test_rate_is_found_and_named(spark):
     speech = film(minutes=60)
-    found = signals.measure(speech, subtitles(speech, 0.0, 23.976 / 25), speech[-1, 1] + 30)
+    found = plain.measure(speech, subtitles(speech, 0.0, 23.976 / 25), speech[-1, 1] + 30)
     points = spark.createDataFrame([("x", float(a), float(o), float(c)) for a, o, c in found["anchors"]], "k string, at_s double, offset_s double, confidence double")
     fit = sync.drift_fit(points, "k")
     row = sync.assessed(points, fit, "k", float(speech[-1, 1])).first()
@@ -60,9 +62,53 @@ def test_rate_is_found_and_named(spark):
 
 def test_other_film_and_sparse_tracks_are_refused():
     speech = film()
-    assert signals.measure(speech, subtitles(film(seed=99), 0), 0)["score"] < 0.25
-    assert "sparse" in signals.measure(speech, np.array([[100.0, 101.0], [1300.0, 1301.0]]), 0)["failure"]
-    assert signals.measure(np.zeros((0, 2)), speech, 0)["failure"] and signals.measure(speech, np.zeros((0, 2)), 0)["failure"]
+    assert plain.measure(speech, subtitles(film(seed=99), 0), 0)["score"] < 0.25
+    assert "sparse" in plain.measure(speech, np.array([[100.0, 101.0], [1300.0, 1301.0]]), 0)["failure"]
+    assert plain.measure(np.zeros((0, 2)), speech, 0)["failure"] and plain.measure(speech, np.zeros((0, 2)), 0)["failure"]
+
+
+def bins_of(spark, rows):
+    return spark.createDataFrame([(k, int(b)) for k, on in rows.items() for b in np.flatnonzero(on)], "k string, bin long")
+
+
+@pytest.mark.parametrize("block", [None, 256, 1000])
+def test_curves_by_blocks_pairs_and_whole(spark, block):
+    speech = film(minutes=8)
+    a, c = plain._bins(speech[:, 0], speech[:, 1], 2500, 0.2), plain._bins(*subtitles(speech, 3.0).T, 2500, 0.2)
+    late = np.concatenate([np.zeros(1500), c[:900]])
+    audio, cues = bins_of(spark, {"x": a, "y": a, "only": a}), bins_of(spark, {"x": c, "y": late, "other": c})
+    got = {(r["k"], r["lag"]): r["score"] for r in signals.summed_curve(audio, cues, ["k"], 60, block).collect()}
+    native = {(r["k"], r["lag"]): r["score"] for r in signals.correlation_curve(audio, cues, ["k"], 60).collect()}
+    want = {(k, lag): s for k, x in (("x", c), ("y", late)) for lag, s in zip(range(-60, 61), plain.lag_scores(a, x, 60))}
+    assert got.keys() == native.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 and abs(native[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("block", [None, 2048, 5000])
+def test_tracks_aligned_as_whole_films(spark, block):
+    speech, other = film(minutes=30), film(seed=99, minutes=12)
+    tracks = {(1, "late"): subtitles(speech, 31.0), (1, "pal"): subtitles(speech, 0.0, 23.976 / 25), (1, "alien"): subtitles(film(seed=5, minutes=30)), (1, "sparse"): np.array([[100.0, 101.0], [1300.0, 1301.0]]), (2, "early"): subtitles(other, -4.0), (3, "silent film"): subtitles(other), (4, "flat"): subtitles(other)}
+    heard = {1: speech, 2: other, 4: np.array([[0.0, 700.0]])}
+    rows = lambda table, schema: spark.createDataFrame([(*(k if isinstance(k, tuple) else (k,)), float(a), float(b)) for k, x in table.items() for a, b in x], schema).repartition(3)
+    got = alignment.aligned(rows(heard, "item int, start_s double, end_s double"), rows(tracks, "item int, track string, start_s double, end_s double"), "item", "track", block=block)
+    found = {(r["item"], r["track"]): r for r in got.collect()}
+    assert found.keys() == tracks.keys()
+    for k, cues in tracks.items():
+        order = lambda x: x[np.lexsort((x[:, 1], x[:, 0]))]
+        want = plain.measure(order(heard.get(k[0], np.zeros((0, 2)))), order(cues), 0.0)
+        r = found[k]
+        assert (r["failure"], r["scale"]) == (want["failure"], want["scale"]) and abs(r["score"] - want["score"]) < 1e-9 and abs(r["offset_s"] - want["offset_s"]) < 1e-9
+        assert np.allclose([tuple(a) for a in r["anchors"]] or np.zeros((0, 3)), want["anchors"] or np.zeros((0, 3)))
+    assert len(found[1, "late"]["anchors"]) >= 8 and found[1, "pal"]["scale"] == 23.976 / 25
+
+
+def test_a_film_of_a_hundred_hours_is_many_tasks(spark):
+    base = film(minutes=300)
+    hours = np.concatenate([base + 18_000 * k for k in range(20)])
+    speech = spark.createDataFrame([(1, float(a), float(b)) for a, b in hours], "item int, start_s double, end_s double")
+    cues = spark.createDataFrame([(1, "t", float(a), float(b)) for a, b in subtitles(hours, 7.0)], "item int, track string, start_s double, end_s double")
+    row = alignment.aligned(speech, cues, "item", "track", windows=24).first()
+    assert abs(row["offset_s"] - 7.0) < 0.3 and row["scale"] == 1.0 and len(row["anchors"]) == 24
 
 
 @pytest.mark.parametrize("offset", [0.0, 2.0, -3.4, 45.0])
