@@ -6,6 +6,9 @@ external, skipped); ``skipped`` is a reason or null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.functions.language import normalized
@@ -130,19 +133,36 @@ def reserved(events: DataFrame, ceiling: float, key: str, order: list[str]) -> D
     """Reservations with ``held_before``, ``spent_before`` and ``admitted``, of a log of several lanes.
 
     Events: (key, order, estimate_s, actual_s); a reservation has no actual, a
-    settlement gives the estimate back and spends the actual. One is admitted
-    while what is spent and held stays below the ceiling (none or a negative
-    one: always); the first refusal ends a run.
+    settlement gives the estimate back and spends the actual. A reservation is
+    admitted while what is spent and held stays below the ceiling (none or a
+    negative one: always), and holds its estimate then; one that is refused
+    holds nothing, and a later one finds room again when enough was given back.
+    What is held never falls below nothing. As each decision depends on those
+    before it, a run's rows stream through one task, sorted; none are kept.
     """
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    settles = F.col("actual_s").isNotNull()
-    estimate = F.greatest(F.coalesce("estimate_s", F.lit(0.0)), F.lit(0.0))
-    held = F.greatest(F.coalesce(F.sum(F.when(settles, -estimate).otherwise(estimate)).over(before), F.lit(0.0)), F.lit(0.0))
-    spent = F.coalesce(F.sum(F.greatest(F.coalesce("actual_s", F.lit(0.0)), F.lit(0.0))).over(before), F.lit(0.0))
-    rows = events.withColumns({"held_before": held, "spent_before": spent})
-    full = ~settles & (F.col("held_before") + F.col("spent_before") >= ceiling) if ceiling > 0 else F.lit(False)
-    over = F.max(full.cast("int")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("admitted", over == 0).where(~settles)
+    rows = events.withColumns({"held_before": F.lit(0.0), "spent_before": F.lit(0.0), "admitted": F.lit(False)})
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, held, spent = object(), 0.0, 0.0
+        for pdf in batches:
+            before, kept = [], []
+            amounts = (pdf[c].astype(float).fillna(0.0).clip(lower=0.0) for c in ("estimate_s", "actual_s"))
+            for i, (own, estimate, actual, settles) in enumerate(zip(pdf[key], *amounts, pdf["actual_s"].notna(), strict=True)):
+                if own != run and not (pd.isna(own) and run is None):
+                    run, held, spent = None if pd.isna(own) else own, 0.0, 0.0
+                if settles:
+                    held, spent = max(held - estimate, 0.0), spent + actual
+                    continue
+                admitted = ceiling <= 0 or held + spent < ceiling
+                kept.append(i)
+                before.append((held, spent, admitted))
+                held += estimate if admitted else 0.0
+            out = pdf.iloc[kept].copy()
+            out[["held_before", "spent_before", "admitted"]] = pd.DataFrame(before, columns=["h", "s", "a"], index=out.index)
+            yield out.astype({"held_before": float, "spent_before": float, "admitted": bool})
+
+    return dealt.mapInPandas(fold, rows.schema)
 
 
 def retained(logs: DataFrame, name: str, keep: int = 20) -> DataFrame:

@@ -765,11 +765,13 @@ def log_retention(spark, d):
     return reports.retained(table(spark, d, "events").select(F.concat(F.lit("run_"), F.col("event_id").cast("string"), F.lit(".json")).alias("name")), "name")
 
 
-_HELD_SQL = """e AS (SELECT user_id % 20 AS run_id, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS at_s, greatest(value, 0) AS v, event_id % 3 = 0 AS settles FROM events WHERE ts IS NOT NULL),
-  h AS (SELECT *, greatest(coalesce(sum(CASE WHEN settles THEN -20e0 ELSE 20e0 END) OVER w, 0), 0) AS held, coalesce(sum(CASE WHEN settles THEN v ELSE 0 END) OVER w, 0) AS spent FROM e WINDOW w AS (PARTITION BY run_id ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+# each event of a run in turn: held and spent before it, and after it
+_HELD_SQL = """e AS (SELECT user_id % 20 AS run_id, event_id, CAST(greatest(value, 0) AS DOUBLE) AS v, event_id % 3 = 0 AS settles, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
+  f(run_id, k, event_id, settles, h0, s0, admitted, h, s) AS (SELECT run_id, k, event_id, settles, 0e0, 0e0, TRUE, CASE WHEN settles THEN 0e0 ELSE 20e0 END, CASE WHEN settles THEN v ELSE 0e0 END FROM e WHERE k = 1 UNION ALL
+    SELECT e.run_id, e.k, e.event_id, e.settles, f.h, f.s, f.h + f.s < 900, CASE WHEN e.settles THEN greatest(f.h - 20, 0) WHEN f.h + f.s < 900 THEN f.h + 20 ELSE f.h END, CASE WHEN e.settles THEN f.s + e.v ELSE f.s END FROM f JOIN e ON e.run_id = f.run_id AND e.k = f.k + 1)"""
 
 
-@query(f"WITH {_HELD_SQL} SELECT run_id, event_id, round(held, 3) AS held_before, round(spent, 3) AS spent_before, admitted FROM (SELECT *, max(CASE WHEN NOT settles AND held + spent >= 900 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0 AS admitted FROM h) WHERE NOT settles")
+@query(f"WITH RECURSIVE {_HELD_SQL} SELECT run_id, event_id, round(h0, 3) AS held_before, round(s0, 3) AS spent_before, admitted FROM f WHERE NOT settles")
 def run_reserved(spark, d):
     events = _runs(spark, d).withColumns({"estimate_s": F.lit(20.0), "actual_s": F.when(F.col("event_id") % 3 == 0, F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)))})
     done = reports.reserved(events, 900.0, "run_id", ["at_s", "event_id"])

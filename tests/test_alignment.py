@@ -163,6 +163,26 @@ def test_runs(spark):
     assert sorted(r["item_id"] for r in reports.needs_check(items, seen).collect()) == [2, 4]
 
 
+@pytest.mark.parametrize(
+    "ceiling, log, want",
+    [
+        (15.0, [10, 10, 10, (10, 2), 10], [True, True, False, True]),  # room again when enough was given back
+        (450.0, [150, (150, 150)] * 3 + [150], [True, True, True, False]),
+        (450.0, [150, 150, 150, 150], [True, True, True, False]),
+        (10.0, [150, (150, 150), 150], [True, False]),
+        (300.0, [150, (150, 0), 150, (150, 0), 150], [True, True, True]),
+        (0.0, [150, (150, 150)] * 20, [True] * 20),
+        (20.0, [-5, (10, 0), 10, 10, 10], [True, True, True, False]),  # never less than nothing is held
+    ],
+)
+def test_budgets(spark, ceiling, log, want):
+    rows = [(run, i, float(x[0] if isinstance(x, tuple) else x), float(x[1]) if isinstance(x, tuple) else None) for run in ("a", "b", None) for i, x in enumerate(log)]
+    events = spark.createDataFrame(rows, "run string, i int, estimate_s double, actual_s double").repartition(5)
+    done = reports.reserved(events, ceiling, "run", ["i"]).collect()
+    for run in ("a", "b", None):
+        assert [r["admitted"] for r in sorted(done, key=lambda r: r["i"]) if r["run"] == run] == want
+
+
 def test_stream_of_files(spark, tmp_path):
     from cuewright.streaming.recheck import file_stream, write_cleaned
 
