@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuewright.functions import naming
 from cuewright.operators.cues import retimed, srt_text
+from cuewright.scratch import kept
+from cuewright.sources import files
 
+# fixed value: what is said of a write without cues
+NOTHING_SAVED = "that is not a subtitle file that can be read: nothing was saved"
 #: Below these, an offset in seconds and a scale's distance from 1 are no change.
 NO_OFFSET, NO_SCALE = 1e-6, 1e-9
 
@@ -55,7 +59,7 @@ def edited(sources: DataFrame, edits: DataFrame) -> DataFrame:
     refused = (
         F.when(F.col("_known").isNull(), "that subtitle is no longer there")
         .when((F.col("action") == "Retime") & retime_error(F.col("offset_s"), F.col("scale")).isNotNull(), retime_error(F.col("offset_s"), F.col("scale")))
-        .when(writes & (F.coalesce("cues", F.lit(0)) == 0), "that is not a subtitle file that can be read: nothing was saved")
+        .when(writes & (F.coalesce("cues", F.lit(0)) == 0), NOTHING_SAVED)
         .when((F.col("action") == "Delete") & ~is_file, "this track lives inside the media file: extract it first")
         .when(~F.col("action").isin("Save", "Retime", "Extract", "Delete"), "that is no edit")
     )
@@ -68,3 +72,26 @@ def edited(sources: DataFrame, edits: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("the original was left alone and a copy was saved as "), name(target)))
     )
     return rows.select("item_id", "source_id", "action", refused.isNull().alias("done"), F.when(refused.isNull(), target).alias("target"), F.coalesce(refused, said).alias("message"))
+
+
+def carried_out(sources: DataFrame, edits: DataFrame, contents: DataFrame, log: str, markers: list[str]) -> DataFrame:
+    """``edited``, with its writes and removals done: (item_id, source_id, action, done, target, message).
+
+    ``contents`` (item_id, source_id, content) has what is to be written; a
+    write without it is refused. Files are written and removed in two phases
+    (``sources.files``), where a file that isn't ours any more stays as it is.
+    """
+    decided = edited(sources, edits).join(contents.select("item_id", "source_id", "content"), ["item_id", "source_id"], "left")
+    empty = F.col("done") & (F.col("action") != "Delete") & F.col("content").isNull()
+    decided = decided.withColumns({"done": F.col("done") & ~empty, "message": F.when(empty, NOTHING_SAVED).otherwise(F.col("message")), "target": F.when(~empty, F.col("target"))})
+    decided = kept(decided, "edits")
+    told = files.apply_edits(decided.where("done").select(F.col("target").alias("path"), F.when(F.col("action") != "Delete", F.col("content")).alias("content")), log, markers)
+    told = told.select(F.col("path").alias("_path"), F.col("done").alias("_done"), F.col("message").alias("_why"))
+    met = decided.join(told, decided["target"] == told["_path"], "left")
+    return met.select("item_id", "source_id", "action", (F.col("done") & F.coalesce("_done", F.lit(False))).alias("done"), "target", F.coalesce("_why", "message").alias("message"))
+
+
+def written(repairs: DataFrame, log: str, markers: list[str]) -> DataFrame:
+    """(track_id, path, done, message): repaired copies (track_id, path, srt) as files, each beside its film or where its path says."""
+    told = files.apply_edits(repairs.select("path", F.col("srt").alias("content")), log, markers)
+    return repairs.select("track_id", "path").join(told.select("path", "done", "message"), "path", "left").select("track_id", "path", "done", "message")

@@ -12,7 +12,7 @@ from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
 from cuewright.scratch import work_dir
 from cuewright.settings import Settings, language_list
-from cuewright.sources import silences, srt, store, transcripts
+from cuewright.sources import files, silences, srt, store, transcripts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RUNTIME = 5400.0
@@ -699,13 +699,70 @@ _REPAIR_SQL = f"""{sql.D1}, k AS (SELECT track_id, CASE track_id % 5 WHEN 0 THEN
 @query(f"WITH {_REPAIR_SQL} SELECT track_id, path, sha256(string_agg(k || chr(13) || chr(10) || {sql.stamp('a')} || ' --> ' || {sql.stamp('b')} || chr(13) || chr(10) || regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') || chr(13) || chr(10), chr(13) || chr(10) ORDER BY k)) AS srt_sha256 FROM n GROUP BY track_id, path")
 def repair_sidecars(spark, d):
     """Repaired copies beside their films or in a folder of the store; tracks that nothing changes have none."""
-    cues = derived.cues(spark, d)
+    return _repairs(derived.cues(spark, d)).select("track_id", "path", F.sha2(F.encode("srt", "UTF-8"), 256).alias("srt_sha256"))
+
+
+def _repairs(cues, root=""):
+    """(track_id, path, srt) of ``repair_sidecars``, under a folder."""
     t = F.col("track_id")
     of = lambda *cases: F.element_at(F.array(*[F.lit(c) for c in cases]), (t % 5 + 1).cast("int"))
-    media = F.when(t % 11 != 0, F.concat(F.lit("/films/"), t.cast("string"), F.lit("/Film "), t.cast("string"), F.lit(".mkv"))).otherwise(" ")
-    path = repairs.repair_path(media, F.when(t % 3 != 0, "en").otherwise(""), t % 4 == 0, "repaired", t % 2 == 0, F.lit("/store"))
+    media = F.when(t % 11 != 0, F.concat(F.lit(f"{root}/films/"), t.cast("string"), F.lit("/Film "), t.cast("string"), F.lit(".mkv"))).otherwise(" ")
+    path = repairs.repair_path(media, F.when(t % 3 != 0, "en").otherwise(""), t % 4 == 0, "repaired", t % 2 == 0, F.lit(f"{root}/store"))
     corrections = cues.select("track_id").distinct().select("track_id", of(0.0, 2.5, -1.0, 0.0, 0.0).alias("offset_s"), of(1.0, 1.0, 1.0, 1.25, -1.0).alias("scale"), path.alias("path"))
-    return repairs.repaired(cues, corrections).select("track_id", "path", F.sha2(F.encode("srt", "UTF-8"), 256).alias("srt_sha256"))
+    return repairs.repaired(cues, corrections)
+
+
+def _inside(root, path="path"):
+    """A path without what leads to a folder of the session."""
+    return F.regexp_replace(path, ".*/" + root.rsplit("/", 1)[-1], "")
+
+
+@query(f"""WITH {_REPAIR_SQL} SELECT path, CAST(k - 1 AS INTEGER) AS cue_idx, floor(round(a * 1000, 3)) / 1000 AS start_s, floor(round(b * 1000, 3)) / 1000 AS end_s, trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), ' ') AS text FROM n""")
+def repair_files(spark, d):
+    """The repaired copies written as files, in two phases, and read again."""
+    root = work_dir(spark, "films")
+    cues = derived.cues(spark, d).withColumn("text", text.collapsed(F.col("text")))
+    told = repairs.written(_repairs(cues, root), work_dir(spark, "log"), ["repaired"])
+    if not told.where("not done").isEmpty():
+        raise RuntimeError("a repaired copy was not written")
+    back = srt.read_srt(spark, root)
+    return back.select(_inside(root, "track_id").alias("path"), "cue_idx", r6("start_s", 3), r6("end_s", 3), "text")
+
+
+_SHELF_SQL = f"""{sql.D1}, t AS (SELECT track_id, count(*) AS n, min(start_s) AS first FROM d1 GROUP BY track_id), s AS (SELECT *, '/Film' || track_id || CASE WHEN track_id % 2 = 0 THEN '.en.srt' ELSE '.repaired.srt' END AS own, '/Film' || track_id || '.copy.repaired.srt' AS copy FROM t),
+  kept AS (SELECT own AS path, n, CASE WHEN track_id % 4 = 1 THEN first - 2.5 ELSE first END AS first FROM s WHERE track_id % 4 <> 2 UNION ALL SELECT copy, n, first - 2.5 FROM s WHERE track_id % 4 IN (0, 3))"""
+
+
+@query(f"WITH {_SHELF_SQL} SELECT path, n AS cues, round(first, 3) AS first_s FROM kept")
+def edited_files(spark, d):
+    """Files of which some are ours: retimed in place or as copies, extracted, removed; then read again."""
+    root = work_dir(spark, "shelf")
+    cues = derived.cues(spark, d).withColumn("text", text.collapsed(F.col("text")))
+    t, film = F.col("track_id"), F.concat(F.lit(f"{root}/Film"), F.col("track_id").cast("string"))
+    path, ours = F.concat(film, F.when(t % 2 == 0, ".en.srt").otherwise(".repaired.srt")), t % 2 == 1
+    before = cue_ops.srt_text(cues)
+    files.apply_edits(before.select(path.alias("path"), F.col("srt").alias("content")), work_dir(spark, "log"), [])
+    sources = before.select(F.col("track_id").alias("item_id"), F.lit("file").alias("source_id"), F.when(ours, "Repaired").otherwise("External").alias("kind"), path.alias("path"))
+    action = F.element_at(F.array(*[F.lit(a) for a in ("Retime", "Retime", "Delete", "Extract")]), (t % 4 + 1).cast("int"))
+    edits = before.select(F.col("track_id").alias("item_id"), F.lit("file").alias("source_id"), action.alias("action"), F.lit(1).alias("cues"), F.lit(2.5).alias("offset_s"), F.lit(1.0).alias("scale"), F.concat(film, F.lit(".copy.repaired.srt")).alias("copy_path"))
+    moved = cue_ops.srt_text(cue_ops.retimed(cues, F.lit(2.5), F.lit(1.0))).select(F.col("track_id").alias("item_id"), F.lit("file").alias("source_id"), F.col("srt").alias("content"))
+    told = repairs.carried_out(sources, edits, moved, work_dir(spark, "log"), ["repaired"])
+    if not told.where("not done").isEmpty():
+        raise RuntimeError("an edit was not carried out")
+    rows = srt.read_tracks(spark, root)
+    return rows.select(_inside(root, "track_id").alias("path"), F.size("cues").cast("long").alias("cues"), F.round(F.array_min("cues.start_s"), 3).alias("first_s"))
+
+
+@query(f"WITH {sql.D1}, t AS (SELECT track_id, string_agg(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), ' '), '' ORDER BY cue_idx) AS said, count(*) AS n FROM d1 GROUP BY track_id) SELECT '/' || track_id || '.srt' AS path, CASE track_id % 4 WHEN 0 THEN n WHEN 1 THEN n ELSE 0 END AS cues, CASE track_id % 4 WHEN 1 THEN 'the track held no dialogue once annotations were removed' WHEN 2 THEN 'the track parsed to no cues at all' WHEN 3 THEN 'the track parsed to no cues at all' END AS error FROM t")
+def tracks_read(spark, d):
+    """Files with dialogue, with notes alone, without a time and empty ones, each with its reason."""
+    root, t = work_dir(spark, "tracks"), F.col("track_id")
+    spoken = F.when(t % 4 == 1, "[door creaks]").otherwise(F.concat(F.lit("well "), text.collapsed(F.col("text"))))
+    rows = cue_ops.srt_text(derived.cues(spark, d).withColumn("text", spoken))
+    content = F.when(t % 4 == 2, F.replace("srt", F.lit("-->"), F.lit("to"))).when(t % 4 == 3, "").otherwise(F.col("srt"))
+    files.apply_edits(rows.select(F.concat(F.lit(f"{root}/"), t.cast("string"), F.lit(".srt")).alias("path"), content.alias("content")), work_dir(spark, "log"), [])
+    found = srt.read_tracks(spark, root)
+    return found.select(_inside(root, "track_id").alias("path"), F.size("cues").cast("long").alias("cues"), "error")
 
 
 @query("SELECT l_orderkey, l_linenumber, abs(o) < 1e-6 AND abs(s - 1) < 1e-9 AS same FROM (SELECT l_orderkey, l_linenumber, (l_orderkey % 3) * 5e-7 AS o, 1 + (l_linenumber % 3) * 6e-10 AS s FROM lineitem)")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cuewright.functions.text import SPACE, clean_line, trimmed
 from cuewright.operators.cues import srt_text
+from cuewright.sources import files
 
-_TIME = r"^\s*(?:([+-]?[0-9]+):)?([+-]?[0-9]+):([+-]?[0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?|[+-]?[0-9]+\.)(?:\s.*)?$"
+_TIME = r"^(?:([+-]?[0-9]+):)?([+-]?[0-9]+):([+-]?[0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?|[+-]?[0-9]+\.)(?:" + SPACE + ".*)?$"
 
 
 def seconds_of(text: Column) -> Column:
     """Seconds of [HH:]MM:SS with a point or a comma; what follows a blank is position data; null for anything else."""
-    bare = F.regexp_replace(F.regexp_replace(text, ",", "."), r"^\s+|\s+$", "")
+    bare = trimmed(F.regexp_replace(text, ",", "."))
     part = lambda k: F.regexp_extract(bare, _TIME, k)
     hours = F.when(part(1) == "", 0.0).otherwise(part(1).try_cast("double"))
     return F.when(bare.rlike(_TIME), hours * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double"))
@@ -30,8 +32,8 @@ def parsed(files: DataFrame, key: str = "track_id", content: str = "content") ->
     order = Window.partitionBy(key).orderBy("pos")
     lines = lines.withColumn("arrow", F.instr("line", "-->") > 0).withColumn("block", F.sum(F.col("arrow").cast("int")).over(order)).where("block > 0")
     inside = Window.partitionBy(key, "block").orderBy("pos")
-    lines = lines.withColumn("open", F.max((~F.col("arrow") & F.col("line").rlike(r"^\s*$")).cast("int")).over(inside) == 0).where("open")
-    body = F.array_sort(F.collect_list(F.when(~F.col("arrow"), F.struct("pos", F.regexp_replace("line", r"^\s+|\s+$", "").alias("t")))))
+    lines = lines.withColumn("open", F.max((~F.col("arrow") & F.col("line").rlike(f"^{SPACE}*$")).cast("int")).over(inside) == 0).where("open")
+    body = F.array_sort(F.collect_list(F.when(~F.col("arrow"), F.struct("pos", trimmed(F.col("line")).alias("t")))))
     blocks = lines.groupBy(key, "block").agg(F.max(F.when(F.col("arrow"), F.col("line"))).alias("timing"), body.alias("b")).withColumn("b", F.col("b.t"))
     last = F.element_at("b", -1)
     stray = (F.length(last) <= 5) & last.rlike(r"^[+-]?[0-9]+$")
@@ -43,12 +45,37 @@ def parsed(files: DataFrame, key: str = "track_id", content: str = "content") ->
     return rows.select(F.col(key), number.alias("cue_idx"), "start_s", F.greatest("start_s", "end_s").alias("end_s"), F.array_join("b", " ").alias("text"))
 
 
-def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    """Cues of every file of a folder or pattern; ``track_id`` is the file's path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("track_id"), F.col("value").alias("content"))
-    return parsed(files)
+#: Why a track with cues has nothing to align.
+NO_DIALOGUE = "the track held no dialogue once annotations were removed"
 
 
-def write_srt(cues: DataFrame, path: str) -> None:
-    """One folder a track under ``path``, UTF-8 without a byte order mark; tracks without cues are not written."""
-    srt_text(cues).select("track_id", F.col("srt").alias("value")).write.partitionBy("track_id").option("lineSep", "\n").text(path)
+def read_tracks(spark: SparkSession, path: str, pattern: str = "*.srt") -> DataFrame:
+    """(track_id, bytes, modified, cues, clean, error): a row for every file of a folder, whether it can be read or not.
+
+    ``clean`` has the cues with dialogue, without one that repeats the line
+    before it; ``error`` says why there are none. Nothing is shuffled.
+    """
+    files.register(spark)
+    rows = spark.read.format("subrip").option("pattern", pattern).load(path)
+    spoken = F.filter(F.transform("cues", lambda c: c.withField("text", clean_line(c["text"]))), lambda c: c["text"] != "")
+    rows = rows.withColumn("_spoken", spoken)
+    # lines that repeat the one before them go, also in a row of them
+    new = F.filter("_spoken", lambda c, i: (i == 0) | (F.lower(c["text"]) != F.lower(F.get(F.col("_spoken"), i - 1)["text"])))
+    error = F.coalesce("error", F.when(F.size("_spoken") == 0, NO_DIALOGUE))
+    return rows.select(F.col("path").alias("track_id"), "bytes", "modified", "cues", new.alias("clean"), error.alias("error"))
+
+
+def read_srt(spark: SparkSession, path: str, pattern: str = "*.srt") -> DataFrame:
+    """Cues of every file of a folder; ``track_id`` is the file's path."""
+    files.register(spark)
+    rows = spark.read.format("subrip").option("pattern", pattern).load(path)
+    return rows.select(F.col("path").alias("track_id"), F.inline("cues"))
+
+
+def write_srt(cues: DataFrame, folder: Column, log: str, markers: list[str]) -> DataFrame:
+    """One ``.srt`` file a track under ``folder`` (a column of the track), UTF-8 without a byte order mark; what became of each.
+
+    A file that is there is written over only if its name has one of the markers.
+    """
+    rows = srt_text(cues).select(F.concat(folder, F.lit("/"), F.col("track_id").cast("string"), F.lit(".srt")).alias("path"), F.col("srt").alias("content"))
+    return files.apply_edits(rows, log, markers)

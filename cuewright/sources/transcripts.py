@@ -11,21 +11,19 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cuewright.functions.text import trimmed
+
 NOTHING = "nothing was said in this window"
 _SEGMENTS = "array<struct<start:string,end:string,text:string>>"
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def _number(c: Column) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(0.0))
 
 
 def _segments(raw: Column) -> Column:
     """Those with text, with numbers; the end not before the start."""
-    kept = F.filter(F.transform(raw, lambda s: F.struct(_number(s["start"]).alias("a"), _number(s["end"]).alias("b"), _trim(F.coalesce(s["text"], F.lit(""))).alias("t"))), lambda s: s["t"] != "")
+    kept = F.filter(F.transform(raw, lambda s: F.struct(_number(s["start"]).alias("a"), _number(s["end"]).alias("b"), trimmed(F.coalesce(s["text"], F.lit(""))).alias("t"))), lambda s: s["t"] != "")
     return F.transform(kept, lambda s: F.struct(s["a"].alias("start_s"), F.greatest(s["a"], s["b"]).alias("end_s"), s["t"].alias("text")))
 
 
@@ -37,8 +35,8 @@ def verbose_json(rows: DataFrame, key: str, body: str = "body", duration: str =
     """(key, language, timed, error, segments) of responses with ``language``, ``text`` and ``segments``; text alone is one untimed segment."""
     read = rows.withColumn("j", F.from_json(body, f"language string, text string, segments {_SEGMENTS}")).withColumn("found", _segments(F.coalesce("j.segments", F.array())))
     bare = F.size(F.coalesce("j.segments", F.array())) == 0
-    said = _trim(F.coalesce("j.text", F.lit("")))
-    error = F.when(_trim(F.coalesce(body, F.lit(""))) == "", "the transcriber returned an empty response").when(F.col("j").isNull() | ~F.col(body).rlike(r"^\s*\{"), "the transcriber returned unreadable JSON").when((bare & (said == "")) | (~bare & (F.size("found") == 0)), NOTHING)
+    said = trimmed(F.coalesce("j.text", F.lit("")))
+    error = F.when(trimmed(F.coalesce(body, F.lit(""))) == "", "the transcriber returned an empty response").when(F.col("j").isNull() | ~F.col(body).rlike(r"^\s*\{"), "the transcriber returned unreadable JSON").when((bare & (said == "")) | (~bare & (F.size("found") == 0)), NOTHING)
     whole = F.array(F.struct(F.lit(0.0).alias("start_s"), F.col(duration).cast("double").alias("end_s"), said.alias("text")))
     return _result(read.select(key, F.col("j.language").alias("language"), (~bare).alias("timed"), error.alias("error"), F.when(bare, whole).otherwise(F.col("found")).alias("segments")), key)
 
@@ -51,10 +49,10 @@ def candidate_json(rows: DataFrame, key: str, body: str = "body", duration: str
     total = F.col(duration).cast("double")
     inside = F.transform("found", lambda s: F.struct(F.least(F.greatest(s["start_s"], F.lit(0.0)), total).alias("start_s"), F.least(F.greatest(s["end_s"], F.least(F.greatest(s["start_s"], F.lit(0.0)), total)), total).alias("end_s"), s["text"].alias("text")))
     error = (
-        F.when(_trim(F.coalesce(body, F.lit(""))) == "", "the transcriber returned an empty response")
+        F.when(trimmed(F.coalesce(body, F.lit(""))) == "", "the transcriber returned an empty response")
         .when(F.col("e").isNull(), "the transcriber returned unreadable JSON")
         .when(F.size(F.coalesce("e.candidates", F.array())) == 0, "the transcriber returned no candidates")
-        .when(_trim(F.col("inner")) == "", NOTHING)
+        .when(trimmed(F.col("inner")) == "", NOTHING)
         .when(F.col("j.segments").isNull(), "the answer carried no segments")
         .when(F.size("found") == 0, NOTHING)
     )

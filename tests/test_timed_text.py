@@ -58,13 +58,6 @@ def test_srt_forms(spark):
     assert [(r["track_id"], r["start_s"], r["end_s"], r["text"]) for r in rows] == [("a", 10.5, 12.0, "Hello there"), ("a", 62.0, 62.0, "no hours"), ("a", 120.0, 121.0, "kept")]
 
 
-def test_srt_files_round_trip(spark, tmp_path):
-    cues = spark.createDataFrame([(1, 0, 1.0, 2.0, "a"), (1, 1, 3661.25, 3662.0, "b")], "track_id int, cue_idx int, start_s double, end_s double, text string")
-    srt.write_srt(cues, str(tmp_path / "out"))
-    back = srt.read_srt(spark, str(tmp_path / "out" / "*" / "*.txt")).orderBy("cue_idx").collect()
-    assert [(r["start_s"], r["end_s"], r["text"]) for r in back] == [(1.0, 2.0, "a"), (3661.25, 3662.0, "b")]
-
-
 def test_silences(spark):
     log = "silence_start: 0\nsilence_end: 4.5 | x\nsilence_start: 9.25\nsilence_start: 10\nsilence_end: 12\n"
     logs = spark.createDataFrame([(1, log, 20.0), (2, "silence_start: 15", 20.0), (3, "", 20.0), (4, None, 0.0), (5, "silence_end: 3\nsilence_start: -1\nsilence_end: 99", 20.0)], "item_id int, log string, duration_s double")
