@@ -12,7 +12,8 @@ from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
 from cuewright.scratch import work_dir
 from cuewright.settings import Settings, language_list
-from cuewright.sources import files, silences, srt, store, transcripts
+from cuewright.sources import files, inventory, runs, silences, srt, store, transcripts
+from cuewright.streaming import recheck
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 RUNTIME = 5400.0
@@ -798,18 +799,66 @@ _STORE = "item_id long, checked_at long, event_id long, version string"
 
 @query("WITH s AS (SELECT user_id AS item_id, epoch_us(ts) AS checked_at, event_id, event_type AS version FROM events WHERE ts IS NOT NULL) SELECT item_id, checked_at, version FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY checked_at DESC, event_id DESC) AS r FROM s) WHERE r = 1 UNION ALL SELECT -1, count(DISTINCT item_id), 'cleared' FROM s")
 def report_store(spark, d):
-    """Reports appended in two parts to a store, its newest ones; and how many a store had that was cleared, under item -1."""
+    """Reports saved in three parts to a store, its rows; and how many a store had that was cleared, under item -1."""
     rows = table(spark, d, "events").where("ts is not null").select(F.col("user_id").cast("long").alias("item_id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("checked_at"), F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("version"))
-    kept, gone = work_dir(spark, "reports"), work_dir(spark, "cleared")
-    store.save_reports(rows.where("event_id % 2 = 0"), kept)
-    store.save_reports(rows.where("event_id % 2 = 1"), kept)
-    store.save_reports(rows, gone)
+    held, gone = work_dir(spark, "reports"), work_dir(spark, "cleared")
+    for part in range(3):
+        store.save_reports(rows.where(F.col("event_id") % 3 == part), held, tie="event_id", buckets=8)
+    store.save_reports(rows, gone, tie="event_id", buckets=8)
     n = store.clear_reports(spark, gone, _STORE)
     left = store.stored_reports(spark, gone, _STORE).count()
-    found = store.stored_reports(spark, kept, _STORE, tie="event_id").select("item_id", "checked_at", "version")
+    found = store.stored_reports(spark, held, _STORE).select("item_id", "checked_at", "version")
     return found.unionByName(spark.createDataFrame([(-1, n - left, "cleared")], "item_id long, checked_at long, version string"))
 
 
+@query("""WITH e AS (SELECT 'run_' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') AS run_id, event_id % 24 AS k, ts, value, event_id FROM events WHERE ts IS NOT NULL AND event_id % 24 >= 4),
+  r AS (SELECT run_id, k, count(*) AS items, count(*) FILTER (event_id % 10 = 0) AS failed, round(sum(coalesce(greatest(value, 0), 0)) / 60, 4) AS minutes, CASE WHEN k % 5 > 0 THEN CAST(sum(CASE WHEN event_id % 3 = 0 THEN 0.25 END) AS DOUBLE) END AS cost FROM e GROUP BY run_id, k)
+  SELECT run_id, CASE WHEN k % 3 = 1 THEN 'Completed' WHEN k % 3 = 2 THEN 'Failed' WHEN k % 2 = 0 THEN 'Running' ELSE 'Abandoned' END AS status, CAST(k * 10 AS INTEGER) AS planned, items, failed, minutes, cost, CASE WHEN k % 3 = 2 THEN 'stopped' END AS error FROM r""")
+def run_log(spark, d):
+    """Runs from their events; of 24 the newest 20 by name are kept, and every second open one is live."""
+    path, k = work_dir(spark, "runs"), F.col("event_id") % 24
+    name = F.concat(F.lit("run_"), F.lpad(k.cast("string"), 2, "0"))
+    events = table(spark, d, "events").where("ts is not null").select(name.alias("run_id"), k.alias("k"), F.col("ts").cast("timestamp").alias("at"), F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)).alias("audio_s"), F.col("event_id").cast("string").alias("item_id"), F.when((F.col("event_id") % 3 == 0) & (F.col("event_id") % 24 % 5 > 0), 0.25).alias("cost"), F.when(F.col("event_id") % 10 == 0, "lost").alias("error"))
+    each = events.groupBy("run_id", "k").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    runs.append(each.select("run_id", F.col("first").alias("at"), F.lit("begin").alias("kind"), F.lit("schedule").alias("cause"), (F.col("k") * 10).alias("planned")), path)
+    runs.finished(events, path)
+    ended = each.where("k % 3 > 0").select("run_id", F.col("last").alias("at"), F.lit("end").alias("kind"), F.when(F.col("k") % 3 == 1, "Completed").otherwise("Failed").alias("status"), F.when(F.col("k") % 3 == 2, "stopped").alias("error"))
+    runs.append(ended, path)
+    runs.rotate(spark, path)
+    live = each.where("k % 2 = 0").select("run_id")
+    return runs.recent(spark, path, live).select("run_id", "status", "planned", "items", "failed", r6("minutes", 4), F.col("cost").cast("double").alias("cost"), "error")
+
+
+@query(f"WITH {sql.D1}, n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_s, cue_idx) AS k FROM d1) SELECT '/' || track_id || '.srt' AS path, octet_length(encode(string_agg(k || chr(13) || chr(10) || {sql.stamp('start_s')} || ' --> ' || {sql.stamp('end_s')} || chr(13) || chr(10) || regexp_replace(text, '\\r?\\n', chr(13) || chr(10), 'g') || chr(13) || chr(10), chr(13) || chr(10) ORDER BY k))) AS bytes FROM n WHERE track_id % 3 > 0 GROUP BY track_id")
+def files_due(spark, d):
+    """Files that were never checked or have another version than then, by a listing alone."""
+    root, t = work_dir(spark, "versions"), F.col("track_id")
+    texts = cue_ops.srt_text(derived.cues(spark, d)).withColumn("path", F.concat(F.lit(f"{root.removeprefix('file://')}/"), t.cast("string"), F.lit(".srt")))
+    files.apply_edits(texts.select("path", F.col("srt").alias("content")), work_dir(spark, "log"), [])
+    now = inventory.listed_files(spark, root, "*.srt")
+    items = texts.select(t.alias("item_id"), "path")
+    # of three files one is as it was, one has changed, one is new
+    stored = items.join(now.select("path", "version"), "path").where("item_id % 3 <> 2").select("item_id", F.when(F.col("item_id") % 3 == 0, F.col("version")).otherwise("1-1").alias("version"))
+    found = inventory.due(spark, items, root, stored, "*.srt")
+    return found.join(now.select("path", "bytes"), "path").select(_inside(root).alias("path"), "bytes")
+
+
+_SEEN_SQL = "v AS (SELECT user_id AS item_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 864e9) AS INTEGER) AS part, ts, event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS version FROM events WHERE ts IS NOT NULL), l AS (SELECT item_id, part, arg_max(version, (ts, version)) AS version FROM v GROUP BY item_id, part)"
+
+
+@query(f"WITH {_SEEN_SQL}, p AS (SELECT *, lag(version) OVER (PARTITION BY item_id ORDER BY part) AS was FROM l) SELECT item_id, version, CASE WHEN was IS NULL THEN 'new' ELSE 'changed' END AS change, count(*) AS n FROM p WHERE was IS NULL OR (was <> '' AND was <> version) GROUP BY ALL")
+def changed_stream(spark, d):
+    """Sightings of ten days each as the files of a stream; what is new or changed, by state."""
+    source, out, place = work_dir(spark, "sightings"), work_dir(spark, "changed"), work_dir(spark, "checkpoint")
+    day = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / F.lit(864e9)
+    seen = table(spark, d, "events").where("ts is not null").select(F.col("user_id").alias("item_id"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("version"), F.col("ts").cast("timestamp").alias("seen_at"), F.floor(day).cast("int").alias("part"))
+    for part in sorted(r["part"] for r in seen.select("part").distinct().collect()):  # a part for ten days
+        seen.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("item_id long, version string, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    recheck.write_changed(stream, out, place, delay="3650 days").awaitTermination()
+    return spark.read.parquet(out).groupBy("item_id", "version", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("WITH s AS (SELECT event_id AS item_id, epoch_us(ts) AS checked_at FROM events WHERE ts IS NOT NULL) SELECT * FROM (SELECT 'all' AS asked, item_id FROM s ORDER BY checked_at DESC, item_id DESC LIMIT 2000) UNION ALL SELECT * FROM (SELECT 'one', item_id FROM s ORDER BY checked_at DESC, item_id DESC LIMIT 1)")
 def report_listing(spark, d):
     """The newest reports; a limit is kept between 1 and 2000."""

@@ -1,8 +1,12 @@
-"""A stream of subtitle files: new ones are parsed and cleaned as they arrive."""
+"""Streams of subtitle files, and of what is seen of them: only what is new or has changed goes on."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuewright.functions.language import script
 from cuewright.functions.text import clean_line
@@ -28,3 +32,51 @@ def write_cleaned(stream: DataFrame, table_path: str, checkpoint: str):
 def activity(stream: DataFrame, delay: str = "1 hour", window: str = "10 minutes") -> DataFrame:
     """Files and scripts seen in each window, with late ones up to the delay."""
     return stream.withWatermark("seen_at", delay).groupBy(F.window("seen_at", window)).agg(F.count(F.lit(1)).alias("files"), F.count(script(F.col("content"))).alias("scripted"))
+
+
+def changed(seen: DataFrame, key: str = "item_id", delay: str = "1 hour", forget_s: int = 90 * 86_400) -> DataFrame:
+    """(key, version, seen_at, change) of a stream of sightings (key, version, seen_at): the items that are to be checked.
+
+    The state store holds the last version of each item, so an item goes on
+    when it is ``new``, or ``changed`` from a version that was known; a sighting
+    older than the last one counts for nothing, and of one batch the last
+    counts. An item that nobody has seen for ``forget_s`` seconds of the
+    stream's own time is ``gone``, and new if it comes back. A stream that
+    starts again from its checkpoint repeats nothing.
+    """
+    rows = seen.select(key, F.coalesce("version", F.lit("")).alias("version"), "seen_at").where("seen_at is not null").withWatermark("seen_at", delay)
+    kind = dict(seen.dtypes)[key]
+
+    def one(item: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = lambda version, at, what: pd.DataFrame({key: [item[0]], "version": [version], "seen_at": [at], "change": [what]})
+        if state.hasTimedOut:
+            version, at = state.get
+            state.remove()
+            yield out(version, pd.Timestamp(at, unit="us"), "gone")
+            return
+        last = None
+        for pdf in batches:
+            for version, at in zip(pdf["version"], pdf["seen_at"], strict=True):
+                last = max(last or (at, version), (at, version))
+        if last is None:
+            return
+        at, version = last
+        stamp = at.value // 1000
+        known, before = state.getOption or (None, None)
+        if before is None or stamp >= before:
+            state.update((version, stamp))
+            if before is None:
+                yield out(version, at, "new")
+            elif known != "" and known != version:
+                yield out(version, at, "changed")
+        else:
+            stamp = before
+        state.setTimeoutTimestamp(max(stamp // 1000 + forget_s * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return rows.groupBy(key).applyInPandasWithState(one, f"`{key}` {kind}, version string, seen_at timestamp, change string", "version string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def write_changed(stream: DataFrame, table_path: str, checkpoint: str, key: str = "item_id", **options):
+    """Append what ``changed`` finds to a Parquet table; a batch that runs again after a failure writes its rows once."""
+    found = changed(stream, key, **options)
+    return found.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
