@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuewright.functions.language import BOOST, CONTRADICTION, LEAST_WORDS, PROFILES, SIGNATURES, normalized, script
 from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, once, stamp, words, wrapped
 from cuewright.operators import sequences
+from cuewright.operators.intervals import overlapping
 from cuewright.scratch import kept
 
 #: Seconds: longest and shortest cue, and the gap over which segments are joined.
@@ -161,8 +162,8 @@ def anchor_windows(cues: DataFrame, runtime_s: Column, count: int = 5, window_s:
     """(track_id, anchor_idx, start_s, duration_s, expected_words): windows spread over each track where most different words are spoken.
 
     ``runtime_s`` is a column of ``cues``; where it is not positive the last
-    cue's end stands in. Candidate starts meet the words they overlap by
-    buckets of the window's length, not by comparing all with all.
+    cue's end stands in. Candidate windows meet the cues they overlap by
+    buckets of the window's length.
     """
     trims = [min(max(x, 0), 45) / 100 for x in (head, tail)]
     plan = cues.groupBy("track_id").agg(F.max(runtime_s).alias("r"), F.max_by("end_s", F.struct("start_s", "cue_idx")).alias("last"))
@@ -177,11 +178,9 @@ def anchor_windows(cues: DataFrame, runtime_s: Column, count: int = 5, window_s:
     steps = F.greatest(F.floor((F.col("slot") - F.col("len") + 1e-9) / step_s), F.lit(0)).cast("int")
     tries = tries.withColumn("k", F.explode(F.sequence(F.lit(0), steps)))
     tries = tries.withColumn("start_s", F.col("lo") + F.col("slot") * F.col("anchor_idx") + F.col("k") * step_s)
-    bucket = lambda t: F.floor(t / window_s)
-    spoken = cues.select("track_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"), F.explode(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 2))).alias("word"))
-    spoken = spoken.withColumn("b", F.explode(F.sequence(bucket(F.col("from_s")), F.greatest(bucket(F.col("to_s")), bucket(F.col("from_s"))))))
-    asked = tries.withColumn("b", F.explode(F.sequence(bucket(F.col("start_s")), bucket(F.col("start_s") + F.col("len")))))
-    met = asked.join(spoken, ["track_id", "b"]).where("to_s >= start_s and from_s <= start_s + len")
+    heard = cues.select("track_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"), F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 2)).alias("words"))
+    asked = tries.select("track_id", "anchor_idx", "k", "start_s", (F.col("start_s") + F.col("len")).alias("upto_s"))
+    met = overlapping(heard, asked, ["track_id"], ("from_s", "to_s"), ("start_s", "upto_s"), window_s).withColumn("word", F.explode("words"))
     scores = met.groupBy("track_id", "anchor_idx", "k").agg(F.count_distinct("word").alias("expected_words"))
     scored = tries.join(scores, ["track_id", "anchor_idx", "k"], "left").withColumn("expected_words", F.coalesce("expected_words", F.lit(0)))
     first = F.row_number().over(Window.partitionBy("track_id", "anchor_idx").orderBy(F.desc("expected_words"), "k"))

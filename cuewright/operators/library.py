@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuewright.functions import naming
 from cuewright.functions.language import normalized
 from cuewright.operators.cues import cleaned, timed_tokens
+from cuewright.operators.intervals import overlapping
 from cuewright.operators.reports import best_tracks, wanted
 from cuewright.operators.sync import measured_offset, offset_histogram
 
@@ -105,8 +106,7 @@ def heard_points(cues: DataFrame, anchors: DataFrame, heard: DataFrame, most: fl
     """
     key = F.concat_ws("/", F.col("track_id").cast("string"), F.col("anchor_idx").cast("string"))
     windows = anchors.select("track_id", "anchor_idx", F.col("start_s").alias("_a"), (F.col("start_s") + F.col("duration_s")).alias("_b"), "timed", key.alias("window_key"))
-    # a few windows a track: the join is on the track, not among all cues
-    near = cues.join(windows.select("track_id", "window_key", "_a", "_b"), "track_id").where((F.col("end_s") >= F.col("_a") - most) & (F.col("start_s") <= F.col("_b") + most))
+    near = overlapping(cues, windows.select("track_id", "window_key", "_a", "_b"), ["track_id"], ("start_s", "end_s"), ("_a", "_b"), max(most, 1.0), most)
     spoken = timed_tokens(near).select("window_key", "word", "at_s")
     said = timed_tokens(heard.withColumn("window_key", key)).select("window_key", "word", "at_s")
     found = measured_offset(offset_histogram(spoken, said, "window_key", most), "window_key").where("votes > 0")

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuewright.functions import commands, language, naming, text
-from cuewright.operators import alignment, cues as cue_ops, library, repairs, reports, signals, sync
+from cuewright.operators import alignment, cues as cue_ops, intervals, library, repairs, reports, signals, sync
 from cuewright.plans import derived, sql
 from cuewright.plans.derived import table
 from cuewright.scratch import work_dir
 from cuewright.settings import Settings, language_list
-from cuewright.sources import files, inventory, runs, silences, srt, store, transcripts
+from cuewright.sources import files, inventory, providers, runs, silences, srt, store, transcripts
 from cuewright.streaming import recheck
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -322,6 +322,15 @@ def anchor_plan(spark, d):
     return cue_ops.anchor_windows(derived.cues(spark, d), F.lit(0.0)).select("track_id", "anchor_idx", r6("start_s"), "duration_s", "expected_words")
 
 
+@query(f"WITH {sql.D2}, {sql.d3(9.0, 1.0)} SELECT a.item_id, count(*) AS pairs, count(DISTINCT a.event_id) AS spans, count(DISTINCT c.event_id) AS lines FROM d2 a JOIN d3 c ON c.item_id = a.item_id AND a.end_s + 1.5e0 >= c.start_s AND a.start_s - 1.5e0 <= c.end_s GROUP BY a.item_id")
+def overlap_pairs(spark, d):
+    """Spans of speech and lines that overlap or are at most 1.5 seconds apart."""
+    spans = derived.speech(spark, d)
+    lines = derived.film_cues(spans, 9.0, 1.0).select("item_id", F.col("event_id").alias("line"), F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"))
+    met = intervals.overlapping(spans, lines, ["item_id"], ("start_s", "end_s"), ("from_s", "to_s"), 10.0, 1.5)
+    return met.groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("event_id").alias("spans"), F.count_distinct("line").alias("lines"))
+
+
 # fits and verdicts
 
 
@@ -946,3 +955,24 @@ def silence_unknown_duration(spark, d):
     ends = derived.speech(spark, d).groupBy("item_id").agg(F.max("end_s").alias("last"))
     log = F.concat(F.lit("silence_start: 1.5\nsilence_end: 4 | x\nsilence_start: "), F.format_string("%.3f", F.round(F.col("last") + 10, 3)))
     return silences.speech(ends.select("item_id", log.alias("log"), F.lit(None).cast("double").alias("duration_s")))
+
+
+@query(f"WITH {sql.D1} SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY cue_idx) - 1 AS INTEGER) AS seg_idx, CAST(cue_idx AS DOUBLE) AS start_s, cue_idx + 0.9e0 AS end_s, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, NULL AS error FROM d1 WHERE regexp_matches(text, '\\S') AND track_id % 5 > 0 UNION ALL SELECT DISTINCT track_id, -1, NULL, NULL, NULL, 'ValueError: no answer' FROM d1 WHERE track_id % 5 = 0")
+def heard_segments(spark, d):
+    """A service as a table function in SQL, over clips of which it fails for every fifth."""
+
+    def connect():
+        def call(data: bytes) -> str:
+            number, body = data.decode().split(" ", 1)
+            if int(number) % 5 == 0:
+                raise ValueError("no answer")
+            return body
+
+        return call
+
+    providers.provide(spark, "cuewright_heard", connect)
+    segment = F.struct(F.col("cue_idx").alias("start"), (F.col("cue_idx") + 0.9).alias("end"), "text")
+    bodies = derived.cues(spark, d).groupBy("track_id").agg(F.to_json(F.struct(F.lit("x").alias("text"), F.array_sort(F.collect_list(segment)).alias("segments"))).alias("body"))
+    clips = bodies.select("track_id", F.encode(F.concat_ws(" ", F.col("track_id").cast("string"), "body"), "UTF-8").alias("audio"), F.lit(600.0).alias("duration_s"))
+    found = spark.sql("SELECT c.track_id, h.seg_idx, h.start_s, h.end_s, h.text, h.error FROM {clips} c, LATERAL cuewright_heard(c.audio, c.duration_s) h", clips=clips)
+    return found.select("track_id", F.coalesce("seg_idx", F.lit(-1)).alias("seg_idx"), r6("start_s"), r6("end_s"), "text", "error")

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuewright.functions.text import trimmed
 
-NOTHING = "nothing was said in this window"
+# fixed values: why a response has no segments
+NOTHING, EMPTY, UNREADABLE = "nothing was said in this window", "the transcriber returned an empty response", "the transcriber returned unreadable JSON"
+NO_CANDIDATES, NO_SEGMENTS = "the transcriber returned no candidates", "the answer carried no segments"
 _SEGMENTS = "array<struct<start:string,end:string,text:string>>"
 
 
@@ -36,7 +38,7 @@ def verbose_json(rows: DataFrame, key: str, body: str = "body", duration: str =
     read = rows.withColumn("j", F.from_json(body, f"language string, text string, segments {_SEGMENTS}")).withColumn("found", _segments(F.coalesce("j.segments", F.array())))
     bare = F.size(F.coalesce("j.segments", F.array())) == 0
     said = trimmed(F.coalesce("j.text", F.lit("")))
-    error = F.when(trimmed(F.coalesce(body, F.lit(""))) == "", "the transcriber returned an empty response").when(F.col("j").isNull() | ~F.col(body).rlike(r"^\s*\{"), "the transcriber returned unreadable JSON").when((bare & (said == "")) | (~bare & (F.size("found") == 0)), NOTHING)
+    error = F.when(trimmed(F.coalesce(body, F.lit(""))) == "", EMPTY).when(F.col("j").isNull() | ~F.col(body).rlike(r"^\s*\{"), UNREADABLE).when((bare & (said == "")) | (~bare & (F.size("found") == 0)), NOTHING)
     whole = F.array(F.struct(F.lit(0.0).alias("start_s"), F.col(duration).cast("double").alias("end_s"), said.alias("text")))
     return _result(read.select(key, F.col("j.language").alias("language"), (~bare).alias("timed"), error.alias("error"), F.when(bare, whole).otherwise(F.col("found")).alias("segments")), key)
 
@@ -49,11 +51,11 @@ def candidate_json(rows: DataFrame, key: str, body: str = "body", duration: str
     total = F.col(duration).cast("double")
     inside = F.transform("found", lambda s: F.struct(F.least(F.greatest(s["start_s"], F.lit(0.0)), total).alias("start_s"), F.least(F.greatest(s["end_s"], F.least(F.greatest(s["start_s"], F.lit(0.0)), total)), total).alias("end_s"), s["text"].alias("text")))
     error = (
-        F.when(trimmed(F.coalesce(body, F.lit(""))) == "", "the transcriber returned an empty response")
-        .when(F.col("e").isNull(), "the transcriber returned unreadable JSON")
-        .when(F.size(F.coalesce("e.candidates", F.array())) == 0, "the transcriber returned no candidates")
+        F.when(trimmed(F.coalesce(body, F.lit(""))) == "", EMPTY)
+        .when(F.col("e").isNull() | ~F.col(body).rlike(r"^\s*\{"), UNREADABLE)
+        .when(F.size(F.coalesce("e.candidates", F.array())) == 0, NO_CANDIDATES)
         .when(trimmed(F.col("inner")) == "", NOTHING)
-        .when(F.col("j.segments").isNull(), "the answer carried no segments")
+        .when(F.col("j.segments").isNull(), NO_SEGMENTS)
         .when(F.size("found") == 0, NOTHING)
     )
     language = F.col(hint) if hint else F.lit(None).cast("string")
