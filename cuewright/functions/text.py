@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import regex as re
 from pyspark.sql import Column, functions as F
 
 # fixed values: apostrophes that vanish, phrases of credits, words of music descriptions, sentence ends
@@ -37,6 +38,7 @@ def _fold_table() -> tuple[str, str]:
 
 
 _FOLD = _fold_table()
+_PLAIN = dict(zip(*_FOLD, strict=True))
 
 
 def folded(text: Column) -> Column:
@@ -51,6 +53,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
+def plain_words(text: str) -> list[str]:
+    """``words`` of a text that is at hand."""
+    low = "".join(_PLAIN.get(c, c) for c in text.lower() if unicodedata.category(c) != "Mn")
+    return [w for w in re.split(r"[^\p{L}\p{Nd}]+", re.sub(APOSTROPHES, "", low)) if w]
+
+
 def collapsed(text: Column) -> Column:
     """Blanks, tabs and line ends as one blank, none at the ends."""
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\r\\n]+", " "), F.lit(" "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.functions.language import BOOST, CONTRADICTION, LEAST_WORDS, PROFILES, SIGNATURES, normalized, script
-from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, once, stamp, words, wrapped
+from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, once, plain_words, stamp, words, wrapped
 from cuewright.operators import sequences
 from cuewright.operators.intervals import overlapping
 from cuewright.scratch import kept
@@ -37,13 +37,14 @@ def language_scores(docs: DataFrame, key: str, text: str = "text", profiles: dic
     profile go on to the count, which is combined before it is shuffled.
     """
     profiles, signatures = profiles or PROFILES, signatures or SIGNATURES
-    spark, low = docs.sparkSession, F.lower(F.col(text))
-    table = spark.createDataFrame([(c, w) for c, listed in profiles.items() for w in listed], "code string, marker string")
-    table = table.withColumn("marker", words(F.col("marker"))).where("size(marker) = 1").select("code", F.col("marker")[0].alias("word"))
-    markers = [r["word"] for r in table.select("word").distinct().collect()]  # the profiles' words
-    every = "".join(sorted({x for letters in signatures.values() for x in letters}))
-    # the few letters that count, then the languages that have one of them
-    boosted = once(F.regexp_replace(low, f"[^{every}]", ""), lambda seen: F.array_compact(F.array(*[F.when(seen.rlike("[" + "".join(letters) + "]"), code) for code, letters in signatures.items() if code in profiles])))
+    known = [(code, w[0]) for code, listed in profiles.items() for marker in listed if len(w := plain_words(marker)) == 1]
+    table = docs.sparkSession.createDataFrame(known or [("", "")], "code string, word string")
+    markers = sorted({w for _, w in known})
+    # characters beyond ASCII, and the letters within it that count, each once; then the languages that have one of them
+    ascii_letters = "".join(sorted({x for letters in signatures.values() for x in letters if x.isascii()}))
+    plain = f"[\\x00-\\x7F&&[^{ascii_letters}]]+" if ascii_letters else "[\\x00-\\x7F]+"
+    seen = F.array_join(F.array_distinct(F.split(F.regexp_replace(F.lower(F.col(text)), plain, ""), "")), "")
+    boosted = once(seen, lambda x: F.concat_ws(",", *[F.when(x.rlike("[" + "".join(letters) + "]"), code) for code, letters in signatures.items() if code in profiles]))
 
     def told(listed: Column) -> Column:
         return F.struct(F.size(listed).alias("n"), F.filter(listed, lambda w: w.isin(markers)).alias("words"))
@@ -54,8 +55,9 @@ def language_scores(docs: DataFrame, key: str, text: str = "text", profiles: dic
     spoken = F.col("script").isNull() & (F.col("told.n") >= LEAST_WORDS)
     rows = base.where(spoken | F.col("script").isNotNull()).select(key, "script", "boosted", F.col("told.n").alias("n"), F.explode_outer(F.when(spoken, F.col("told.words"))).alias("word"))
     hits = rows.join(F.broadcast(table), "word", "left").select(key, "script", "boosted", "n", F.coalesce("script", "code").alias("code")).where("code is not null")
-    counted = hits.groupBy(key, "code").agg(F.count(F.lit(1)).alias("hits"), F.max("script").alias("script"), F.max("n").alias("n"), F.max("boosted").alias("boosted"))
-    score = F.col("hits") / F.col("n") * F.when(F.array_contains("boosted", F.col("code")), BOOST).otherwise(1.0)
+    # what is the same for all of a text's words is a key, so that only a number is added up
+    counted = hits.groupBy(key, "code", "script", "boosted", "n").agg(F.count(F.lit(1)).alias("hits"))
+    score = F.col("hits") / F.col("n") * F.when(F.find_in_set(F.col("code"), F.col("boosted")) > 0, BOOST).otherwise(1.0)
     return counted.select(key, "code", F.when(F.col("script").isNotNull(), 1.0).otherwise(score).alias("score"))
 
 
