@@ -31,6 +31,24 @@ def searched(items: DataFrame, term: str, limit: int = 30, name: str = "name", k
     return rows.orderBy(name, key).limit(min(max(limit, 1), 100))
 
 
+def _streams(streams: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
+    """Streams (item_id, type, index, ...) of one type; columns that a source lacks are null, a language that is not told is ''."""
+    types = {"language": "string", "title": "string", "path": "string", "channels": "int", "index": "int"}
+    own = {c: F.col(c) if c in streams.columns else F.lit(None).cast(types.get(c, "boolean")) for c in names}
+    told = {c: F.coalesce(x, F.lit("")) if c == "language" else x for c, x in own.items()}
+    return streams.where(F.lower("type") == kind).select("item_id", *[told[c].alias(to) for c, to in names.items()])
+
+
+def subtitle_tracks(streams: DataFrame) -> DataFrame:
+    """(item_id, track_idx, language, title, is_text, is_forced, hearing_impaired, external, is_default, path) of the subtitle streams of media files."""
+    return _streams(streams, "subtitle", {"index": "track_idx", "language": "language", "title": "title", "is_text": "is_text", "is_forced": "is_forced", "hearing_impaired": "hearing_impaired", "external": "external", "is_default": "is_default", "path": "path"})
+
+
+def audio_tracks(streams: DataFrame) -> DataFrame:
+    """(item_id, audio_idx, audio_language, is_default, channels, title) of the sound streams of media files."""
+    return _streams(streams, "audio", {"index": "audio_idx", "language": "audio_language", "is_default": "is_default", "channels": "channels", "title": "title"})
+
+
 def inventory(tracks: DataFrame, files: DataFrame, repaired: str, heard: str) -> DataFrame:
     """(item_id, place, source_id, kind, stream_idx, lang, is_text, is_forced, path): each item's tracks, and the files beside it that no track is in.
 

@@ -334,9 +334,12 @@ def overlap_pairs(spark, d):
 # fits and verdicts
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), round(CAST({b!r} AS DOUBLE) / {a!r}, 9), {sql.q(l)})' for k, a, b, _, l in signals.frame_rates())}) f(rank, from_fps, to_fps, scale, label)")
+@query(f"SELECT s_suppkey, rank, label, round(s_suppkey * 60 * scale, 6) AS at_s FROM supplier, (VALUES {', '.join(f'({k}, CAST({b!r} AS DOUBLE) / CAST({a!r} AS DOUBLE), {sql.q(l)})' for k, a, b, _, l in signals.frame_rates())}) f(rank, scale, label)")
 def framerate_pairs(spark, d):
-    return spark.createDataFrame(signals.frame_rates(), "rank int, from_fps double, to_fps double, scale double, label string").withColumn("scale", F.round("scale", 9))
+    """A minute mark for each supplier, under every ratio of two frame rates."""
+    pairs = spark.createDataFrame(signals.frame_rates(), "rank int, from_fps double, to_fps double, scale double, label string")
+    marks = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*[F.lit(k) for k in range(20)])).alias("rank"))
+    return marks.join(F.broadcast(pairs), "rank").select("s_suppkey", "rank", "label", F.round(F.col("s_suppkey") * 60 * F.col("scale"), 6).alias("at_s"))
 
 
 @query(f"WITH t AS (SELECT o_orderkey, 0.79 + (o_orderkey % 50000) / 100000e0 AS scale FROM orders) SELECT o_orderkey, CASE {' '.join(f'WHEN abs(scale - {s!r}) <= 0.0002 THEN {sql.q(l)}' for _, _, _, s, l in signals.frame_rates())} END AS label FROM t")
@@ -593,6 +596,16 @@ def item_search(spark, d):
     return library.searched(table(spark, d, "part"), " Widget ", 30, "p_name", "p_partkey").select("p_partkey", "p_name")
 
 
+@query("WITH s AS (SELECT doc_id // 4 AS item_id, doc_id % 4 AS k, doc_id, lang, source, n_chars FROM documents) SELECT 'text' AS part, item_id, CAST(k AS INTEGER) AS track_idx, coalesce(lang, '') AS language, k = 2 AS is_text, -1 AS channels FROM s WHERE k >= 2 UNION ALL SELECT 'sound', item_id, CAST(k AS INTEGER), coalesce(lang, ''), FALSE, CAST(n_chars % 8 AS INTEGER) FROM s WHERE k = 1")
+def streams_by_type(spark, d):
+    """Streams of media files: a picture, a sound and two subtitle tracks each."""
+    k = (F.col("doc_id") % 4).cast("int")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Video", "Audio", "Subtitle", "Subtitle")]), k + 1)
+    streams = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("item_id"), kind.alias("type"), k.alias("index"), F.col("lang").alias("language"), F.col("source").alias("title"), (k == 2).alias("is_text"), F.lit(False).alias("is_forced"), (k == 3).alias("is_default"), (F.col("n_chars") % 8).cast("int").alias("channels"))
+    text_ = library.subtitle_tracks(streams).select(F.lit("text").alias("part"), "item_id", "track_idx", "language", "is_text", F.lit(-1).alias("channels"))
+    return text_.unionByName(library.audio_tracks(streams).select(F.lit("sound").alias("part"), "item_id", F.col("audio_idx").alias("track_idx"), F.col("audio_language").alias("language"), F.lit(False).alias("is_text"), "channels"))
+
+
 _SOURCES_SQL = f"""t AS (SELECT item_id, track_idx, language, CASE WHEN track_idx = 3 THEN '/m/FILM' || item_id || '.EN.SRT' WHEN track_idx = 2 THEN '/m/Film' || item_id || '.cicada.srt' END AS path, cue_count % 5 > 0 AS is_text, cue_count % 4 = 0 AS is_forced FROM tracks),
   f AS (SELECT doc_id // 4 AS item_id, '/m/Film' || (doc_id // 4) || ['.en.srt', '.fr.forced.vtt', '.txt', '.it.heard.cicada-heard.sup'][doc_id % 4 + 1] AS path, doc_id % 4 AS k FROM documents),
   s AS (SELECT item_id, 'stream_' || track_idx AS source_id, CASE WHEN path IS NULL THEN 'Embedded' WHEN track_idx = 2 THEN 'Repaired' ELSE 'External' END AS kind, track_idx AS stream_idx, {sql.normalized('language')} AS lang, is_text, is_forced, path FROM t
@@ -642,7 +655,13 @@ def dialogue_sample(spark, d):
     return library.dialogue_sample(derived.cues(spark, d))
 
 
-@query()
+# tracks too short for a window of 30 seconds have one over all of them
+_HEARD_SQL = f"""{sql.D1.replace('600 + 3 * turn', '3 * turn')}, whole AS (SELECT track_id, max_by(end_s, (start_s, cue_idx)) AS total FROM d1 GROUP BY track_id),
+  {sql.VOTE.replace("tok AS (SELECT track_id,", "tok AS (SELECT track_id, heard,").replace("AS w FROM d1)", "AS w, start_s - 2.5 >= 0 AND start_s - 2.5 <= total AS heard FROM d1 JOIN whole USING (track_id))").replace("count(*) OVER (PARTITION BY track_id, word) AS nh FROM tok WHERE length(word) >= 2", "count(*) OVER (PARTITION BY track_id, word) AS nh FROM tok WHERE heard AND length(word) >= 2")}, {sql.PEAK},
+  d5 AS (SELECT track_id AS case_key, total / 2 AS at_s, peak * 0.2e0 AS offset_s, greatest(0, least(1, agree / mass.total * (1 - coalesce(rh, 0) / height))) AS confidence FROM mass LEFT JOIN rival USING (track_id) JOIN whole USING (track_id) WHERE votes > 0)"""
+
+
+@query(f"WITH {_HEARD_SQL.replace('total / 2 AS at_s', 'whole.total / 2 AS at_s')}, {sql.fit(True)}, {sql.ASSESS} SELECT case_key AS track_id, anchors, confident, verdict, round(offset_s, 3) AS offset_s, round(worst_s, 3) AS worst_s FROM done LEFT JOIN fit USING (case_key)")
 def transcript_verdict(spark, d):
     """Each track heard 2.5 seconds early in the windows planned for it; every other window without times."""
     cues = derived.cues(spark, d).withColumns({"start_s": F.col("start_s") - 600, "end_s": F.col("end_s") - 600})
@@ -899,10 +918,11 @@ def verdict_texts(spark, d):
     return derived.tracks(spark, d).select("item_id", "track_idx", sync.verdict_text(verdict, F.col("cue_count") % 40 / 4.0 + 0.03).alias("said"))
 
 
-@query(f"SELECT a.tag AS one, b.tag AS other, {sql.normalized('a.tag')} <> '' AND {sql.normalized('a.tag')} = {sql.normalized('b.tag')} AS same FROM (SELECT unnest([{', '.join(map(sql.q, _TAGS))}]) AS tag) a, (SELECT unnest([{', '.join(map(sql.q, _TAGS))}]) AS tag) b")
+@query(f"WITH p AS (SELECT doc_id, lang, [{', '.join(map(sql.q, _TAGS))}][doc_id % {len(_TAGS)} + 1] AS other FROM documents) SELECT doc_id, {sql.normalized('lang')} <> '' AND {sql.normalized('lang')} = {sql.normalized('other')} AS same FROM p")
 def same_languages(spark, d):
-    pairs = spark.createDataFrame([(a, b) for a in _TAGS for b in _TAGS], "one string, other string")
-    return pairs.select("one", "other", language.same_language(F.col("one"), F.col("other")).alias("same"))
+    """The documents' languages against tags of all kinds."""
+    other = F.element_at(F.array(*[F.lit(t) for t in _TAGS]), (F.col("doc_id") % len(_TAGS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", language.same_language(F.col("lang"), other).alias("same"))
 
 
 @query(f"SELECT doc_id, name || ' (' || CAST(round_even(n_chars % 1000 / 1000e0 * 100, 0) AS INTEGER) || '%)' AS said FROM (SELECT *, MAP {{{', '.join(f'{sql.q(a)}: {sql.q(b)}' for a, b in language.NAMES.items())}}}[lang] AS name FROM documents)")
@@ -920,10 +940,12 @@ def detect_command(spark, d):
     return table(spark, d, "pages").select("url", commands.detect_arguments(F.col("url"), F.col("page_id") % 3).alias("command"))
 
 
-@query("SELECT setting, array_to_string(list_distinct_in_order, ';') AS codes FROM (SELECT setting, CASE k WHEN 0 THEN ['en', 'fr'] WHEN 1 THEN ['de'] WHEN 2 THEN [] ELSE ['pt', 'xx'] END AS list_distinct_in_order FROM (VALUES (0, 'English, fre;en'), (1, ' ger ,, de-AT'), (2, ''), (3, 'pt-BR;xx')) v(k, setting))")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN lang = 'en' THEN 'en;fr' WHEN lang = 'fr' THEN 'fr;en' ELSE lang || ';en;fr' END WHEN 1 THEN CASE WHEN lang = 'de' THEN 'de' ELSE 'de;' || lang END WHEN 2 THEN '' ELSE CASE WHEN lang = 'pt' THEN 'pt;xx' ELSE 'pt;xx;' || lang END END AS codes FROM documents")
 def wanted_setting(spark, d):
-    rows = spark.createDataFrame([("English, fre;en",), (" ger ,, de-AT",), ("",), ("pt-BR;xx",)], "setting string")
-    return rows.select("setting", F.array_join(language_list(F.col("setting")), ";").alias("codes"))
+    """Settings that name the document's language among others, in several spellings."""
+    lang = F.col("lang")
+    cases = [F.concat(lang, F.lit(", English;fre; en")), F.concat(F.lit(" ger ,, de-AT;"), lang), F.lit(" ;, "), F.concat(F.lit("pt-BR;xx,"), F.upper(lang))]
+    return table(spark, d, "documents").select("doc_id", F.array_join(language_list(F.element_at(F.array(*cases), (F.col("doc_id") % 4 + 1).cast("int"))), ";").alias("codes"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 > 0 THEN CAST(length(url) AS VARCHAR) END AS body, CASE WHEN page_id % 4 = 0 THEN 'ValueError: no answer' END AS error FROM pages")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from cuewright.functions.language import BOOST, CONTRADICTION, NAMES, PROFILES, SCRIPTS, SIGNATURES, THREE_TO_TWO
-from cuewright.functions.text import CREDITS, MUSIC
 from cuewright.operators.signals import frame_rates
 from cuewright.plans.derived import CASES, PARAGRAPHS
 
@@ -23,6 +22,8 @@ def normalized(x: str) -> str:
     return f"(CASE WHEN length({low}) = 2 THEN {low} ELSE coalesce({table}[{low}], {low}) END)"
 
 
+# fixed value: the phrases of credits, as a pattern
+_CREDITS = r"opensubtitles|subscene|addic7ed|yify|subtitles by|subtitled by|sync by|synced by|corrected by|resync|translated by|www\.|http://|https://|@gmail|subs by|encoded by|ripped by|explosiveskull"
 # any white space, as RE2 writes it
 BLANK = r"[\t-\r\x{85}\p{Z}]"
 
@@ -39,12 +40,12 @@ def clean(x: str) -> str:
 
 
 def credits(x: str) -> str:
-    return "regexp_matches(lower(coalesce(" + x + ", '')), " + q("|".join(m.replace(".", "\\.") for m in CREDITS)) + ")"
+    return "regexp_matches(lower(coalesce(" + x + ", '')), " + q(_CREDITS) + ")"
 
 
 def music(x: str) -> str:
     inner = f"regexp_replace(replace(replace(coalesce({x}, ''), '♪', ' '), '♫', ' '), '^{BLANK}+|{BLANK}+$', '', 'g')"
-    return f"(length({inner}) BETWEEN 1 AND 40 AND regexp_matches(lower({inner}), {q('|'.join(MUSIC))}))"
+    return f"(length({inner}) BETWEEN 1 AND 40 AND regexp_matches(lower({inner}), {q('music|theme|song plays|instrumental|singing|humming')}))"
 
 
 def stamp(s: str) -> str:
