@@ -35,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuewright.llm.kernels import NO_WORD, batch_word_hashes, mix64
@@ -178,12 +179,13 @@ _POSTED = (np.int64, np.uint8, np.uint64, np.uint32, np.uint32, np.uint32, np.ui
 def _posted(batches: Iterable[pa.RecordBatch], shared, buckets: int, block: int) -> Iterator[pa.RecordBatch]:
     """Of batches (id, text, target, background): what each bucket gets of a block, packed."""
     models: Models = shared.value
+    number = TaskContext.get().partitionId() << 32  # a block's name: no two blocks share one, whatever their texts
     for batch in batches:
         every = batch.column(0).to_numpy()
         flags = [_flags(batch.column(i)) for i in (2, 3)]
         for b in _blocks(batch.column(1), block):
             ids, marks = every[b.begin : b.begin + b.size], [x[b.begin : b.begin + b.size] for x in flags]
-            name = np.bitwise_xor.reduce(ids)  # any will do, as long as a block has few others beside it
+            name, number = number, number + 1
             w, at = models.told(b.h), b.pairs()
             at = at[(w[at] >= 0) & (w[at - 1] >= 0)]
             hot = _place(models.hot, pair_keys(b.h[at - 1], b.h[at])) if len(models.hot) else np.full(len(at), -1)

@@ -64,3 +64,12 @@ def test_two_words_of_the_models(spark):
     other = docs.withColumn("text", F.replace(F.replace("text", F.lit(a), F.lit("one")), F.lit(b), F.lit("two")))
     losses = [{r["doc_id"]: r[side] for r in score_documents(d, F.col("good")).collect()} for side in ("target_loss", "background_loss") for d in (docs, other)]
     assert losses[0] == pytest.approx(losses[1]) and losses[2] == pytest.approx(losses[3])
+
+
+def test_texts_in_pairs_are_blocks_of_their_own(spark):
+    """Blocks whose texts occur twice each, or are one text over and over, are answered apart and score as the plain order does."""
+    words = [f"w{k % 7} w{(k * 3) % 11} w{k % 5}" for k in range(40)]
+    rows = [(2 * k + i, t, k % 3 == 0) for k, t in enumerate(words) for i in (0, 1)] + [(1000 + k, words[0], False) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").coalesce(1).sortWithinPartitions("doc_id")
+    one, many = ({r["doc_id"]: r["score"] for r in score_documents(docs, F.col("good"), block=block).collect()} for block in (1_000_000, 4))
+    assert one == pytest.approx(many) and len(one) == 120
