@@ -32,13 +32,19 @@ def prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     return s[:p]
 
 
-def parity_bits(n: int) -> int:
-    return max(64, 1 << (n - 1).bit_length()) if n > 1 else 64
+def parity_bits(n: int, percent: int) -> int:
+    """Cells of a sketch: four for each column in which two linked rows of ``n`` columns may differ.
+
+    Rows that have little in common differ in about half of the cells, which is
+    twice as many as linked ones may.
+    """
+    most = 2 * n * (100 - percent) // (100 + percent)
+    return max(64, 1 << (4 * most - 1).bit_length()) if most else 64
 
 
-def parity_sketch(s: np.ndarray) -> np.ndarray:
+def parity_sketch(s: np.ndarray, percent: int) -> np.ndarray:
     """For each of a power of two of hash cells, whether the row has an odd number of columns there, as 64-bit words."""
-    bits = parity_bits(len(s))
+    bits = parity_bits(len(s), percent)
     odd = np.bincount((mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 

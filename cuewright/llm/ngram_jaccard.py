@@ -111,7 +111,7 @@ def _entered(batches: Iterable[pa.RecordBatch], width: int, percent: int, hot) -
                 seen.add(sid)
                 if len(seen) > 200_000:
                     seen.clear()
-            held.append((own[k], len(s), sid, prefix(s, hot.value, percent).view(np.int64) if fresh else None, parity_sketch(s).tobytes() if fresh else None))
+            held.append((own[k], len(s), sid, prefix(s, hot.value, percent).view(np.int64) if fresh else None, parity_sketch(s, percent).tobytes() if fresh else None))
             size += len(s)
             if size > 1_000_000:
                 yield _batch(held, names)

@@ -87,8 +87,9 @@ def test_prefixes_of_linked_rows_meet():
         if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
             hot = np.sort(rng.choice(a, 30, replace=False))
             assert len(np.intersect1d(prefix(a, hot, 80), prefix(b, hot, 80)))
-        w = min(len(parity_sketch(a)), len(parity_sketch(b)))
-        differ = int(np.bitwise_count(folded(parity_sketch(a), w) ^ folded(parity_sketch(b), w)).sum())
+        percent = int(rng.choice([80, 90]))
+        w = min(len(parity_sketch(a, percent)), len(parity_sketch(b, percent)))
+        differ = int(np.bitwise_count(folded(parity_sketch(a, percent), w) ^ folded(parity_sketch(b, percent), w)).sum())
         assert differ <= len(np.setxor1d(a, b))
 
 
