@@ -92,6 +92,11 @@ def carried_out(sources: DataFrame, edits: DataFrame, contents: DataFrame, log:
 
 
 def written(repairs: DataFrame, log: str, markers: list[str]) -> DataFrame:
-    """(track_id, path, done, message): repaired copies (track_id, path, srt) as files, each beside its film or where its path says."""
-    told = files.apply_edits(repairs.select("path", F.col("srt").alias("content")), log, markers)
-    return repairs.select("track_id", "path").join(told.select("path", "done", "message"), "path", "left").select("track_id", "path", "done", "message")
+    """(track_id, path, done, message): repaired copies (track_id, path, srt) as files, ``path`` being where each went.
+
+    A column ``fallback`` of ``repairs`` says where a copy goes that can't be
+    written beside its film.
+    """
+    told = files.apply_edits(repairs.withColumn("content", F.col("srt")), log, markers).withColumnRenamed("path", "_path")
+    met = repairs.select("track_id", "path").join(told, F.col("path") == F.col("_path"), "left")
+    return met.select("track_id", F.coalesce("written", "path").alias("path"), "done", "message")

@@ -5,7 +5,8 @@
 * ``spark.read.format("subrip").load(folder)``: a row a file, its cues as an array;
 * ``spark.read.format("whole_text").load(folder)``: a row a file, its text, for logs;
 * ``rows.write.format("file_edits")``: one file a row (path, content), or its
-  removal where the content is null.
+  removal where the content is null. A column ``fallback`` says where a file
+  goes that can't be written in its place. Paths are distinct.
 
 Folders are reached through pyarrow's file systems: a path, or an address of a
 scheme that they know, which the driver and all executors see alike.
@@ -14,6 +15,7 @@ scheme that they know, which the driver and all executors see alike.
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
 import re
 import uuid
@@ -191,30 +193,57 @@ class EditWriter(DataSourceWriter):
         missing = {"path", "content"} - set(columns)
         if missing or "log" not in options:
             raise ValueError(f"file edits need columns path and content, and a folder in the option log; missing: {sorted(missing) or 'log'}")
-        self.at, self.token = (columns.index("path"), columns.index("content")), uuid.uuid4().hex
+        self.at = [columns.index(c) if c in columns else None for c in ("path", "content", "fallback")]
+        self.token = uuid.uuid4().hex
         self.log = f"{options['log'].rstrip('/')}/{self.token}"
         self.markers = {m for m in options.get("markers", "").lower().split(",") if m}
 
     def _temporary(self, path: str) -> str:
         return f"{path}.{self.token}.tmp"
 
+    def _note(self, name: str, text: str) -> None:
+        system, there = file_system(f"{self.log}/{name}")
+        system.create_dir(there.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(there) as f:
+            f.write(text.encode())
+
+    def _put(self, path: str, content: str, noted: set[str]) -> str | None:
+        """Write beside a path; why it could not be, or nothing. The folder is noted first, for who cleans up after a task that was killed."""
+        system, there = file_system(path)
+        folder = path.rsplit("/", 1)[0]
+        try:
+            system.create_dir(there.rsplit("/", 1)[0], recursive=True)
+            if folder not in noted:
+                noted.add(folder)
+                self._note(f"folders/{hashlib.sha1(folder.encode()).hexdigest()}", folder)
+            with system.open_output_stream(self._temporary(there)) as f:
+                f.write(content.encode())  # UTF-8 without a byte order mark
+        except OSError as e:
+            return f"{type(e).__name__}: {e.strerror or 'failed'}"
+        return None
+
+    def _aborted(self) -> bool:
+        system, there = file_system(f"{self.log}/aborted")
+        return system.get_file_info(there).is_file
+
     def write(self, iterator: Iterator) -> Prepared:
         from pyspark import TaskContext
 
-        done: list[tuple[str, bool]] = []
+        done: list[dict] = []
+        noted: set[str] = set()
         try:
             for row in iterator:
-                path, content = (row[k] for k in self.at)
+                path, content, fallback = (None if k is None else row[k] for k in self.at)
                 if not path:
                     continue
+                edit = {"path": path, "written": path, "writes": content is not None, "why": None}
+                done.append(edit)
                 if content is not None:
-                    system, there = file_system(path)
-                    system.create_dir(there.rsplit("/", 1)[0], recursive=True)
-                    done.append((path, True))
-                    with system.open_output_stream(self._temporary(there)) as f:
-                        f.write(content.encode())  # UTF-8 without a byte order mark
-                else:
-                    done.append((path, False))
+                    edit["why"] = self._put(path, content, noted)
+                    if edit["why"] and fallback:
+                        edit |= {"written": fallback, "why": self._put(fallback, content, noted)}
+                    if self._aborted():
+                        raise RuntimeError("the job was aborted")
             if not done:
                 return Prepared(None)
             system, log = file_system(self.log)
@@ -225,45 +254,44 @@ class EditWriter(DataSourceWriter):
                 f.writelines(f"{json.dumps(x)}\n".encode() for x in done)
             return Prepared(manifest)
         except BaseException:
-            self._drop(path for path, writes in done if writes)
+            self._drop(done)
             raise
 
-    def _drop(self, paths) -> None:
-        for path in paths:
-            system, there = file_system(path)
-            try:
-                system.delete_file(self._temporary(there))
-            except FileNotFoundError:
-                pass
+    def _drop(self, edits) -> None:
+        for edit in edits:
+            if edit["writes"]:
+                system, there = file_system(edit["written"])
+                try:
+                    system.delete_file(self._temporary(there))
+                except OSError:
+                    pass  # it was never there
 
     @staticmethod
-    def _lines(manifest: str | None) -> Iterator[tuple[str, bool]]:
+    def _lines(manifest: str | None) -> Iterator[dict]:
         if manifest:
             system, there = file_system(manifest)
             with system.open_input_stream(there) as f:
-                for line in f.read().splitlines():
-                    path, writes = json.loads(line)
-                    yield path, writes
+                yield from map(json.loads, f.read().splitlines())
 
-    def _finish(self, edit: tuple[str, bool]) -> dict:
-        path, writes = edit
-        system, there = file_system(path)
-        exists, why = system.get_file_info(there).is_file, None
-        if writes and exists and not is_ours(there, self.markers):
-            why = NOT_OURS
-            self._drop([path])
-        elif not writes and not exists:
-            why = GONE
-        else:
+    def _finish(self, edit: dict) -> dict:
+        system, there = file_system(edit["written"])
+        why = edit["why"]
+        if not why:
             try:
-                if writes:
+                exists = system.get_file_info(there).is_file
+                if edit["writes"] and exists and not is_ours(there, self.markers):
+                    why = NOT_OURS
+                elif edit["writes"]:
                     system.move(self._temporary(there), there)
-                else:
+                elif exists:
                     system.delete_file(there)
+                else:
+                    why = GONE
             except OSError as e:
                 why = f"{type(e).__name__}: {e.strerror or 'failed'}"
-                self._drop([path] if writes else [])
-        return {"path": path, "action": "write" if writes else "delete", "done": why is None, "message": why}
+        if why:
+            self._drop([edit])
+        return {"path": edit["path"], "written": None if why else edit["written"], "action": "write" if edit["writes"] else "delete", "done": why is None, "message": why}
 
     def commit(self, messages: list[Prepared | None]) -> None:
         """Files are moved one list after the other; each move is whole or not at all. What became of each is a line of ``outcomes``."""
@@ -275,12 +303,24 @@ class EditWriter(DataSourceWriter):
                     f.write(f"{json.dumps(told)}\n".encode())
 
     def abort(self, messages: list[Prepared | None]) -> None:
-        for m in messages:
-            self._drop(path for path, writes in self._lines(m.manifest if m else None) if writes)
+        """Removes what tasks have put beside files, of killed ones too; a task that still runs sees that the job is over."""
+        from pyarrow import fs
+
+        self._note("aborted", "")
+        system, folders = file_system(f"{self.log}/folders")
+        for note in system.get_file_info(fs.FileSelector(folders, allow_not_found=True)):
+            with system.open_input_stream(note.path) as f:
+                where, folder = file_system(f.read().decode())
+            for found in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if found.path.endswith(f".{self.token}.tmp"):
+                    try:
+                        where.delete_file(found.path)
+                    except FileNotFoundError:
+                        pass  # its task has removed it
 
 
 class FileEdits(DataSource):
-    """Files written and removed by rows (path, content). Options: ``log``, a folder for lists and outcomes; ``markers``, with commas, of names that may be written over."""
+    """Files written and removed by rows (path, content, fallback or none). Options: ``log``, a folder for lists and outcomes; ``markers``, with commas, of names that may be written over."""
 
     @classmethod
     def name(cls) -> str:
@@ -296,9 +336,10 @@ def register(spark: SparkSession) -> None:
 
 
 def apply_edits(rows, log: str, markers: list[str]):
-    """Write and remove files by (path, content), and return (path, action, done, message) of each."""
+    """Write and remove files by (path, content, fallback or none), and return (path, written, action, done, message) of each."""
     spark = rows.sparkSession
     register(spark)
     folder = f"{log.rstrip('/')}/{uuid.uuid4().hex}"
-    rows.select("path", "content").write.format("file_edits").mode("append").option("log", folder).option("markers", ",".join(markers)).save()
-    return spark.read.schema("path string, action string, done boolean, message string").json(f"{folder}/*/outcomes.json")
+    asked = rows.select("path", "content", *[c for c in rows.columns if c == "fallback"])
+    asked.write.format("file_edits").mode("append").option("log", folder).option("markers", ",".join(markers)).save()
+    return spark.read.schema("path string, written string, action string, done boolean, message string").json(f"{folder}/*/outcomes.json")

@@ -82,6 +82,16 @@ def test_files_are_written_removed_and_left(spark, tmp_path):
     assert files.apply_edits(table.where("false"), log, []).collect() == []
 
 
+def test_a_copy_goes_elsewhere_where_it_cannot_be(spark, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    beside, store = str(tmp_path / "file" / "a.repaired.srt"), str(tmp_path / "store" / "a.repaired.srt")
+    rows = spark.createDataFrame([(1, beside, "A", store), (2, beside + "2", "B", None), (3, str(tmp_path / "c.repaired.srt"), "C", store)], "track_id int, path string, srt string, fallback string")
+    told = {r["track_id"]: r for r in repairs.written(rows, str(tmp_path / "log"), ["repaired"]).collect()}
+    assert (told[1]["path"], told[1]["done"]) == (store, True) and (tmp_path / "store" / "a.repaired.srt").read_text() == "A"
+    assert not told[2]["done"] and told[2]["message"] and told[2]["path"] == beside + "2"
+    assert (told[3]["path"], told[3]["done"]) == (str(tmp_path / "c.repaired.srt"), True) and listed(tmp_path / "store") == ["a.repaired.srt"]
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     @F.udf("string")
     def fails(k):
