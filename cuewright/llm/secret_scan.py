@@ -1,11 +1,15 @@
 """Secret scan: known forms by pattern, random strings by token efficiency.
 
 A vocabulary learned from text covers words with few tokens and random strings
-with many, so a low count of characters per token exposes a random string. The
-parts between dots are tested one by one; digests of known sizes, UUIDs, numbers
-and mail addresses are identifiers and are left out of that test. A word in
-capitals, or with one at its start, is measured in lower case. Spans are in code
-points, end exclusive.
+with many, so a low count of characters per token exposes a random string. Runs
+of letters, digits and ``+ / = _ -`` are cut at these signs, and each piece is
+measured by itself: a span is the smallest stretch that begins and ends with
+random pieces and has no ordinary one between, so that a path or a name around a
+key is not part of it. Short pieces and numbers tell nothing, which leaves dates,
+versions and triples of platforms alone; digests of known sizes and UUIDs are
+left out, as are names after an ``@``; letters of one case that can be spoken
+count as a word. A word in capitals, or with one at its start, is measured in
+lower case. Spans are in code points, end exclusive.
 
 Defined cases: a null or empty text has no spans (redacted, null stays null);
 whole texts are scanned, in time that grows with their length; repeated rows
@@ -31,20 +35,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=@.-])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=@.-])", re.ASCII)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=@.-])[A-Za-z0-9+/_=.-]{16,}", re.ASCII)
 PART = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}"  # digests
     r"|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUIDs
     r"|[0-9_=+/-]+"  # numbers and rules
 )
+INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{KNOWN.pattern.rpartition('|')[0]})(?![A-Za-z0-9])")  # digests and UUIDs in a longer run
+PIECE = re.compile(r"[A-Za-z0-9]+", re.ASCII)
 WORD = re.compile(r"[A-Z]*[^A-Z]*")
+#: More consonants in a row than a word has, but for few.
+UNSPOKEN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}|^[^aeiouy]*$")
 #: Characters per token below which a string counts as random. English prose has about 4, camel-case names about 3.
 LEAST_RATIO = 2.2
 #: The same for letters of one case, as long words of other languages come near the bound above.
 LEAST_WORD_RATIO = 2.0
-#: Fewest characters of a string that is tested.
-LEAST_LENGTH = 16
+#: The same for letters of one case that can be spoken.
+LEAST_SPOKEN_RATIO = 1.6
+#: Fewest characters of the random pieces of a span together, and of a piece that tells anything.
+LEAST_LENGTH, LEAST_PIECE = 16, 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,22 +79,48 @@ def _united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _is_random(piece: str, count_tokens, least_ratio: float) -> bool | None:
+    """Whether a piece is a random string; None where it tells nothing."""
+    if len(piece) < LEAST_PIECE or piece.isdigit():
+        return None
+    # capitals at the start or throughout tell nothing
+    word = piece.isalpha() and WORD.fullmatch(piece)
+    own = piece.lower() if word else piece
+    ratio = len(own) / count_tokens(own)
+    if not word:
+        return ratio < least_ratio
+    return ratio < min(least_ratio, LEAST_WORD_RATIO if UNSPOKEN.search(own) else LEAST_SPOKEN_RATIO)
+
+
+def _stretches(text: str, start: int, end: int, count_tokens, least_ratio: float) -> Iterator[tuple[int, int]]:
+    """The spans of a part of a run, from a random piece to the last one that no ordinary piece separates from it."""
+    first = last = random = 0
+    for m in PIECE.finditer(text, start, end):
+        told = _is_random(m[0], count_tokens, least_ratio)
+        if told:
+            first = m.start() if not random else first
+            last, random = m.end(), random + len(m[0])
+        elif told is False:
+            if random >= LEAST_LENGTH:
+                yield first, last
+            random = 0
+    if random >= LEAST_LENGTH:
+        yield first, last
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], count_tokens, least_ratio: float = LEAST_RATIO) -> list[tuple[int, int, int]]:
-    """Candidates of a low count of characters per token that no known form overlaps; ``base`` is sorted."""
+    """Stretches of a low count of characters per token that no known form overlaps; ``base`` is sorted."""
     found, taken = [], _united(base)
     begins = [a for a, _, _ in taken]
     for run in RUN.finditer(text):
         for m in PART.finditer(text, run.start(), run.end()):
-            own = m[0].strip("-")
-            start = m.start() + m[0].index(own)
-            end = start + len(own)
-            near = bisect_right(begins, end - 1)  # the last known span that starts before the end
-            if len(own) < LEAST_LENGTH or KNOWN.fullmatch(own) or (near and taken[near - 1][2] > start):
-                continue
-            # capitals at the start or throughout tell nothing
-            word = own.isalpha() and WORD.fullmatch(own)
-            if len(own) / count_tokens(own.lower() if word else own) < (min(least_ratio, LEAST_WORD_RATIO) if word else least_ratio):
-                found.append((start, 3, end))
+            # digests and UUIDs within cut a part in two
+            cuts = [(k.start(), k.end()) for k in INSIDE.finditer(text, m.start(), m.end())]
+            parts = zip([m.start(), *(b for _, b in cuts)], [*(a for a, _ in cuts), m.end()], strict=True)
+            for start, end in (x for part in parts for x in _stretches(text, *part, count_tokens, least_ratio)):
+                near = bisect_right(begins, end - 1)  # the last known span that starts before the end
+                if not KNOWN.fullmatch(text[start:end]) and not (near and taken[near - 1][2] > start):
+                    found.append((start, 3, end))
     return found
 
 

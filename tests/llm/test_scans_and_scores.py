@@ -83,6 +83,74 @@ def test_base_spans_of_all_documents_and_planted_random_strings(spark):
     assert sum(r["n_random"] for r in rows if r["doc_id"] >= 0) <= 5
 
 
+def test_keys_beside_signs_and_in_paths_are_the_span_alone(spark):
+    key = "x9Kq2LmZ7vTb4WnR8sYc1DfG"
+    cases = {
+        f"postgres://user:{key}@db.host/x": [key], f"{key}@example.com": [key], f"https://example.com/this/is/a/path/of/customers/{key}/end": [key],
+        f"my_application_configuration_for_production_{key}": [key], f"sk_live_{key}": [key], f"{key}=={key}": [f"{key}=={key}"], f"path/{key}/550e8400-e29b-41d4-a716-446655440000/customers": [key],
+    }
+    # ordinary names, dates, digests, long words of other languages
+    for plain in (
+        "2024-01-01T00-00-00Z", "ISO-8859-1-encoding", "x86_64-linux-gnu/libc", "MIT-BSD-GPL-LGPL-AGPL", "a/b/c/d/e/f/g/h/i/j/k", "przedsiebiorstwo-uslugowe", "menedzsmentrendszer-fejlesztes",
+        "someone@wonderful-company.com", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "objects/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709/pack", "Donaudampfschifffahrtsgesellschaft", "python3.11-slim-bookworm", "20230412-153000-build-77/release",
+        "antidisestablishmentarianism", "org/apache/commons/lang3/StringUtils", "==========================", "internationalization_of_LOCALIZATION",
+    ):
+        cases[plain] = []
+    rows = scan_secrets(spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string"), RANKS).orderBy("doc_id").collect()
+    got = [[t[int(a) : int(b)] for _, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for t, r in zip(cases, rows)]
+    assert dict(zip(cases, got)) == cases
+
+
+def test_random_spans_equal_a_plain_version():
+    """Piece by piece over a whole text, without bisection and without patterns for runs."""
+    import random
+    import string
+
+    from cuewright.llm import secret_scan as own
+
+    count = own.token_counter(RANKS)
+    signs, inner = set(string.ascii_letters + string.digits + "+/_=.-"), set(string.ascii_letters + string.digits)
+
+    def plain(text, base):
+        taken, found, at = {i for a, _, b in base for i in range(a, b)}, [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in signs:
+                end += 1
+            run = end - at >= 16 and (at == 0 or text[at - 1] != "@")
+            for part in re.finditer(r"[^.]+", text[at:end]) if run else ():
+                if len(part[0]) < 16:
+                    continue
+                marks = [" " if text[at + i] not in inner else "x" for i in range(*part.span())]
+                word = "".join(text[at + part.start() + i] if m == "x" else " " for i, m in enumerate(marks))
+                for known in own.INSIDE.finditer(part[0]):
+                    word = word[: known.start()] + "\n" * (known.end() - known.start()) + word[known.end() :]
+                stretch = []
+                for m in [*re.finditer(r"[A-Za-z0-9]+|\n+", word), None]:
+                    told = False if m is None or m[0][0] == "\n" else own._is_random(m[0], count, own.LEAST_RATIO)
+                    if told:
+                        stretch.append(m)
+                    elif told is False:
+                        if sum(len(x[0]) for x in stretch) >= 16:
+                            a, b = at + part.start() + stretch[0].start(), at + part.start() + stretch[-1].end()
+                            if not taken & set(range(a, b)) and not own.KNOWN.fullmatch(text[a:b]):
+                                found.append((a, 3, b))
+                        stretch = []
+            at = end + 1
+        return found
+
+    rng = random.Random(8)
+    bits = ["config", "a", "42", "x9Kq2LmZ7vTb4WnR8s", "Zq8", "7fG2kL", "production", "/", "-", "_", "=", ".", "@", " ", ":", "password=", "550e8400-e29b-41d4-a716-446655440000", "0123456789abcdef01234567", "kwzxq", "é"]
+    hits = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        base = own.base_spans(text)
+        want = plain(text, base)
+        assert own.random_spans(text, base, count) == want, text
+        hits += len(want)
+    assert hits > 200
+
+
 def test_thousands_of_secrets_in_one_text(spark):
     text = " ".join(f"password=x{i}abcdef q7Zx2Lw9Kf4Vt8R{i}" for i in range(5000))
     r = scan_secrets(spark.createDataFrame([(1, text, 7)], "doc_id int, text string, spans int"), RANKS).first()
