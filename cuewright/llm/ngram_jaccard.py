@@ -232,13 +232,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # columns that at least two rows have, by size class; of columns of the same rows one
     entries = entered.where("prefix is not null").select("sid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
-    # counted where they meet: the entries are shuffled once
-    shared = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("m > 1")
+    # a set that several tasks have met is told from others, and counted, where a column's entries meet: they are shuffled once
+    again = F.lag("sid").over(Window.partitionBy("gram").orderBy("sid"))
+    once = entries.withColumn("before", again).where("before is null or before <> sid")
+    shared = once.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("m > 1")
     ratio = (100 / percent) ** CLASSES if percent < 100 else 2.0
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9)
     also = F.floor(F.log(F.col("n") * 100.0 / percent) / float(np.log(ratio)) + 1e-6)
     met = shared.select("sid", "gram", F.explode(F.array_distinct(F.array(size_class, also))).alias("class"))
-    met = stored(met.select("sid", F.xxhash64("gram", "class").alias("gram")).distinct(), "columns")
+    met = stored(met.select("sid", F.xxhash64("gram", "class").alias("gram")), "columns")
     rows_of = met.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 1")
     parts = rows_of.groupBy("m", "x", "y").agg(F.min("gram").alias("gram")).select("gram", F.ceil(F.col("m") / COLUMN_ROWS).alias("parts"))
     sketches = entered.where("sketch is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
