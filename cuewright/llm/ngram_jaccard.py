@@ -48,6 +48,8 @@ from cuewright.llm.scratch import discard, shuffle_partitions, stored
 COMMON = 1000
 #: Most of them that are broadcast, at 8 bytes each.
 MOST_COMMON = 2_000_000
+#: Rows of blocks that are broadcast to the texts; of more, texts are shuffled.
+BROADCAST_MEMBERS = 1_000_000
 #: Size classes are as wide as so many steps of the least similarity.
 CLASSES = 3
 #: Rows of a column, and rows or elements of a block, that one task takes; more are cut in parts.
@@ -253,7 +255,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = stored(blocks.join(firsts, "sid"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_ELEMENTS)).alias("parts"))
     chosen = members.join(sizes, "root").select("sid", "root", "copies", "parts", F.col("first").alias("key"))
-    few = members.count() <= 1_000_000  # 40 bytes a row: the texts then need not be shuffled
+    few = members.count() <= BROADCAST_MEMBERS  # 40 bytes a row: the texts then need not be shuffled
     texts = rows.join(F.broadcast(chosen) if few else chosen, "key")
     texts = _in_parts(texts.select("text", "sid", "root", "copies", "parts"), "parts").repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
     links = stored(texts.mapInPandas(lambda b: _block_links(b, width, percent), "sid long, least long, links long"), "links")

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+#: Rows of a table that is broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Rows of one shard that are numbered together.
 ROWS_A_BLOCK = 200_000
 
@@ -64,7 +66,7 @@ def assign_shards(df: DataFrame, key: str, shards: int, rows_a_block: int = ROWS
     sizes = sizes.select("shard", "_shard_block", F.coalesce(F.sum("_shard_rows").over(before), F.lit(0)).alias("_shard_before"))
     place = F.row_number().over(Window.partitionBy("shard", "_shard_block").orderBy(F.col(key), *(spread or [])))
     # one row for each block of a shard: rows / rows_a_block of them, or one a shard
-    rows = rows.withColumn("_shard_place", place).join(F.broadcast(sizes) if blocks * shards <= 1_000_000 else sizes, ["shard", "_shard_block"])
+    rows = rows.withColumn("_shard_place", place).join(F.broadcast(sizes) if blocks * shards <= BROADCAST_ROWS else sizes, ["shard", "_shard_block"])
     return rows.withColumn("slot", F.col("_shard_before") + F.col("_shard_place") - 1).drop("_shard_block", "_shard_before", "_shard_place")
 
 
