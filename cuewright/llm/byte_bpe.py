@@ -6,8 +6,9 @@ numbers are the ranks. Normalisation is the identity: no dummy prefix, no
 escaped or collapsed blanks. A text is cut into pre-tokens, each is encoded
 separately, and ids decode by the inverse of the byte mapping.
 
-Defined cases: a null or empty text has no ids; ids of no piece do not occur,
-as all 256 bytes are pieces; repeated rows and null keys stay.
+Defined cases: a null or empty text has no ids; encoding gives no id without a
+piece, as all 256 bytes are pieces, and decoding refuses one; null ids of a row
+decode to an empty text; repeated rows and null keys stay.
 """
 
 from __future__ import annotations
@@ -104,7 +105,10 @@ def _decoded(batches: Iterable[pa.RecordBatch], at: int, ranks_file: str) -> Ite
     bpe = ByteBPE(read_ranks(ranks_file))
     for batch in batches:
         lists = batch.column(at)
-        raw, off = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]))
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(bpe.begin) - 1:
+            raise ValueError("an id that no piece has")
+        raw, off = bpe.decode(ids, np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]))
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts), *batch.columns[at + 1 :]], names=[*batch.schema.names[:at], "text", *batch.schema.names[at + 1 :]])

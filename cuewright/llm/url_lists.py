@@ -10,7 +10,7 @@ counts; a domain listed twice in a row keeps the date of each entry; entries
 without a domain, date or id are left out; a URL without a host, a null URL and
 a null fetch time match nothing and stay in the result; repeated captures stay;
 an empty list blocks nothing; case does not matter; an address has no domain
-above it; other columns of the captures are not returned.
+above it; a closing point is part of a host, which no entry without one matches; other columns of the captures are not returned.
 """
 
 from __future__ import annotations
