@@ -126,3 +126,14 @@ def test_a_stream_tells_changes_once(spark, tmp_path):
     assert ("a", "2", "gone") in gone and ("d", "1", "gone") in gone and not any(k == "b" for k, *_ in gone)
     batch(("a", "2", 42))
     assert told().count(("a", "2", "new")) == 2
+
+
+def test_files_seen_by_the_hour(spark, tmp_path):
+    texts = [("a", "English text of some words, and more of them", 1), ("b", "これは日本語の文章です。とても長いですね、本当に。はい", 2), ("c", "short", 3), ("late", "short", 0), ("d", "x", 300)]
+    for k, (name, text, minutes) in enumerate(texts):
+        spark.createDataFrame([(name, text, DAY + timedelta(minutes=minutes))], "track_id string, content string, seen_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("track_id string, content string, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = recheck.activity(stream, "30 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = [(r["window"]["start"], r["files"], r["scripted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert found == [(DAY, 4, 1)]  # the last window is still open
