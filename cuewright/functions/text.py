@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import regex as re
 from pyspark.sql import Column, functions as F
 
 # fixed values: apostrophes that vanish, phrases of credits, words of music descriptions, sentence ends
@@ -55,8 +54,9 @@ def words(text: Column) -> Column:
 
 def plain_words(text: str) -> list[str]:
     """``words`` of a text that is at hand."""
-    low = "".join(_PLAIN.get(c, c) for c in text.lower() if unicodedata.category(c) != "Mn")
-    return [w for w in re.split(r"[^\p{L}\p{Nd}]+", re.sub(APOSTROPHES, "", low)) if w]
+    kind = unicodedata.category
+    bare = "".join(_PLAIN.get(c, c) for c in text.lower() if kind(c) != "Mn" and c not in APOSTROPHES[1:-1])
+    return "".join(c if kind(c)[0] == "L" or kind(c) == "Nd" else " " for c in bare).split()
 
 
 def collapsed(text: Column) -> Column:

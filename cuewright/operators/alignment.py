@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuewright.operators.signals import COARSE, FINE, LEAST_DENSITY, LEAST_SCORE, LOUD, QUIET, WINDOW_SEARCH, active_within, block_size, frame_rates, met_counts, overlaps, pearson, transform_size, transformed, vector
 from cuewright.scratch import kept
 
-# failures of a measurement
+# fixed values: failures of a measurement
 NO_SPEECH, NO_CUES = "no speech was found in the audio track", "the track holds no dialogue to align"
 FLAT_AUDIO, SPARSE = "the audio is almost all speech or almost all silence", "the track is too sparse to align"
 

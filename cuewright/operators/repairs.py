@@ -56,6 +56,7 @@ def edited(sources: DataFrame, edits: DataFrame) -> DataFrame:
     is_file = F.coalesce("_path", F.lit("")) != ""
     ours = F.col("kind").isin("Heard", "Repaired") & is_file
     writes, name = F.col("action").isin("Save", "Retime", "Extract"), lambda p: F.regexp_extract(p, r"([^/\\]*)$", 1)
+    # fixed values: what is said of edits that are refused or done
     refused = (
         F.when(F.col("_known").isNull(), "that subtitle is no longer there")
         .when((F.col("action") == "Retime") & retime_error(F.col("offset_s"), F.col("scale")).isNotNull(), retime_error(F.col("offset_s"), F.col("scale")))
