@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cuewright.llm.kernels import released
 from cuewright.llm.pieces import PieceEncoder, byte_to_char
 
 
@@ -98,7 +99,7 @@ def encode_texts(docs: DataFrame, ranks_file: str, text: str = "text", keep: lis
     keep = [c for c in (keep or docs.columns) if c not in (text, "token_ids")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda b: _encoded(b, keep, ranks_file), f"{schema}, token_ids array<int>")
+    return rows.mapInArrow(lambda b: released(_encoded(b, keep, ranks_file)), f"{schema}, token_ids array<int>")
 
 
 def _decoded(batches: Iterable[pa.RecordBatch], at: int, ranks_file: str) -> Iterator[pa.RecordBatch]:

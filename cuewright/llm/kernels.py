@@ -6,6 +6,7 @@ task's memory depends on the longest document and not on the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 2 * SLICE + 1)
+        size = max(n, SLICE + 1)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
@@ -56,14 +57,14 @@ def _field_powers(n: int) -> list[np.ndarray]:
     """Powers of the two bases and of their inverses, each from 0 up to ``n`` at least."""
     if _fields and len(_fields[0]) > n:
         return _fields
-    size, p, tables = max(n, 2 * SLICE) + 1, int(_FIELD), []
+    size, p, tables = max(n, SLICE) + 1, int(_FIELD), []
     for base in (x for b in _BASES for x in (b, pow(b, -1, p))):
         table, k = np.ones(size, np.uint64), 1
         while k < size:
             more = min(k, size - k)
             table[k : k + more] = table[:more] * np.uint64(pow(base, k, p)) % _FIELD
             k += more
-        tables.append(table)
+        tables.append(table.astype(np.uint32))  # 31 bits: half the memory
     if size <= 4 * SLICE:  # longer ones are not kept
         _fields[:] = tables
     return tables
@@ -101,6 +102,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, and afterwards what the worker, which other tasks use again, holds of memory that nothing needs."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library that most clusters run on
+            trim(0)
+
+
 def text_slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[list[str], int]]:
     """Texts (null: empty) as lists of at most ``most`` characters or one text each, with the first one's index."""
     held: list[str] = []

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuewright.llm.components import connected_components
 from cuewright.llm.incidence import fingerprint, linked, parity_sketch, possible_edges, prefix
-from cuewright.llm.kernels import batch_word_hashes, shingles, word_hashes
+from cuewright.llm.kernels import batch_word_hashes, released, shingles, word_hashes
 from cuewright.llm.scratch import discard, shuffle_partitions, stored
 
 #: An n-gram that one of so many documents has is common and comes last in the order of columns.
@@ -90,7 +90,7 @@ def common_grams(docs: DataFrame, text: str, width: int) -> np.ndarray:
     They decide the order of columns alone, so that a count that misses rare
     occurrences, or a shorter list, changes the speed and never a result.
     """
-    found = docs.select(text).mapInArrow(lambda b: _frequent(b, width), "gram long, n long")
+    found = docs.select(text).mapInArrow(lambda b: released(_frequent(b, width)), "gram long, n long")
     table = stored(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     bounds = [max(8, docs.count() // COMMON) << k for k in range(24)]
     sizes = table.agg(*[F.count_if(F.col("n") >= x) for x in bounds]).first()
@@ -230,7 +230,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     hot = spark.sparkContext.broadcast(common_grams(rows, "text", width))
-    entered = stored(rows.mapInArrow(lambda b: _entered(b, width, percent, hot), "key long, n long, sid long, prefix array<long>, sketch binary"), "rows")
+    entered = stored(rows.mapInArrow(lambda b: released(_entered(b, width, percent, hot)), "key long, n long, sid long, prefix array<long>, sketch binary"), "rows")
 
     # columns that at least two rows have, by size class; of columns of the same rows one
     entries = entered.where("prefix is not null").select("sid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = rows_of.groupBy("m", "x", "y").agg(F.min("gram").alias("gram")).select("gram", F.ceil(F.col("m") / COLUMN_ROWS).alias("parts"))
     sketches = entered.where("sketch is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     columns = _in_parts(met.join(parts, "gram").join(sketches, "sid"), "parts").repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    edges = columns.mapInPandas(lambda b: _column_edges(b, percent), "a long, b long")
+    edges = columns.mapInPandas(lambda b: released(_column_edges(b, percent)), "a long, b long")
     blocks = connected_components(edges).withColumnRenamed("node", "sid")
 
     # one document of each row of a block has its text read again
@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     few = members.count() <= BROADCAST_MEMBERS  # 40 bytes a row: the texts then need not be shuffled
     texts = rows.join(F.broadcast(chosen) if few else chosen, "key")
     texts = _in_parts(texts.select("text", "sid", "root", "copies", "parts"), "parts").repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
-    links = stored(texts.mapInPandas(lambda b: _block_links(b, width, percent), "sid long, least long, links long"), "links")
+    links = stored(texts.mapInPandas(lambda b: released(_block_links(b, width, percent)), "sid long, least long, links long"), "links")
 
     discard(met, members)
     labels = connected_components(links.select("sid", "least")).withColumnRenamed("node", "sid")

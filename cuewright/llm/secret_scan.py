@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm.kernels import text_slices
+from cuewright.llm.kernels import released, text_slices
 
 # fixed values: the known forms
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -181,7 +181,7 @@ def scan_secrets(docs: DataFrame, ranks_file: str, text: str = "text", redact: b
     rows = docs.drop(*ADDED)
     at = rows.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(lambda b: _scanned(b, at, ranks_file, redact), f"{schema}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return rows.mapInArrow(lambda b: released(_scanned(b, at, ranks_file, redact)), f"{schema}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cuewright.llm.kernels import NO_WORD, batch_word_hashes, mix64
+from cuewright.llm.kernels import NO_WORD, batch_word_hashes, mix64, released
 from cuewright.llm.scratch import discard, stored
 
 #: Cells of the hashed vocabulary.
@@ -203,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     # at most the stated numbers of keys: broadcast, so that the texts stay where they are
     marks = chosen.withColumn("_p", F.lit(True)).join(mixed, "key", "full")
     picked = rows.join(F.broadcast(marks), "key").select("text", F.array_compact(F.array(F.when(F.col("_p"), True), F.when(F.col("_n").isNotNull(), False))).alias("_as"))
-    featured = picked.select(F.explode("_as").alias("positive"), "text").mapInArrow(_featured, "positive boolean, cells array<int>")
+    featured = picked.select(F.explode("_as").alias("positive"), "text").mapInArrow(lambda b: released(_featured(b)), "positive boolean, cells array<int>")
     featured = stored(featured, "features")
     sizes = {r["positive"]: r["count"] for r in featured.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
@@ -247,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: Linear, text: str = "text") -> DataFr
     rows = docs.drop("score")
     at = rows.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(lambda b: _scored(b, at, shared), f"{schema}, score double")
+    return rows.mapInArrow(lambda b: released(_scored(b, at, shared)), f"{schema}, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
