@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cuewright.functions.language import BOOST, CONTRADICTION, LEAST_WORDS, PROFILES, SIGNATURES, normalized, script
 from cuewright.functions.text import CUE_CHARS, clean_line, collapsed, ends_sentence, once, plain_words, stamp, words, wrapped
 from cuewright.operators import sequences
-from cuewright.operators.intervals import overlapping
 from cuewright.scratch import kept
 
 #: Seconds: longest and shortest cue, and the gap over which segments are joined.
@@ -164,8 +163,9 @@ def anchor_windows(cues: DataFrame, runtime_s: Column, count: int = 5, window_s:
     """(track_id, anchor_idx, start_s, duration_s, expected_words): windows spread over each track where most different words are spoken.
 
     ``runtime_s`` is a column of ``cues``; where it is not positive the last
-    cue's end stands in. Candidate windows meet the cues they overlap by
-    buckets of the window's length.
+    cue's end stands in. A cue's candidate windows follow from its times and the
+    plan of its track, so candidates without words are never rows, and what is
+    joined has a row a track or an anchor.
     """
     trims = [min(max(x, 0), 45) / 100 for x in (head, tail)]
     plan = cues.groupBy("track_id").agg(F.max(runtime_s).alias("r"), F.max_by("end_s", F.struct("start_s", "cue_idx")).alias("last"))
@@ -174,20 +174,25 @@ def anchor_windows(cues: DataFrame, runtime_s: Column, count: int = 5, window_s:
     short = F.col("hi") - F.col("lo") < window_s
     plan = plan.withColumns({"lo": F.when(short, 0.0).otherwise(F.col("lo")), "hi": F.when(short, F.col("total")).otherwise(F.col("hi"))})
     tiny = F.col("hi") - F.col("lo") < window_s
-    plan = plan.withColumns({"len": F.when(tiny, F.col("hi") - F.col("lo")).otherwise(window_s), "n": F.when(tiny, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(count), F.floor((F.col("hi") - F.col("lo")) / window_s).cast("int"))))})
+    plan = plan.withColumns({"len": F.when(tiny, F.col("hi") - F.col("lo")).otherwise(window_s), "n": F.when(tiny, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(count), F.floor((F.col("hi") - F.col("lo")) / window_s)).cast("int")))})
     plan = plan.withColumn("slot", (F.col("hi") - F.col("lo")) / F.col("n"))
-    tries = plan.withColumn("anchor_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    steps = F.greatest(F.floor((F.col("slot") - F.col("len") + 1e-9) / step_s), F.lit(0)).cast("int")
-    tries = tries.withColumn("k", F.explode(F.sequence(F.lit(0), steps)))
-    tries = tries.withColumn("start_s", F.col("lo") + F.col("slot") * F.col("anchor_idx") + F.col("k") * step_s)
-    heard = cues.select("track_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"), F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 2)).alias("words"))
-    asked = tries.select("track_id", "anchor_idx", "k", "start_s", (F.col("start_s") + F.col("len")).alias("upto_s"))
-    met = overlapping(heard, asked, ["track_id"], ("from_s", "to_s"), ("start_s", "upto_s"), window_s).withColumn("word", F.explode("words"))
-    scores = met.groupBy("track_id", "anchor_idx", "k").agg(F.count_distinct("word").alias("expected_words"))
-    scored = tries.join(scores, ["track_id", "anchor_idx", "k"], "left").withColumn("expected_words", F.coalesce("expected_words", F.lit(0)))
-    first = F.row_number().over(Window.partitionBy("track_id", "anchor_idx").orderBy(F.desc("expected_words"), "k"))
-    best = scored.withColumn("_r", first).where("_r = 1")
-    return best.select("track_id", "anchor_idx", F.least("start_s", F.col("hi") - F.col("len")).alias("start_s"), F.col("len").alias("duration_s"), "expected_words")
+    plan = plan.withColumn("steps", F.greatest(F.floor((F.col("slot") - F.col("len") + 1e-9) / step_s), F.lit(0)))
+    at = lambda i, k: F.col("lo") + F.col("slot") * i + k * step_s
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    heard = cues.select("track_id", F.col("start_s").alias("from_s"), F.greatest("start_s", "end_s").alias("to_s"), F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 2)).alias("words"))
+    heard = heard.join(plan.select("track_id", "lo", "len", "n", "slot", "steps"), "track_id").where("from_s is not null and to_s is not null")
+    # of each anchor, the steps whose windows may overlap the cue, one more at either side, as times are rounded
+    inside = lambda k: F.least(F.greatest(k, F.lit(0)), F.col("steps"))
+    low = inside(F.floor((F.col("from_s") - F.col("len") - at(F.col("anchor_idx"), F.lit(0))) / step_s) - 1)
+    high = inside(F.ceil((F.col("to_s") - at(F.col("anchor_idx"), F.lit(0))) / step_s) + 1)
+    tries = heard.withColumn("anchor_idx", F.explode(every)).withColumn("k", F.explode(F.sequence(low, high))).withColumn("start_s", at(F.col("anchor_idx"), F.col("k")))
+    met = tries.where("to_s >= start_s and from_s <= start_s + len").select("track_id", "anchor_idx", "k", F.explode("words").alias("word"))
+    scores = met.groupBy("track_id", "anchor_idx", "k").agg(F.count_distinct("word").alias("words"))
+    best = scores.groupBy("track_id", "anchor_idx").agg(F.max(F.struct("words", (-F.col("k")).alias("k"))).alias("best"))
+    # where no candidate has a word, the first one stands
+    done = plan.withColumn("anchor_idx", F.explode(every)).join(best, ["track_id", "anchor_idx"], "left")
+    start = F.least(at(F.col("anchor_idx"), F.coalesce(-F.col("best.k"), F.lit(0))), F.col("hi") - F.col("len"))
+    return done.select("track_id", "anchor_idx", start.alias("start_s"), F.col("len").alias("duration_s"), F.coalesce("best.words", F.lit(0)).alias("expected_words"))
 
 
 def srt_text(cues: DataFrame) -> DataFrame:

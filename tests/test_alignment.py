@@ -190,3 +190,13 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\n<i>Hello</i>\n\n2\n00:00:03,000 --> 00:00:04,000\n[noise]\n")
     write_cleaned(file_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["clean"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Hello"]
+
+
+def test_windows_without_words_are_no_rows(spark):
+    """A recording of 300,000 years has billions of candidate windows; those near a cue are told from its times."""
+    far = 1e13
+    cues = spark.createDataFrame([("x", 0, 0.06 * far, 0.06 * far + 2, "one two three"), ("x", 1, 0.5 * far, 0.5 * far + 2, "four five"), ("y", 0, 1.0, 2.0, "short"), ("z", 0, 3.0, 100.0, "?")], "track_id string, cue_idx int, start_s double, end_s double, text string")
+    got = {(r["track_id"], r["anchor_idx"]): r for r in cue_ops.anchor_windows(cues, F.when(F.col("track_id") == "x", far).otherwise(0.0)).collect()}
+    assert {k: r["expected_words"] for k, r in got.items()} == {("x", 0): 3, ("x", 1): 0, ("x", 2): 2, ("x", 3): 0, ("x", 4): 0, ("y", 0): 1, ("z", 0): 0, ("z", 1): 0}
+    assert all(got["x", k]["start_s"] - 2 <= at <= got["x", k]["start_s"] + 30 for k, at in ((0, 0.06 * far), (2, 0.5 * far)))
+    assert got["x", 1]["start_s"] == 0.05 * far + (far - far * 0.08 - far * 0.05) / 5 and (got["y", 0]["start_s"], got["y", 0]["duration_s"]) == (0.0, 2.0)
