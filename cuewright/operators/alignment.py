@@ -1,19 +1,20 @@
 """Tracks against the speech of their films: one global answer, then windows.
 
-A film's coarse signal is cut in blocks; each block's speech meets the track's
-cues under every frame-rate hypothesis, by transforms, and what is counted adds
-up over blocks. Films of one block are done there; those of more send their
-counts, some hundred kilobytes a block. Windows of the fine signal are groups
-of their own. No task holds a film's spans unless they fit one block.
+A film's coarse signal meets a track's cues under every frame-rate hypothesis,
+by transforms. Films of one block, as usual ones are, are done in one group:
+the speech and some of the tracks, each measured as a whole and then in windows.
+Longer ones are cut in blocks, which send their counts, some hundred kilobytes
+a block, and what is counted adds up; windows of their fine signal are groups of
+their own. No task holds a film's spans unless they fit one block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuewright.operators.signals import COARSE, FINE, LEAST_DENSITY, LEAST_SCORE, LOUD, QUIET, WINDOW_SEARCH, active_within, block_size, frame_rates, met_counts, overlaps, pearson, transform_size, transformed, vector
+from cuewright.operators.signals import COARSE, FINE, LEAST_DENSITY, LEAST_SCORE, LOUD, QUIET, WINDOW_SEARCH, active_ends, active_within, block_size, frame_rates, marks, met_counts, overlaps, pearson, transform_size, transformed, vector
 from cuewright.scratch import kept
 
 # fixed values: failures of a measurement
@@ -21,6 +22,9 @@ NO_SPEECH, NO_CUES = "no speech was found in the audio track", "the track holds
 FLAT_AUDIO, SPARSE = "the audio is almost all speech or almost all silence", "the track is too sparse to align"
 
 BEST = "score double, offset_s double, scale double, failure string"
+ANCHORS = "array<struct<at_s:double,offset_s:double,confidence:double>>"
+#: Tracks of an item that are measured in one group.
+LOT = 8
 
 
 def _first(at: Column, width: float) -> Column:
@@ -32,20 +36,83 @@ def _after(start: Column, end: Column, width: float) -> Column:
     return F.greatest(F.ceil(F.greatest(end, F.lit(0.0)) / width), _first(start, width) + 1)
 
 
-def _spans(speech: DataFrame, cues: DataFrame, item: str, track: str, runtime: str | None, most: float) -> DataFrame:
-    """(item, track, speech, start_s, end_s, duration): each track's cues and its film's speech."""
+def _tracks(speech: DataFrame, cues: DataFrame, item: str, track: str, runtime: str | None, most: float, size: int) -> DataFrame:
+    """(_i, _t, duration, blocks, _no, _lot): each track, its number, and the group of its item's tracks that it is measured with."""
     last = F.max_by("end_s", F.struct("start_s", "end_s"))
     length = F.max(F.coalesce(F.col(runtime), F.lit(0.0))) if runtime else F.lit(0.0)
     heard = speech.groupBy(F.col(item).alias("_i")).agg(last.alias("_heard"), length.cast("double").alias("_runtime"))
     tracks = cues.groupBy(item, track).agg(last.alias("_said")).join(heard, F.col(item).eqNullSafe(F.col("_i")), "left")
     duration = F.greatest(F.coalesce("_runtime", F.lit(0.0)), F.coalesce("_heard", F.lit(0.0)), F.coalesce("_said", F.lit(0.0)) + most)
     tracks = tracks.select(F.col(item).alias("_i"), F.col(track).alias("_t"), duration.alias("duration"))
+    place = F.row_number().over(Window.partitionBy("_i").orderBy("_t")) - 1
+    blocks = F.greatest(F.ceil(F.ceil(F.col("duration") / COARSE) / size), F.lit(1))
+    return tracks.withColumns({"blocks": blocks, "_no": F.monotonically_increasing_id(), "_lot": F.floor(place / LOT)})
+
+
+def _spans(speech: DataFrame, cues: DataFrame, tracks: DataFrame, item: str, track: str) -> DataFrame:
+    """(item, track, speech, start_s, end_s, duration): each track's cues and its film's speech."""
+    tracks = tracks.select("_i", "_t", "duration")
     own = cues.select(item, track, F.lit(False).alias("speech"), "start_s", "end_s").join(tracks, F.col(item).eqNullSafe(F.col("_i")) & F.col(track).eqNullSafe(F.col("_t")))
     theirs = speech.select(F.col(item).alias("_s"), "start_s", "end_s").join(tracks, F.col("_s").eqNullSafe(F.col("_i")))
     columns = ["speech", "start_s", "end_s", "duration"]
     return own.select(item, track, *columns).unionByName(theirs.select(F.col("_i").alias(item), F.col("_t").alias(track), F.lit(True).alias("speech"), "start_s", "end_s", "duration"))
 
 
+def _film(speech: np.ndarray, cues: np.ndarray, duration: float, scales: list[float], span: int) -> tuple:
+    """(score, offset, scale, failure) of a film that fits one block, from the rows (start, end) of both sides."""
+    bins, by = int(np.ceil(duration / COARSE)), np.array([1.0, *scales])
+    sides = [(speech, by[:1]), (cues, by[1:])]
+    ends, on = zip(*[(active_ends(x, k, COARSE, bins), marks(x, k, COARSE, bins)) for x, k in sides], strict=True)
+    ends, audio, said = np.concatenate(ends), on[0][0], on[1]
+    shown = (ends[1:, 0] >= 0) & (ends[0, 0] >= 0)
+    active = np.where(shown, said.sum(axis=1), 0)
+    sums = np.zeros((len(scales), 3, 2 * span + 1))
+    measure = lambda: _best(scales, span, len(speech), len(cues), ends, int(audio.sum()), active, sums)
+    if measure()[3] is not None:
+        return measure()
+    n = transform_size(bins, span)
+    heard = transformed(audio, n)
+    for s in np.flatnonzero(shown & (active > 0)):
+        lag, first, last = overlaps(span, ends[0], ends[s + 1])
+        own = np.zeros(bins + 2 * span)
+        own[span : span + bins] = said[s]
+        sums[s] = met_counts(own, heard, n, span), active_within(audio, 0, first - lag, last - lag), active_within(said[s], 0, first, last)
+    return measure()
+
+
+def _point(speech: np.ndarray, cues: np.ndarray, i: int, n: int, duration: float, offset: float, scale: float) -> tuple | None:
+    """(at_s, offset_s, confidence) of window ``i`` of ``n``; the cues have the global answer taken out."""
+    length, fine = duration / n, int(np.ceil(duration / FINE))
+    low, high = int(np.floor(i * length / FINE)), min(int(np.ceil((i * length + length) / FINE)), fine)
+    found = best_lag(vector(*speech.T, FINE, low, high), vector(*cues.T, FINE, low, high), FINE, WINDOW_SEARCH)
+    strength = min(max((found[1] - 0.15) / 0.40, 0.0), 1.0) if found else 0.0
+    centre = i * length + length / 2
+    return (centre, offset + (scale - 1.0) * centre + scale * found[0], strength) if strength > 0 else None
+
+
+def _short(speech: DataFrame, cues: DataFrame, tracks: DataFrame, item: str, track: str, scales: list[float], span: int, windows: int) -> DataFrame:
+    """(item, track, score, offset_s, scale, failure, anchors) of tracks whose films fit one block: a group has the speech once and some tracks."""
+    n = min(max(windows, 2), 64)
+    own = cues.join(tracks, F.col(item).eqNullSafe(F.col("_i")) & F.col(track).eqNullSafe(F.col("_t")))
+    lots = tracks.select("_i", "_lot").distinct()
+    theirs = speech.select(F.col(item).alias("_s"), "start_s", "end_s").join(lots, F.col("_s").eqNullSafe(F.col("_i")))
+    # speech has no track's number
+    rows = own.select("_i", "_lot", "_no", "duration", "start_s", "end_s").unionByName(theirs.select("_i", "_lot", F.lit(-1).cast("long").alias("_no"), F.lit(0.0).alias("duration"), "start_s", "end_s"))
+
+    def lot(g: pd.DataFrame) -> pd.DataFrame:
+        no, times, lasts = g["_no"].to_numpy(), g[["start_s", "end_s"]].to_numpy(np.float64), g["duration"].to_numpy()
+        heard, out = times[no < 0], []
+        for k in np.unique(no[no >= 0]):
+            said, duration = times[no == k], float(lasts[no == k][0])
+            score, offset, scale, failure = _film(heard, said, duration, scales, span)
+            points = [_point(heard, (said - offset) / scale, i, n, duration, offset, scale) for i in range(n)] if failure is None and score >= LEAST_SCORE else []
+            out.append((k, score, offset, scale, failure, [dict(zip(("at_s", "offset_s", "confidence"), p, strict=True)) for p in points if p]))
+        return pd.DataFrame(out, columns=["_no", "score", "offset_s", "scale", "failure", "anchors"])
+
+    found = rows.groupBy("_i", "_lot").applyInPandas(lot, f"_no long, {BEST}, anchors {ANCHORS}")
+    return tracks.select(F.col("_i").alias(item), F.col("_t").alias(track), "_no").join(found, "_no").drop("_no")
+
+
 def _ends(spans: DataFrame, item: str, track: str, scales: list[float]) -> DataFrame:
     """(item, track, n_speech, n_cues, duration, ends): first and last active coarse bin of the speech, and of the cues under each scale; -1 for none."""
     count = F.ceil(F.col("duration") / COARSE)
@@ -153,13 +220,8 @@ def _windows(spans: DataFrame, best: DataFrame, item: str, track: str, windows:
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         i, duration, offset, scale = int(g["window"].iloc[0]), float(g["duration"].iloc[0]), float(g["offset_s"].iloc[0]), float(g["scale"].iloc[0])
-        length, fine = duration / n, int(np.ceil(duration / FINE))
-        low, high = int(np.floor(i * length / FINE)), min(int(np.ceil((i * length + length) / FINE)), fine)
-        audio, cues = (vector(*g.loc[g["speech"] == side, ["start_s", "end_s"]].to_numpy(np.float64).T, FINE, low, high) for side in (True, False))
-        found = best_lag(audio, cues, FINE, WINDOW_SEARCH)
-        strength = min(max((found[1] - 0.15) / 0.40, 0.0), 1.0) if found else 0.0
-        centre = i * length + length / 2
-        rows = [(centre, offset + (scale - 1.0) * centre + scale * found[0], strength)] if strength > 0 else []
+        audio, cues = (g.loc[g["speech"] == side, ["start_s", "end_s"]].to_numpy(np.float64) for side in (True, False))
+        rows = [p for p in [_point(audio, cues, i, n, duration, offset, scale)] if p]
         return pd.DataFrame([(g[item].iloc[0], g[track].iloc[0], *r) for r in rows], columns=[item, track, "at_s", "offset_s", "confidence"])
 
     kinds = dict(spans.dtypes)
@@ -193,10 +255,15 @@ def aligned(speech: DataFrame, cues: DataFrame, item: str, track: str, runtime:
     """
     scales = [1.0, *(p[3] for p in frame_rates())] if rates else [1.0]
     span = max(round(max(most, 0) / COARSE), 1)
-    spans = kept(_spans(speech, cues, item, track, runtime, most), "spans")
+    size = block or block_size(span)
+    tracks = kept(_tracks(speech, cues, item, track, runtime, most, size), "tracks")
+    short = _short(speech, cues, tracks.where("blocks = 1"), item, track, scales, span, windows)
+    long = tracks.where("blocks > 1")
+    if long.isEmpty():
+        return short
+    spans = kept(_spans(speech, cues, long, item, track), "spans")
     facts = _ends(spans, item, track, scales)
-    best = kept(_global(spans, facts, item, track, scales, span, block or block_size(span)), "measured")
+    best = kept(_global(spans, facts, item, track, scales, span, size), "measured")
     anchors = _windows(spans, best, item, track, windows)
-    none = F.array().cast("array<struct<at_s:double,offset_s:double,confidence:double>>")
     met = best.join(anchors, F.col(item).eqNullSafe(F.col("_i")) & F.col(track).eqNullSafe(F.col("_t")), "left")
-    return met.select(item, track, "score", "offset_s", "scale", "failure", F.coalesce("anchors", none).alias("anchors"))
+    return short.unionByName(met.select(item, track, "score", "offset_s", "scale", "failure", F.coalesce("anchors", F.array().cast(ANCHORS)).alias("anchors")))

@@ -114,13 +114,37 @@ def vector(start: np.ndarray, end: np.ndarray, width: float, low: int, high: int
     return (np.cumsum(edge[:-1]) > 0).astype(np.float64)
 
 
+def _scaled(spans: np.ndarray, scales: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after): bins of the rows (start, end) under each scale; a time that is no number is zero."""
+    first = np.floor(np.fmax(spans[:, 0] / scales[:, None], 0) / width).astype(np.int64)
+    return first, np.maximum(np.ceil(np.fmax(spans[:, 1] / scales[:, None], 0) / width).astype(np.int64), first + 1)
+
+
+def active_ends(spans: np.ndarray, scales: np.ndarray, width: float, bins: int) -> np.ndarray:
+    """First and last active bin below ``bins`` under each scale; -1 for none."""
+    first, after = _scaled(spans, scales, width)
+    inside = first < bins
+    low = np.min(np.where(inside, first, bins), axis=1, initial=bins)
+    high = np.max(np.where(inside, np.minimum(after, bins), 0), axis=1, initial=0) - 1
+    return np.stack([np.where(low < bins, low, -1), high], 1)
+
+
+def marks(spans: np.ndarray, scales: np.ndarray, width: float, bins: int) -> np.ndarray:
+    """0/1 vectors of the bins from 0 to below ``bins`` that intervals mark under each scale."""
+    first, after = _scaled(spans, scales, width)
+    inside, row = first < bins, np.arange(len(scales))[:, None] * (bins + 1)
+    edge = np.bincount((row + first)[inside], minlength=len(scales) * (bins + 1)) - np.bincount((row + np.minimum(after, bins))[inside], minlength=len(scales) * (bins + 1))
+    return (np.cumsum(edge.reshape(len(scales), bins + 1)[:, :-1], axis=1) > 0).astype(np.float64)
+
+
 def transformed(audio: np.ndarray, size: int) -> np.ndarray:
     return np.conj(np.fft.rfft(audio, size))
 
 
 def transform_size(block: int, span: int) -> int:
-    """A power of two in which a block meets its cues without wrapping around."""
-    return 1 << int(block + 2 * span - 1).bit_length()
+    """The least 2^k, 3 * 2^k or 5 * 2^k in which a block meets its cues without wrapping around."""
+    least = block + 2 * span
+    return min(by << max(-(-least // by) - 1, 0).bit_length() for by in (1, 3, 5))
 
 
 def met_counts(cues: np.ndarray, heard: np.ndarray, size: int, span: int) -> np.ndarray:

@@ -200,3 +200,21 @@ def test_windows_without_words_are_no_rows(spark):
     assert {k: r["expected_words"] for k, r in got.items()} == {("x", 0): 3, ("x", 1): 0, ("x", 2): 2, ("x", 3): 0, ("x", 4): 0, ("y", 0): 1, ("z", 0): 0, ("z", 1): 0}
     assert all(got["x", k]["start_s"] - 2 <= at <= got["x", k]["start_s"] + 30 for k, at in ((0, 0.06 * far), (2, 0.5 * far)))
     assert got["x", 1]["start_s"] == 0.05 * far + (far - far * 0.08 - far * 0.05) / 5 and (got["y", 0]["start_s"], got["y", 0]["duration_s"]) == (0.0, 2.0)
+
+
+def test_films_of_one_block_are_read_once(spark):
+    """Twenty tracks of a film, one without a name, in groups of some of them; spans are not written, transforms not longer than asked for."""
+    from pathlib import Path
+
+    tables = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("spans-*")}
+    speech, before = film(minutes=10), tables()
+    tracks = {t: subtitles(speech, float(t or 0)) for t in [*range(19), None]}
+    cues = spark.createDataFrame([(None, t, float(a), float(b)) for t, x in tracks.items() for a, b in x] + [(None, 3, None, None)], "item int, track long, start_s double, end_s double")
+    heard = spark.createDataFrame([(None, float(a), float(b)) for a, b in speech], "item int, start_s double, end_s double")
+    found = {r["track"]: r for r in alignment.aligned(heard, cues, "item", "track").collect()}
+    assert found.keys() == tracks.keys() and tables() == before
+    for t, x in tracks.items():
+        want = plain.measure(speech, x, 0.0)
+        assert t == 3 or abs(found[t]["score"] - want["score"]) < 1e-9 and abs(found[t]["offset_s"] - want["offset_s"]) < 1e-9
+    assert abs(found[3]["offset_s"] - 3.0) < 0.3
+    assert all(b + 2 * s <= signals.transform_size(b, s) <= 1.34 * (b + 2 * s) for b, s in ((22600, 600), (18834, 200), (65536, 600), (1, 1)))
