@@ -11,6 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cuewright.operators.intervals import overlapping
+from cuewright.scratch import kept
+
 # fixed values: frames a second that transfers use
 RATES = (23.976, 24.0, 25.0, 29.97, 30.0)
 #: Seconds: coarse and fine bin, search of a window. Least global score and cue density. Bounds of audio coverage.
@@ -45,34 +48,60 @@ def coverage(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def correlation_curve(audio: DataFrame, cues: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """(keys, lag, score) for every lag from -span to span, in DataFrame operations.
+    """(keys, lag, score) for every lag from -span to span, in DataFrame operations; ``runs_curve`` of the bins' runs."""
+    return runs_curve(runs(audio, keys), runs(cues, keys), keys, span)
+
+
+def runs(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): first and last bin of the runs of distinct bins (keys, bin)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("bin"))
+    return bins.withColumn("_run", F.col("bin") - place).groupBy(*keys, "_run").agg(F.min("bin").alias("a"), F.max("bin").alias("b")).drop("_run")
+
+
+def marked_runs(spans: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """``runs`` of the bins that the spans (start_s, end_s) mark, without a row a bin."""
+    first = F.floor(F.greatest("start_s", F.lit(0.0)) / width)
+    rows = spans.select(*keys, first.alias("a"), (F.greatest(F.ceil(F.greatest("end_s", F.lit(0.0)) / width), first + 1) - 1).alias("b"))
+    order = Window.partitionBy(*keys).orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = rows.withColumn("_begins", (before.isNull() | (F.col("a") > before + 1)).cast("int"))
+    found = begins.withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.groupBy(*keys, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
 
-    Bins within the span of each other meet by buckets of the span's length.
-    Each pair of bins is a row, so this form is for short spans;
-    ``summed_curve`` does the same by transforms of blocks.
+
+def runs_curve(audio: DataFrame, cues: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """(keys, lag, score) for every lag from -span to span of two signals given as ``runs``, in DataFrame operations.
+
+    What two runs share at a lag rises by one a lag, stays, and falls: so a pair
+    of runs near each other is four corners, added up by lag, and what is shared
+    at a lag is the sum over the corners up to it. A pair of bins is never a row.
     """
-    a, c = coverage(audio, keys), coverage(cues, keys)
-    ends = a.select(*keys, F.col("first_active").alias("fa"), F.col("last_active").alias("la")).join(c.select(*keys, F.col("first_active").alias("fc"), F.col("last_active").alias("lc")), keys)
-    width = max(span, 1)
-    left = audio.withColumn("b", F.explode(F.array(*[F.floor(F.col("bin") / width) + k for k in (-1, 0, 1)]))).withColumnRenamed("bin", "abin")
-    right = cues.withColumn("b", F.floor(F.col("bin") / width)).withColumnRenamed("bin", "cbin")
-    met = left.join(right, [*keys, "b"]).where(F.abs(F.col("cbin") - F.col("abin")) <= span)
-    both = met.groupBy(*keys, (F.col("cbin") - F.col("abin")).alias("lag")).agg(F.count(F.lit(1)).alias("both"))
-    # sums over a range of bins: those up to its end less those before it
+    audio, cues = kept(audio, "runs"), kept(cues, "runs")
+    a = audio.groupBy(*keys).agg(F.min("a").alias("fa"), F.max("b").alias("la"))
+    ends = a.join(cues.groupBy(*keys).agg(F.min("a").alias("fc"), F.max("b").alias("lc")), keys)
+    met = overlapping(audio, cues.withColumnsRenamed({"a": "c", "b": "e"}), keys, ("a", "b"), ("c", "e"), 2 * span + 1, span)
+    low, here, there = F.col("c") - F.col("b"), F.col("b") - F.col("a") + 1, F.col("e") - F.col("c") + 1
+    corner = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    corners = met.select(*keys, F.explode(F.array(corner(low, 1), corner(low + here, -1), corner(low + there, -1), corner(low + here + there, 1))).alias("x")).select(*keys, "x.at", "x.d").where(F.col("at") <= span)
+    turns = corners.groupBy(*keys, F.greatest("at", F.lit(-span)).alias("lag")).agg(F.sum("d").alias("d"), F.sum(F.col("d") * F.col("at")).alias("da"))
     lags = ends.withColumn("lag", F.explode(F.sequence(F.lit(-span), F.lit(span)).cast("array<bigint>")))
     lags = lags.withColumns({"lo": F.greatest("fc", F.col("fa") + F.col("lag")), "hi": F.least("lc", F.col("la") + F.col("lag"))})
 
-    def ranges(bins: DataFrame, at: Column, upto: Column, name: str) -> DataFrame:
-        """Of each lag, the active bins in [at, upto]: from the ranks of the first one at or after, and the last one before or at."""
-        events = bins.select(*keys, F.col("bin").alias("t"), F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("lag"), F.lit(0).alias("end"))
-        begin = lags.select(*keys, (at - 1).alias("t"), F.lit(0).alias("n"), "lag", F.lit(-1).alias("end"))
-        stop = lags.select(*keys, upto.alias("t"), F.lit(0).alias("n"), "lag", F.lit(1).alias("end"))
-        running = F.sum("n").over(Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
-        every = events.unionByName(begin).unionByName(stop).withColumn("n", running).where("lag is not null")
+    def ranges(on: DataFrame, at: Column, upto: Column, name: str) -> DataFrame:
+        """Of each lag, the active bins in [at, upto]: those up to its end less those before it, from where runs begin and end."""
+        no = F.lit(None).cast("bigint").alias("lag")
+        events = on.select(*keys, F.col("a").alias("t"), F.lit(1).alias("d"), no, F.lit(0).alias("end")).unionByName(on.select(*keys, (F.col("b") + 1).alias("t"), F.lit(-1).alias("d"), no, F.lit(0).alias("end")))
+        begin = lags.select(*keys, (at - 1).alias("t"), F.lit(0).alias("d"), "lag", F.lit(-1).alias("end"))
+        stop = lags.select(*keys, upto.alias("t"), F.lit(0).alias("d"), "lag", F.lit(1).alias("end"))
+        upto_t = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+        count = (F.col("t") + 1) * F.sum("d").over(upto_t) - F.sum(F.col("d") * F.col("t")).over(upto_t)
+        every = events.unionByName(begin).unionByName(stop).withColumn("n", count).where("lag is not null")
         return every.groupBy(*keys, "lag").agg(F.sum(F.col("n") * F.col("end")).alias(name))
 
     lags = lags.join(ranges(cues, F.col("lo"), F.col("hi"), "sc"), [*keys, "lag"]).join(ranges(audio, F.col("lo") - F.col("lag"), F.col("hi") - F.col("lag"), "sa"), [*keys, "lag"])
-    lags = lags.join(both, [*keys, "lag"], "left").withColumns({"both": F.coalesce("both", F.lit(0)), "n": F.col("hi") - F.col("lo") + 1})
+    passed = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
+    added = lambda c: F.coalesce(F.sum(c).over(passed), F.lit(0))
+    lags = lags.join(turns, [*keys, "lag"], "left").withColumns({"both": (F.col("lag") + 1) * added("d") - added("da"), "n": F.col("hi") - F.col("lo") + 1})
     return lags.select(*keys, "lag", _pearson().alias("score"))
 
 

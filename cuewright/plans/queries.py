@@ -226,8 +226,10 @@ def _curve(spark, d):
 
 @query(f"WITH {sql.D2}, {sql.d3(9.0, 1.0)}, {sql.CURVE.replace('75', '50').replace('76', '51')} SELECT item_id, lag, round(score, 6) AS score FROM curve")
 def xcorr_pairs(spark, d):
-    """The same curve over a shorter span, by pairs of bins instead of transforms."""
-    return signals.correlation_curve(*_signals(spark, d), ["item_id"], 50).select("item_id", "lag", r6("score"))
+    """The same curve over a shorter span, by pairs of runs instead of transforms."""
+    spans = derived.speech(spark, d)
+    audio, film = (signals.marked_runs(x, ["item_id"], signals.COARSE) for x in (spans, derived.film_cues(spans, 9.0, 1.0)))
+    return signals.runs_curve(audio, film, ["item_id"], 50).select("item_id", "lag", r6("score"))
 
 
 @query(f"WITH {sql.D2}, {sql.d3(9.0, 1.0)}, {sql.CURVE} SELECT item_id, lag, round(score, 6) AS score FROM curve")

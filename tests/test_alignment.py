@@ -218,3 +218,12 @@ def test_films_of_one_block_are_read_once(spark):
         assert t == 3 or abs(found[t]["score"] - want["score"]) < 1e-9 and abs(found[t]["offset_s"] - want["offset_s"]) < 1e-9
     assert abs(found[3]["offset_s"] - 3.0) < 0.3
     assert all(b + 2 * s <= signals.transform_size(b, s) <= 1.34 * (b + 2 * s) for b, s in ((22600, 600), (18834, 200), (65536, 600), (1, 1)))
+
+
+def test_pairs_are_of_runs(spark):
+    """Two signals of one run each are one pair, however long: 40,000 bins against 40,000 within 50 of each other would be four million."""
+    one = lambda low, high: spark.createDataFrame([("x", float(low), float(high)), ("x", low + 1.0, low + 2.0), (None, 0.0, 9.0)], "k string, start_s double, end_s double")
+    audio, cues = signals.marked_runs(one(10, 8010), ["k"], 0.2), signals.marked_runs(one(14, 8014), ["k"], 0.2)
+    assert [(r["k"], r["a"], r["b"]) for r in audio.where("k is not null").collect()] == [("x", 50, 40049)]
+    assert sorted((r["k"] or "", r["a"], r["b"]) for r in signals.runs(signals.marked(one(10, 8010), ["k"], 0.2), ["k"]).collect()) == sorted((r["k"] or "", r["a"], r["b"]) for r in audio.collect())
+    assert {r["score"] for r in signals.runs_curve(audio, cues, ["k"], 50).collect()} == {0.0}
