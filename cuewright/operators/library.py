@@ -10,6 +10,7 @@ from cuewright.operators.cues import cleaned, timed_tokens
 from cuewright.operators.intervals import overlapping
 from cuewright.operators.reports import best_tracks, wanted
 from cuewright.operators.sync import measured_offset, offset_histogram
+from cuewright.scratch import kept
 
 #: Runs that are kept.
 KEPT_RUNS = 20
@@ -127,7 +128,9 @@ def heard_points(cues: DataFrame, anchors: DataFrame, heard: DataFrame, most: fl
     near = overlapping(cues, windows.select("track_id", "window_key", "_a", "_b"), ["track_id"], ("start_s", "end_s"), ("_a", "_b"), max(most, 1.0), most)
     spoken = timed_tokens(near).select("window_key", "word", "at_s")
     said = timed_tokens(heard.withColumn("window_key", key)).select("window_key", "word", "at_s")
-    found = measured_offset(offset_histogram(spoken, said, "window_key", most), "window_key").where("votes > 0")
+    # votes are few and read several times
+    votes = kept(offset_histogram(spoken, said, "window_key", most), "votes")
+    found = measured_offset(votes, "window_key").where("votes > 0")
     sure = F.when(F.col("timed"), F.col("confidence")).otherwise(F.col("confidence") * UNTIMED)
     return found.join(windows, "window_key").select("track_id", "anchor_idx", ((F.col("_a") + F.col("_b")) / 2).alias("at_s"), "offset_s", sure.alias("confidence"))
 

@@ -667,10 +667,10 @@ _HEARD_SQL = f"""{sql.D1.replace('600 + 3 * turn', '3 * turn')}, whole AS (SELEC
 def transcript_verdict(spark, d):
     """Each track heard 2.5 seconds early in the windows planned for it; every other window without times."""
     cues = derived.cues(spark, d).withColumns({"start_s": F.col("start_s") - 600, "end_s": F.col("end_s") - 600})
-    anchors = cue_ops.anchor_windows(cues, F.lit(0.0)).withColumn("timed", F.col("anchor_idx") % 2 == 0)
+    anchors = kept(cue_ops.anchor_windows(cues, F.lit(0.0)).withColumn("timed", F.col("anchor_idx") % 2 == 0), "anchors")
     near = cues.join(anchors.select("track_id", "anchor_idx", F.col("start_s").alias("a"), "duration_s"), "track_id").where("start_s - 2.5 >= a and start_s - 2.5 <= a + duration_s")
     heard = near.select("track_id", "anchor_idx", (F.col("start_s") - 2.5).alias("start_s"), (F.col("end_s") - 2.5).alias("end_s"), "text")
-    points = library.heard_points(cues, anchors, heard, 30.0)
+    points = kept(library.heard_points(cues, anchors, heard, 30.0), "points")
     done = sync.assessed(points, sync.drift_fit(points, "track_id"), "track_id", RUNTIME)
     return done.select("track_id", "anchors", "confident", "verdict", r6("offset_s", 3), r6("worst_s", 3))
 

@@ -227,3 +227,10 @@ def test_pairs_are_of_runs(spark):
     assert [(r["k"], r["a"], r["b"]) for r in audio.where("k is not null").collect()] == [("x", 50, 40049)]
     assert sorted((r["k"] or "", r["a"], r["b"]) for r in signals.runs(signals.marked(one(10, 8010), ["k"], 0.2), ["k"]).collect()) == sorted((r["k"] or "", r["a"], r["b"]) for r in audio.collect())
     assert {r["score"] for r in signals.runs_curve(audio, cues, ["k"], 50).collect()} == {0.0}
+
+
+def test_votes_read_each_side_once(spark):
+    tokens = spark.createDataFrame([("x", f"w{i}", float(i)) for i in range(9)] + [("x", "often", float(i)) for i in range(7)], "track_id string, word string, at_s double")
+    votes = sync.offset_histogram(tokens, tokens.withColumn("at_s", F.col("at_s") - 1.0), "track_id", 30.0)
+    assert votes._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+    assert [(r["bin"], r["votes"]) for r in votes.collect()] == [(5, 9)]
