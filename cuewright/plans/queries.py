@@ -878,14 +878,15 @@ _SEEN_SQL = "v AS (SELECT user_id AS item_id, CAST(floor((epoch_us(ts) - epoch_u
 
 @query(f"WITH {_SEEN_SQL}, p AS (SELECT *, lag(version) OVER (PARTITION BY item_id ORDER BY part) AS was FROM l) SELECT item_id, version, CASE WHEN was IS NULL THEN 'new' ELSE 'changed' END AS change, count(*) AS n FROM p WHERE was IS NULL OR (was <> '' AND was <> version) GROUP BY ALL")
 def changed_stream(spark, d):
-    """Sightings of ten days each as the files of a stream; what is new or changed, by state."""
-    source, out, place = work_dir(spark, "sightings"), work_dir(spark, "changed"), work_dir(spark, "checkpoint")
+    """Sightings of ten days each as what a stream finds when it starts again; what is new or changed, by state."""
+    dealt, source, out, place = (work_dir(spark, x) for x in ("dealt", "sightings", "changed", "checkpoint"))
     day = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / F.lit(864e9)
     seen = table(spark, d, "events").where("ts is not null").select(F.col("user_id").alias("item_id"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("version"), F.col("ts").cast("timestamp").alias("seen_at"), F.floor(day).cast("int").alias("part"))
-    for part in sorted(r["part"] for r in seen.select("part").distinct().collect()):  # a part for ten days
-        seen.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("item_id long, version string, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
-    recheck.write_changed(stream, out, place, delay="3650 days").awaitTermination()
+    seen.write.partitionBy("part").parquet(dealt)  # a part for ten days, by one pass
+    parts, fields = spark.read.schema(seen.schema).parquet(dealt), "item_id long, version string, seen_at timestamp"
+    for part in sorted(r["part"] for r in parts.select("part").distinct().collect()) or [0]:
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        recheck.write_changed(spark.readStream.schema(fields).parquet(source), out, place, delay="3650 days").awaitTermination()
     return spark.read.parquet(out).groupBy("item_id", "version", "change").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,12 +2,14 @@
 
 import glob
 import os
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuewright.operators import library
+from cuewright.plans.queries import QUERIES
 from cuewright.sources import inventory, runs, store
 from cuewright.streaming import recheck
 
@@ -128,6 +130,41 @@ def test_a_stream_tells_changes_once(spark, tmp_path):
     assert told().count(("a", "2", "new")) == 2
 
 
+def test_items_share_the_state_of_a_stream(spark, tmp_path):
+    source, out, place = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    at = lambda h: DAY + timedelta(hours=h)
+    items = [None, 2**53, 2**53 + 1, *range(2997)]
+
+    def told(*rows):
+        made = spark.createDataFrame([(k, v, at(h)) for k, v, h in rows], "item_id long, version string, seen_at timestamp")
+        made.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(made.schema).parquet(source)
+        query = recheck.write_changed(stream, out, place, delay="2 hours", forget_s=10 * 3600)
+        query.awaitTermination()
+        assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 1024
+        found = Counter((r["item_id"], r["version"], r["seen_at"], r["change"]) for r in spark.read.parquet(out).collect())
+        return len(found - want), len(want - found)
+
+    want = Counter((k, "1", at(0), "new") for k in items)
+    assert told(*((k, "1", 0) for k in items)) == (0, 0)
+    # of three items one changes, one has an older sighting, one isn't seen
+    some = {k: i % 3 for i, k in enumerate(items)}
+    want += Counter((k, "2", at(3), "changed") for k in items if some[k] == 0)
+    assert told(*((k, "2", 3) if some[k] == 0 else (k, "0", -1) for k in items if some[k] < 2)) == (0, 0)
+    # one is seen much later: all others are gone, with what was last known, and new if they come back
+    want += Counter((k, "2", at(3), "gone") if some[k] == 0 else (k, "1", at(0), "gone") for k in items if k != 7)
+    assert some[7] == 1 and told((7, "1", 40)) == (0, 0)
+    want += Counter([(5, "1", at(41), "new")])
+    assert told((5, "1", 41)) == (0, 0)
+    with pytest.raises(TypeError, match="double"):
+        recheck.changed(spark.readStream.schema("item_id double, version string, seen_at timestamp").parquet(source))
+
+
+def test_sightings_without_a_time_are_no_change(spark, tmp_path):
+    spark.createDataFrame([(1, None, 1, "view"), (2, None, None, None)], "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["changed_stream"][0](spark, str(tmp_path)).collect() == []
+
+
 def test_files_seen_by_the_hour(spark, tmp_path):
     texts = [("a", "English text of some words, and more of them", 1), ("b", "これは日本語の文章です。とても長いですね、本当に。はい", 2), ("c", "short", 3), ("late", "short", 0), ("d", "x", 300)]
     for k, (name, text, minutes) in enumerate(texts):
